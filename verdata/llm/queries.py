@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdata.llm import licenses, packing, quality, repeats, sharding
+from verdata.llm import licenses, nearduplicates, packing, quality, repeats, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +31,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_id")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearduplicates.near_duplicates(_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op5_sharding, op7_quality)}
+    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op5_sharding, op6_minhash, op7_quality)}
 
 
 def oracle_sql() -> dict:
