@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdata.llm import licenses, nearduplicates, packing, quality, repeats, sharding
+from verdata.llm import licenses, lines, nearduplicates, packing, quality, repeats, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +40,30 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op5_sharding, op6_minhash, op7_quality)}
+    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op5_sharding, op6_minhash, op7_quality, op9_lines)}
+
+
+#: Lines of at least 3 tokens whose template (tokens with a digit as <*>) is in 4 texts or more go, but from the first document.
+OP9 = """
+WITH d AS (SELECT doc_id, text, md5(coalesce(text, '')) AS h, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, h, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM d),
+t AS (SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> ''),
+      lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l),
+j AS (SELECT doc_id, h, k, line, len(toks) AS n, array_to_string(toks, ' ') AS tpl FROM t),
+r AS (SELECT tpl, min(doc_id) AS first, count(DISTINCT h) AS texts FROM j WHERE n >= 3 GROUP BY tpl),
+o AS (SELECT h, min(doc_id) AS own FROM d GROUP BY h),
+m AS (SELECT j.doc_id, k, line, coalesce(n >= 3 AND r.texts >= 4 AND r.first < o.own, false) AS gone FROM j LEFT JOIN r ON j.tpl = r.tpl JOIN o ON j.h = o.h),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_lines": OP9}
