@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdata.llm import licenses, lines, nearduplicates, packing, quality, repeats, sharding
+from verdata.llm import licenses, lines, nearduplicates, packing, private, quality, repeats, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +40,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "id")
+    joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind, _ in private.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op5_sharding, op6_minhash, op7_quality, op9_lines)}
+    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op5_sharding, op6_minhash, op7_quality, op8_pii, op9_lines)}
 
 
 #: Lines of at least 3 tokens whose template (tokens with a digit as <*>) is in 4 texts or more go, but from the first document.
