@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,37 +30,97 @@ from verdata.plans.storage import materialize
 #: A pre-token never runs over a space that follows something other than white space.
 _BOUND = re.compile(r"(?<=\S)(?= )")
 _FOLLOWS_SPACE = re.compile(r"[\s\x1c-\x1f] ")
-_CACHED = 400_000
+#: A word of Latin letters, perhaps with marks after it, and perhaps the same again on the next line: up to five pre-tokens.
+_WORD = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?#$%&*|]*)"
+_PLAIN = re.compile(f"{_WORD}(?:(\n){_WORD})?")
+_CACHED = 1_000_000
+
+#: Up to so many cut remainders are broadcast (about 100 bytes each).
+SMALL = 50_000
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes. The tokenizer sees each distinct piece of text between boundaries once, as long as it is cached."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
+
+    Each distinct piece between sure pre-token boundaries is encoded once, as long as it is cached. Where the vocabulary is
+    byte-level with ids in merge order, plain words get their merges from tiktoken, which has less to do for each; all else goes through
+    the tokenizer itself.
+    """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: Of pieces that follow a space (kept without it), and of others.
         self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.merge = self._merger(json.load(f)["model"])
+
+    @staticmethod
+    def _merger(model: dict):
+        vocabulary = model["vocab"]
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        if any(vocabulary.get(m.replace(" ", "")) != 256 + i for i, m in enumerate(merges)):
+            return None
+        import tiktoken
+
+        # Byte-level vocabularies write a byte as its own character if that is printable, else as one from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(own))}
+        ranks = {bytes(letter[c] for c in w): i for w, i in vocabulary.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """The text cut before spaces; all pieces but the first lack the space that they begin with."""
         if _FOLLOWS_SPACE.search(text):
-            return _BOUND.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            first, *rest = _BOUND.split(text)
+            return [first, *[x[1:] for x in rest]]
+        return text.split(" ")
+
+    def _learn(self, new: list[str], known: dict[str, bytes], before: str) -> None:
+        other = []
+        for x in new:
+            m = self.merge and _PLAIN.fullmatch(x)
+            if m:
+                word, *rest = m.groups()
+                ids = self.merge((before + word).encode())
+                for part in rest:
+                    if part:
+                        ids += self.merge(part.encode())
+                known[x] = array("I", ids).tobytes()
+            else:
+                other.append(x)
+        for at in range(0, len(other), 20_000):
+            part = other[at:at + 20_000]
+            for x, e in zip(part, self.tokenizer.encode_batch([before + x for x in part], add_special_tokens=False)):
+                known[x] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > _CACHED:
-            self.known = {}
         cut = [self.pieces(t) if t else [] for t in texts]
-        new = list({x for c in cut for x in c if x not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
+        heads = [c[0] if c else "" for c in cut]
+        for c in cut:
+            del c[:1]
+        self.first = {}
+        self._learn(list(set(heads)), self.first, "")
+        new = list(set().union(*cut) - self.known.keys())
+        self._learn(new, self.known, " ")
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out = [self.first[h] + b"".join(map(get, c)) for h, c in zip(heads, cut)]
+        if len(self.known) > _CACHED:  # the frequent ones are in by now
+            for x in new:
+                del self.known[x]
+        return out
+
+
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, which serves many tasks."""
+    return Encoder(path)
 
 
 def _single_threaded() -> None:
@@ -72,7 +134,7 @@ def _encode(path: str, separator: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _single_threaded()
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in slices(batches, "text"):
             doc, start, length, crc, total, row = [], [], [], [], [], []
             ids = batch.column("doc_id").to_pylist()
@@ -93,7 +155,7 @@ def _crc_parts(path: str, separator: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _single_threaded()
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in slices(batches, "text"):
             rows = []
             for e, d, r, n, parts in zip(encoder.encode(batch.column("text").to_pylist()), *(batch.column(c).to_pylist() for c in ("doc_id", "row", "doc_tokens", "parts"))):
@@ -167,6 +229,15 @@ def plan(lengths: dict[int, int], window: int, depth: int = 3) -> tuple[list[tup
             for v, k in need.items():
                 left[v] -= k * n
                 used[v] += k * n
+    # What rounding left over is packed greedily, the largest exact fillings first.
+    for c in sorted(columns, reverse=True):
+        need = Counter(c)
+        n = min(left[v] // k for v, k in need.items())
+        if n > 0:
+            out.append((c, n))
+            for v, k in need.items():
+                left[v] -= k * n
+                used[v] += k * n
     return out, dict(used)
 
 
@@ -211,6 +282,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, separator: int = 0
     whole = rest.where(F.size("parts") == 1).select("doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", F.col("parts")[0]["sequence_id"].alias("sequence_id"), F.col("parts")[0]["offset"].alias("offset"))
     # Only documents whose remainder is cut are encoded once more. Repeated rows meet each other's parts and give each piece more than once.
     split = rest.where(F.size("parts") > 1).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "doc_tokens", "parts")
+    # A few thousand rows at most come from rounding; more (a histogram that doesn't add up to windows) are joined by a shuffle.
+    if split.limit(SMALL + 1).count() <= SMALL:
+        split = F.broadcast(split)
     cut = keyed.join(split, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "row", "text", "doc_tokens", "parts")
     cut = cut.mapInArrow(_crc_parts(tokenizer, separator), schema + ", sequence_id long, offset long")
     return done.unionByName(whole).unionByName(cut.dropDuplicates(["sequence_id", "offset"]))
