@@ -164,3 +164,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int =
     out = rows.drop("sketch").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, with all their columns; of rows equal in doc_id and text, one."""
+    kept = near_duplicates(docs, **parameters).where("kept").select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))
+    return docs.withColumn("_row", F.xxhash64("text")).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)

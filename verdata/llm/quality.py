@@ -38,12 +38,12 @@ def _repeated(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and counts of each text of ``docs``; 64-bit hashes stand for 3-word windows."""
+    """``doc_id``, ``row`` (a hash of the text) and counts of each text of ``docs``; 64-bit hashes stand for 3-word windows."""
     t = F.coalesce(F.col("text"), F.lit(""))
     gone = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))).cast("long")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return docs.select(
-        "doc_id",
+        "doc_id", F.xxhash64("text").alias("row"),
         let(F.regexp_extract_all(t, F.lit(SPACE_WORD), F.lit(0)), lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
@@ -53,7 +53,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         gone(r"[A-Z]").alias("n_upper"), gone(r"[!?]").alias("n_marks"), gone(r"[0-9]").alias("n_digits"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"),
                                       (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
-    ).select("doc_id", "w.*", "word_chars", "n_symbols", "n_upper", "n_marks", "n_digits", "l.*")
+    ).select("doc_id", "row", "w.*", "word_chars", "n_symbols", "n_upper", "n_marks", "n_digits", "l.*")
 
 
 
@@ -185,3 +185,10 @@ def judge(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     rules = learn_rules(stats, labels, **fit)
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
+    bad = judge(docs, labels, **fit).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_r"))
+    return docs.join(bad, same, "left_anti")
