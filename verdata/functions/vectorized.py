@@ -1,0 +1,50 @@
+"""Scans that built-in expressions can't express, as small helpers over Arrow batches."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+_FLAT_BOX = re.compile(r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}", re.DOTALL)
+
+
+def balanced(text: str, command: str = "\\boxed") -> list[tuple[str, int, int]]:
+    """Contents and spans of a command's brace groups. Text may stand between command and brace; an unclosed group ends the scan."""
+    out, at = [], 0
+    while (start := text.find(command, at)) >= 0 and (brace := text.find("{", start + len(command))) >= 0:
+        depth = 0
+        for m in re.finditer("[{}]", text[brace:]):
+            depth += 1 if m.group() == "{" else -1
+            if depth == 0:
+                at = brace + m.end()
+                out.append((text[brace + 1:at - 1].strip(), start, at))
+                break
+        else:
+            break
+    return out
+
+
+def boxed(text: str | None) -> str:
+    found = balanced(text or "")
+    if found:
+        return found[-1][0]
+    flat = _FLAT_BOX.findall(text or "")
+    return flat[-1].strip() if flat else ""
+
+
+@F.pandas_udf(StringType())
+def extract_boxed(texts: pd.Series) -> pd.Series:
+    """Content of the last balanced ``\\boxed{...}``, stripped; empty if there is none."""
+    return texts.map(boxed)
+
+
+@F.pandas_udf(StringType())
+def stop_after_boxed(texts: pd.Series) -> pd.Series:
+    """The text up to its last balanced box, without white space at the end; unchanged if there is none."""
+    def cut(t):
+        found = balanced(t or "")
+        return (t or "")[: found[-1][2]].rstrip() if found else (t or "")
+    return texts.map(cut)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    return []
+    from verdata.plans import curation_queries, evaluation_queries
+
+    return [curation_queries, evaluation_queries]
 
 
 def queries() -> dict:
