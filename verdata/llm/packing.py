@@ -33,7 +33,7 @@ _FOLLOWS_SPACE = re.compile(r"[\s\x1c-\x1f] ")
 #: A word of Latin letters, perhaps with marks after it, and perhaps the same again on the next line: up to five pre-tokens.
 _WORD = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?#$%&*|]*)"
 _PLAIN = re.compile(f"{_WORD}(?:(\n){_WORD})?")
-_CACHED = 1_000_000
+_CACHED = 600_000
 
 #: Up to so many cut remainders are broadcast (about 100 bytes each).
 SMALL = 50_000
