@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 _EPS = 1e-6
 
@@ -43,7 +43,7 @@ def _scan(df: DataFrame, inputs: list[str], outputs: list[str], step) -> DataFra
     """Backward recurrences: rows of an Arrow batch are padded to one matrix, and ``step`` walks over time with all rows at once."""
     schema = StructType(list(df.schema.fields))
     for o in outputs:
-        schema = schema.add(o, "array<double>")
+        schema = schema.add(o, ArrayType(DoubleType()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -107,10 +107,10 @@ def _masked(values, mask) -> Column:
 def masked_moments(df: DataFrame, values: str, mask: str) -> DataFrame:
     """One row: ``n``, ``mean`` and ``var`` (Bessel's correction) over all valid tokens. Two passes: squares are summed around the mean."""
     n = F.sum(_sum(F.transform(mask, lambda m: m.cast("double"))))
-    first = df.agg(n.alias("n"), (F.sum(_masked(values, mask)) / n).alias("mean"))
+    first = df.agg(n.alias("_n"), (F.sum(_masked(values, mask)) / n).alias("_mean"))
     with_mean = df.crossJoin(F.broadcast(first))
-    square = F.sum(_sum(F.zip_with(values, mask, lambda x, m: m * (x - F.col("mean")) * (x - F.col("mean")))))
-    return with_mean.agg(F.first("n").alias("n"), F.first("mean").alias("mean"), (square / (F.first("n") - 1)).alias("var"))
+    square = F.sum(_sum(F.zip_with(values, mask, lambda x, m: m * (x - F.col("_mean")) * (x - F.col("_mean")))))
+    return with_mean.agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), (square / (F.first("_n") - 1)).alias("var"))
 
 
 def masked_whiten(df: DataFrame, values: str, mask: str, name: str, eps: float = 1e-8) -> DataFrame:

@@ -95,4 +95,4 @@ def with_views(sql: str, *names: str) -> str:
         for m in (*_NEEDS.get(n, ()), n):
             if not any(p.startswith(f"{m} AS") for p in parts):
                 parts.append(f"{m} AS ({VIEWS[m]})")
-    return f"WITH {', '.join(parts)} {sql}"
+    return f"WITH {', '.join(parts)}{sql}" if sql.startswith(",") else f"WITH {', '.join(parts)} {sql}"

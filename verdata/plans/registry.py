@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from verdata.plans import curation_queries, evaluation_queries
+    from verdata.plans import curation_queries, evaluation_queries, rollout_queries, streaming_queries
 
-    return [curation_queries, evaluation_queries]
+    return [curation_queries, evaluation_queries, rollout_queries, streaming_queries]
 
 
 def queries() -> dict:
