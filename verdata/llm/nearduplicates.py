@@ -6,12 +6,16 @@ sets form a class, and one stands for all. A class keeps the ``k`` smallest shin
 1. Inverted lists of retained values. Linked sets share at least ``t`` of their retained values (k = 40, t = 19 at 85 %: missed with odds
    below 1e-8), so in one order of all values, rarest first, they meet among the first k - t + 1 of each. Only these are listed, and
    classes with fewer than ``t`` values that others hold as well are out.
-2. Pairs. In each list the member with the most common values (the likeliest original) is paired with the others, which makes as many
+2. Crowded lists (more than ``crowd`` members) mostly hold edits of one original that aren't near enough to each other. Their members are listed
+   anew, exactly, by whole sets: values rarest first (among these members), for each class of partner sizes as far as a pair of these sizes that meets
+   there for the first time can still reach the threshold (prefix, length and positional filter). Edits that are too far from the original then no
+   longer meet at what they have from it, but only at what they share besides.
+3. Pairs. In each list the member with the most common values (the likeliest original) is paired with the others, which makes as many
    pairs as members. Members that end up in the same component need no pair. While a list still holds more than one component, its next
    members (4 times as many each round) are paired with the members of other components, until no pair is left to try.
    So copies aren't expanded into all pairs, and no link between components is lost.
-3. The union's bottom-k estimates the similarity from two sketches; pairs far below are out.
-4. The rest is verified on whole sets; verified links are joined into components.
+4. The union's bottom-k estimates the similarity from two sketches; pairs far below are out.
+5. The rest is verified on whole sets; verified links are joined into components.
 
 Without words (or text) a set is empty and linked with nothing. Repeated rows belong to the same class. Rows without doc_id take part,
 but name no component; where a component has no other rows its id is null, and they are kept. An empty table gives an empty result.
@@ -19,6 +23,7 @@ but name no component; where a component has no other rows its id is null, and t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +108,35 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = 40, share: float = 0.475, slack: float = 0.35) -> DataFrame:
+def _values():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles"):
+            own = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([len(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["cls", "n", "values"])
+    return run
+
+
+def _exact_lists(sets: DataFrame, percent: int, ratio: float = 1.03) -> DataFrame:
+    """``cls`` and ``value`` (a list's key) by whole sets. Sizes fall into classes a few percent wide; a list is for one value and two of these."""
+    own = materialize(sets.mapInArrow(_values(), "cls binary, n long, values array<long>"))
+    each = own.select("cls", F.explode("values").alias("value"))
+    often = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    held = each.join(often, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    rows = own.select("cls", "n").join(held, "cls")
+    step = math.log(ratio)
+    of = lambda n: F.floor(F.log(n) / step + 1e-9)
+    least, most = F.ceil(percent * F.col("n") / 100 - 1e-9), F.floor(100 * F.col("n") / percent + 1e-9)
+    rows = rows.withColumn("b", of(F.col("n"))).withColumn("p", F.explode(F.sequence(of(least), of(most))))
+    # The least partner of class p, the overlap that a pair with it needs, and the places up to which the first common value may stand.
+    partner = F.greatest(least, F.ceil(F.exp((F.col("p") - 1e-6) * step) - 1e-6))
+    need = F.ceil(percent * (F.col("n") + partner) / (100 + percent) - 1e-9)
+    reach = (F.size("common") - need + 1).cast("int")
+    rows = rows.withColumn("prefix", F.slice("common", F.lit(1), F.greatest(F.lit(0), reach)))
+    rows = rows.select("cls", F.explode("prefix.value").alias("v"), F.least("b", "p").alias("x"), F.greatest("b", "p").alias("y"))
+    return rows.select("cls", F.xxhash64("v", "x", "y").alias("value"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = 40, share: float = 0.475, slack: float = 0.35, crowd: int = 12) -> DataFrame:
     """``doc_id``, ``row`` (hash of the text), ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     rows = materialize(docs.mapInArrow(_sketch(size, k), "doc_id long, row long, n_shingles long, cls binary, sketch array<long>"))
@@ -119,11 +152,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int =
         "cls", "n", "sketch", "one", F.aggregate("common", F.lit(0.0), lambda s, x: s + F.log(x["df"])).alias("weight"),
         F.slice("common", F.lit(1), F.greatest(F.lit(0), F.size("common") - t + 1)).alias("prefix"))
     listed = materialize(listed)
-    # Order within a list: most common values first; the class settles ties.
-    lists = materialize(listed.select("cls", "n", F.struct((-F.col("weight")).alias("w"), F.col("cls").alias("c")).alias("rank"), F.explode("prefix.value").alias("value")))
     asked = listed.select("cls", F.col("one.doc_id").alias("_d"), F.col("one.row").alias("_r"))
     sets = docs.join(asked, docs.doc_id.eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).select("cls", "text")
     sets = materialize(sets.mapInArrow(_whole(size), "cls binary, shingles binary").dropDuplicates(["cls"]))
+    # Order within a list: most common values first; the class settles ties.
+    rank = listed.select("cls", F.struct((-F.col("weight")).alias("w"), F.col("cls").alias("c")).alias("rank"))
+    first = materialize(listed.select("cls", F.explode("prefix.value").alias("value")))
+    sizes = first.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
+    crowded = first.join(sizes.where(F.col("m") > crowd), "value", "left_semi").select("cls").distinct()
+    calm = first.join(sizes.where(F.col("m") <= crowd), "value", "left_semi")
+    anew = materialize(_exact_lists(sets.join(crowded, "cls", "left_semi"), percent))
+    anew = anew.join(anew.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "value", "left_semi")
+    lists = materialize(calm.unionByName(anew).join(rank, "cls"))
     links, roots, tried, hubs = None, None, 0, 1
     active = lists
     while True:
