@@ -11,7 +11,7 @@ vectors) give the nearest, and those of all leaves are merged.
 
 Vectors that are null, zero, hold null or non-finite components, or aren't of the commonest length (the larger of equally common ones) take no
 part; rows without id neither. Equal vectors are one entry with their ``k + 1`` smallest ids, which is all that a result of k can need. Repeated rows (equal id and vector)
-are one row. A leaf's rows and queries are dealt out in blocks of bounded size. An empty table gives an empty result.
+are one row. A leaf's rows and queries are dealt out in blocks of bounded size, and leaves after a query's ``first`` ones only report what may still be among its nearest. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,12 +103,12 @@ def _index(forest: Forest, dim: int):
 def _visits(forest: Forest, dim: int, held: dict, enough: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, tree, leaf = [], [], []
+            at, turn, tree, leaf = [], [], [], []
             for i, q in enumerate(_matrix(batch.column("v"), dim) if batch.num_rows else ()):
-                for t, n in forest.search(q, held, enough):
-                    at.append(i), tree.append(t), leaf.append(n)
+                for j, (t, n) in enumerate(forest.search(q, held, enough)):
+                    at.append(i), turn.append(j), tree.append(t), leaf.append(n)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), batch.column("query_id").take(take), batch.column("v").take(take)], ["tree", "leaf", "query_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(turn, pa.int32()), batch.column("query_id").take(take), batch.column("v").take(take)], ["tree", "leaf", "turn", "query_id", "v"])
     return run
 
 
@@ -120,14 +120,15 @@ def _rank(dim: int, k: int):
             return schema.empty_table()
         x, q = (_matrix(t.column("v").combine_chunks(), dim) for t in (rows, queries))
         ids = rows.column("ids").to_pylist()
-        asked = queries.column("query_id").to_numpy()
+        asked, floor = queries.column("query_id").to_numpy(), queries.column("floor").to_numpy()
         s = q @ x.T
         m = min(k + 1, len(x))
         out: tuple[list, list, list] = ([], [], [])
-        # Everything as near as the last of the k + 1 nearest entries comes along, so that ties are settled by id.
+        # Everything as near as the last of the k + 1 nearest entries comes along, so that ties are settled by id; nothing farther than what the query has already.
         bound = np.partition(s, len(x) - m, axis=1)[:, len(x) - m]
         for i, who in enumerate(asked):
-            best = np.flatnonzero(s[i] >= bound[i] - 1e-12 * abs(bound[i]))
+            limit = max(bound[i], floor[i])
+            best = np.flatnonzero(s[i] >= limit - 1e-12 * abs(limit))
             score = np.einsum("ij,j->i", x[best], q[i])
             near = sorted((-a, v) for a, b in zip(score.tolist(), best.tolist()) for v in ids[b] if v != who)[:k]
             out[0].extend([who] * len(near)), out[1].extend(v for _, v in near), out[2].extend(-a for a, _ in near)
@@ -136,7 +137,7 @@ def _rank(dim: int, k: int):
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", n_trees: int = 4,
-            leaf_rows: int = 800, max_depth: int = 10, max_sample: int = 50_000, visit: float = 1.3, seed: int = 11) -> DataFrame:
+            leaf_rows: int = 800, max_depth: int = 10, max_sample: int = 50_000, visit: float = 1.3, first: int = 8, seed: int = 11) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each row of ``queries`` (a part of ``vectors``), the ``k`` nearest other rows found."""
     spark = vectors.sparkSession
 
@@ -169,13 +170,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     # One row for each leaf: bounded by the forest.
     held = {(r["tree"], r["leaf"]): r["n"] for r in cells.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}
     asked = valid(queries).where(F.size("v") == dim).select(F.col("id").alias("query_id"), "v").distinct()
-    visits = materialize(asked.mapInArrow(_visits(forest, dim, held, math.ceil(visit * n)), "tree int, leaf int, query_id long, v array<double>"))
+    visits = materialize(asked.mapInArrow(_visits(forest, dim, held, math.ceil(visit * n)), "tree int, leaf int, turn int, query_id long, v array<double>"))
     come = {(r["tree"], r["leaf"]): r["n"] for r in visits.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}
     blocks = spark.createDataFrame([(t, m, -(-n // BLOCK_ROWS), -(-come.get((t, m), 1) // BLOCK_QUERIES)) for (t, m), n in held.items()], "tree int, leaf int, n_r int, n_q int")
-    cells = cells.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("r", F.pmod(F.xxhash64(F.col("ids")[0]), "n_r").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
+    cells = materialize(cells.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("r", F.pmod(F.xxhash64(F.col("ids")[0]), "n_r").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))))
     visits = visits.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("q", F.pmod(F.xxhash64("query_id"), "n_q").cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n_r") - 1)))
     key = ["tree", "leaf", "r", "q"]
-    found = cells.select(*key, "ids", "v").groupBy(*key).cogroup(visits.select(*key, "query_id", "v").groupBy(*key)).applyInArrow(_rank(dim, k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def rank(some: DataFrame) -> DataFrame:
+        rows = cells.select(*key, "ids", "v").groupBy(*key)
+        found = rows.cogroup(some.select(*key, "query_id", "v", "floor").groupBy(*key)).applyInArrow(_rank(dim, k), "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = lambda df: df.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+    # The first leaves set a floor: from the others, only what is at least as near as a query's k-th so far is of use.
+    near = materialize(top(rank(visits.where(F.col("turn") < first).withColumn("floor", F.lit(float("-inf"))))))
+    floors = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    others = visits.where(F.col("turn") >= first).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    best = near.drop("rank").unionByName(rank(others)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return top(best).select("query_id", "rank", "vec_id", "score")
