@@ -58,6 +58,7 @@ def read_runs(spark: SparkSession, runs: dict[str, str], schema) -> tuple[DataFr
 
 def read_reports(spark: SparkSession, pattern: str, schema) -> DataFrame:
     """Whole-file JSON reports with the file that each came from; unreadable ones are left out."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     kept = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     rows = spark.read.schema(kept).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(pattern)
     return rows.withColumn("source_file", F.col("_metadata.file_path")).where(F.col("_bad").isNull()).drop("_bad")
