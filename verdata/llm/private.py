@@ -1,9 +1,9 @@
 """Personal data by patterns, and further identifiers by bootstrapped contexts. DataFrame functions only.
 
 Base kinds are found by patterns with checks (see :data:`KINDS`), leftmost and without overlap within a kind. They are the seeds:
-1. Candidates are tokens with a digit. A candidate that a base span covers in part or whole is a seed.
+1. Candidates are tokens with a digit that no base span covers in part or whole. Base spans are the seeds.
 2. Seeds induce lexical patterns: the word to the left, the two words to the left, and the words to the left and right.
-3. Patterns and instances (token strings) form a graph. In each round a pattern's score is the mean score of its instances (seeds: 1), shrunk by
+3. Patterns and instances (the strings of seeds and candidates) form a graph. In each round a pattern's score is the mean score of its instances (seeds: 1), shrunk by
    ``prior`` doubtful instances, and an instance's score that of its best pattern, times ``decay``.
 4. Patterns of high confidence (score and number of different seed instances) discover the other tokens in their places, if these look like
    identifiers (at least ``min_length`` characters with two digits); their kind is ``id``.
@@ -45,10 +45,10 @@ def _valid(kind: Column, m: Column) -> Column:
     return F.when(kind == "email", F.lit(True)).when(kind == "ip", ip).when(kind == "card", card).otherwise(F.length(digits).between(9, 15))
 
 
-def _matches(text: Column, pattern: str, guard: Column, with_gaps: bool = False) -> Column:
-    """Matches and the lengths of the pieces between them, from two passes of the same pattern; null where ``guard`` doesn't hold."""
+def _matches(text: Column, pattern: str, guard: Column) -> Column:
+    """Matches, and the lengths and ends of the pieces between them, from two passes of the same pattern; null where ``guard`` doesn't hold."""
     between = F.split(text, pattern, -1)
-    gaps = F.transform(between, lambda g: F.struct(F.length(g).alias("n"), *([F.right(g, F.lit(80)).alias("end"), F.left(g, F.lit(80)).alias("begin")] if with_gaps else [])))
+    gaps = F.transform(between, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(80)).alias("end"), F.left(g, F.lit(80)).alias("begin")))
     return F.when(guard, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), gaps.alias("gaps")))
 
 
@@ -59,35 +59,37 @@ def _positions(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("end", end.cast("long")).withColumn("start", (F.col("end") - F.length("m")).cast("long"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.xxhash64("text"))
+def _context(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}=:]+", ""))
+
+
+def _around(gaps: Column, i: Column) -> dict[str, Column]:
+    """The two words before a match and the one after it, from the ends of the pieces around it."""
+    left, right = F.split(F.rtrim(F.get(gaps, i)["end"]), r"\s+"), F.split(F.ltrim(F.get(gaps, i + 1)["begin"]), r"\s+")
+    return {"l1": _context(F.element_at(left, -1)), "l2": _context(F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit(""))), "r1": _context(F.element_at(right, 1))}
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, _row, kind, kind_no, start, end`` of each base span; one set for each distinct (doc_id, text)."""
+    """``doc_id, _row, kind, kind_no, start, end`` of each base span, with its string and the words around it; one set for each distinct (doc_id, text)."""
     t = F.col("text")
     some = docs.where(t.rlike(r"[0-9]|@")).select("doc_id", F.xxhash64("text").alias("_row"), "text")
     guards = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": t.rlike(r"\+[0-9]")}
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("kind_no"), _matches(t, p, guards[k]).alias("m")) for i, (k, p) in enumerate(KINDS)])
     found = some.select("doc_id", "_row", F.explode(F.filter(kinds, lambda k: F.size(k["m"]["found"]) > 0)).alias("k"))
     found = found.select("doc_id", "_row", "k.kind", "k.kind_no", F.col("k.m.gaps").alias("gaps"), F.posexplode("k.m.found").alias("i", "m"))
-    rows = found.select("doc_id", "_row", "kind", "kind_no", "i", "m", F.get("gaps", F.col("i"))["n"].alias("gap")).distinct()
-    return _positions(rows, ["doc_id", "_row", "kind_no"]).where(_valid(F.col("kind"), F.col("m"))).select("doc_id", "_row", "kind", "kind_no", "start", "end")
-
-
-def _context(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}=:]+", ""))
+    i = F.col("i")
+    rows = found.select("doc_id", "_row", "kind", "kind_no", "i", "m", F.get("gaps", i)["n"].alias("gap"), *[c.alias(n) for n, c in _around(F.col("gaps"), i).items()]).distinct()
+    return _positions(rows, ["doc_id", "_row", "kind_no"]).where(_valid(F.col("kind"), F.col("m"))).drop("i", "gap")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Tokens with a digit, with their place and the words around them."""
     t = F.col("text")
-    some = docs.where(t.rlike("[0-9]")).select("doc_id", F.xxhash64("text").alias("_row"), _matches(t, _TOKEN, F.lit(True), True).alias("t"))
+    some = docs.where(t.rlike("[0-9]")).select("doc_id", F.xxhash64("text").alias("_row"), _matches(t, _TOKEN, F.lit(True)).alias("t"))
     rows = some.select("doc_id", "_row", "t.gaps", F.posexplode("t.found").alias("i", "m"))
-    before, after = F.get("gaps", F.col("i")), F.get("gaps", F.col("i") + 1)
-    rows = rows.select("doc_id", "_row", "i", "m", before["n"].alias("gap"), F.split(F.rtrim(before["end"]), r"\s+").alias("l"), F.split(F.ltrim(after["begin"]), r"\s+").alias("r"))
-    rows = rows.select("doc_id", "_row", "i", "m", "gap", _context(F.element_at("l", -1)).alias("l1"), _context(F.coalesce(F.try_element_at("l", F.lit(-2)), F.lit(""))).alias("l2"), _context(F.element_at("r", 1)).alias("r1"))
-    return _positions(rows.distinct(), ["doc_id", "_row"]).drop("gap")
+    i = F.col("i")
+    rows = rows.select("doc_id", "_row", "i", "m", F.get("gaps", i)["n"].alias("gap"), *[c.alias(n) for n, c in _around(F.col("gaps"), i).items()])
+    return _positions(rows.distinct(), ["doc_id", "_row"]).drop("i", "gap")
 
 
 def _patterns() -> Column:
@@ -98,7 +100,7 @@ def _patterns() -> Column:
 
 
 def learn_patterns(tokens: DataFrame, rounds: int = 3, prior: float = 1.0, decay: float = 0.9) -> DataFrame:
-    """Scores of lexical patterns: ``pattern, score, n_seeds``. ``tokens``: :func:`candidates` with a boolean ``seed``."""
+    """Scores of lexical patterns: ``pattern, score, n_seeds``. ``tokens``: strings and words around of seeds and candidates, with a boolean ``seed``."""
     edges = tokens.select(F.explode(_patterns()).alias("pattern"), F.lower("m").alias("instance"), F.col("seed").cast("int").alias("seed"))
     edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     # Patterns without a seed can only gain a score through shared instances; those of one instance have nothing to share.
@@ -115,18 +117,18 @@ def learn_patterns(tokens: DataFrame, rounds: int = 3, prior: float = 1.0, decay
 
 def all_spans(docs: DataFrame, min_score: float = 0.6, min_seeds: int = 3, min_length: int = 8, **learning) -> DataFrame:
     """Base spans and those of discovered identifiers (kind ``id``)."""
-    base = materialize(base_spans(docs))
-    tokens = candidates(docs)
-    spot = ["doc_id", "_row"]
-    ranges = base.groupBy(*spot).agg(F.collect_list(F.struct("start", "end")).alias("base"))
+    found = materialize(base_spans(docs))
+    words, spot = ["m", "l1", "l2", "r1"], ["doc_id", "_row"]
+    ranges = found.groupBy(*spot).agg(F.collect_list(F.struct("start", "end")).alias("base"))
     ranges = ranges.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "base")
-    tokens = tokens.join(ranges, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").drop("_d", "_r")
+    tokens = candidates(docs).join(ranges, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").drop("_d", "_r")
     overlap = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    tokens = materialize(tokens.withColumn("seed", F.coalesce(overlap, F.lit(False))).drop("base"))
-    good = learn_patterns(tokens, **learning).where((F.col("score") >= min_score) & (F.col("n_seeds") >= min_seeds)).select("pattern")
-    unseen = tokens.where(~F.col("seed") & (F.length("m") >= min_length) & F.col("m").rlike("[0-9].*[0-9]"))
+    unseen = materialize(tokens.where(~F.coalesce(overlap, F.lit(False))).drop("base"))
+    both = found.select(*words, F.lit(True).alias("seed")).unionByName(unseen.select(*words, F.lit(False).alias("seed")))
+    good = learn_patterns(both, **learning).where((F.col("score") >= min_score) & (F.col("n_seeds") >= min_seeds)).select("pattern")
+    unseen = unseen.where((F.length("m") >= min_length) & F.col("m").rlike("[0-9].*[0-9]"))
     new = unseen.select(*spot, "start", "end", F.explode(_patterns()).alias("pattern")).join(good, "pattern", "left_semi").select(*spot, F.lit("id").alias("kind"), F.lit(len(KINDS)).alias("kind_no"), "start", "end").distinct()
-    return base.unionByName(new)
+    return found.select(*spot, "kind", "kind_no", "start", "end").unionByName(new)
 
 
 def find_private(docs: DataFrame, **parameters) -> DataFrame:

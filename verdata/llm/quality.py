@@ -75,7 +75,7 @@ FEATURES = {
 
 @dataclass(frozen=True)
 class Rule:
-    """Conditions (feature, "<=" or ">", threshold) that hold together for bad texts; the precision on the pruning set."""
+    """Conditions (feature, "<=" or ">", threshold) that hold together for bad texts; the precision on the fitted rows."""
 
     conditions: tuple[tuple[str, str, float], ...]
     precision: float
@@ -96,7 +96,7 @@ def _test(c) -> Column:
 
 
 def learn_rules(stats: DataFrame, labels: DataFrame, max_sample: int = 20_000, bins: int = 24, max_rules: int = 8,
-                max_conditions: int = 3, min_precision: float = 0.95, min_cover: int = 12) -> list[Rule]:
+                max_conditions: int = 3, min_precision: float = 0.99, min_cover: int = 12) -> list[Rule]:
     """An ordered decision list for ``quality = 0``, fitted on at most ``max_sample`` labelled rows.
 
     The sample is the rows of smallest hash of doc_id. Only counts by feature and bin come to the driver.
@@ -120,7 +120,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, max_sample: int = 20_000, b
         return {(r["f"], r["b"], r["bad"]): r["n"] for r in rows.groupBy("c.f", "c.b", "bad").agg(F.sum("n").alias("n")).collect()}
 
     rules, left = [], F.lit(True)
-    for _ in range(max_rules):
+    banned: set[str] = set()
+    for _ in range(max_rules + len(FEATURES)):
         grown: list[tuple[str, str, int]] = []
         for _ in range(max_conditions):
             now = left & ~F.col("held")
@@ -133,6 +134,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, max_sample: int = 20_000, b
                 break
             best = None
             for f in FEATURES:
+                if not grown and f in banned:
+                    continue
                 p = q = 0
                 for b in range(len(cuts[f])):
                     p, q = p + n.get((f, b, 1), 0), q + n.get((f, b, 0), 0)
@@ -146,24 +149,28 @@ def learn_rules(stats: DataFrame, labels: DataFrame, max_sample: int = 20_000, b
             grown.append(best[1])
         if not grown:
             break
-        # Prune: of the rule's beginnings, the one with the best (p - n) / (p + n) on the held-out set; shorter wins ties.
+        # Prune: of the rule's beginnings that are precise enough over all rows, the one with the best (p - n) / (p + n) on the held-out set; shorter wins ties.
         sums, so_far = [], F.lit(True)
         for i, c in enumerate(grown):
             so_far = so_far & _test(c)
-            sums += [F.sum(F.when(so_far & (F.col("bad") == y), F.col("n"))).alias(f"{k}{i}") for k, y in (("p", 1), ("n", 0))]
-        r = binned.where(left & F.col("held")).agg(*sums).first()
-        worth = [((r[f"p{i}"] or 0), (r[f"n{i}"] or 0)) for i in range(len(grown))]
-        value = [(p - n) / (p + n) if p + n else -1.0 for p, n in worth]
-        at = max(range(len(grown)), key=lambda i: (round(value[i], 6), -i))
-        precision = (value[at] + 1) / 2
+            sums += [F.sum(F.when(so_far & (F.col("bad") == y) & (F.col("held") | F.lit(every)), F.col("n"))).alias(f"{k}{i}{e}") for k, y in (("p", 1), ("n", 0)) for e, every in (("h", False), ("a", True))]
+        r = binned.where(left).agg(*sums).first().asDict()
+        p, n = ({e: [r[f"{k}{i}{e}"] or 0 for i in range(len(grown))] for e in "ha"} for k in "pn")
+        precision = [x / (x + y) if x + y else 0.0 for x, y in zip(p["a"], n["a"])]
+        value = [(x - y) / (x + y) if x + y else -1.0 for x, y in zip(p["h"], n["h"])]
+        fine = [i for i in range(len(grown)) if precision[i] >= min_precision and value[i] > 0]
+        if not fine:  # another feature has to begin the rule
+            banned.add(grown[0][0])
+            continue
+        at = max(fine, key=lambda i: (round(value[i], 6), -i))
         kept = grown[: at + 1]
-        if precision < min_precision:
-            break
-        rules.append(Rule(tuple((f, op, cuts[f][b]) for f, op, b in kept), precision))
+        rules.append(Rule(tuple((f, op, cuts[f][b]) for f, op, b in kept), precision[at]))
         covered = F.lit(True)
         for c in kept:
             covered = covered & _test(c)
         left = left & ~covered
+        if len(rules) == max_rules:
+            break
     return rules
 
 
