@@ -117,8 +117,11 @@ def _values():
 
 
 def _exact_lists(sets: DataFrame, percent: int, ratio: float = 1.03) -> DataFrame:
-    """``cls`` and ``value`` (a list's key) by whole sets. Sizes fall into classes a few percent wide; a list is for one value and two of these."""
-    own = materialize(sets.mapInArrow(_values(), "cls binary, n long, values array<long>"))
+    """``cls, value`` (a list's key), ``n, pos`` (the value's place in the set) and ``side``, by whole sets.
+
+    Sizes fall into classes a few percent wide; a list is for one value and two of these, and pairs members of the two (sides 0 and 1; null if they are the same).
+    """
+    own = materialize(sets.mapInArrow(_values(), "cls long, n long, values array<long>"))
     each = own.select("cls", F.explode("values").alias("value"))
     often = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = each.join(often, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
@@ -132,18 +135,42 @@ def _exact_lists(sets: DataFrame, percent: int, ratio: float = 1.03) -> DataFram
     need = F.ceil(percent * (F.col("n") + partner) / (100 + percent) - 1e-9)
     reach = (F.size("common") - need + 1).cast("int")
     rows = rows.withColumn("prefix", F.slice("common", F.lit(1), F.greatest(F.lit(0), reach)))
-    rows = rows.select("cls", F.explode("prefix.value").alias("v"), F.least("b", "p").alias("x"), F.greatest("b", "p").alias("y"))
-    return rows.select("cls", F.xxhash64("v", "x", "y").alias("value"))
+    rows = rows.select("cls", "n", "b", "p", (F.col("n") - F.size("common")).alias("alone"), F.posexplode("prefix.value").alias("i", "v"))
+    side = F.when(F.col("b") < F.col("p"), F.lit(0)).when(F.col("b") > F.col("p"), F.lit(1))
+    return rows.select("cls", F.xxhash64("v", F.least("b", "p"), F.greatest("b", "p")).alias("value"), "n", (F.col("alone") + F.col("i")).alias("pos"), side.alias("side"))
+
+
+def _need(a, b, percent: int):
+    """The overlap that sets of sizes a and b need."""
+    return F.ceil(percent * (a + b) / (100 + percent) - 1e-9)
+
+
+def _alive(lists: DataFrame, percent: int) -> DataFrame:
+    """Members that can still pair with one of their list, of lists that have both sides."""
+    found = lists.groupBy("value").agg(F.min("n").alias("_n"), F.min("side").alias("_a"), F.max("side").alias("_z"))
+    rows = lists.join(found, "value").where(F.col("side").isNull() | (F.col("_a") < F.col("_z")))
+    partner = F.greatest("_n", F.ceil(percent * F.col("n") / 100 - 1e-9))
+    rows = rows.where(F.col("n") - F.col("pos") >= _need(F.col("n"), partner, percent)).drop("_n", "_a", "_z")
+    many = rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
+    return rows.join(many, "value", "left_semi")
+
+
+def _may_pair(x: str, percent: int):
+    """Of a member and hub ``x`` of its list: whether they stand on different sides and can reach the threshold, if this is the first value that they share."""
+    n, pos, side = (F.col(f"{x}.{c}") for c in ("n", "pos", "side"))
+    left = F.least(F.col("n") - F.col("pos"), n - pos)
+    return (side.isNull() | (F.col("side") != side)) & (pos.isNull() | (left >= _need(F.col("n"), n, percent)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = 40, share: float = 0.475, slack: float = 0.35, crowd: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = 40, share: float = 0.475, slack: float = 0.35, crowd: int = 2) -> DataFrame:
     """``doc_id``, ``row`` (hash of the text), ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     rows = materialize(docs.mapInArrow(_sketch(size, k), "doc_id long, row long, n_shingles long, cls binary, sketch array<long>"))
     classes = rows.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.min_by(F.struct("doc_id", "row"), F.struct("doc_id", "row")).alias("one"),
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes)
+    # The number, fixed once written, stands for the class from here on; signatures only lead from rows to classes.
+    classes = materialize(classes.withColumnRenamed("cls", "signature").withColumn("cls", F.monotonically_increasing_id()))
     values = classes.select("cls", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = values.join(common, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
@@ -154,53 +181,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int =
     listed = materialize(listed)
     asked = listed.select("cls", F.col("one.doc_id").alias("_d"), F.col("one.row").alias("_r"))
     sets = docs.join(asked, docs.doc_id.eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).select("cls", "text")
-    sets = materialize(sets.mapInArrow(_whole(size), "cls binary, shingles binary").dropDuplicates(["cls"]))
+    sets = materialize(sets.mapInArrow(_whole(size), "cls long, shingles binary").dropDuplicates(["cls"]))
     # Order within a list: most common values first; the class settles ties.
     rank = listed.select("cls", F.struct((-F.col("weight")).alias("w"), F.col("cls").alias("c")).alias("rank"))
     first = materialize(listed.select("cls", F.explode("prefix.value").alias("value")))
     sizes = first.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
     crowded = first.join(sizes.where(F.col("m") > crowd), "value", "left_semi").select("cls").distinct()
     calm = first.join(sizes.where(F.col("m") <= crowd), "value", "left_semi")
-    anew = materialize(_exact_lists(sets.join(crowded, "cls", "left_semi"), percent))
-    anew = anew.join(anew.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "value", "left_semi")
-    lists = materialize(calm.unionByName(anew).join(rank, "cls"))
+    anew = _alive(materialize(_exact_lists(sets.join(crowded, "cls", "left_semi"), percent)), percent)
+    lists = materialize(calm.unionByName(anew, allowMissingColumns=True).join(rank, "cls"))
     links, roots, tried, hubs = None, None, 0, 1
     active = lists
     while True:
         members = active.withColumn("comp", F.col("cls")) if roots is None else active.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
         if roots is not None:
             # Lists with members of two components that haven't been a hub.
-            open_ = members.where("place > %d" % tried).groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("value")
+            open_ = members.where("place > %d" % tried).groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("side").alias("a"), F.max("side").alias("z")).where("x < y and (a is null or a < z)").select("value")
             members = materialize(members.join(open_, "value", "left_semi"))
             if members.limit(1).count() == 0:
                 break
         if tried == 0:
-            chief = members.groupBy("value").agg(F.min("rank").alias("h"))
-            pairs = members.join(chief, "value").where("rank <> h").select(F.col("h.c").alias("a"), F.col("cls").alias("b"))
+            chief = members.groupBy("value").agg(F.min(F.struct("rank", "n", "pos", "side")).alias("h"))
+            pairs = members.join(chief, (members["value"] == chief["value"]) & (F.col("rank") != F.col("h.rank")) & _may_pair("h", percent)).select(F.col("h.rank.c").alias("a"), F.col("cls").alias("b"))
         else:
-            top = members.where((F.col("place") > tried) & (F.col("place") <= tried + hubs)).select("value", F.col("cls").alias("a"), F.col("rank").alias("h"), F.col("comp").alias("ca"))
-            pairs = members.join(top, "value").where("rank > h and comp <> ca").select("a", F.col("cls").alias("b"))
+            top = members.where((F.col("place") > tried) & (F.col("place") <= tried + hubs)).select(F.col("value").alias("v"), F.col("cls").alias("a"), F.struct("rank", "n", "pos", "side").alias("h"), F.col("comp").alias("ca"))
+            pairs = members.join(top, (F.col("value") == F.col("v")) & (F.col("rank") > F.col("h.rank")) & (F.col("comp") != F.col("ca")) & _may_pair("h", percent)).select("a", F.col("cls").alias("b"))
         hub_n = listed.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a"))
         other = listed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"))
         pairs = pairs.groupBy("a", "b").agg(F.lit(1).alias("_")).join(hub_n, "a").join(other, "b")
         pairs = pairs.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-        near = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(k, percent, slack), "a binary, b binary")
+        near = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(k, percent, slack), "a long, b long")
         near = near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
-        found = materialize(near.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a binary, b binary"))
+        found = materialize(near.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
         links = found if links is None else links.union(found)
         roots = materialize(connected_components(links))
         if tried == 0:
             # From the second round on a member's place in its list counts; a list that is one component by now needs none.
             comp = lists.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls"))
-            open_ = comp.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y and m > 2").select("value")
+            open_ = comp.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.min("side").alias("a"), F.max("side").alias("z")).where("x < y and m > 2 and (a is null or a < z)").select("value")
             left = lists.join(open_, "value", "left_semi")
             active = materialize(left.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy("rank"))))
         else:
             active = members.drop("comp")
         tried, hubs = tried + hubs, hubs * 4
-    node = classes.select("cls", "doc_id").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
+    node = classes.select("cls", "signature", "doc_id").join(roots, F.col("cls") == F.col("node"), "left").select("signature", "doc_id", F.coalesce("root", "cls").alias("root"))
     least = node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = node.join(least, "root").select("cls", "component_id")
+    named = node.join(least, "root").select(F.col("signature").alias("cls"), "component_id")
     out = rows.drop("sketch").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
