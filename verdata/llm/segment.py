@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,40 +64,41 @@ class Vocabulary:
         for rank, (_, i) in enumerate(words):
             self.weight[i] = -alpha * np.log(rank + 1.0)
         self.of_byte = -alpha * np.log(len(words) + 1.0)
-        # Open addressing; a key is the hash of a piece's characters.
-        keys = np.array([int(self._hash(p)) for p, _ in words], np.uint64)
+        # Open addressing; a key is the hash of the beginning of a piece, with the piece's id if it is a whole one (-1 if not, -2 for an empty slot).
+        with np.errstate(over="ignore"):
+            letters = {c: mix(np.array([ord(c) + 1], np.uint64))[0] for p, _ in words for c in p}
+            begun: dict[int, int] = {}
+            for p, i in words:
+                h = np.uint64(0)
+                for n, c in enumerate(p, 1):
+                    h = h * _BASE + letters[c]
+                    key = int(h)
+                    begun[key] = i if n == len(p) else begun.get(key, -1)
+        raw = np.array(list(begun), np.uint64)
         self.keys = np.zeros(1 << _BITS, np.uint64)
-        self.ids = np.full(1 << _BITS, -1, np.int32)
+        self.ids = np.full(1 << _BITS, -2, np.int32)
         self.probes = 1
-        for key, (_, i) in zip(keys, words):
+        for key, i in zip(mix(raw), begun.values()):
             at, tries = int(key >> np.uint64(64 - _BITS)), 1
-            while self.ids[at] >= 0:
+            while self.ids[at] > -2:
                 at, tries = (at + 1) & ((1 << _BITS) - 1), tries + 1
             self.keys[at], self.ids[at] = key, i
             self.probes = max(self.probes, tries)
 
-    @staticmethod
-    def _hash(piece: str) -> np.uint64:
-        h = np.uint64(0)
-        with np.errstate(over="ignore"):
-            for c in piece:
-                h = h * _BASE + mix(np.array([ord(c) + 1], np.uint64))[0]
-            return mix(np.array([h], np.uint64))[0]
-
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids of hashes, -1 where there is none."""
+        """Of mixed hashes: the piece's id, -1 if only longer pieces begin so, -2 if none does."""
         at = (h >> np.uint64(64 - _BITS)).astype(np.int64)
         ids = self.ids[at]
-        out = np.where((ids >= 0) & (self.keys[at] == h), ids, -1)
-        open_ = np.flatnonzero((ids >= 0) & (out < 0))
+        out = np.where(self.keys[at] == h, ids, -2)
+        open_ = np.flatnonzero((ids > -2) & (out == -2))
         for _ in range(self.probes - 1):
             if not len(open_):
                 break
             at[open_] = (at[open_] + 1) & ((1 << _BITS) - 1)
             ids = self.ids[at[open_]]
-            hit = (ids >= 0) & (self.keys[at[open_]] == h[open_])
+            hit = (ids > -2) & (self.keys[at[open_]] == h[open_])
             out[open_[hit]] = ids[hit]
-            open_ = open_[(ids >= 0) & ~hit]
+            open_ = open_[(ids > -2) & ~hit]
         return out
 
 
@@ -117,16 +119,22 @@ class Lattice:
         self.code = code = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
         end = np.repeat(self.start[1:], n)
         letter = mix(code.astype(np.uint64) + np.uint64(1))
-        width = min(v.longest, int(n.max(initial=1)))
-        self.ids = np.full((total, width), -1, np.int32)
-        # Hashes of runs grow by one character at a time, for the positions whose unit still goes on.
-        at = np.arange(total)
-        h = np.zeros(total, np.uint64)
-        for l in range(width):
-            inside = at + l < end[at]
-            at, h = at[inside], h[inside]
+        # Hashes of runs grow by one character at a time, where the unit goes on and some piece begins like this.
+        at, h, found = np.arange(total), np.zeros(total, np.uint64), []
+        while len(at) and len(found) < v.longest:
+            l = len(found)
             h = h * _BASE + letter[at + l]
-            self.ids[at, l] = v.find(mix(h))
+            ids = v.find(mix(h))
+            whole = ids >= 0
+            found.append((at[whole], ids[whole]))
+            on = (ids > -2) & (at + l + 1 < end[at])
+            at, h = at[on], h[on]
+        while len(found) > 1 and not len(found[-1][0]):
+            found.pop()
+        width = max(1, len(found))
+        self.ids = np.full((total, width), -1, np.int32)
+        for l, (where, ids) in enumerate(found):
+            self.ids[where, l] = ids
         weight = np.append(v.weight, -np.inf).astype(np.float32)[self.ids]
         lone = self.ids[:, 0] < 0
         bytes_ = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
@@ -192,7 +200,11 @@ class Lattice:
         lone = np.flatnonzero(ids < 0)
         if not len(lone):
             return ids
-        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in self.code[flat[lone] // self.ids.shape[1]]]
+        codes = self.code[flat[lone] // self.ids.shape[1]]
+        if codes.max() < 128:
+            ids[lone] = self.v.byte[codes]
+            return ids
+        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in codes.tolist()]
         times = np.ones(len(ids), np.int64)
         times[lone] = [len(s) for s in spelled]
         out = np.repeat(ids, times)
@@ -234,12 +246,13 @@ def _truncated(g, at):
 
 def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` distinct samples: ids, log-probability, perturbed value and inclusion probability."""
-    units = [[_MARK + u for u in t.split(" ")] if t else [] for t in texts]
-    distinct = {u: i for i, u in enumerate(dict.fromkeys(u for own in units for u in own))}
+    units = [t.split(" ") if t else [] for t in texts]
+    distinct = dict.fromkeys(chain.from_iterable(units))
     if not distinct:
         return [[(np.empty(0, np.int64), 0.0, 0.0, 1.0)] for _ in texts]
-    lattice = Lattice(v, list(distinct))
-    number = np.fromiter((distinct[u] for own in units for u in own), np.int64)
+    lattice = Lattice(v, [_MARK + u for u in distinct])
+    distinct = dict(zip(distinct, range(len(distinct))))
+    number = np.fromiter(map(distinct.__getitem__, chain.from_iterable(units)), np.int64)
     ends = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(u) for u in units], out=ends[1:])
     key = [_key(seed, t, d) for t, d in zip(texts, keys)]
@@ -321,7 +334,7 @@ def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
     """Text of ids; the dummy prefix's space goes."""
-    raw = b"".join([v.spelled[i] for i in ids.tolist()])
+    raw = b"".join(map(v.spelled.__getitem__, ids.tolist()))
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
