@@ -236,30 +236,41 @@ def k4(spark, sf_dir):
     return K.concat_rows([c, c.where("accuracy > 0")]).drop("accuracy")
 
 
-@query("k5_chunk", _r("SELECT row, CAST(floor(row / (1024 / 8)) AS BIGINT) AS chunk, CAST(floor(row / 32) AS BIGINT) AS part FROM r WHERE row < 1024"))
+def _padded_sql(divisor: int) -> str:
+    """All rows, and those from the top again until their number divides."""
+    return f"p AS (SELECT row, uid, response_length, false AS padded FROM r UNION ALL SELECT row + n, uid, response_length, true FROM r WHERE row < ({divisor} - n % {divisor}) % {divisor}), s AS (SELECT *, count(*) OVER () AS m FROM p)"
+
+
+def _p(divisor: int, sql: str) -> str:
+    return with_views("", "candidates").rstrip() + ", " + _ROWS + ", " + _padded_sql(divisor) + " " + sql
+
+
+def _padded(spark, sf_dir, divisor):
+    return K.pad_rows(_numbered(spark, sf_dir), divisor, "row")
+
+
+@query("k5_chunk", _p(256, "SELECT row, CAST(floor(row / (m / 8)) AS BIGINT) AS chunk, CAST(floor(row / 32) AS BIGINT) AS part FROM s"))
 def k5(spark, sf_dir):
-    r = _numbered(spark, sf_dir).where("row < 1024").select("row")
-    return K.split(K.chunk(r, 8, "row", 1024).withColumnRenamed("chunk", "c"), 32, "row", 1024).select("row", F.col("c").alias("chunk"), F.col("chunk").alias("part"))
+    r = _padded(spark, sf_dir, 256).select("row")
+    return K.split(K.chunk(r, 8, "row").withColumnRenamed("chunk", "c"), 32, "row").select("row", F.col("c").alias("chunk"), F.col("chunk").alias("part"))
 
 
-@query("k6_pad_rows", _r("SELECT row, uid, false AS padded FROM r WHERE row < 1000 UNION ALL SELECT row + 1000, uid, true FROM r WHERE row < 24"))
+@query("k6_pad_rows", _p(64, "SELECT row, uid, padded FROM s"))
 def k6(spark, sf_dir):
-    r = _numbered(spark, sf_dir).where("row < 1000").select("row", "uid")
-    return K.pad_rows(r, 64, "row", 1000)
+    return _padded(spark, sf_dir, 64).select("row", "uid", "padded")
 
 
-@query("k7_repeat_rows", _r("SELECT row * 3 + k AS position, row AS aabb, k * 1000 + row AS abab FROM r, (SELECT unnest([0, 1, 2]) AS k) t WHERE row < 1000"))
+@query("k7_repeat_rows", _r("SELECT row * 3 + k AS position, row AS aabb, k * n + row AS abab FROM r, (SELECT unnest([0, 1, 2]) AS k) t"))
 def k7(spark, sf_dir):
-    r = _numbered(spark, sf_dir).where("row < 1000").select("row")
+    r = _numbered(spark, sf_dir).select("row")
     a = K.repeat_rows(r, 3, True, "row").select("row", "rep", "position")
-    b = K.repeat_rows(r, 3, False, "row", 1000).select("row", "rep", F.col("position").alias("abab"))
+    b = K.repeat_rows(r, 3, False, "row").select("row", "rep", F.col("position").alias("abab"))
     return a.join(b, ["row", "rep"]).select("position", F.col("row").alias("aabb"), "abab")
 
 
 def _batches(spark, sf_dir, size=128):
-    r = _numbered(spark, sf_dir).selectExpr("row", f"bigint(row div {size}) AS batch", "response_length AS tokens")
-    full = r.groupBy("batch").count().where(F.col("count") == size)
-    return r.join(full.select("batch"), "batch", "left_semi")
+    """Batches of equal size over all rows; the last is filled up from the top."""
+    return _padded(spark, sf_dir, size).selectExpr("row", f"bigint(row div {size}) AS batch", "response_length AS tokens")
 
 
 @query("j1_balance_partitions")
@@ -272,7 +283,7 @@ def j1f(spark, sf_dir):
     return B.balance_partitions(_batches(spark, sf_dir), 8, False)
 
 
-@query("j1_serpentine", _r("SELECT batch, row, CAST(CASE WHEN t < 8 THEN t ELSE 15 - t END AS BIGINT) AS part FROM (SELECT batch, row, (row_number() OVER (PARTITION BY batch ORDER BY response_length DESC, row) - 1) % 16 AS t FROM (SELECT *, CAST(floor(row / 128) AS BIGINT) AS batch FROM r) WHERE (batch + 1) * 128 <= n)"))
+@query("j1_serpentine", _p(128, "SELECT batch, row, CAST(CASE WHEN t < 8 THEN t ELSE 15 - t END AS BIGINT) AS part FROM (SELECT batch, row, (row_number() OVER (PARTITION BY batch ORDER BY response_length DESC, row) - 1) % 16 AS t FROM (SELECT *, CAST(floor(row / 128) AS BIGINT) AS batch FROM s))"))
 def j1s(spark, sf_dir):
     return B.serpentine_partitions(_batches(spark, sf_dir), 8).select("batch", "row", "part")
 
@@ -282,9 +293,9 @@ def j2(spark, sf_dir):
     return B.greedy_partitions(_batches(spark, sf_dir), 8, True)
 
 
-@query("j3_imbalance", _r("""SELECT b.batch, CAST(min AS BIGINT) AS min, CAST(max AS BIGINT) AS max, CAST(max - min AS BIGINT) AS minmax_diff, CAST(balanced_min AS BIGINT) AS balanced_min, CAST(balanced_max AS BIGINT) AS balanced_max, round(mean, 6) AS mean
-FROM (SELECT batch, min(s) AS min, max(s) AS max, sum(s) / 8.0 AS mean FROM (SELECT CAST(floor(row / 128) AS BIGINT) AS batch, floor((row % 128) / 16) AS sl, sum(response_length) AS s FROM r WHERE (floor(row / 128) + 1) * 128 <= n GROUP BY ALL) GROUP BY batch) b
-JOIN (SELECT batch, min(s) AS balanced_min, max(s) AS balanced_max FROM (SELECT batch, CASE WHEN t < 8 THEN t ELSE 15 - t END AS part, sum(response_length) AS s FROM (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY response_length DESC, row) - 1) % 16 AS t FROM (SELECT *, CAST(floor(row / 128) AS BIGINT) AS batch FROM r) WHERE (batch + 1) * 128 <= n) GROUP BY ALL) GROUP BY batch) c ON b.batch = c.batch"""))
+@query("j3_imbalance", _p(128, """SELECT b.batch, CAST(min AS BIGINT) AS min, CAST(max AS BIGINT) AS max, CAST(max - min AS BIGINT) AS minmax_diff, CAST(balanced_min AS BIGINT) AS balanced_min, CAST(balanced_max AS BIGINT) AS balanced_max, round(mean, 6) AS mean
+FROM (SELECT batch, min(s) AS min, max(s) AS max, sum(s) / 8.0 AS mean FROM (SELECT CAST(floor(row / 128) AS BIGINT) AS batch, floor((row % 128) / 16) AS sl, sum(response_length) AS s FROM s GROUP BY ALL) GROUP BY batch) b
+JOIN (SELECT batch, min(s) AS balanced_min, max(s) AS balanced_max FROM (SELECT batch, CASE WHEN t < 8 THEN t ELSE 15 - t END AS part, sum(response_length) AS s FROM (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY response_length DESC, row) - 1) % 16 AS t FROM (SELECT *, CAST(floor(row / 128) AS BIGINT) AS batch FROM s)) GROUP BY ALL) GROUP BY batch) c ON b.batch = c.batch"""))
 def j3(spark, sf_dir):
     return B.imbalance(B.serpentine_partitions(_batches(spark, sf_dir), 8), 8).withColumn("mean", F.round("mean", 6))
 
@@ -417,10 +428,10 @@ def i4(spark, sf_dir):
     return I.compare_runs(names, _val(spark, sf_dir))
 
 
-@query("i5_obsolete_checkpoints", with_views("", "run_log").rstrip() + ", ck0 AS (SELECT run, step, overall_reward FROM run_log WHERE step % 5 = 0), ck AS (SELECT c.run, c.step, m.cur, m.best FROM ck0 c JOIN (SELECT run, max(step) AS cur, arg_max(step, overall_reward) AS best FROM ck0 GROUP BY run) m ON c.run = m.run), o AS (SELECT run, step, best, sum(CASE WHEN step = best THEN 1 ELSE 0 END) OVER (PARTITION BY run) AS hb FROM ck WHERE step < cur) SELECT run, step FROM (SELECT run, step, hb, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r FROM o WHERE step <> best) WHERE r > greatest(0, 2 - hb)")
+@query("i5_obsolete_checkpoints", with_views("", "run_log").rstrip() + ", ck0 AS (SELECT run, step, overall_reward FROM run_log), ck AS (SELECT c.run, c.step, m.cur, m.best FROM ck0 c JOIN (SELECT run, max(step) AS cur, arg_max(step, ROW(overall_reward, -step)) AS best FROM ck0 GROUP BY run) m ON c.run = m.run), o AS (SELECT run, step, best, sum(CASE WHEN step = best THEN 1 ELSE 0 END) OVER (PARTITION BY run) AS hb FROM ck WHERE step < cur) SELECT run, step FROM (SELECT run, step, hb, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r FROM o WHERE step <> best) WHERE r > greatest(0, 2 - hb)")
 def i5(spark, sf_dir):
-    c = view(spark, sf_dir, "run_log").where("step % 5 = 0").select("run", "step", "overall_reward")
-    top = c.groupBy("run").agg(F.max("step").alias("current_step"), F.max_by("step", "overall_reward").alias("best_step"))
+    c = view(spark, sf_dir, "run_log").select("run", "step", "overall_reward")
+    top = c.groupBy("run").agg(F.max("step").alias("current_step"), F.max_by("step", F.struct("overall_reward", -F.col("step"))).alias("best_step"))
     return I.obsolete_checkpoints(c.join(top, "run"), 3).select("run", "step")
 
 
