@@ -12,7 +12,7 @@ sets form a class, and one stands for all. A class keeps the ``k`` smallest shin
    longer meet at what they have from it, but only at what they share besides.
 3. Pairs. In each list the member with the most common values (the likeliest original) is paired with the others, which makes as many
    pairs as members. Members that end up in the same component need no pair. While a list still holds more than one component, its next
-   members (4 times as many each round) are paired with the members of other components, until no pair is left to try.
+   members (32 times as many each round) are paired with the members of other components, until no pair is left to try.
    So copies aren't expanded into all pairs, and no link between components is lost.
 4. The union's bottom-k estimates the similarity from two sketches; pairs far below are out.
 5. The rest is verified on whole sets; verified links are joined into components.
@@ -213,8 +213,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int =
         near = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(k, percent, slack), "a long, b long")
         near = near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
         found = materialize(near.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
-        links = found if links is None else links.union(found)
-        roots = materialize(connected_components(links))
+        if roots is None or found.limit(1).count():
+            links = found if links is None else links.union(found)
+            roots = materialize(connected_components(links))
         if tried == 0:
             # From the second round on a member's place in its list counts; a list that is one component by now needs none.
             comp = lists.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls"))
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int =
             active = materialize(left.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy("rank"))))
         else:
             active = members.drop("comp")
-        tried, hubs = tried + hubs, hubs * 4
+        tried, hubs = tried + hubs, hubs * 32
     node = classes.select("cls", "signature", "doc_id").join(roots, F.col("cls") == F.col("node"), "left").select("signature", "doc_id", F.coalesce("root", "cls").alias("root"))
     least = node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = node.join(least, "root").select(F.col("signature").alias("cls"), "component_id")
