@@ -101,6 +101,38 @@ def test_license_join_is_exact():
         assert index.block(block) == want
 
 
+def test_license_blocks_cross_lines(spark):
+    """Wrapped passages hold their template, and so does any window of 64 words, but no wider one."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    gpl = "This work is licensed under the GNU General Public\nLicense, Version 3."
+    template = licenses.TEMPLATES[6][1].split()
+    far = lambda n: " ".join(["x"] * 17 + template[:6] + ["y"] * (n - len(template)) + template[6:] + ["z"] * 90)
+    raw = [(1, "first line\n" + bsd), (2, gpl), (3, bsd.replace("\n", " ")), (4, far(64)), (5, "Redistribution and use in\nsource"), (6, bsd + "\n\n" + gpl), (7, far(90))]
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(raw, "doc_id long, text string")).collect()}
+    assert [found[d]["labels"] for d in range(1, 8)] == ["bsd", "gpl-3", "bsd", "bsd", "", "bsd,gpl-3", ""]
+    assert [tuple(b) for b in found[1]["blocks"]] == [("bsd", 1, 0, 1.0)] and [b["line"] for b in found[6]["blocks"]] == [3, 0]
+
+
+def test_license_blocks_are_all_windows():
+    """Groups of blocks against every window of the words."""
+    rng = np.random.default_rng(3)
+    index = licenses.Index(licenses.TEMPLATES, {w: int(rng.integers(0, 50)) for _, t in licenses.TEMPLATES for w in t.encode().split()}, 0.8)
+    for _ in range(300):
+        words = []
+        for _ in range(6):
+            t = licenses.TEMPLATES[int(rng.integers(len(licenses.TEMPLATES)))][1].encode().split()
+            for w in t:
+                words += [w] * bool(rng.random() < 0.9) + [b"x"] * int(rng.integers(0, 8))
+        want: dict = {}
+        for i in range(len(words)):
+            for k, share in index.block(words[i:i + 64]).items():
+                want[k] = max(want.get(k, 0), share)
+        got: dict = {}
+        for k, share, *_ in index.runs(words, 64):
+            got[k] = max(got.get(k, 0), share)
+        assert got == want
+
+
 def test_quality(spark, cases, small):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     for df, raw in both(spark, cases, small):

@@ -1,9 +1,10 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
 Words are what lies between ASCII characters other than letters and digits, with A-Z in lower
-case. A block is a line, cut into overlapping windows of ``window`` words (step: half of it). Each
+case. A block is any ``window`` consecutive words of the text, over line ends as well. Each
 template is a set of words; a block holds it if at least ``threshold`` of the template's words occur in
-the block. The join is exact: words are ordered by their frequency over all documents, rarest first;
+the block. Reported are each line's own blocks (windows of a step of half their length), and of overlapping blocks over line ends
+or between these steps the best, where it holds more than its lines' own: by the line of its first word. The join is exact: words are ordered by their frequency over all documents, rarest first;
 a block can only reach the threshold if it holds a word of the template's prefix (prefix filter), has
 enough template words at all (length filter) and has enough left after its first match (positional filter).
 
@@ -14,8 +15,10 @@ frequency go by the word. An empty table gives an empty result; extra columns ar
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,6 +102,37 @@ class Index:
         return out
 
 
+    def runs(self, words: list[bytes], window: int) -> Iterator[tuple[int, float, int, int]]:
+        """Of each template, the groups of overlapping blocks that hold it: template, largest containment, first word of its block, last word of the group."""
+        at = [(i, self.rank[w]) for i, w in enumerate(words) if w in self.rank]
+        held = {r for _, r in at}
+        for k in sorted({k for r in held for k, _ in self.lists.get(r, ())}):
+            s, need = set(self.sets[k]), self.need[k]
+            if len(s & held) < need:
+                continue
+            own = [(i, r) for i, r in at if r in s]
+            n: Counter = Counter()
+            left, run = 0, None
+            for i, r in own:
+                n[r] += 1
+                # A repeated word at the left adds nothing, so blocks begin at their first needed word.
+                while own[left][0] <= i - window or n[own[left][1]] > 1:
+                    gone = own[left][1]
+                    n[gone] -= 1
+                    if not n[gone]:
+                        del n[gone]
+                    left += 1
+                if len(n) < need:
+                    continue
+                share, start = len(n) / len(s), own[left][0]
+                if run is not None and start > run[3]:
+                    yield run
+                    run = None
+                run = (k, share, start, i) if run is None or share > run[1] else (*run[:3], i)
+            if run is not None:
+                yield run
+
+
 def _places(joined: bytes, phrases) -> dict[str, list[int]]:
     """Word numbers at which phrases start; ``joined``: words with one space before and after each."""
     out: dict[str, list[int]] = {}
@@ -121,8 +155,8 @@ def _scan(index: Index, phrases, window: int):
         starts = [x for v in places.values() for x in v]
         best: dict[tuple[int, int], tuple] = {}
         if words and not index.prefix.isdisjoint(words):
-            for no, line in enumerate(t.translate(_KEEP_LINES).split(b"\n")):
-                own = line.split()
+            lines = [line.split() for line in t.translate(_KEEP_LINES).split(b"\n")]
+            for no, own in enumerate(lines):
                 if index.prefix.isdisjoint(own):
                     continue
                 for at in range(0, max(1, len(own) - step), step):
@@ -130,6 +164,12 @@ def _scan(index: Index, phrases, window: int):
                         key = (k, no)
                         if key not in best or share > best[key][3]:
                             best[key] = (index.labels[k], no, at, share)
+            ends = None
+            for k, share, start, last in index.runs(words, window):
+                ends = ends or list(accumulate(map(len, lines)))
+                no = bisect_right(ends, start)
+                if all((k, x) not in best or best[k, x][3] < share for x in range(no, bisect_right(ends, last) + 1)):
+                    best[k, no] = (index.labels[k], no, start - ends[no] + len(lines[no]), share)
         blocks = [best[k] for k in sorted(best)]
         labels = sorted({*places, *(b[0] for b in blocks)})
         score = max([1.0 if starts else 0.0, *(b[3] for b in blocks)])
@@ -149,7 +189,7 @@ def _scan(index: Index, phrases, window: int):
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, window: int = 64) -> DataFrame:
-    """Licenses in each document: ``blocks`` has every line's matching templates with the containment.
+    """Licenses in each document: ``blocks`` has the matching templates with their lines and containments.
 
     One result row for each row of ``docs`` (``doc_id``, ``text``). ``window`` must be at least twice the longest template.
     ``score``: the largest containment found, 1 where a phrase stands literally, else 0.
