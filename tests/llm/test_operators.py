@@ -184,6 +184,24 @@ def test_lines(spark, cases):
     assert lines.drop_recurring_lines(cases).count() == len(CASES)
 
 
+def test_lines_merge_word_fields(spark):
+    """Fields may hold words, at the start of a line as well, and rare or common ones; other lines of the same leaf stay."""
+    who = ["alice", "bob", "carol", "dave", "erin", "frank", "grace", "heidi"]
+    place = ["Rome", "Oslo", "Bern", "Kyiv", "Riga", "Baku", "Lima", "Cork"]
+    raw = [(i, f"Posted by {who[i]} in News\n{who[i]} wrote this on the site\nA report for our readers by {who[i]} from {place[i]} with thanks\nPosted by {who[i]} {place[i]} {'xyzuvwrs'[i]}") for i in range(8)]
+    raw += [(20, "Posted by alice in News\nand more"), (21, "Posted by alice in News\nand less"), (22, "Posted by alice in News\nor none"), (23, "Posted by nobody near there"), (24, None), (25, "")]
+    df = spark.createDataFrame(raw, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lines.drop_recurring_lines(df, similarity=0.75).collect()}
+    assert got[0]["n_dropped"] == 0 and got[0]["text"] == raw[0][1]
+    for i in range(1, 8):
+        assert got[i]["text"] == raw[i][1].split("\n")[3] and got[i]["n_dropped"] == 3
+    assert [got[i]["text"] for i in range(20, 26)] == ["and more", "and less", "or none", raw[11][1], None, ""]
+    import corpus_pipeline
+    staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert staged == {d: r["text"] for d, r in got.items()}
+    assert lines.drop_recurring_lines(df.limit(0), similarity=0.75).count() == 0
+
+
 def test_sharding(spark, cases, small):
     for df, raw in both(spark, cases, small):
         for n in (1, 3, 16):
