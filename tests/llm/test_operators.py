@@ -202,6 +202,13 @@ def test_lines_merge_word_fields(spark):
     assert lines.drop_recurring_lines(df.limit(0), similarity=0.75).count() == 0
 
 
+def test_pipeline_judges_short_lines(spark):
+    import corpus_pipeline
+    raw = [(i, f"Read more\n\nunlike{'abcdef'[i]}\nAdvertisement\nPage {i}") for i in range(6)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(raw, "doc_id long, text string"), "").collect()}
+    assert got == {0: raw[0][1]} | {i: f"\nunlike{'abcdef'[i]}" for i in range(1, 6)}
+
+
 def test_sharding(spark, cases, small):
     for df, raw in both(spark, cases, small):
         for n in (1, 3, 16):
