@@ -10,14 +10,24 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side of a join may be broadcast by :func:`broadcast_if_small`.
+SMALL_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; where none is set (tests), one of this session's own."""
+    """The cluster's shared checkpoint folder; on a single machine without one (tests), one of this session's own.
+
+    More than one machine can't share a local folder, so without the setting this is an error there.
+    """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_verdata_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -35,10 +45,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that :func:`materialize` wrote, once nothing will read it again."""
-    path = getattr(df, "_verdata_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing will read them again."""
+    for df in tables:
+        path = getattr(df, "_verdata_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def broadcast_if_small(written: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of narrow rows with a broadcast hint if it has at most ``rows`` rows; as it is (for a shuffled join) beyond.
+
+    The count reads Parquet footers only.
+    """
+    return F.broadcast(written) if written.count() <= rows else written
