@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdata.llm.text import SPACE_WORD, let
-from verdata.plans.storage import materialize
+from verdata.plans.storage import drop, materialize
 
 
 def _repeated(words: Column) -> Column:
@@ -37,13 +37,12 @@ def _repeated(words: Column) -> Column:
     return let(words, of)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``row`` (a hash of the text) and counts of each text of ``docs``; 64-bit hashes stand for 3-word windows."""
-    t = F.coalesce(F.col("text"), F.lit(""))
+def _statistics(text: Column) -> Column:
+    """Counts of a text, as a struct."""
+    t = F.coalesce(text, F.lit(""))
     gone = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))).cast("long")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return docs.select(
-        "doc_id", F.xxhash64("text").alias("row"),
+    return F.struct(
         let(F.regexp_extract_all(t, F.lit(SPACE_WORD), F.lit(0)), lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
@@ -52,27 +51,42 @@ def statistics(docs: DataFrame) -> DataFrame:
         gone(r"[#*$%&|<>]").alias("n_symbols"),
         gone(r"[A-Z]").alias("n_upper"), gone(r"[!?]").alias("n_marks"), gone(r"[0-9]").alias("n_digits"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"),
-                                      (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
-    ).select("doc_id", "row", "w.*", "word_chars", "n_symbols", "n_upper", "n_marks", "n_digits", "l.*")
+                                      (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"))
+
 
+def _flat(s: Column) -> dict[str, Column]:
+    """The single counts of :func:`_statistics`."""
+    own = {c: s[c] for c in ("word_chars", "n_symbols", "n_upper", "n_marks", "n_digits")}
+    return {c: s["w"][c] for c in ("n_words", "n_distinct", "n_repeat_words")} | own | {c: s["l"][c] for c in ("n_lines", "n_dup_lines")}
 
 
+def statistics(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``row`` (a hash of the text) and counts of each text of ``docs``; 64-bit hashes stand for 3-word windows."""
+    counted = docs.select("doc_id", F.xxhash64("text").alias("row"), _statistics(F.col("text")).alias("s"))
+    return counted.select("doc_id", "row", *[c.alias(n) for n, c in _flat(F.col("s")).items()])
+
 
-#: What conditions may test: name and expression over :func:`statistics`.
+#: What conditions may test: a count, or the share of one count in another (0 where that is 0).
 FEATURES = {
-    "n_words": "cast(n_words as double)",
-    "word_length": "case when n_words > 0 then word_chars / n_words else 0D end",
-    "symbol_share": "case when word_chars > 0 then n_symbols / word_chars else 0D end",
-    "upper_share": "case when word_chars > 0 then n_upper / word_chars else 0D end",
-    "mark_share": "case when word_chars > 0 then n_marks / word_chars else 0D end",
-    "digit_share": "case when word_chars > 0 then n_digits / word_chars else 0D end",
-    "dup_line_share": "case when n_lines > 0 then n_dup_lines / n_lines else 0D end",
-    "repeat_share": "case when n_words > 0 then n_repeat_words / n_words else 0D end",
-    "distinct_share": "case when n_words > 0 then n_distinct / n_words else 0D end",
-    "line_words": "case when n_lines > 0 then n_words / n_lines else 0D end",
+    "n_words": ("n_words", None),
+    "word_length": ("word_chars", "n_words"),
+    "symbol_share": ("n_symbols", "word_chars"),
+    "upper_share": ("n_upper", "word_chars"),
+    "mark_share": ("n_marks", "word_chars"),
+    "digit_share": ("n_digits", "word_chars"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "distinct_share": ("n_distinct", "n_words"),
+    "line_words": ("n_words", "n_lines"),
 }
 
 
+def _feature(name: str, of) -> Column:
+    """A feature's value; ``of`` gives the column of a count."""
+    a, b = FEATURES[name]
+    return of(a).cast("double") if b is None else F.when(of(b) > 0, of(a) / of(b)).otherwise(F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Rule:
     """Conditions (feature, "<=" or ">", threshold) that hold together for bad texts; the precision on the fitted rows."""
@@ -80,10 +94,10 @@ class Rule:
     conditions: tuple[tuple[str, str, float], ...]
     precision: float
 
-    def column(self) -> Column:
+    def column(self, of=F.col) -> Column:
         out = F.lit(True)
         for f, op, t in self.conditions:
-            out = out & (F.expr(FEATURES[f]) <= t if op == "<=" else F.expr(FEATURES[f]) > t)
+            out = out & (_feature(f, of) <= t if op == "<=" else _feature(f, of) > t)
         return out
 
     def __str__(self) -> str:
@@ -95,25 +109,29 @@ def _test(c) -> Column:
     return F.col(f) <= b if op == "<=" else F.col(f) > b
 
 
-def learn_rules(stats: DataFrame, labels: DataFrame, max_sample: int = 20_000, bins: int = 24, max_rules: int = 8,
+def learn_rules(docs: DataFrame, labels: DataFrame, max_sample: int = 20_000, bins: int = 24, max_rules: int = 8,
                 max_conditions: int = 3, min_precision: float = 0.99, min_cover: int = 12) -> list[Rule]:
     """An ordered decision list for ``quality = 0``, fitted on at most ``max_sample`` labelled rows.
 
-    The sample is the rows of smallest hash of doc_id. Only counts by feature and bin come to the driver.
+    The sample is the rows of smallest hash of doc_id; only their texts are looked at. It has at most ``max_sample`` rows of two
+    numbers and is broadcast. Only counts by feature and bin come to the driver.
     """
     asked = labels.where(F.col("quality").isNotNull()).select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"))
     asked = asked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-    x = asked.join(stats, "doc_id").select("bad", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("held"),
-                                           *[F.expr(e).alias(f) for f, e in FEATURES.items()])
-    x = materialize(x.coalesce(4))
+    texts = docs.select("doc_id", "text").join(F.broadcast(asked), "doc_id")
+    x = texts.select("bad", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("held"), _statistics(F.col("text")).alias("s"))
+    own = _flat(F.col("s"))
+    x = materialize(x.select("bad", "held", *[_feature(f, own.__getitem__).alias(f) for f in FEATURES]))
     # Cut points lie at quantiles of both classes, so that a rare class has its own.
     share = [i / bins for i in range(1, bins)]
     found = x.groupBy("bad").agg(*[F.percentile_approx(f, share, 10_000).alias(f) for f in FEATURES]).collect()
     if len(found) < 2:
+        drop(x)
         return []
     cuts = {f: sorted({v for r in found for v in r[f]}) for f in FEATURES}
     binned = x.select("bad", "held", *[sum([(F.col(f) > c).cast("int") for c in cuts[f]], F.lit(0)).alias(f) for f in FEATURES])
     binned = materialize(binned.groupBy("bad", "held", *FEATURES).agg(F.count("*").alias("n")).coalesce(2))
+    drop(x)
 
     def counts(df: DataFrame) -> dict:
         rows = df.select("bad", "n", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in FEATURES])).alias("c"))
@@ -171,31 +189,35 @@ def learn_rules(stats: DataFrame, labels: DataFrame, max_sample: int = 20_000, b
         left = left & ~covered
         if len(rules) == max_rules:
             break
+    drop(binned)
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """Number of the first rule that holds (from 1), null if none does."""
+def verdict(rules: list[Rule], of=F.col) -> Column:
+    """Number of the first rule that holds (from 1), null if none does; ``of`` gives the column of a count."""
     out = None
     for i, r in enumerate(rules, 1):
-        out = F.when(r.column(), F.lit(i)) if out is None else out.when(r.column(), F.lit(i))
+        out = F.when(r.column(of), F.lit(i)) if out is None else out.when(r.column(of), F.lit(i))
     return F.lit(None).cast("int") if out is None else out
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(of=F.col) -> Column:
+    return (of("n_words") < 50) | (100 * of("n_repeat_words") > 50 * of("n_words"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
-    """Statistics of each row of ``docs`` with ``base_failed``, ``rule`` (the number of the rule that rejects it) and ``kept``."""
-    stats = materialize(statistics(docs))
-    rules = learn_rules(stats, labels, **fit)
-    out = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    """Statistics of each row of ``docs`` with ``base_failed``, ``rule`` (the number of the rule that rejects it) and ``kept``; one narrow pass after the fit."""
+    rules = learn_rules(docs, labels, **fit)
+    out = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
-    bad = judge(docs, labels, **fit).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_r"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns, whatever their names. A filter: nothing is joined or shuffled after the fit."""
+    rules = learn_rules(docs, labels, **fit)
+
+    def good(s: Column) -> Column:
+        of = _flat(s).__getitem__
+        return ~base_failed(of) & verdict(rules, of).isNull()
+
+    return docs.where(let(_statistics(F.col("text")), good))
