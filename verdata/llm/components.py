@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdata.plans.storage import drop, materialize
@@ -35,3 +35,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         e = new
         if not many and not deep:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+
+
+def join_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node`` and ``root`` after further edges ``a, b``: only the roots that these touch are linked anew.
+
+    A node's root stays the smallest node of its component. Nodes of ``edges`` that ``roots`` doesn't have are added.
+    """
+    def root_of(side: str) -> Column:
+        return F.coalesce(F.col(f"root_{side}"), F.col(side))
+
+    named = lambda side: roots.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
+    new = edges.join(named("a"), F.col("a") == F.col("node_a"), "left").join(named("b"), F.col("b") == F.col("node_b"), "left")
+    moved = connected_components(new.select(root_of("a").alias("a"), root_of("b").alias("b"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    seen = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    fresh = seen.join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+    return roots.select("node", "root").union(fresh).join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))

@@ -3,19 +3,19 @@
 A document's set is its distinct word shingles; two documents are linked if 100 * |A and B| >= percent * |A or B|. Documents of equal
 sets form a class, and one stands for all. A class keeps the ``k`` smallest shingle hashes (its sketch).
 
-1. Inverted lists of retained values. Linked sets share at least ``t`` of their retained values (k = 40, t = 19 at 85 %: missed with odds
-   below 1e-8), so in one order of all values, rarest first, they meet among the first k - t + 1 of each. Only these are listed, and
+1. Inverted lists of retained values. Linked sets share at least ``t`` of their retained values (``t``: the most that is missed with odds of at most
+   1e-8, see :func:`shared_values`), so in one order of all values, rarest first, they meet among the first k - t + 1 of each. Only these are listed, and
    classes with fewer than ``t`` values that others hold as well are out.
-2. Crowded lists (more than ``crowd`` members) mostly hold edits of one original that aren't near enough to each other. Their members are listed
-   anew, exactly, by whole sets: values rarest first (among these members), for each class of partner sizes as far as a pair of these sizes that meets
-   there for the first time can still reach the threshold (prefix, length and positional filter). Edits that are too far from the original then no
-   longer meet at what they have from it, but only at what they share besides.
-3. Pairs. In each list the member with the most common values (the likeliest original) is paired with the others, which makes as many
-   pairs as members. Members that end up in the same component need no pair. While a list still holds more than one component, its next
-   members (32 times as many each round) are paired with the members of other components, until no pair is left to try.
-   So copies aren't expanded into all pairs, and no link between components is lost.
-4. The union's bottom-k estimates the similarity from two sketches; pairs far below are out.
-5. The rest is verified on whole sets; verified links are joined into components.
+2. Pairs. In each list the member with the most common values (the likeliest original) is paired with the others, which makes as many
+   pairs as members. The union's bottom-k estimates the similarity from two sketches; pairs far below are out. The rest is verified
+   on whole sets; verified links are joined into components, and members that end up in the same component need no pair.
+3. Of short lists (at most ``crowd`` members) that still hold more than one component, all other pairs of different components are tested.
+   Longer ones mostly hold edits of one original that aren't near enough to each other. Their members
+   (and no others) are listed anew, exactly, by whole sets: values rarest first (among these members), for each class of partner sizes as far as a
+   pair of these sizes that meets there for the first time can still reach the threshold (prefix, length and positional filter). Edits that are too
+   far from the original then no longer meet at what they have from it, but only at what they share besides.
+4. While one of these lists holds more than one component, its next members (32 times as many each round) are paired with the members of other
+   components, until no pair is left to try. So copies aren't expanded into all pairs, and no link between components is lost.
 
 Without words (or text) a set is empty and linked with nothing. Repeated rows belong to the same class. Rows without doc_id take part,
 but name no component; where a component has no other rows its id is null, and they are kept. An empty table gives an empty result.
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdata.llm.components import connected_components
+from verdata.llm.components import connected_components, join_components
 from verdata.llm.hashing import mix, run_hashes, word_hashes
 from verdata.llm.text import LOWER, slices, texts
-from verdata.plans.storage import materialize
+from verdata.plans.storage import broadcast_if_small, drop, materialize
 
 _SIGNED = np.uint64(1 << 63)
 
@@ -162,8 +162,71 @@ def _may_pair(x: str, percent: int):
     return (side.isNull() | (F.col("side") != side)) & (pos.isNull() | (left >= _need(F.col("n"), n, percent)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = 40, share: float = 0.475, slack: float = 0.35, crowd: int = 2) -> DataFrame:
-    """``doc_id``, ``row`` (hash of the text), ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``."""
+def shared_values(k: int, percent: int, odds: float = 1e-8) -> int:
+    """The largest t so that linked sets share fewer than t of k retained values with at most these odds.
+
+    The worst case is a set inside another: each retained value of the larger one is in the smaller with the threshold's probability.
+    """
+    p, below, t = percent / 100, 0.0, 0
+    while t < k:
+        below += math.comb(k, t) * p ** t * (1 - p) ** (k - t)
+        if below > odds:
+            break
+        t += 1
+    return max(1, t)
+
+
+class _Links:
+    """Verified links between classes, and the components they make so far."""
+
+    def __init__(self, listed: DataFrame, sets: DataFrame, percent: int, k: int, slack: float):
+        self.listed, self.sets, self.percent, self.k, self.slack = listed, sets, percent, k, slack
+        self.roots: DataFrame | None = None
+
+    def component(self, members: DataFrame) -> DataFrame:
+        """``members`` with ``comp``."""
+        if self.roots is None:
+            return members.withColumn("comp", F.col("cls"))
+        return members.join(self.roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Estimate and verify pairs ``a, b`` and join the linked ones."""
+        percent = self.percent
+        hub_n = self.listed.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a"))
+        other = self.listed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"))
+        pairs = pairs.groupBy("a", "b").agg(F.lit(1).alias("_")).join(hub_n, "a").join(other, "b")
+        pairs = pairs.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+        near = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(self.k, percent, self.slack), "a long, b long")
+        near = near.join(self.sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a").join(self.sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
+        found = materialize(near.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
+        if self.roots is None:
+            self.roots = materialize(connected_components(found))
+        elif found.limit(1).count():
+            old, self.roots = self.roots, materialize(join_components(self.roots, found))
+            drop(old)
+        drop(found)
+
+
+def _chief_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each list's first member with the others."""
+    chief = members.groupBy("value").agg(F.min(F.struct("rank", "n", "pos", "side")).alias("h")).withColumnRenamed("value", "v")
+    pairs = members.join(chief, (F.col("value") == F.col("v")) & (F.col("rank") != F.col("h.rank")) & _may_pair("h", percent))
+    return pairs.select(F.col("h.rank.c").alias("a"), F.col("cls").alias("b"))
+
+
+def _open(members: DataFrame, more: str = "true") -> DataFrame:
+    """Lists that hold more than one component, on both sides where they have sides."""
+    held = members.where(more).groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.min("side").alias("a"), F.max("side").alias("z"))
+    return held.where("x < y and (a is null or a < z)").select("value", "m")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = 40, share: float | None = None, slack: float = 0.35, crowd: int = 4) -> DataFrame:
+    """``doc_id``, ``row`` (hash of the text), ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``.
+
+    ``share``: the share of retained values that must be common (by default from :func:`shared_values`); ``crowd``: members up to which all of a list
+    are paired, as far as their components differ; longer lists that stay open are listed anew.
+    """
+    share = shared_values(k, percent) / k if share is None else share
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     rows = materialize(docs.mapInArrow(_sketch(size, k), "doc_id long, row long, n_shingles long, cls binary, sketch array<long>"))
     classes = rows.where("cls is not null").groupBy("cls").agg(
@@ -174,67 +237,75 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int =
     values = classes.select("cls", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = values.join(common, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
-    t = F.greatest(F.lit(1), F.floor(share * F.size("sketch"))).cast("int")
+    t = F.greatest(F.lit(1), F.floor(F.lit(share) * F.size("sketch") + 1e-9)).cast("int")
     listed = classes.join(held, "cls").where(F.size("common") >= t).select(
         "cls", "n", "sketch", "one", F.aggregate("common", F.lit(0.0), lambda s, x: s + F.log(x["df"])).alias("weight"),
         F.slice("common", F.lit(1), F.greatest(F.lit(0), F.size("common") - t + 1)).alias("prefix"))
     listed = materialize(listed)
-    asked = listed.select("cls", F.col("one.doc_id").alias("_d"), F.col("one.row").alias("_r"))
-    sets = docs.join(asked, docs.doc_id.eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).select("cls", "text")
+    asked = materialize(listed.select("cls", F.col("one.doc_id").alias("_d"), F.col("one.row").alias("_r")))
+    sets = docs.join(broadcast_if_small(asked), docs.doc_id.eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).select("cls", "text")
     sets = materialize(sets.mapInArrow(_whole(size), "cls long, shingles binary").dropDuplicates(["cls"]))
+    drop(asked)
+    links = _Links(listed, sets, percent, k, slack)
     # Order within a list: most common values first; the class settles ties.
     rank = listed.select("cls", F.struct((-F.col("weight")).alias("w"), F.col("cls").alias("c")).alias("rank"))
-    first = materialize(listed.select("cls", F.explode("prefix.value").alias("value")))
-    sizes = first.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
-    crowded = first.join(sizes.where(F.col("m") > crowd), "value", "left_semi").select("cls").distinct()
-    calm = first.join(sizes.where(F.col("m") <= crowd), "value", "left_semi")
-    anew = _alive(materialize(_exact_lists(sets.join(crowded, "cls", "left_semi"), percent)), percent)
-    lists = materialize(calm.unionByName(anew, allowMissingColumns=True).join(rank, "cls"))
-    links, roots, tried, hubs = None, None, 0, 1
-    active = lists
+    none = [F.lit(None).cast("long").alias("pos"), F.lit(None).cast("int").alias("side")]
+    first = listed.select("cls", "n", F.explode("prefix.value").alias("value"), F.struct((-F.col("weight")).alias("w"), F.col("cls").alias("c")).alias("rank"), *none)
+    many = first.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
+    first = materialize(first.join(many, "value", "left_semi"))
+    links.test(_chief_pairs(first, percent))
+    members = links.component(first)
+    few = members.join(_open(members).where((F.col("m") > 2) & (F.col("m") <= crowd)).select("value"), "value", "left_semi")
+    top = few.select(F.col("value").alias("v"), F.col("cls").alias("a"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
+    links.test(few.join(top, (F.col("value") == F.col("v")) & (F.col("rank") > F.col("ra")) & (F.col("comp") != F.col("ca"))).select("a", F.col("cls").alias("b")))
+    unsettled = _open(links.component(first)).where(F.col("m") > max(2, crowd)).select("value")
+    crowded = materialize(first.join(unsettled, "value", "left_semi").select("cls").distinct())
+    drop(first)
+    anew = materialize(_exact_lists(sets.join(crowded, "cls", "left_semi"), percent))
+    lists = materialize(_alive(anew, percent).join(rank, "cls"))
+    drop(anew, crowded)
+    tried, hubs, active = 0, 1, lists
     while True:
-        members = active.withColumn("comp", F.col("cls")) if roots is None else active.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
-        if roots is not None:
-            # Lists with members of two components that haven't been a hub.
-            open_ = members.where("place > %d" % tried).groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("side").alias("a"), F.max("side").alias("z")).where("x < y and (a is null or a < z)").select("value")
-            members = materialize(members.join(open_, "value", "left_semi"))
-            if members.limit(1).count() == 0:
-                break
+        members = links.component(active)
+        members = materialize(members.join(_open(members, f"place > {tried}" if tried else "true").select("value"), "value", "left_semi"))
+        if members.limit(1).count() == 0:
+            break
         if tried == 0:
-            chief = members.groupBy("value").agg(F.min(F.struct("rank", "n", "pos", "side")).alias("h"))
-            pairs = members.join(chief, (members["value"] == chief["value"]) & (F.col("rank") != F.col("h.rank")) & _may_pair("h", percent)).select(F.col("h.rank.c").alias("a"), F.col("cls").alias("b"))
+            links.test(_chief_pairs(members, percent))
+            # From the second round on a member's place in its list counts; lists of one component by now and those of two members need none.
+            comp = links.component(lists)
+            left = lists.join(_open(comp).where("m > 2").select("value"), "value", "left_semi")
+            active = materialize(left.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy("rank"))))
         else:
             top = members.where((F.col("place") > tried) & (F.col("place") <= tried + hubs)).select(F.col("value").alias("v"), F.col("cls").alias("a"), F.struct("rank", "n", "pos", "side").alias("h"), F.col("comp").alias("ca"))
             pairs = members.join(top, (F.col("value") == F.col("v")) & (F.col("rank") > F.col("h.rank")) & (F.col("comp") != F.col("ca")) & _may_pair("h", percent)).select("a", F.col("cls").alias("b"))
-        hub_n = listed.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a"))
-        other = listed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"))
-        pairs = pairs.groupBy("a", "b").agg(F.lit(1).alias("_")).join(hub_n, "a").join(other, "b")
-        pairs = pairs.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-        near = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(k, percent, slack), "a long, b long")
-        near = near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
-        found = materialize(near.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
-        if roots is None or found.limit(1).count():
-            links = found if links is None else links.union(found)
-            roots = materialize(connected_components(links))
-        if tried == 0:
-            # From the second round on a member's place in its list counts; a list that is one component by now needs none.
-            comp = lists.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls"))
-            open_ = comp.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.min("side").alias("a"), F.max("side").alias("z")).where("x < y and m > 2 and (a is null or a < z)").select("value")
-            left = lists.join(open_, "value", "left_semi")
-            active = materialize(left.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy("rank"))))
-        else:
+            links.test(pairs)
             active = members.drop("comp")
         tried, hubs = tried + hubs, hubs * 32
-    node = classes.select("cls", "signature", "doc_id").join(roots, F.col("cls") == F.col("node"), "left").select("signature", "doc_id", F.coalesce("root", "cls").alias("root"))
+    node = classes.select("cls", "signature", "doc_id").join(links.roots, F.col("cls") == F.col("node"), "left").select("signature", "doc_id", F.coalesce("root", "cls").alias("root"))
     least = node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = node.join(least, "root").select(F.col("signature").alias("cls"), "component_id")
     out = rows.drop("sketch").join(named, "cls", "left")
+    drop(listed, sets, lists)
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, with all their columns; of rows equal in doc_id and text, one."""
-    kept = near_duplicates(docs, **parameters).where("kept").select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))
-    return docs.withColumn("_row", F.xxhash64("text")).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    """The rows of ``docs`` that stand for their component, with all their columns, whatever their names; of rows equal in doc_id and text, one.
+
+    Rows that go are joined by (doc_id, hash of the text); texts stay where they are while there are at most as many as may be broadcast.
+    """
+    found = materialize(near_duplicates(docs, **parameters).select("doc_id", "row", "kept"))
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("d"), F.col("row").alias("r")).distinct())
+    again = materialize(found.where("kept").groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row"))
+    drop(found)
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
+    rows = rows.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left_anti")
+    if again.limit(1).count() == 0:
+        return rows.select("doc.*")
+    # Repeated rows (equal doc_id and text) are few or none: one of each stays, by a number that is fixed once written.
+    again = broadcast_if_small(again.select(F.col("doc_id").alias("d"), F.col("row").alias("r")))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))
+    one = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "row"])
+    return rows.join(again, same, "left_anti").select("doc.*").union(one.select("doc.*"))
