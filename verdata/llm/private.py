@@ -1,24 +1,31 @@
 """Personal data by patterns, and further identifiers by bootstrapped contexts. DataFrame functions only.
 
 Base kinds are found by patterns with checks (see :data:`KINDS`), leftmost and without overlap within a kind. They are the seeds:
-1. Candidates are tokens with a digit that no base span covers in part or whole. Base spans are the seeds.
-2. Seeds induce lexical patterns: the word to the left, the two words to the left, and the words to the left and right.
+1. Candidates are, in what base spans leave of the text, runs of tokens with a digit that single spaces join, and tokens with an ``@`` or ``_`` or with a capital
+   after a small letter. Base spans are the seeds.
+2. Seeds induce lexical patterns: the word to the left, the two words to the left, and the words to the left and right (whole words, however far).
 3. Patterns and instances (the strings of seeds and candidates) form a graph. In each round a pattern's score is the mean score of its instances (seeds: 1), shrunk by
    ``prior`` doubtful instances, and an instance's score that of its best pattern, times ``decay``.
-4. Patterns of high confidence (score and number of different seed instances) discover the other tokens in their places, if these look like
-   identifiers (at least ``min_length`` characters with two digits); their kind is ``id``.
+4. Patterns of high confidence (score and number of different seed instances) discover the other candidates in their places, if these look like
+   identifiers (at least ``min_length`` characters with two digits; without digits, at least ``min_plain`` characters). Their kind is ``id``, and ``like`` is the
+   kind of most seeds of the best pattern that found them.
+
+Everything but the graph is done row by row where the texts are: what the graph's joins move are patterns and short strings. The good patterns are
+broadcast in blocks, one row for each ``max_patterns`` (a hash of 8 bytes, a score and a kind each).
 
 Null texts count as empty and have no spans. Repeated rows have the same spans, and count once in the graph. Positions are code points.
-An empty table gives an empty result. Extra columns are kept by :func:`mask_private` and ignored by :func:`find_private`.
+An empty table gives an empty result. Extra columns of any name are kept by :func:`mask_private` and ignored by :func:`find_private`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdata.llm.text import let
-from verdata.plans.storage import materialize
+from verdata.llm.text import let, running
+from verdata.plans.storage import drop, materialize
 
 #: Kinds in order, with their patterns: greedy parts that can't give back are possessive, and a match starts where an
 #: earlier start of the same run would have matched, so that matching takes linear time; the matches are those of the plain patterns.
@@ -28,7 +35,6 @@ KINDS = (
     ("card", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
-_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def _luhn(digits: Column) -> Column:
@@ -45,115 +51,185 @@ def _valid(kind: Column, m: Column) -> Column:
     return F.when(kind == "email", F.lit(True)).when(kind == "ip", ip).when(kind == "card", card).otherwise(F.length(digits).between(9, 15))
 
 
-def _matches(text: Column, pattern: str, guard: Column) -> Column:
-    """Matches, and the lengths and ends of the pieces between them, from two passes of the same pattern; null where ``guard`` doesn't hold."""
-    between = F.split(text, pattern, -1)
-    gaps = F.transform(between, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(80)).alias("end"), F.left(g, F.lit(80)).alias("begin")))
-    return F.when(guard, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), gaps.alias("gaps")))
+#: What stands for a base span while candidates are looked for; no token with it is one.
+_TAKEN = "\x01"
+_DIGITS = r"[^\s0-9\x01]*+[0-9][^\s\x01]*+(?!\S)"
+_SHAPED = r"[^\s@_\x01]*+[@_][^\s\x01]*+(?!\S)|[^\s\x01]*?[a-z][A-Z][^\s\x01]*+(?!\S)"
+CANDIDATE = rf"(?<!\S)(?:{_DIGITS}(?:\x20{_DIGITS})*+|{_SHAPED})"
+_SPACE = " \t\n\x0b\x0c\r"
+_SPAN = "array<struct<kind_no:int,start:bigint,end:bigint,m:string,l1:string,l2:string,r1:string>>"
+_BUCKETS = 4096
 
 
-def _positions(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Start and end of each match: running sums of the pieces and matches before it, within one text."""
-    w = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("m")).over(w)
-    return rows.withColumn("end", end.cast("long")).withColumn("start", (F.col("end") - F.length("m")).cast("long"))
+def _context(word: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(word, F.lit("")), r"[^\p{L}\p{N}=:]+", ""))
 
 
-def _context(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}=:]+", ""))
+def _around(before: Column, after: Column) -> list[Column]:
+    """The two words before a match and the one after it, from the pieces of text around it."""
+    left = F.split(F.rtrim(before, F.lit(_SPACE)), r"\s+")
+    return [_context(F.element_at(left, -1)).alias("l1"), _context(F.try_element_at(left, F.lit(-2))).alias("l2"),
+            _context(F.regexp_extract(after, r"\A\s*+(\S++)", 1)).alias("r1")]
 
 
-def _around(gaps: Column, i: Column) -> dict[str, Column]:
-    """The two words before a match and the one after it, from the ends of the pieces around it."""
-    left, right = F.split(F.rtrim(F.get(gaps, i)["end"]), r"\s+"), F.split(F.ltrim(F.get(gaps, i + 1)["begin"]), r"\s+")
-    return {"l1": _context(F.element_at(left, -1)), "l2": _context(F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit(""))), "r1": _context(F.element_at(right, 1))}
+def _found(text: Column, pattern: str, kind_no: int, guard: Column) -> Column:
+    """Matches with places and the words around them, from two passes of the same pattern: the matches, and the pieces between them."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
 
+    def places(s: Column) -> Column:
+        lengths = F.transform(s["found"], lambda m, i: (F.length(m) + F.length(F.get(s["gaps"], i))).cast("long"))
+        return let(running(lengths, lambda a, x: a + x), lambda ends: F.transform(s["found"], lambda m, i: F.struct(
+            F.lit(kind_no).alias("kind_no"), (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("m"),
+            *_around(F.get(s["gaps"], i), F.get(s["gaps"], i + 1)))))
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, _row, kind, kind_no, start, end`` of each base span, with its string and the words around it; one set for each distinct (doc_id, text)."""
-    t = F.col("text")
-    some = docs.where(t.rlike(r"[0-9]|@")).select("doc_id", F.xxhash64("text").alias("_row"), "text")
+    return F.coalesce(F.when(guard, let(both, places)), F.array()).cast(_SPAN)
+
+
+def base_spans(text: Column) -> Column:
+    """Base spans of a text with their strings and the words around them, by kind, then start."""
+    t = text
     guards = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": t.rlike(r"\+[0-9]")}
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("kind_no"), _matches(t, p, guards[k]).alias("m")) for i, (k, p) in enumerate(KINDS)])
-    found = some.select("doc_id", "_row", F.explode(F.filter(kinds, lambda k: F.size(k["m"]["found"]) > 0)).alias("k"))
-    found = found.select("doc_id", "_row", "k.kind", "k.kind_no", F.col("k.m.gaps").alias("gaps"), F.posexplode("k.m.found").alias("i", "m"))
-    i = F.col("i")
-    rows = found.select("doc_id", "_row", "kind", "kind_no", "i", "m", F.get("gaps", i)["n"].alias("gap"), *[c.alias(n) for n, c in _around(F.col("gaps"), i).items()]).distinct()
-    return _positions(rows, ["doc_id", "_row", "kind_no"]).where(_valid(F.col("kind"), F.col("m"))).drop("i", "gap")
+    valid = lambda kind: lambda s: _valid(F.lit(kind), s["m"])
+    return F.concat(*[F.filter(_found(t, p, i, guards[k]), valid(k)) for i, (k, p) in enumerate(KINDS)])
+
 
+def _redraw(text: Column, spans: Column, fill) -> Column:
+    """The text with ``fill(span, from)`` in place of spans, where ``from`` is the first position that no earlier span covers."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"))))
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Tokens with a digit, with their place and the words around them."""
-    t = F.col("text")
-    some = docs.where(t.rlike("[0-9]")).select("doc_id", F.xxhash64("text").alias("_row"), _matches(t, _TOKEN, F.lit(True)).alias("t"))
-    rows = some.select("doc_id", "_row", "t.gaps", F.posexplode("t.found").alias("i", "m"))
-    i = F.col("i")
-    rows = rows.select("doc_id", "_row", "i", "m", F.get("gaps", i)["n"].alias("gap"), *[c.alias(n) for n, c in _around(F.col("gaps"), i).items()])
-    return _positions(rows.distinct(), ["doc_id", "_row"]).drop("i", "gap")
+    def draw(s: Column) -> Column:
+        def pieces(upto: Column) -> Column:
+            def piece(x: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(upto, i - 1), F.lit(0).cast("long"))
+                start = F.greatest(x["start"], before)
+                gap = F.substring(text, (before + 1).cast("int"), (start - before).cast("int"))
+                return F.concat(gap, F.when(start < x["end"], fill(x, start)).otherwise(F.lit("")))
+            return F.concat(F.array_join(F.transform(s, piece), ""), F.substring(text, (F.element_at(upto, -1) + 1).cast("int"), F.length(text)))
+        return let(running(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x)), pieces)
 
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, draw))
 
-def _patterns() -> Column:
+
+def _candidates(text: Column, base: Column) -> Column:
+    left = _redraw(text, base, lambda x, start: F.repeat(F.lit(_TAKEN), (x["end"] - start).cast("int")))
+    return let(left, lambda t: _found(t, CANDIDATE, len(KINDS), t.rlike(r"[0-9@_]|[a-z][A-Z]")))
+
+
+def _scan(text: Column) -> Column:
+    """``base`` and ``other``: base spans and candidates of a text."""
+    t = F.coalesce(text, F.lit(""))
+    return let(F.when(t.rlike(r"[0-9@_]|[a-z][A-Z]"), base_spans(t)).otherwise(F.array().cast(_SPAN)),
+               lambda base: F.struct(base.alias("base"), _candidates(t, base).alias("other")))
+
+
+def _patterns(x: Column) -> Column:
+    """Lexical patterns of a seed or candidate."""
+    l1, l2, r1 = x["l1"], x["l2"], x["r1"]
     return F.filter(F.array(
-        F.when(F.col("l1") != "", F.concat(F.lit("l1 "), "l1")),
-        F.when((F.col("l1") != "") & (F.col("l2") != ""), F.concat(F.lit("l2 "), "l2", F.lit(" "), "l1")),
-        F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat(F.lit("lr "), "l1", F.lit(" "), "r1"))), lambda p: p.isNotNull())
+        F.when(l1 != "", F.concat(F.lit("l1 "), l1)),
+        F.when((l1 != "") & (l2 != ""), F.concat(F.lit("l2 "), l2, F.lit(" "), l1)),
+        F.when((l1 != "") & (r1 != ""), F.concat(F.lit("lr "), l1, F.lit(" "), r1))), lambda p: p.isNotNull())
 
 
 def learn_patterns(tokens: DataFrame, rounds: int = 3, prior: float = 1.0, decay: float = 0.9) -> DataFrame:
-    """Scores of lexical patterns: ``pattern, score, n_seeds``. ``tokens``: strings and words around of seeds and candidates, with a boolean ``seed``."""
-    edges = tokens.select(F.explode(_patterns()).alias("pattern"), F.lower("m").alias("instance"), F.col("seed").cast("int").alias("seed"))
-    edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    """Scores of lexical patterns: ``pattern, score, n_seeds`` and ``like`` (the number of the kind of most of its seeds).
+
+    ``tokens``: ``x``, a seed or candidate with its string and the words around, and a boolean ``seed``.
+    """
+    edges = tokens.select(F.explode(_patterns(F.col("x"))).alias("pattern"), F.lower("x.m").alias("instance"), F.when(F.col("seed"), F.col("x.kind_no")).alias("kind_no"))
+    edges = materialize(edges.groupBy("pattern", "instance").agg(F.min("kind_no").alias("kind_no")))
     # Patterns without a seed can only gain a score through shared instances; those of one instance have nothing to share.
-    own = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("own"))
+    own = edges.groupBy("instance").agg(F.max(F.col("kind_no").isNotNull().cast("double")).alias("own"))
     scores = own.select("instance", F.col("own").alias("score"))
+    kinds = [F.count_if(F.col("kind_no") == i).alias(f"k{i}") for i in range(len(KINDS))]
+    written = []
     for k in range(rounds):
-        rated = edges.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + prior)).alias("score"), F.sum("seed").alias("n_seeds"))
-        if k == rounds - 1:
+        last = k == rounds - 1
+        rated = edges.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + prior)).alias("score"), F.count("kind_no").alias("n_seeds"), *(kinds if last else []))
+        if last:
+            most = F.array_max(F.array(*[F.struct(F.col(f"k{i}").alias("n"), F.lit(-i).alias("no")) for i in range(len(KINDS))]))
+            rated = materialize(rated.select("pattern", "score", "n_seeds", (-most["no"]).alias("like")))
+            drop(edges, *written)
             return rated
         best = edges.join(rated.select("pattern", F.col("score").alias("s")), "pattern").groupBy("instance").agg(F.max("s").alias("s"))
         scores = materialize(own.join(best, "instance").select("instance", F.greatest("own", decay * F.col("s")).alias("score")))
+        written.append(scores)
     raise ValueError("rounds must be at least 1")
 
 
-def all_spans(docs: DataFrame, min_score: float = 0.6, min_seeds: int = 3, min_length: int = 8, **learning) -> DataFrame:
-    """Base spans and those of discovered identifiers (kind ``id``)."""
-    found = materialize(base_spans(docs))
-    words, spot = ["m", "l1", "l2", "r1"], ["doc_id", "_row"]
-    ranges = found.groupBy(*spot).agg(F.collect_list(F.struct("start", "end")).alias("base"))
-    ranges = ranges.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "base")
-    tokens = candidates(docs).join(ranges, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").drop("_d", "_r")
-    overlap = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    unseen = materialize(tokens.where(~F.coalesce(overlap, F.lit(False))).drop("base"))
-    both = found.select(*words, F.lit(True).alias("seed")).unionByName(unseen.select(*words, F.lit(False).alias("seed")))
-    good = learn_patterns(both, **learning).where((F.col("score") >= min_score) & (F.col("n_seeds") >= min_seeds)).select("pattern")
-    unseen = unseen.where((F.length("m") >= min_length) & F.col("m").rlike("[0-9].*[0-9]"))
-    new = unseen.select(*spot, "start", "end", F.explode(_patterns()).alias("pattern")).join(good, "pattern", "left_semi").select(*spot, F.lit("id").alias("kind"), F.lit(len(KINDS)).alias("kind_no"), "start", "end").distinct()
-    return found.select(*spot, "kind", "kind_no", "start", "end").unionByName(new)
+def _looks(m: Column, min_length: int, min_plain: int) -> Column:
+    """Whether a candidate looks like an identifier."""
+    return F.when(m.rlike("[0-9]"), (F.length(m) >= min_length) & m.rlike("[0-9].*[0-9]")).otherwise(F.length(m) >= min_plain)
+
+
+def _good(found: DataFrame, min_score: float, min_seeds: int, **learning) -> DataFrame:
+    """``key`` (hash), ``like`` and ``score`` of the patterns of high confidence. ``found``: ``base`` and ``other`` of each row."""
+    seeds = found.select(F.explode("base").alias("x"), F.lit(True).alias("seed"))
+    rated = learn_patterns(seeds.union(found.select(F.explode("other").alias("x"), F.lit(False).alias("seed"))), **learning)
+    good = rated.where((F.col("score") >= min_score) & (F.col("n_seeds") >= min_seeds))
+    good = materialize(good.groupBy(F.xxhash64("pattern").alias("key")).agg(F.max("score").alias("score"), F.min("like").alias("like")))
+    drop(rated)
+    return good
+
+
+def _as_row(good: DataFrame) -> DataFrame:
+    """All good patterns in one row: ``good``, an array of buckets by hash."""
+    bucket = F.pmod("key", F.lit(_BUCKETS)).cast("int")
+    held = good.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct("key", "score", "like")).alias("own"))
+    every = good.sparkSession.range(_BUCKETS).select(F.col("id").cast("int").alias("b")).join(held, "b", "left")
+    row = every.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("b", F.coalesce("own", F.array()).alias("own")))), lambda x: x["own"]).alias("good"))
+    return F.broadcast(row)
+
+
+def _discovered(other: Column, goods: list[Column], min_length: int, min_plain: int) -> Column:
+    """Of candidates, those that a good pattern finds: spans with ``like``, the seed kind of the best pattern."""
+    def best(x: Column) -> Column:
+        keys = F.transform(_patterns(x), lambda p: F.xxhash64(p))
+        own = lambda k, good: F.filter(F.get(good, F.pmod(k, F.lit(_BUCKETS)).cast("int")), lambda g: g["key"] == k)
+        hits = F.flatten(F.transform(keys, lambda k: F.concat(*[own(k, good) for good in goods])))
+        return F.array_max(F.transform(hits, lambda g: F.struct(g["score"].alias("score"), (-g["like"]).alias("like"))))
+
+    like = lambda x: F.struct(x["kind_no"].alias("kind_no"), x["start"].alias("start"), x["end"].alias("end"), (-best(x)["like"]).alias("like"))
+    return F.filter(F.transform(F.filter(other, lambda x: _looks(x["m"], min_length, min_plain)), like), lambda s: s["like"].isNotNull())
+
+
+def _spans(rows: DataFrame, min_score: float = 0.6, min_seeds: int = 3, min_length: int = 8, min_plain: int = 5, max_patterns: int = 500_000, **learning) -> Callable[[DataFrame], DataFrame]:
+    """Learn the good patterns from ``base`` and ``other`` of all rows (written without texts); gives a function that adds the final ``spans`` to such rows."""
+    found = materialize(rows.select("base", "other"))
+    good = _good(found, min_score, min_seeds, **learning)
+    drop(found)
+    base = F.transform("base", lambda s: F.struct(s["kind_no"].alias("kind_no"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("int").alias("like")))
+    blocks = max(1, -(-good.count() // max_patterns))
+
+    def add(df: DataFrame) -> DataFrame:
+        # One row for each block of about ``max_patterns`` patterns.
+        for k in range(blocks):
+            part = good if blocks == 1 else good.where(F.pmod(F.hash("key"), F.lit(blocks)) == k)
+            df = df.crossJoin(_as_row(part).withColumnRenamed("good", f"good_{k}"))
+        new = _discovered(F.col("other"), [F.col(f"good_{k}") for k in range(blocks)], min_length, min_plain)
+        return df.withColumn("spans", F.sort_array(F.array_distinct(F.concat(base, new))))
+
+    return add
 
 
 def find_private(docs: DataFrame, **parameters) -> DataFrame:
-    """``doc_id`` and ``spans`` (kind, start, end; by kind, then start) of each row of ``docs``."""
-    spans = all_spans(docs, **parameters).groupBy("doc_id", "_row").agg(F.sort_array(F.collect_list(F.struct("kind_no", "start", "end", "kind"))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "spans")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_row"))
-    out = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return out.select("doc_id", F.coalesce(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), empty).alias("spans"))
+    """``doc_id`` and ``spans`` (kind, start, end, and ``like`` for the kind ``id``; by kind, then start) of each row of ``docs``."""
+    rows = materialize(docs.select("doc_id", _scan(F.col("text")).alias("s")).select("doc_id", "s.base", "s.other"))
+    out = _spans(rows, **parameters)(rows)
+    return out.select("doc_id", F.transform("spans", lambda s: F.struct(_name(s["kind_no"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _name(s["like"]).alias("like"))).alias("spans"))
+
+
+def _name(no: Column) -> Column:
+    return F.get(F.array(*[F.lit(k) for k, _ in KINDS], F.lit("id")), no)
 
 
 def mask_private(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with each span in ``text`` replaced by ``<kind>``; of overlapping spans, the earlier (then the earlier kind) names it."""
-    columns = docs.columns
-    spans = all_spans(docs, **parameters)
-    w = Window.partitionBy("doc_id", "_row").orderBy("start", "kind_no", "end").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("from", F.greatest("start", F.coalesce(F.max("end").over(w), F.lit(0)))).where(F.col("from") < F.col("end"))
-    spans = spans.groupBy("doc_id", "_row").agg(F.sort_array(F.collect_list(F.struct("from", "end", "kind", "start"))).alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "_spans")
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    out = keyed.join(spans, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
-    piece = lambda s, i: F.concat(
-        F.substring("text", (F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)) + 1).cast("int"), (s["from"] - F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0))).cast("int")),
-        F.when(s["from"] == s["start"], F.concat(F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit("")))
-    masked = F.concat(F.array_join(F.transform("_spans", piece), ""), F.expr("substring(text, cast(element_at(_spans, -1).end + 1 as int))"))
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked))
-    return out.select(*columns)
+    """``docs`` with each span in ``text`` replaced by ``<kind>``; of overlapping spans, the earlier (then the earlier kind) names it.
+
+    Two narrow passes over the texts, one for the graph and one that masks; no text is shuffled.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), _scan(F.col("text")).alias("s")).select("doc", "s.base", "s.other")
+    out = _spans(rows, **parameters)(rows)
+    label = lambda x, start: F.when(start == x["start"], F.concat(F.lit("<"), _name(x["kind_no"]), F.lit(">"))).otherwise(F.lit(""))
+    out = out.withColumn("text", _redraw(F.col("doc.text"), F.col("spans"), label))
+    return out.select(*[F.col("text").alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

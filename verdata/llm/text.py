@@ -24,6 +24,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """``op`` over each element and all before it (at least 0), of an array of longs.
+
+    Arrays grow by copying, so long ones are gone through in chunks, which keeps the cost in proportion to the length.
+    """
+    empty = F.array().cast("array<bigint>")
+
+    def within(a: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["all"], F.array(op(s["at"], x))).alias("all"))
+        return F.aggregate(a, F.struct(start.cast("bigint").alias("at"), empty.alias("all")), step)["all"]
+
+    def long_(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda c: F.slice(v, c * chunk + 1, F.lit(chunk)))
+        whole = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), op)
+        return let(chunks, lambda cs: let(within(F.transform(cs, whole), F.lit(0)), lambda upto: F.flatten(
+            F.transform(cs, lambda c, i: within(c, F.coalesce(F.get(upto, i - 1), F.lit(0).cast("bigint")))))))
+
+    return let(values, lambda v: F.when(F.size(v) <= chunk, within(v, F.lit(0))).otherwise(long_(v)))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words between ASCII spaces, tabs and line ends, byte for byte (``bytes.split`` has just these separators)."""
     return text.split() if text else []
