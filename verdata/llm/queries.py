@@ -55,7 +55,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=1, similarity=0.75)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -75,16 +75,38 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op4_neighbours, op5_sharding, op6_minhash, op7_quality, op8_pii, op9_lines, op10_segmentations, pipeline)}
 
 
-#: Lines of at least 3 tokens whose template (tokens with a digit as <*>) is in 4 texts or more go, but from the first document.
+#: Lines whose template (tokens with a digit as <*>), or a merged template of the tree, is in 4 texts or more go, but from the first document.
+#: once: templates by text. able: those with a piece that recurs. s1 to s3: how often a leading token stands below its path; s4: a token at a position of the leaf.
+#: kept: tokens that stay, ``loose`` where others stand there too. v: merged templates, with all tokens that stay or one loose one less.
 OP9 = """
 WITH d AS (SELECT doc_id, text, md5(coalesce(text, '')) AS h, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, h, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM d),
 t AS (SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> ''),
       lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l),
-j AS (SELECT doc_id, h, k, line, len(toks) AS n, array_to_string(toks, ' ') AS tpl FROM t),
-r AS (SELECT tpl, min(doc_id) AS first, count(DISTINCT h) AS texts FROM j WHERE n >= 3 GROUP BY tpl),
+j AS (SELECT doc_id, h, k, line, toks, len(toks) AS n, array_to_string(toks, ' ') AS tpl FROM t),
+once AS (SELECT tpl, toks, n, least(4, CAST(floor(n * 0.25 + 1e-9) AS BIGINT)) AS f, h, min(doc_id) AS first FROM j WHERE n >= 1 GROUP BY tpl, toks, n, h),
+pieces AS (SELECT tpl, h, concat(n, '|', k, '|', array_to_string(list_slice(toks, k * n // (f + 1) + 1, (k + 1) * n // (f + 1)), ' ')) AS piece FROM (SELECT *, unnest(generate_series(0, f)) AS k FROM once WHERE f > 0)),
+likely AS (SELECT DISTINCT tpl FROM pieces WHERE piece IN (SELECT piece FROM pieces GROUP BY piece HAVING count(*) >= 4)),
+held AS (SELECT once.* FROM once JOIN likely USING (tpl)),
+able AS (SELECT tpl, toks, n, f, count(*) AS c, CAST(n AS VARCHAR) AS p0 FROM held GROUP BY tpl, toks, n, f),
+s1 AS (SELECT p0, toks[1] AS w, sum(c) >= 4 AS stays, count(*) OVER (PARTITION BY p0) > 1 AS loose FROM able WHERE n >= 1 GROUP BY p0, toks[1]),
+a1 AS (SELECT able.*, s1.stays AS stays1, s1.loose AS loose1, concat(able.p0, chr(1), CASE WHEN s1.stays THEN 'w' || toks[1] ELSE '*' END) AS p1 FROM able LEFT JOIN s1 ON able.p0 = s1.p0 AND toks[1] = w),
+s2 AS (SELECT p1, toks[2] AS w, sum(c) >= 4 AS stays, count(*) OVER (PARTITION BY p1) > 1 AS loose FROM a1 WHERE n >= 2 GROUP BY p1, toks[2]),
+a2 AS (SELECT a1.*, s2.stays AS stays2, s2.loose AS loose2, concat(a1.p1, chr(1), CASE WHEN s2.stays THEN 'w' || toks[2] ELSE '*' END) AS p2 FROM a1 LEFT JOIN s2 ON a1.p1 = s2.p1 AND toks[2] = w),
+s3 AS (SELECT p2, toks[3] AS w, sum(c) >= 4 AS stays, count(*) OVER (PARTITION BY p2) > 1 AS loose FROM a2 WHERE n >= 3 GROUP BY p2, toks[3]),
+a3 AS (SELECT a2.*, s3.stays AS stays3, s3.loose AS loose3, concat(a2.p2, chr(1), CASE WHEN s3.stays THEN 'w' || toks[3] ELSE '*' END) AS p3 FROM a2 LEFT JOIN s3 ON a2.p2 = s3.p2 AND toks[3] = w),
+e AS (SELECT tpl, p3, c, k, toks[k] AS w FROM (SELECT *, unnest(generate_series(4, n)) AS k FROM a3)),
+s4 AS (SELECT p3, k, w, sum(c) >= 4 AS stays, count(*) OVER (PARTITION BY p3, k) > 1 AS loose FROM e GROUP BY p3, k, w),
+kept AS (SELECT tpl, 1 AS k, toks[1] AS w, loose1 AS loose FROM a3 WHERE stays1 UNION ALL SELECT tpl, 2, toks[2], loose2 FROM a3 WHERE stays2 UNION ALL SELECT tpl, 3, toks[3], loose3 FROM a3 WHERE stays3
+         UNION ALL SELECT e.tpl, e.k, e.w, s4.loose FROM e JOIN s4 ON e.p3 = s4.p3 AND e.k = s4.k AND e.w = s4.w WHERE s4.stays),
+spare AS (SELECT kept.tpl, any_value(n) AS n, count(*) - (any_value(n) - any_value(f)) AS spare FROM kept JOIN able USING (tpl) GROUP BY kept.tpl),
+v AS (SELECT tpl, n, string_agg(concat(k, ':', w), chr(2) ORDER BY k) AS key FROM kept JOIN spare USING (tpl) WHERE spare >= 0 GROUP BY tpl, n
+      UNION ALL SELECT a.tpl, n, string_agg(concat(b.k, ':', b.w), chr(2) ORDER BY b.k) FROM kept a JOIN spare ON a.tpl = spare.tpl JOIN kept b ON a.tpl = b.tpl AND a.k <> b.k WHERE spare > 0 AND a.loose GROUP BY a.tpl, n, a.k),
+vt AS (SELECT v.n, key, h, min(first) AS first FROM v JOIN held USING (tpl) GROUP BY v.n, key, h),
+vr AS (SELECT n, key, min(first) AS first FROM vt GROUP BY n, key HAVING count(*) >= 4),
+r AS (SELECT tpl, min(first) AS first FROM (SELECT tpl, min(first) AS first FROM once GROUP BY tpl HAVING count(*) >= 4 UNION ALL SELECT tpl, vr.first FROM v JOIN vr ON v.n = vr.n AND v.key = vr.key) x GROUP BY tpl),
 o AS (SELECT h, min(doc_id) AS own FROM d GROUP BY h),
-m AS (SELECT j.doc_id, k, line, coalesce(n >= 3 AND r.texts >= 4 AND r.first < o.own, false) AS gone FROM j LEFT JOIN r ON j.tpl = r.tpl JOIN o ON j.h = o.h),
+m AS (SELECT j.doc_id, k, line, coalesce(n >= 1 AND r.first < o.own, false) AS gone FROM j LEFT JOIN r ON j.tpl = r.tpl JOIN o ON j.h = o.h),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
