@@ -359,6 +359,33 @@ def test_segmentations_follow_the_distribution():
     assert len(found) == len(full) and all(x[3] == 1.0 for x in found)
 
 
+def test_segmentations_come_out_whole():
+    """All segmentations where k is large enough, and inclusion against all orders of a small lattice."""
+    v = segment.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    for text, k in (("catty", 40), ("absolute", 200)):
+        found = segment.sample_texts(v, [1], [text], k, 7)[0]
+        lattice = segment.Lattice(v, ["\u2581" + text])
+        ways = [0] * (len(text) + 2)
+        ways[len(text) + 1] = 1
+        for at in range(len(text), -1, -1):
+            ways[at] = sum(ways[at + n + 1] for n in range(lattice.ids.shape[1]) if at + n + 1 < len(ways) and lattice.weight[at, n] > -np.inf)
+        assert len(found) == len({tuple(x[0].tolist()) for x in found}) == ways[0] and all(x[3] == 1.0 for x in found)
+        assert abs(sum(np.exp(x[1]) for x in found) - 1) < 1e-5
+    every = {tuple(x[0].tolist()): np.exp(x[1]) for x in segment.sample_texts(v, [1], ["cat"], 50, 7)[0]}
+    n = 4000
+    for k in (1, 2, 5):
+        # A sample's inclusion probability, as the share of draws that hold it and as the mean of 1 / inclusion (Horvitz and Thompson: 1 each).
+        weight: dict = dict.fromkeys(every, 0.0)
+        for own in segment.sample_texts(v, list(range(n)), ["cat"] * n, k, 3):
+            assert len(own) == k
+            for ids, _, _, inclusion in own:
+                weight[tuple(ids.tolist())] += 1 / inclusion / n
+        assert all(abs(weight[x] - 1) < 0.2 for x, p in every.items() if p > 0.05)
+    many = segment.sample_texts(v, [1, 2], ["the cat sat on the mat", "the cat sat on the mat"], 60, 3)
+    for own in many:
+        assert len({tuple(x[0].tolist()) for x in own}) == 60 and all(a[2] >= b[2] for a, b in zip(own, own[1:]))
+
+
 def test_line_query_against_sql(spark):
     import duckdb
 

@@ -58,6 +58,9 @@ class Vocabulary:
                 self.spelled.append(p.replace(_MARK, " ").encode())
                 if _MARK not in p[1:]:
                     words.append((p, i))
+        self.buffer = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.length = np.array([len(x) for x in self.spelled], np.int64)
+        self.offset = np.cumsum(self.length) - self.length
         words.sort(key=lambda w: w[1])
         self.longest = max(len(p) for p, _ in words)
         self.weight = np.zeros(n)
@@ -157,14 +160,22 @@ class Lattice:
             share = np.exp(x - top[:, None])
             total_share = share.sum(1)
             beta[p] = top + np.log(total_share)
-            c = np.cumsum(share, 1) / total_share[:, None]
-            self.cumulative[p, :w] = c
-            self.cumulative[p, w - 1:] = 1.0
-            last = w - 1 - np.argmax(share[:, ::-1] > 0, 1)
-            rows = np.flatnonzero(last < w - 1)
-            for k in np.unique(last[rows]):
-                self.cumulative[p[rows[last[rows] == k]], k:] = 1.0
+            c = np.cumsum(share, 1)
+            # Nothing may be drawn beyond the last edge, whatever rounding makes of the sum.
+            self.cumulative[p, :w] = np.where(c >= c[:, -1:], 1.0, c / total_share[:, None])
+            self.cumulative[p, w:] = 1.0
         self.weight, self.beta, self.end = weight, beta, self.start[1:]
+        self._lone: dict[int, bool] = {}
+
+    def lone(self, unit: int) -> bool:
+        """Whether a unit has one segmentation only."""
+        if unit not in self._lone:
+            at, stop, alone = int(self.start[unit]), int(self.end[unit]), True
+            while alone and at < stop:
+                ways = np.flatnonzero(self.weight[at, :stop - at] > -np.inf)
+                alone, at = len(ways) == 1, at + int(ways[0]) + 1
+            self._lone[unit] = alone
+        return self._lone[unit]
 
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each occurrence of a unit: log-probability, and positions in :attr:`ids` of its edges, flat, with their numbers.
@@ -223,21 +234,85 @@ def _uniform(key: np.uint64, place: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
+class _Rest:
+    """What is left of a unit's segmentations when some are taken: a tree of the taken ones, and the branches that leave it.
+
+    Masses of branches are sums of positive numbers, so that they keep their precision however little is left.
+    """
+
+    def __init__(self, lattice: Lattice, unit: int):
+        self.lattice, self.start, self.stop = lattice, int(lattice.start[unit]), int(lattice.end[unit])
+        self.known: dict[tuple, int] = {}
+        self.branches: dict[tuple, float] = {}
+        self._grow((), self.start, -float(lattice.beta[self.start]))
+
+    def _grow(self, path: tuple, at: int, logp: float) -> None:
+        """Branches from a position that the taken segmentations have reached."""
+        width = self.lattice.ids.shape[1]
+        for l in range(min(width, self.stop - at)):
+            w = float(self.lattice.weight[at, l])
+            if w > -np.inf:
+                end = at + l + 1
+                self.branches[path + (at * width + l,)] = logp + w + (float(self.lattice.beta[end]) if end < self.stop else 0.0)
+
+    def take(self, edges: np.ndarray) -> None:
+        width = self.lattice.ids.shape[1]
+        path, logp = (), -float(self.lattice.beta[self.start])
+        for e in edges.tolist():
+            path += (e,)
+            at, l = divmod(e, width)
+            logp += float(self.lattice.weight[at, l])
+            if self.branches.pop(path, None) is not None and at + l + 1 < self.stop:
+                self._grow(path, at + l + 1, logp)
+
+    def log_mass(self) -> float:
+        return float(np.logaddexp.reduce(list(self.branches.values()))) if self.branches else -np.inf
+
+    def draw(self, r: np.ndarray) -> tuple[float, np.ndarray]:
+        """A segmentation that isn't taken: a branch by its mass, and on from there as the lattice goes. ``r``: uniform numbers."""
+        mass = np.array(list(self.branches.values()))
+        share = np.cumsum(np.exp(mass - mass.max()))
+        path = list(self.branches)[int(np.searchsorted(share, r[0] * share[-1], "right").clip(max=len(mass) - 1))]
+        lattice, width, out, k = self.lattice, self.lattice.ids.shape[1], list(path), 1
+        at = out[-1] // width + out[-1] % width + 1
+        while at < self.stop:
+            l = int((lattice.cumulative[at] <= np.float32(min(r[k], 1 - 2.0 ** -24))).sum())
+            out.append(at * width + l)
+            at, k = at + l + 1, k + 1
+        edges = np.array(out, np.int64)
+        return float(lattice.weight.ravel()[edges].astype(np.float64).sum() - lattice.beta[self.start]), edges
+
+
 class _Path:
     """A sample: its choices by unit, and the queue's nodes that it leaves, from unit ``first`` on."""
 
     __slots__ = ("value", "logp", "edges", "first", "bound", "upto", "taken")
 
-    def __init__(self, value, logp, edges, first, key, place):
+    def __init__(self, value, logp, edges, first, key, place, lattice, units):
         self.value, self.logp, self.edges, self.first = value, logp, edges, first
         self.upto = np.concatenate([[0.0], np.cumsum(logp)])
-        self.taken: dict[int, list[tuple[float, bytes]]] = {}
+        self.taken: dict[int, list] = {}
+        own = logp[first:]
         with np.errstate(divide="ignore"):
-            rest = np.log(-np.expm1(np.minimum(logp[first:], 0.0)))
-        rest[logp[first:] > -1e-12] = -np.inf
+            rest = np.log(-np.expm1(np.minimum(own, 0.0)))
+        for i in np.flatnonzero(own > -1e-6):
+            rest[i] = -np.inf if lattice.lone(int(units[i])) else self.left(lattice, units[i], first + i)[0].log_mass()
         g = self.upto[first:-1] + rest - np.log(-np.log(_uniform(key, np.arange(len(rest)) + place)))
         self.bound = _truncated(g, value)
 
+    def own(self, t: int) -> np.ndarray:
+        """Edges of unit ``t``."""
+        at = int(self.edges[1][:t].sum())
+        return self.edges[0][at:at + self.edges[1][t]]
+
+    def left(self, lattice, unit: int, t: int) -> list:
+        """What is left at unit ``t``, and the log-probabilities of what was taken there."""
+        if t not in self.taken:
+            rest = _Rest(lattice, int(unit))
+            rest.take(self.own(t))
+            self.taken[t] = [rest, [float(self.logp[t])]]
+        return self.taken[t]
+
 
 def _truncated(g, at):
     """A Gumbel value, given that the largest of all is ``at``."""
@@ -271,7 +346,7 @@ def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int
     state: dict[int, list[_Path]] = {}
     for d, lp, flat, counts in zip(docs, *walk([(d, 0, 0) for d in docs])):
         value = float(-np.log(-np.log(_uniform(key[d], np.array([1 << 40]))))[0])
-        state[d] = [_Path(value, lp, (flat, counts), 0, key[d], 1 << 41)]
+        state[d] = [_Path(value, lp, (flat, counts), 0, key[d], 1 << 41, lattice, number[ends[d]:ends[d + 1]])]
     for j in range(1, k):
         chosen = {}
         for d in docs:
@@ -280,43 +355,47 @@ def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int
             if best[0] > -np.inf:
                 p = paths[-best[1]]
                 t = p.first + int(p.bound.argmax())
-                at = int(p.edges[1][:t].sum())
-                taken = p.taken.setdefault(t, [(float(p.logp[t]), p.edges[0][at:at + p.edges[1][t]].tobytes())])
-                chosen[d] = [p, t, best[0], at, taken, None]
-        # Another choice for the node's unit: drawn until it isn't one of those taken, which is exact.
-        tries, open_ = 0, list(chosen)
-        while open_:
-            n = 4 << min(6, tries)
-            unit = np.repeat(np.array([number[ends[d] + chosen[d][1]] for d in open_]), n)
-            base = np.array([int(key[d]) + (j << 32) + (chosen[d][1] << 36) & _WORD for d in open_], np.uint64)
-            lp, flat, c = lattice.sample(unit, mix(np.repeat(base, n) + np.tile(np.arange(n), len(open_)).astype(np.uint64) + np.uint64(tries << 20)))
+                chosen[d] = [p, t, best[0], None]
+        # Another choice for the node's unit. A few draws at once find one for most first nodes; where all of them are taken, one is drawn from what is left.
+        fresh = [d for d, (p, t, _, _) in chosen.items() if t not in p.taken]
+        if fresh:
+            n = 8
+            unit = np.repeat(np.array([number[ends[d] + chosen[d][1]] for d in fresh]), n)
+            base = np.array([int(key[d]) + (j << 32) + (chosen[d][1] << 36) & _WORD for d in fresh], np.uint64)
+            lp, flat, c = lattice.sample(unit, mix(np.repeat(base, n) + np.tile(np.arange(n), len(fresh)).astype(np.uint64)))
             high = np.cumsum(c)
-            left = []
-            for i, d in enumerate(open_):
-                seen = {x for _, x in chosen[d][4]}
+            for i, d in enumerate(fresh):
+                seen = chosen[d][0].own(chosen[d][1]).tobytes()
                 for m in range(i * n, (i + 1) * n):
                     edge = flat[high[m] - c[m]:high[m]]
-                    if edge.tobytes() not in seen:
-                        chosen[d][5] = (float(lp[m]), edge)
+                    if edge.tobytes() != seen:
+                        chosen[d][3] = (float(lp[m]), edge)
                         break
-                else:
-                    left.append(d)
-            tries, open_ = tries + 1, left
         todo = []
-        for d, (p, t, value, _, taken, (lp, edge)) in chosen.items():
+        for d, one in chosen.items():
+            p, t, value, drawn = one
+            unit = int(number[ends[d] + t])
+            if drawn is None:
+                rest = p.left(lattice, unit, t)[0]
+                one[3] = drawn = rest.draw(_uniform(key[d], (np.arange(1 + rest.stop - rest.start) << 20) + np.int64((j << 44) + t + (1 << 60))))
+            last = j == k - 1
+            if last and t not in p.taken and (gone := np.exp(p.logp[t]) + np.exp(drawn[0])) < 1 - 1e-6:
+                log_rest = float(np.log1p(-gone))  # nothing more is drawn here: the mass alone is needed
+            else:
+                rest, _ = p.left(lattice, unit, t)
+                rest.take(drawn[1])
+                log_rest = rest.log_mass()
             todo.append((d, t + 1, j))
-            taken.append((lp, edge.tobytes()))
-            rest = 1.0 - sum(np.exp(q) for q, _ in taken)
-            # What rounding can't tell from nothing is nothing.
-            g = p.upto[t] + np.log(rest) - np.log(-np.log(_uniform(key[d], np.array([(j << 42) + t]))[0])) if rest > 1e-12 else -np.inf
+            g = p.upto[t] + log_rest - np.log(-np.log(_uniform(key[d], np.array([(j << 42) + t]))[0])) if log_rest > -np.inf else -np.inf
             p.bound[t - p.first] = _truncated(g, value)
         if not todo:
             break
-        for (d, first, _), (p, t, value, at, _, (lp, edge)), tail_lp, tail, tail_counts in zip(todo, chosen.values(), *walk(todo)):
+        for (d, first, _), (p, t, value, (lp, edge)), tail_lp, tail, tail_counts in zip(todo, chosen.values(), *walk(todo)):
+            at = int(p.edges[1][:t].sum())
             logp = np.concatenate([p.logp[:t], [lp], tail_lp])
             flat = np.concatenate([p.edges[0][:at], edge, tail])
             counts = np.concatenate([p.edges[1][:t], [len(edge)], tail_counts])
-            state[d].append(_Path(value, logp, (flat, counts), first, key[d], (1 << 41) + (j << 44)))
+            state[d].append(_Path(value, logp, (flat, counts), first, key[d], (1 << 41) + (j << 44), lattice, number[ends[d] + first:ends[d + 1]]))
     out = []
     for d in range(len(texts)):
         if d not in state:
@@ -338,15 +417,28 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
+def _spelled(v: Vocabulary, samples: list[np.ndarray]) -> list[bytes]:
+    """What each of many samples spells, without the dummy prefix's space."""
+    ids = np.concatenate(samples) if samples else np.empty(0, np.int64)
+    n = v.length[ids]
+    upto = np.cumsum(n)
+    raw = v.buffer[np.repeat(v.offset[ids] - (upto - n), n) + np.arange(int(n.sum()))].tobytes()
+    ends = np.concatenate([[0], upto])[np.cumsum([0] + [len(s) for s in samples])].tolist()
+    return [raw[a + (raw[a:a + 1] == b" " and b > a):b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def _sampler(path: str, k: int, seed: int, alpha: float, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, alpha)
         for batch in slices(batches, "text", 1 << 22):
             docs, raw = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             cols: list[list] = [[] for _ in range(8)]
-            for d, t, found in zip(docs, raw, sample_texts(v, docs, raw, k, seed)):
-                for rank, (ids, lp, value, inclusion) in enumerate(found, 1):
-                    row = (d, rank, len(ids), lp, value, inclusion, decode_ids(v, ids) == t,
+            found = sample_texts(v, docs, raw, k, seed)
+            spelled = iter(_spelled(v, [ids for own in found for ids, *_ in own]))
+            for d, t, own in zip(docs, raw, found):
+                t = t.encode("utf-8", "surrogatepass")
+                for rank, (ids, lp, value, inclusion) in enumerate(own, 1):
+                    row = (d, rank, len(ids), lp, value, inclusion, next(spelled) == t,
                            zlib.crc32(ids.astype("<u4").tobytes()) if digest else ids.astype(np.int32))
                     for c, x in zip(cols, row):
                         c.append(x)
