@@ -53,6 +53,19 @@ def test_repeats(spark, cases, small):
     assert text[7] == "before after" and text[6] == PASSAGE
 
 
+def test_repeats_come_from_the_automata(spark, monkeypatch):
+    """Small shards find the same; without the automata's hits nothing is removed from texts that differ."""
+    raw = [(i, f"a{i} b{i} " + PASSAGE + " " + " ".join(f"z{i}x{j}" for j in range(30)) + (" " + PASSAGE if i == 2 else "")) for i in range(4)]
+    df = spark.createDataFrame(raw, "doc_id long, text string")
+    monkeypatch.setattr(repeats, "_SHARD_WORDS", 60)
+    starts = np.array([0, 70, 140])
+    x = np.arange(200, dtype=np.uint64)
+    x[100:120] = x[:20]
+    assert repeats._locate(x, np.array([0, 90, 200]), np.arange(181, dtype=np.uint64), starts, 20).tolist() == [0, 70, 100, 140]
+    monkeypatch.undo()
+    assert rows(repeats.remove_repeats(df, digest=True), "doc_id", "n_words", "n_removed", "kept") == B.repeats(raw)
+
+
 def test_near_duplicates(spark, cases, small):
     for df, raw in both(spark, cases, small):
         got = nearduplicates.near_duplicates(df)

@@ -4,13 +4,15 @@ A window is ``window`` consecutive words of one document. A word goes if a windo
 also starts in a document of smaller doc_id.
 
 1. Confirm: of each window, the phrase (``phrase`` words) of smallest hash is its anchor, so equal windows have equal anchors.
-   A phrase that is an anchor in two different texts is a recurring one; counting takes one narrow aggregation.
-2. Compile and stream: documents are dealt out in blocks (Arrow batches), each with the recurring phrases that its documents
-   hold. For each block, an Aho-Corasick automaton is compiled of these, over words as symbols, and all the block's documents are streamed
-   through it, which locates every occurrence. So every document is read by one automaton, whose size follows the block's.
-3. Exact check: windows around the occurrences are looked up by 128 bits (anchor and window hash) among those of all documents; the smallest
-   doc_id of each decides.
-
+   A phrase that is an anchor in two different texts is a recurring one; counting takes one narrow aggregation, and gives each document the places of its own
+   recurring phrases.
+2. Compile and stream: documents are dealt out in blocks (Arrow batches). Each block's shard of the automata is compiled of the words at these places, and all
+   the block's documents are streamed through it over words as symbols, which locates every occurrence. A window is a candidate only where the
+   automaton has located its anchor. A shard has 800,000 words of phrases at most (a block with more, from one very long text, is streamed through several).
+3. Exact check: candidate windows are looked up by two 64-bit hashes (of anchor and window, both over 64-bit hashes of the words) among those of all
+   documents; the smallest doc_id of each decides.
+
+Documents without a recurring phrase stay where they are, as long as the others' keys may be broadcast; only the others' texts are shuffled.
 Rows of equal text count once in 1 and 2: all but those of the smallest doc_id lose every word, if there is a window at all. Null and
 empty texts have no words. Rows without a doc_id are kept whole and decide nothing. Repeated rows (equal doc_id and text) aren't earlier than each other.
 An empty table gives an empty result; extra columns are ignored.
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 
 from verdata.llm.hashing import run_hashes, sliding_min, word_hashes
 from verdata.llm.text import slices, texts, words_of
-from verdata.plans.storage import materialize
+from verdata.plans.storage import SMALL_ROWS, drop, materialize
 
 #: Code points from here on stand for words; below are the surrogates, which a string can't hold.
 _FIRST = 0xE000
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Words of the phrases of one automaton at most (they must fit into the code points, and bound its memory).
+_SHARD_WORDS = 800_000
 
 
 def _anchors(x: np.ndarray, ends: np.ndarray, window: int, phrase: int):
@@ -51,17 +54,20 @@ def _emit_anchors(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, ends = word_hashes([words_of(t) for t in texts(batch, "text")])
-            _, least, inside = _anchors(x, ends, window, phrase)
+            grams, least, inside = _anchors(x, ends, window, phrase)
             new = inside.copy()
             new[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
             at = np.flatnonzero(new)
             doc = np.searchsorted(ends, at, "right") - 1
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(least[at].view(np.int64))], ["doc_id", "row", "phrase"])
+            # Where the anchor stands in its window.
+            place = np.concatenate([np.argmax(grams[some[:, None] + np.arange(window - phrase + 1)] == least[some, None], 1) for some in np.array_split(at, 1 + len(at) // 50_000)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(least[at].view(np.int64)), pa.array((at + place - ends[doc]).astype(np.int32))],
+                                             ["doc_id", "row", "phrase", "start"])
     return run
 
 
-def _compile(grams: np.ndarray, symbols: np.ndarray, starts: np.ndarray, phrase: int):
+def _compile(symbols: np.ndarray, starts: np.ndarray, phrase: int):
     """Automaton of the phrases that start at ``starts``, over one code point for each word."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for at in starts:
@@ -70,20 +76,21 @@ def _compile(grams: np.ndarray, symbols: np.ndarray, starts: np.ndarray, phrase:
     return automaton
 
 
-def _locate(x: np.ndarray, ends: np.ndarray, grams: np.ndarray, wanted: np.ndarray, phrase: int) -> np.ndarray:
-    """Positions of all occurrences of the wanted phrases in a block of documents."""
-    first = np.flatnonzero(np.isin(grams, wanted))
-    cross = np.searchsorted(ends, first, "right") != np.searchsorted(ends, first + phrase - 1, "right")
-    first = first[~cross]
-    if not len(first):
-        return first
-    _, one = np.unique(grams[first], return_index=True)
-    one = first[one]
-    vocabulary = np.unique(x[(one[:, None] + np.arange(phrase)).ravel()])
+def _locate(x: np.ndarray, ends: np.ndarray, grams: np.ndarray, confirmed: np.ndarray, phrase: int) -> np.ndarray:
+    """Positions of all occurrences, in a block of documents, of the phrases at the confirmed places."""
+    _, one = np.unique(grams[confirmed], return_index=True)
+    one = confirmed[one]
+    found = [_stream_shard(x, ends, one[i:i + _SHARD_WORDS // phrase], phrase) for i in range(0, len(one), _SHARD_WORDS // phrase)]
+    return np.unique(np.concatenate(found))
+
+
+def _stream_shard(x: np.ndarray, ends: np.ndarray, starts: np.ndarray, phrase: int) -> np.ndarray:
+    """Positions of all occurrences of the phrases that start at ``starts``: one automaton, through which all documents of the block go."""
+    vocabulary = np.unique(x[(starts[:, None] + np.arange(phrase)).ravel()])
     at = np.searchsorted(vocabulary, x)
     at[at == len(vocabulary)] = 0
     symbols = np.where(vocabulary[at] == x, at + _FIRST + 2, _FIRST).astype("<u4")
-    automaton = _compile(grams, symbols, one, phrase)
+    automaton = _compile(symbols, starts, phrase)
     # A symbol of its own between documents: no phrase runs over it.
     stream = np.insert(symbols, ends[1:-1], np.uint32(_FIRST + 1)).astype("<u4").tobytes().decode("utf-32-le")
     found = np.fromiter((e for e, _ in automaton.iter(stream)), np.int64)
@@ -93,6 +100,7 @@ def _locate(x: np.ndarray, ends: np.ndarray, grams: np.ndarray, wanted: np.ndarr
 
 _BLOCK = ("doc_id long, row long, n_words long, n_removed long, kept string, text string, "
           "phrases array<long>, hashes array<long>, starts array<int>")
+_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _keep(words: list[bytes], digest: bool) -> str:
@@ -108,26 +116,26 @@ def _stream(window: int, phrase: int, digest: bool):
             raw = texts(batch, "text")
             words = [words_of(t) for t in raw]
             twin = batch.column("twin").to_pylist()
-            wanted = batch.column("phrases")
+            places = batch.column("places").to_pylist()
             out: dict[str, list] = {k: [] for k in ("n_removed", "kept", "text", "phrases", "hashes", "starts")}
-            wanted = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if wanted.null_count < len(wanted) else np.empty(0, np.uint64)
-            hit = np.empty(0, np.int64)
-            if len(wanted):
+            some_ = any(places)
+            if some_:
                 x, ends = word_hashes(words)
                 grams, least, inside = _anchors(x, ends, window, phrase)
-                located = _locate(x, ends, grams, np.unique(wanted), phrase)
-                # Windows whose anchor is a phrase that the automaton has located in them.
-                hit = np.flatnonzero(inside & np.isin(least, np.unique(grams[located])))
+                located = _locate(x, ends, grams, np.concatenate([np.array(p, np.int64) + e for p, e in zip(places, ends) if p]), phrase)
+                there = np.full(len(grams), _NEVER)
+                there[located] = grams[located]
+                hit = np.flatnonzero(inside & (sliding_min(there, span + 1) == least))
                 whole = run_hashes(x, window, seed=1)
                 edges = np.searchsorted(hit, ends)
             for i, (w, t) in enumerate(zip(words, raw)):
-                a, b = (edges[i], edges[i + 1]) if len(wanted) else (0, 0)
+                a, b = (edges[i], edges[i + 1]) if some_ else (0, 0)
                 gone = bool(twin[i]) and len(w) >= window
                 some = b > a and not twin[i]
                 out["n_removed"].append(len(w) if gone else 0)
                 out["kept"].append(None if some else _keep([] if gone else w, digest))
                 out["text"].append(t if some else None)
-                at = hit[a:b] if some else hit[:0]
+                at = hit[a:b] if some else None
                 out["phrases"].append(least[at].view(np.int64) if some else None)
                 out["hashes"].append(whole[at].view(np.int64) if some else None)
                 out["starts"].append((at - ends[i]).astype(np.int32) if some else None)
@@ -162,16 +170,29 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 20, digest:
     same = materialize(docs.select(*key, F.unhex(F.sha2("text", 256)).alias("_text")).distinct())
     first = same.groupBy("_text").agg(F.min("doc_id").alias("_first"))
     twins = same.join(first, "_text").where(F.col("doc_id") > F.col("_first")).select(*key, F.lit(True).alias("twin"))
-    anchors = materialize(docs.where("doc_id is not null").mapInArrow(_emit_anchors(window, phrase), "doc_id long, row long, phrase long"))
+    anchors = materialize(docs.where("doc_id is not null").mapInArrow(_emit_anchors(window, phrase), "doc_id long, row long, phrase long, start int"))
     recurring = anchors.groupBy("phrase").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("phrase")
-    held = anchors.join(recurring, "phrase").groupBy(*key).agg(F.collect_set("phrase").alias("phrases"))
-    plan = held.join(twins, key, "full")
-    blocks = docs.join(plan, [docs.doc_id.eqNullSafe(plan.doc_id), docs.row == plan.row], "left").select(docs.doc_id, docs.row, "text", "phrases", F.coalesce("twin", F.lit(False)).alias("twin"))
+    held = anchors.join(recurring, "phrase").groupBy(*key).agg(F.collect_set("start").alias("places"))
+    plan = materialize(held.join(twins, key, "full").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "places", "twin"))
+    drop(same, anchors)
+    here = docs.doc_id.eqNullSafe(F.col("d")) & (docs.row == F.col("r"))
+    columns = ["doc_id", "row", "text", "places", F.coalesce("twin", F.lit(False)).alias("twin")]
+    keys = plan.select("d", "r")
+    if plan.count() <= SMALL_ROWS:
+        planned = docs.join(F.broadcast(keys), here, "left_semi").join(plan.hint("merge"), here)
+        plain = docs.join(F.broadcast(keys), here, "left_anti").select("*", F.lit(None).cast("array<int>").alias("places"), F.lit(False).alias("twin"))
+        blocks = planned.select(*columns).union(plain)
+    else:
+        blocks = docs.join(plan, here, "left").select(*columns)
     done = materialize(blocks.mapInArrow(_stream(window, phrase, digest), _BLOCK))
+    drop(plan)
     windows = done.where("starts is not null").select(*key, F.explode(F.arrays_zip("phrases", "hashes", "starts")).alias("w")).select(*key, "w.*")
     windows = windows.withColumnsRenamed({"phrases": "phrase", "hashes": "hash", "starts": "start"})
+    # Written first, so that the join with it has a plain exchange on both sides, whose hot keys can be split.
     earliest = windows.groupBy("phrase", "hash").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
-    gone = windows.join(earliest, ["phrase", "hash"]).where("doc_id > _first").groupBy(*key).agg(F.collect_list("start").alias("gone"))
+    earliest = materialize(earliest)
+    gone = materialize(windows.join(earliest, ["phrase", "hash"]).where("doc_id > _first").groupBy(*key).agg(F.collect_list("start").alias("gone")))
+    drop(earliest)
     cut = done.where("starts is not null").select(*key, "text").join(gone, key, "left").select("doc_id", "text", "gone")
     cut = cut.mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
     return done.where("starts is null").select("doc_id", "n_words", "n_removed", "kept").unionByName(cut)
