@@ -381,7 +381,7 @@ def test_segmentations_come_out_whole():
         ways = [0] * (len(text) + 2)
         ways[len(text) + 1] = 1
         for at in range(len(text), -1, -1):
-            ways[at] = sum(ways[at + n + 1] for n in range(lattice.ids.shape[1]) if at + n + 1 < len(ways) and lattice.weight[at, n] > -np.inf)
+            ways[at] = sum(ways[int(lattice.dest[e])] for e in range(int(lattice.first[at]), int(lattice.last[at])))
         assert len(found) == len({tuple(x[0].tolist()) for x in found}) == ways[0] and all(x[3] == 1.0 for x in found)
         assert abs(sum(np.exp(x[1]) for x in found) - 1) < 1e-5
     every = {tuple(x[0].tolist()): np.exp(x[1]) for x in segment.sample_texts(v, [1], ["cat"], 50, 7)[0]}

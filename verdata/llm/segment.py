@@ -18,9 +18,10 @@ inclusion 1. Rows of equal key and text get equal samples. An empty table gives
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +112,11 @@ def vocabulary(path: str, alpha: float = 0.25) -> Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct units side by side: position p's edge of length l has weight and id at [p, l - 1]."""
+    """The lattices of distinct units side by side, as edges: those of a position stand together, the longest first.
+
+    Positions are ordered by their distance from the unit's end, so that edges of equal distance form one stretch; :attr:`first` and :attr:`last`
+    are a position's edges, and :attr:`cum` the running share of the position's segmentations that go through them.
+    """
 
     def __init__(self, v: Vocabulary, units: list[str]):
         self.v = v
@@ -135,35 +140,49 @@ class Lattice:
         while len(found) > 1 and not len(found[-1][0]):
             found.pop()
         width = max(1, len(found))
-        self.ids = np.full((total, width), -1, np.int32)
-        for l, (where, ids) in enumerate(found):
-            self.ids[where, l] = ids
-        weight = np.append(v.weight, -np.inf).astype(np.float32)[self.ids]
-        lone = self.ids[:, 0] < 0
-        bytes_ = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        weight[lone, 0] = v.of_byte * bytes_[lone]
-        # Log-sums over all ways to the unit's end, last positions first.
-        beta = np.zeros(total + width + 1)
         left = end - np.arange(total)
         order = np.argsort(left, kind="stable")
+        rank = np.empty(total, np.int64)
+        rank[order] = np.arange(total)
+        ids = np.full((total, width), -2, np.int32)
+        ids[:, width - 1] = -1  # a lone character, unless it is a piece
+        for l, (where, own) in enumerate(found):
+            ids[rank[where], width - 1 - l] = own
+        edge = np.flatnonzero(ids.ravel() > -2)
+        row, column = np.divmod(edge, width)
+        self.id = ids.ravel()[edge]
+        self.source = order[row]
+        self.dest = self.source + (width - column)
+        count = np.bincount(row, minlength=total)
+        upto = np.cumsum(count)
+        self.first, self.last = np.empty(total, np.int64), np.empty(total, np.int64)
+        self.first[order], self.last[order] = upto - count, upto
+        weight = v.weight[self.id]
+        lone = np.flatnonzero(self.id < 0)
+        letters = code[self.source[lone]]
+        weight[lone] = v.of_byte * (1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000))
+        # Log-sums over all ways to the unit's end, last positions first. A unit's end is where the next unit starts, whose own sum doesn't count.
+        beta = np.zeros(total + 1)
+        self.cum = np.empty(len(edge))
+        inside = self.dest < end[self.source]
         bounds = np.searchsorted(left[order], np.arange(1, int(n.max(initial=0)) + 2))
-        self.cumulative = np.zeros((total, width), np.float32)
-        for d in range(1, len(bounds)):
-            p = order[bounds[d - 1]:bounds[d]]
-            w = min(d, width)
-            x = weight[p, :w]
-            tail = beta[p[:, None] + np.arange(1, w + 1)]
-            if d <= width:
-                tail[:, d - 1] = 0.0  # the unit's end; the next unit's first position has a sum of its own
-            x = x + tail
-            top = x.max(1)
-            share = np.exp(x - top[:, None])
-            total_share = share.sum(1)
-            beta[p] = top + np.log(total_share)
-            c = np.cumsum(share, 1)
+        starts = upto - count
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if lo == hi:
+                continue
+            a, b = int(starts[lo]), int(upto[hi - 1])
+            c, s0 = count[lo:hi], starts[lo:hi] - a
+            x = weight[a:b] + np.where(inside[a:b], beta[self.dest[a:b]], 0.0)
+            top = np.maximum.reduceat(x, s0)
+            share = np.exp(x - np.repeat(top, c))
+            whole = np.add.reduceat(share, s0)
+            beta[order[lo:hi]] = top + np.log(whole)
+            run = np.cumsum(share)
+            before = run[s0] - share[s0]
+            cum = (run - np.repeat(before, c)) / np.repeat(whole, c)
             # Nothing may be drawn beyond the last edge, whatever rounding makes of the sum.
-            self.cumulative[p, :w] = np.where(c >= c[:, -1:], 1.0, c / total_share[:, None])
-            self.cumulative[p, w:] = 1.0
+            cum[upto[lo:hi] - a - 1] = 1.0
+            self.cum[a:b] = cum
         self.weight, self.beta, self.end = weight, beta, self.start[1:]
         self._lone: dict[int, bool] = {}
 
@@ -172,33 +191,39 @@ class Lattice:
         if unit not in self._lone:
             at, stop, alone = int(self.start[unit]), int(self.end[unit]), True
             while alone and at < stop:
-                ways = np.flatnonzero(self.weight[at, :stop - at] > -np.inf)
-                alone, at = len(ways) == 1, at + int(ways[0]) + 1
-            self._lone[unit] = alone
+                e = int(self.first[at])
+                alone, at = self.last[at] - e == 1, int(self.dest[e])
+            self._lone[unit] = bool(alone)
         return self._lone[unit]
 
+    def draw(self, at: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """An edge of each position, by its share, for uniform numbers."""
+        e = self.first[at]
+        open_ = np.flatnonzero(self.cum[e] <= r)
+        while len(open_):
+            e[open_] += 1
+            open_ = open_[self.cum[e[open_]] <= r[open_]]
+        return e
+
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each occurrence of a unit: log-probability, and positions in :attr:`ids` of its edges, flat, with their numbers.
+        """For each occurrence of a unit: log-probability, and its edges, flat, with their numbers.
 
         ``key`` seeds each occurrence's random numbers.
         """
-        cur, stop = self.start[unit].copy(), self.end[unit]
-        logp = -self.beta[cur]
-        logp[cur == stop] = 0.0
+        cur, stop = self.start[unit], self.end[unit]
         live = np.flatnonzero(cur < stop)
-        steps, width, k = [], self.ids.shape[1], 0
+        logp = np.zeros(len(unit))
+        logp[live] = -self.beta[cur[live]]
+        counts = np.zeros(len(unit), np.int64)
+        steps = []
         while len(live):
-            r = (mix(key[live] + np.uint64(k)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24)
-            at = cur[live]
-            l = (self.cumulative[at] <= r[:, None]).sum(1)
-            logp[live] += self.weight[at, l]
-            steps.append((live, at * width + l))
-            cur[live] = at + l + 1
+            r = (mix(key[live] + np.uint64(len(steps))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+            e = self.draw(cur[live], r)
+            logp[live] += self.weight[e]
+            counts[live] += 1
+            steps.append((live, e))
+            cur[live] = self.dest[e]
             live = live[cur[live] < stop[live]]
-            k += 1
-        counts = np.zeros(len(unit), np.int64)
-        for who, _ in steps:
-            counts[who] += 1
         first = np.cumsum(counts) - counts
         flat = np.empty(int(counts.sum()), np.int64)
         for k, (who, edge) in enumerate(steps):
@@ -207,11 +232,11 @@ class Lattice:
 
     def pieces(self, flat: np.ndarray) -> np.ndarray:
         """Ids of edges; a character without a piece becomes its bytes."""
-        ids = self.ids.ravel()[flat].astype(np.int64)
+        ids = self.id[flat].astype(np.int64)
         lone = np.flatnonzero(ids < 0)
         if not len(lone):
             return ids
-        codes = self.code[flat[lone] // self.ids.shape[1]]
+        codes = self.code[self.source[flat[lone]]]
         if codes.max() < 128:
             ids[lone] = self.v.byte[codes]
             return ids
@@ -230,7 +255,7 @@ def _key(seed: int, text: str, doc: int | None) -> np.uint64:
 
 
 def _uniform(key: np.uint64, place: np.ndarray) -> np.ndarray:
-    x = mix(np.uint64(key) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    x = mix(np.asarray(key, np.uint64) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
@@ -242,28 +267,25 @@ class _Rest:
 
     def __init__(self, lattice: Lattice, unit: int):
         self.lattice, self.start, self.stop = lattice, int(lattice.start[unit]), int(lattice.end[unit])
-        self.known: dict[tuple, int] = {}
         self.branches: dict[tuple, float] = {}
         self._grow((), self.start, -float(lattice.beta[self.start]))
 
     def _grow(self, path: tuple, at: int, logp: float) -> None:
         """Branches from a position that the taken segmentations have reached."""
-        width = self.lattice.ids.shape[1]
-        for l in range(min(width, self.stop - at)):
-            w = float(self.lattice.weight[at, l])
-            if w > -np.inf:
-                end = at + l + 1
-                self.branches[path + (at * width + l,)] = logp + w + (float(self.lattice.beta[end]) if end < self.stop else 0.0)
+        x = self.lattice
+        for e in range(int(x.first[at]), int(x.last[at])):
+            end = int(x.dest[e])
+            self.branches[path + (e,)] = logp + float(x.weight[e]) + (float(x.beta[end]) if end < self.stop else 0.0)
 
     def take(self, edges: np.ndarray) -> None:
-        width = self.lattice.ids.shape[1]
-        path, logp = (), -float(self.lattice.beta[self.start])
+        x = self.lattice
+        path, logp = (), -float(x.beta[self.start])
         for e in edges.tolist():
             path += (e,)
-            at, l = divmod(e, width)
-            logp += float(self.lattice.weight[at, l])
-            if self.branches.pop(path, None) is not None and at + l + 1 < self.stop:
-                self._grow(path, at + l + 1, logp)
+            logp += float(x.weight[e])
+            end = int(x.dest[e])
+            if self.branches.pop(path, None) is not None and end < self.stop:
+                self._grow(path, end, logp)
 
     def log_mass(self) -> float:
         return float(np.logaddexp.reduce(list(self.branches.values()))) if self.branches else -np.inf
@@ -273,14 +295,13 @@ class _Rest:
         mass = np.array(list(self.branches.values()))
         share = np.cumsum(np.exp(mass - mass.max()))
         path = list(self.branches)[int(np.searchsorted(share, r[0] * share[-1], "right").clip(max=len(mass) - 1))]
-        lattice, width, out, k = self.lattice, self.lattice.ids.shape[1], list(path), 1
-        at = out[-1] // width + out[-1] % width + 1
+        x, out, k = self.lattice, list(path), 1
+        at = int(x.dest[out[-1]])
         while at < self.stop:
-            l = int((lattice.cumulative[at] <= np.float32(min(r[k], 1 - 2.0 ** -24))).sum())
-            out.append(at * width + l)
-            at, k = at + l + 1, k + 1
+            out.append(int(x.draw(np.array([at]), r[k:k + 1])[0]))
+            at, k = int(x.dest[out[-1]]), k + 1
         edges = np.array(out, np.int64)
-        return float(lattice.weight.ravel()[edges].astype(np.float64).sum() - lattice.beta[self.start]), edges
+        return float(x.weight[edges].sum() - x.beta[self.start]), edges
 
 
 class _Path:
@@ -288,17 +309,9 @@ class _Path:
 
     __slots__ = ("value", "logp", "edges", "first", "bound", "upto", "taken")
 
-    def __init__(self, value, logp, edges, first, key, place, lattice, units):
-        self.value, self.logp, self.edges, self.first = value, logp, edges, first
-        self.upto = np.concatenate([[0.0], np.cumsum(logp)])
+    def __init__(self, value, logp, edges, first, upto, bound):
+        self.value, self.logp, self.edges, self.first, self.upto, self.bound = value, logp, edges, first, upto, bound
         self.taken: dict[int, list] = {}
-        own = logp[first:]
-        with np.errstate(divide="ignore"):
-            rest = np.log(-np.expm1(np.minimum(own, 0.0)))
-        for i in np.flatnonzero(own > -1e-6):
-            rest[i] = -np.inf if lattice.lone(int(units[i])) else self.left(lattice, units[i], first + i)[0].log_mass()
-        g = self.upto[first:-1] + rest - np.log(-np.log(_uniform(key, np.arange(len(rest)) + place)))
-        self.bound = _truncated(g, value)
 
     def own(self, t: int) -> np.ndarray:
         """Edges of unit ``t``."""
@@ -314,6 +327,27 @@ class _Path:
         return self.taken[t]
 
 
+def _paths(made: list, keys: list, place: int, lattice: Lattice, units: list) -> list[_Path]:
+    """Samples from (value, log-probabilities and edges by unit, first free unit), with the bounds of the nodes that they leave, all at once."""
+    sizes = np.array([len(lp) - first for _, lp, _, first in made])
+    uptos = [np.concatenate([[0.0], np.cumsum(lp)]) for _, lp, _, _ in made]
+    own = np.concatenate([lp[first:] for _, lp, _, first in made])
+    with np.errstate(divide="ignore"):
+        rest = np.log(-np.expm1(np.minimum(own, 0.0)))
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    g = np.concatenate([u[first:-1] for u, (_, _, _, first) in zip(uptos, made)]) + rest - np.log(-np.log(_uniform(np.repeat(np.array(keys, np.uint64), sizes), inner + place)))
+    bound = _truncated(g, np.repeat(np.array([value for value, *_ in made]), sizes))
+    ends = np.cumsum(sizes)
+    out = [_Path(value, lp, edges, first, u, x) for (value, lp, edges, first), u, x in zip(made, uptos, np.split(bound, ends[:-1]))]
+    # Where next to nothing is left, or nothing, rounding can't tell; what is left is summed up instead.
+    for i in np.flatnonzero(own > -1e-6):
+        d, t = int(np.searchsorted(ends, i, "right")), int(inner[i])
+        p, unit = out[d], int(units[d][t])
+        left = -np.inf if lattice.lone(unit) else p.left(lattice, unit, p.first + t)[0].log_mass()
+        p.bound[t] = _truncated(p.upto[p.first + t] + left + g[i] - p.upto[p.first + t] - rest[i], p.value) if left > -np.inf else -np.inf
+    return out
+
+
 def _truncated(g, at):
     """A Gumbel value, given that the largest of all is ``at``."""
     return -np.logaddexp(-at, -g)
@@ -322,12 +356,11 @@ def _truncated(g, at):
 def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` distinct samples: ids, log-probability, perturbed value and inclusion probability."""
     units = [t.split(" ") if t else [] for t in texts]
-    distinct = dict.fromkeys(chain.from_iterable(units))
+    distinct: defaultdict = defaultdict(count().__next__)
+    number = np.fromiter(map(distinct.__getitem__, chain.from_iterable(units)), np.int64)
     if not distinct:
         return [[(np.empty(0, np.int64), 0.0, 0.0, 1.0)] for _ in texts]
     lattice = Lattice(v, [_MARK + u for u in distinct])
-    distinct = dict(zip(distinct, range(len(distinct))))
-    number = np.fromiter(map(distinct.__getitem__, chain.from_iterable(units)), np.int64)
     ends = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(u) for u in units], out=ends[1:])
     key = [_key(seed, t, d) for t, d in zip(texts, keys)]
@@ -344,9 +377,10 @@ def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int
 
     docs = [d for d in range(len(texts)) if units[d]]
     state: dict[int, list[_Path]] = {}
-    for d, lp, flat, counts in zip(docs, *walk([(d, 0, 0) for d in docs])):
-        value = float(-np.log(-np.log(_uniform(key[d], np.array([1 << 40]))))[0])
-        state[d] = [_Path(value, lp, (flat, counts), 0, key[d], 1 << 41, lattice, number[ends[d]:ends[d + 1]])]
+    values = -np.log(-np.log(_uniform(np.array([key[d] for d in docs], np.uint64), np.full(len(docs), 1 << 40))))
+    made = [(value, lp, (flat, counts), 0) for value, lp, flat, counts in zip(values.tolist(), *walk([(d, 0, 0) for d in docs]))]
+    for d, p in zip(docs, _paths(made, [key[d] for d in docs], 1 << 41, lattice, [number[ends[d]:ends[d + 1]] for d in docs])):
+        state[d] = [p]
     for j in range(1, k):
         chosen = {}
         for d in docs:
@@ -390,12 +424,14 @@ def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int
             p.bound[t - p.first] = _truncated(g, value)
         if not todo:
             break
+        made = []
         for (d, first, _), (p, t, value, (lp, edge)), tail_lp, tail, tail_counts in zip(todo, chosen.values(), *walk(todo)):
             at = int(p.edges[1][:t].sum())
             logp = np.concatenate([p.logp[:t], [lp], tail_lp])
             flat = np.concatenate([p.edges[0][:at], edge, tail])
-            counts = np.concatenate([p.edges[1][:t], [len(edge)], tail_counts])
-            state[d].append(_Path(value, logp, (flat, counts), first, key[d], (1 << 41) + (j << 44), lattice, number[ends[d] + first:ends[d + 1]]))
+            made.append((value, logp, (flat, np.concatenate([p.edges[1][:t], [len(edge)], tail_counts])), first))
+        for (d, _, _), p in zip(todo, _paths(made, [key[d] for d, _, _ in todo], (1 << 41) + (j << 44), lattice, [number[ends[d] + first:ends[d + 1]] for d, first, _ in todo])):
+            state[d].append(p)
     out = []
     for d in range(len(texts)):
         if d not in state:
@@ -430,7 +466,7 @@ def _spelled(v: Vocabulary, samples: list[np.ndarray]) -> list[bytes]:
 def _sampler(path: str, k: int, seed: int, alpha: float, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, alpha)
-        for batch in slices(batches, "text", 1 << 22):
+        for batch in slices(batches, "text", 1 << 21):
             docs, raw = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             cols: list[list] = [[] for _ in range(8)]
             found = sample_texts(v, docs, raw, k, seed)
