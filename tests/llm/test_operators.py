@@ -126,6 +126,43 @@ def test_license_blocks_cross_lines(spark):
     assert [tuple(b) for b in found[1]["blocks"]] == [("bsd", 1, 0, 1.0)] and [b["line"] for b in found[6]["blocks"]] == [3, 0]
 
 
+def test_licenses_that_differ_in_a_word(spark):
+    text = {1: "released under the BSD license", 2: "released under the GPL license", 3: "Licensed under Creative Commons Attribution ShareAlike 4.0", 4: "licensed under creative commons attribution 4.0",
+            5: "GNU General Public License, version 2", 6: "Licensed under Creative Commons Attribution NonCommercial 4.0", 7: "this work is licensed under the GNU General Public License version 2",
+            8: "licensed under creative commons attribution 4.0 " + "x " * 90 + "licensed under creative commons attribution sharealike 4.0", 9: "released under the zlib license",
+            10: "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated files, to deal in the Software without restriction,\nincluding without limitation the rights"}
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    want = {1: "bsd", 2: "gpl", 3: "cc-by-sa", 4: "cc-by", 5: "", 6: "cc-by-nc", 7: "gpl-2", 8: "cc-by,cc-by-sa", 9: "", 10: "mit"}
+    assert got == want
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(spark.createDataFrame([(1, "x")], "doc_id long, text string"), window=20)
+
+
+def test_license_labels_and_scores_against_all_windows(spark):
+    """``labels`` and ``score`` of random documents against every window of 64 words."""
+    rng = np.random.default_rng(5)
+    plain = [(label, t) for label, t in licenses.TEMPLATES if label not in licenses.NARROWER]
+    raw = []
+    for d in range(120):
+        words = []
+        for _ in range(int(rng.integers(0, 5))):
+            for w in plain[int(rng.integers(len(plain)))][1].split():
+                words += [w] * bool(rng.random() < 0.9) + ["x"] * int(rng.integers(0, 3) == 0)
+            words += ["filler"] * int(rng.integers(0, 40))
+        raw.append((d, "".join(w + ("\n" if rng.random() < 0.1 else " ") for w in words)))
+    for r in licenses.scan_licenses(spark.createDataFrame(raw, "doc_id long, text string"), templates=plain, phrases=()).collect():
+        w = raw[r["doc_id"]][1].split()
+        best: dict = {}
+        for i in range(max(1, len(w))):
+            held = set(w[i:i + 64])
+            for label, t in plain:
+                s = set(t.split())
+                must = {x for a, begin, words in licenses.REQUIRED if a == label and t.startswith(begin) for x in words.split()}
+                if len(s & held) >= 0.8 * len(s) - 1e-9 and must <= held:
+                    best[label] = max(best.get(label, 0), len(s & held) / len(s))
+        assert r["labels"] == ",".join(sorted(best)) and abs(r["score"] - max(best.values(), default=0)) < 1e-9
+
+
 def test_license_blocks_are_all_windows():
     """Groups of blocks against every window of the words."""
     rng = np.random.default_rng(3)

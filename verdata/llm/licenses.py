@@ -6,7 +6,8 @@ template is a set of words; a block holds it if at least ``threshold`` of the te
 the block. Reported are each line's own blocks (windows of a step of half their length), and of overlapping blocks over line ends
 or between these steps the best, where it holds more than its lines' own: by the line of its first word. The join is exact: words are ordered by their frequency over all documents, rarest first;
 a block can only reach the threshold if it holds a word of the template's prefix (prefix filter), has
-enough template words at all (length filter) and has enough left after its first match (positional filter).
+enough template words at all (length filter) and has enough left after its first match (positional filter). Wordings that differ in a word have
+words that a block must hold besides (:data:`REQUIRED`), and a label of wider terms gives way where its blocks overlap ones of narrower terms (:data:`NARROWER`).
 
 Null and empty texts have no words and no labels. Repeated rows each get their own result; ties in
 frequency go by the word. An empty table gives an empty result; extra columns are ignored.
@@ -40,8 +41,35 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
     ("all-rights-reserved", "copyright all rights reserved no part may be reproduced without written permission"),
+    ("bsd", "released under the bsd license"),
+    ("gpl", "released under the gpl license"),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
+    ("cc-by", "licensed under creative commons attribution 4 0"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+            "persons to whom the software is furnished to do so"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+            "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either "
+                 "express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice "
+            "appear in all copies"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 )
 
+#: Words that tell a wording from others that share most of its words: a block without all of them doesn't hold it. By label and the wording's first words.
+REQUIRED = (
+    ("mit", "released under", "mit"), ("bsd", "released under", "bsd"), ("gpl", "released under", "gpl"), ("apache-2", "licensed under", "apache 2"),
+    ("gpl-3", "this work is", "gnu 3"), ("gpl-2", "this work is", "gnu 2"), ("cc-by-nc", "licensed under", "creative commons noncommercial"),
+    ("cc-by-sa", "licensed under", "creative commons sharealike"), ("cc-by", "licensed under", "creative commons attribution"), ("gpl", "this program", "program gnu general"), ("lgpl", "this library", "lesser"),
+    ("mpl-2", "subject to", "mozilla"), ("mpl-2", "this source", "mozilla"),
+)
+
+#: Labels that stand for a part of others' terms: one isn't reported where all its blocks overlap blocks of these.
+NARROWER = {"cc-by": ("cc-by-nc", "cc-by-sa")}
+
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _KEEP_LINES = _KEEP[:10] + b"\n" + _KEEP[11:]
 
@@ -72,10 +100,11 @@ def word_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
 class Index:
     """Templates as word ranks in the global order, and an inverted list over their prefixes."""
 
-    def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
+    def __init__(self, templates, frequency: dict[bytes, int], threshold: float, required=()):
         self.rank = {w: i for i, (_, w) in enumerate(sorted((n, w) for w, n in frequency.items()))}
         self.labels = [label for label, _ in templates]
         self.sets = [sorted({self.rank[w] for w in t.encode().split()}) for _, t in templates]
+        self.must = [frozenset(self.rank[w] for l, begin, words in required if l == label and t.startswith(begin) for w in words.encode().split()) for label, t in templates]
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.lists: dict[int, list[tuple[int, int]]] = {}
         for k, (s, need) in enumerate(zip(self.sets, self.need)):
@@ -97,7 +126,7 @@ class Index:
                 if len(held) < need or min(len(s) - i, len(held) - j) < need:
                     continue  # length and positional filters: the first match is the rarest shared word
                 both = len(set(s).intersection(held))
-                if both >= need:
+                if both >= need and self.must[k].issubset(held):
                     out[k] = both / len(s)
         return out
 
@@ -122,7 +151,7 @@ class Index:
                     if not n[gone]:
                         del n[gone]
                     left += 1
-                if len(n) < need:
+                if len(n) < need or not all(w in n for w in self.must[k]):
                     continue
                 share, start = len(n) / len(s), own[left][0]
                 if run is not None and start > run[3]:
@@ -148,12 +177,14 @@ def _places(joined: bytes, phrases) -> dict[str, list[int]]:
 def _scan(index: Index, phrases, window: int):
     phrases = [(p.encode(), label) for p, label in phrases]
     step = window // 2
+    wider = {label for label in index.labels if label in NARROWER}
 
     def one(t: bytes | None):
         words = t.translate(_KEEP).split() if t else []
         places = _places(b" " + b" ".join(words) + b" ", phrases) if words else {}
         starts = [x for v in places.values() for x in v]
         best: dict[tuple[int, int], tuple] = {}
+        reach: list[tuple[int, int, int]] = []
         if words and not index.prefix.isdisjoint(words):
             lines = [line.split() for line in t.translate(_KEEP_LINES).split(b"\n")]
             for no, own in enumerate(lines):
@@ -170,6 +201,11 @@ def _scan(index: Index, phrases, window: int):
                 no = bisect_right(ends, start)
                 if all((k, x) not in best or best[k, x][3] < share for x in range(no, bisect_right(ends, last) + 1)):
                     best[k, no] = (index.labels[k], no, start - ends[no] + len(lines[no]), share)
+                reach.append((k, start, last))
+        for k in {k for k, _ in best if index.labels[k] in wider}:
+            narrow = [(a, b) for x, a, b in reach if index.labels[x] in NARROWER[index.labels[k]]]
+            if all(any(a <= last and b >= start for a, b in narrow) for x, start, last in reach if x == k):
+                best = {key: v for key, v in best.items() if key[0] != k}
         blocks = [best[k] for k in sorted(best)]
         labels = sorted({*places, *(b[0] for b in blocks)})
         score = max([1.0 if starts else 0.0, *(b[3] for b in blocks)])
@@ -188,11 +224,14 @@ def _scan(index: Index, phrases, window: int):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, window: int = 64) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, window: int = 64, required=REQUIRED) -> DataFrame:
     """Licenses in each document: ``blocks`` has the matching templates with their lines and containments.
 
-    One result row for each row of ``docs`` (``doc_id``, ``text``). ``window`` must be at least twice the longest template.
+    One result row for each row of ``docs`` (``doc_id``, ``text``). ``window`` must be at least as long as the longest template (an error if not).
     ``score``: the largest containment found, 1 where a phrase stands literally, else 0.
     """
-    index = Index(templates, word_frequencies(docs, templates), threshold)
+    longest = max((len(t.split()) for _, t in templates), default=0)
+    if longest > window:
+        raise ValueError(f"a window of {window} words can't hold a template of {longest}")
+    index = Index(templates, word_frequencies(docs, templates), threshold, required)
     return docs.select("doc_id", "text").mapInArrow(_scan(index, phrases, window), RESULT)
