@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -459,3 +460,52 @@ def test_pipeline(spark):
         assert before.count() <= docs.count()
     got = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert {r["doc_id"] for r in got.select("doc_id").collect()} == {r["doc_id"] for r in before.select("doc_id").collect()}
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    """Each stage on its own input, with hard cases and columns of names that operators use themselves."""
+    import duckdb
+
+    import corpus_pipeline
+
+    extra = {"_row": 1, "_d": 2, "_r": 3, "doc": 4, "rest": 5, "row": 6, "kept": 7, "gone": 8, "base": 9, "n_lines": 10, "_spans": 11}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(d + 10_000 if d is not None else None, t) for d, t in CASES], "doc_id long, text string"))
+    docs = docs.select("*", F.length("text").cast("long").alias("n_chars"), *[F.lit(v).alias(k) for k, v in extra.items()]).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, df):
+        out = stages[name](spark, df, SF)
+        assert out.columns == docs.columns, name
+        rows_ = out.collect()
+        assert all(r[k] == v for r in rows_ for k, v in extra.items())
+        assert stages[name](spark, df.limit(0), SF).count() == 0
+        return spark.createDataFrame(rows_, docs.schema), sorted(((r["doc_id"], r["text"]) for r in rows_), key=str)
+
+    good, kept = run("quality_rules", docs)
+    judged = quality.judge(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").select("doc_id").collect()
+    assert sorted((r["doc_id"] for r in judged), key=str) == sorted((d for d, _ in kept), key=str)
+    before = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    _, lined = run("line_dedup", docs)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    named = [(d, t) for d, t in before if d is not None and d != 10_005]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", named)
+    want = {d: (h, n) for d, n, _, h in con.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({queries.OP9})").fetchall()}
+    assert all(hashlib.sha256((t or "").encode()).hexdigest() == want[d][0] for d, t in lined if d in want)
+    _, single = run("near_dedup", docs)
+    least = {}
+    for d, n, c, k in B.components(before, 80):
+        if n == 0 or d is None or d == c:
+            least[d] = least.get(d, 0) + 1
+    assert {d for d, _ in single} == set(least) and len(single) == len({(d, t) for d, t in before if d in least})
+    _, masked = run("pii", docs)
+    was = dict(before)
+    for d, t in masked:
+        if d is None or t is None:
+            continue
+        if B.private(was[d])[:4] == (0, 0, 0, 0) and "<id>" not in t:
+            assert t == was[d]
+        assert not any(x in t for x in re.findall(r"[\\w.]+@[\\w-]+\\.com", was[d]))
+    packed = corpus_pipeline.STAGES[-1][1](spark, good, SF).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert {r["doc_id"] for r in packed} == {d for d, _ in kept} and all(r["n"] % r["m"] == 0 for r in packed)
