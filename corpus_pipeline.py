@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template recurs across documents go, but from the first document."""
-    return _shaped(lines.drop_recurring_lines(docs, min_tokens=1, similarity=0.75), docs)
+    return _shaped(lines.drop_recurring_lines(docs, min_tokens=1, similarity=0.75, counts=False), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

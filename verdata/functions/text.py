@@ -23,6 +23,10 @@ RISK_TAGS = ("empty_gold_answer", "none_or_no_solution_gold", "symbolic_or_text_
              "complex_latex_gold", "over_max_prompt_tokens", "possibly_overlong_prompt")
 
 
+#: Unicode's white space, as Python strips and splits it in ``\\s`` (fixed values).
+WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def trim_ws(c: Column) -> Column:
     """Strip white space of any kind from both ends (Spark's ``trim`` strips spaces only)."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
@@ -35,7 +39,8 @@ def text_of(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """White space collapsed to single spaces, stripped, lower case."""
-    return F.lower(F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " ")))
+    # Single spaces between words, which is nearly all of them, aren't touched.
+    return F.lower(F.trim(F.regexp_replace(text_of(c), rf"(?:[{WHITE}&&[^ ]]|[{WHITE}](?=[{WHITE}]))[{WHITE}]*+", " ")))
 
 
 def stable_hash(c: Column) -> Column:
@@ -73,23 +78,25 @@ def classify_answer(c: Column, variant: str = "profile") -> Column:
             .when(has(*constants), "symbolic_constant").when(compact.rlike("[a-zA-Z]"), "text_or_symbolic").otherwise("other_expression"))
 
 
-def classify_topic(c: Column) -> Column:
-    """The topic with most hints in the text; the earlier one of equals; ``other`` without any."""
-    text = normalize_text(c)
+def classify_topic(c: Column, normalized: Column | None = None) -> Column:
+    """The topic with most hints in the text; the earlier one of equals; ``other`` without any. ``normalized``: the normalized text, where there is one already."""
+    text = normalize_text(c) if normalized is None else normalized
     scored = [F.struct(sum([text.contains(p).cast("int") for p in hints], F.lit(0)).alias("hits"), F.lit(-k).alias("order"), F.lit(topic).alias("topic"))
               for k, (topic, hints) in enumerate(TOPICS)]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["hits"] > 0, best["topic"]).otherwise("other")
+    none = F.struct(F.lit(0).alias("hits"), F.lit(1).alias("order"), F.lit("other").alias("topic"))
+    return F.array_max(F.array(*scored, none))["topic"]
 
 
-def classify_difficulty(problem: Column, answer_type: Column, prompt_chars: Column, prompt_tokens: Column | None = None) -> Column:
+def classify_difficulty(problem: Column, answer_type: Column, prompt_chars: Column, prompt_tokens: Column | None = None, normalized: Column | None = None) -> Column:
     """easy, medium or hard by length (tokens, where known) and complexity."""
-    text = normalize_text(problem)
+    text = normalize_text(problem) if normalized is None else normalized
     length = F.coalesce(prompt_tokens, prompt_chars) if prompt_tokens is not None else prompt_chars
     words = F.greatest(*[text.contains(w) for w in COMPLEX_WORDS])
-    complexity = (F.regexp_count(text, F.lit(r"\\frac|sqrt|\\sqrt|\^")) + F.regexp_count(text_of(problem), F.lit(r"\$[^$]+\$"))
-                  + answer_type.isin(*HARD_TYPES).cast("int") + words.cast("int"))
-    return F.when((length >= 900) | (complexity >= 5), "hard").when((length >= 500) | (complexity >= 3), "medium").otherwise("easy")
+    # One array holds the number, so that the two tests below don't count it twice.
+    complexity = F.array(F.regexp_count(text, F.lit(r"\\frac|sqrt|\\sqrt|\^")) + F.regexp_count(text_of(problem), F.lit(r"\$[^$]+\$"))
+                         + answer_type.isin(*HARD_TYPES).cast("int") + words.cast("int"))
+    grade = lambda n: F.when((length >= 900) | (n >= 5), "hard").when((length >= 500) | (n >= 3), "medium").otherwise("easy")
+    return F.element_at(F.transform(complexity, grade), 1)
 
 
 def verifier_risk_tags(answer: Column, prompt_chars: Column, max_prompt_length: int, prompt_tokens: Column | None = None) -> Column:

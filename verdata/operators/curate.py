@@ -11,15 +11,15 @@ from verdata.functions import text as T
 def build_manifest(df: DataFrame, template: str = "{{ content }}", max_prompt_length: int = 512, id_cols: tuple[str, ...] = ("split", "idx"),
                    tokens: Column | None = None) -> DataFrame:
     """One row for each example with its hashes, labels, lengths and tags. No shuffle."""
-    out = df.select("*", F.length(T.render_prompt(F.col("problem"), template)).cast("long").alias("prompt_chars"),
+    out = df.select("*", T.normalize_text(F.col("problem")).alias("_text"), F.length(T.render_prompt(F.col("problem"), template)).cast("long").alias("prompt_chars"),
                     (tokens if tokens is not None else F.lit(None)).cast("long").alias("prompt_tokens"), T.classify_answer(F.col("answer")).alias("answer_type"))
     known = F.col("prompt_tokens")
     return out.select(
         *id_cols, "problem", "answer", "prompt_chars", "prompt_tokens", "answer_type",
-        T.stable_hash(T.normalize_text(F.col("problem"))).alias("problem_hash"),
-        T.stable_hash(F.concat(T.normalize_text(F.col("problem")), F.lit("\n"), T.normalize_text(F.col("answer")))).alias("pair_hash"),
-        T.classify_topic(F.col("problem")).alias("topic"),
-        T.classify_difficulty(F.col("problem"), F.col("answer_type"), F.col("prompt_chars"), known).alias("difficulty"),
+        T.stable_hash(F.col("_text")).alias("problem_hash"),
+        T.stable_hash(F.concat(F.col("_text"), F.lit("\n"), T.normalize_text(F.col("answer")))).alias("pair_hash"),
+        T.classify_topic(F.col("problem"), F.col("_text")).alias("topic"),
+        T.classify_difficulty(F.col("problem"), F.col("answer_type"), F.col("prompt_chars"), known, F.col("_text")).alias("difficulty"),
         F.length(T.trim_ws(T.text_of(F.col("answer")))).cast("long").alias("answer_chars"),
         T.verifier_risk_tags(F.col("answer"), F.col("prompt_chars"), max_prompt_length, known).alias("tags"))
 
@@ -37,9 +37,11 @@ def distributions(manifest: DataFrame, fields: tuple[str, ...] = ("topic", "diff
 
 def risk_distribution(manifest: DataFrame) -> DataFrame:
     """``split, tag, n, verifier_ready_rate``: tag counts, with the share of clean rows."""
-    ready = manifest.groupBy("split").agg(F.avg(F.array_contains("tags", "clean").cast("double")).alias("verifier_ready_rate"))
-    tags = manifest.select("split", F.explode("tags").alias("tag")).groupBy("split", "tag").agg(F.count("*").alias("n"))
-    return tags.join(F.broadcast(ready), "split").select("split", "tag", "n", "verifier_ready_rate")
+    # A null tag stands for each row, so that one pass counts tags and rows; what the window sees is one row for each split and tag.
+    tags = manifest.select("split", F.explode(F.concat("tags", F.array(F.lit(None).cast("string")))).alias("tag")).groupBy("split", "tag").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("split")
+    clean, every = F.max(F.when(F.col("tag") == "clean", F.col("n"))).over(w), F.max(F.when(F.col("tag").isNull(), F.col("n"))).over(w)
+    return tags.select("split", "tag", "n", (F.coalesce(clean, F.lit(0)) / every).alias("verifier_ready_rate")).where("tag is not null")
 
 
 def length_stats(df: DataFrame, column: str, by: str, over: int | None = None, approximate: int | None = None) -> DataFrame:
@@ -66,12 +68,10 @@ def _repeats(manifest: DataFrame, column: str) -> DataFrame:
 
 def duplicate_summary(manifest: DataFrame) -> DataFrame:
     """Rows beyond the first of each problem hash and pair hash, by split. Only hashes are shuffled."""
-    splits = manifest.select("split").distinct()
-    out = splits
-    for column, name in (("problem_hash", "duplicate_problem_rows"), ("pair_hash", "duplicate_pair_rows")):
-        n = _repeats(manifest, column).groupBy("split").agg(F.sum(F.col("n") - 1).alias(name))
-        out = out.join(n, "split", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
-    return out
+    # A pair has one problem, so the problems' counts are sums of their pairs' and the manifest is read once.
+    pairs = manifest.groupBy("split", "problem_hash", "pair_hash").agg(F.count("*").alias("n"))
+    problems = pairs.groupBy("split", "problem_hash").agg((F.sum("n") - 1).alias("more"), F.sum(F.col("n") - 1).alias("more_pairs"))
+    return problems.groupBy("split").agg(F.sum("more").cast("long").alias("duplicate_problem_rows"), F.sum("more_pairs").cast("long").alias("duplicate_pair_rows"))
 
 
 def duplicate_examples(manifest: DataFrame, k: int = 20, column: str = "problem_hash") -> DataFrame:
@@ -81,9 +81,10 @@ def duplicate_examples(manifest: DataFrame, k: int = 20, column: str = "problem_
 
 def leakage(train: DataFrame, val: DataFrame, hash_col: str = "problem_hash") -> DataFrame:
     """Distinct hashes of both sides and how many they share."""
-    a, b = train.select(hash_col).distinct(), val.select(hash_col).distinct()
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(a, "train_distinct").crossJoin(one(b, "val_distinct")).crossJoin(one(a.intersect(b), "overlap"))
+    side = lambda df, t, v: df.select(F.col(hash_col).alias("hash"), F.lit(t).alias("t"), F.lit(v).alias("v"))
+    held = side(train, 1, 0).union(side(val, 0, 1)).groupBy("hash").agg(F.max("t").alias("t"), F.max("v").alias("v"))
+    n = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return held.agg(n(F.col("t"), "train_distinct"), n(F.col("v"), "val_distinct"), n(F.col("t") * F.col("v"), "overlap"))
 
 
 def overlap_sample(train: DataFrame, val: DataFrame, k: int = 50, hash_col: str = "problem_hash") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from verdata.plans.storage import materialize
+
 _EPS = 1e-6
 
 
@@ -180,23 +182,31 @@ def fill_batches(groups: DataFrame, batch_groups: int, max_tries: int = 0, gen:
 
     Each batch takes ``batch_groups`` groups and drops the surplus of the generation batch that completes it. So a batch starts with the
     generation batch after its predecessor's last one. With ``max_tries`` > 0, more generation batches than that for one train batch are an error.
-    Only counts for each generation batch decide; they are few and come to the driver.
+    Only counts for each generation batch decide: they are folded in order in one task, two numbers for each, and a join by generation batch deals out the groups.
     """
-    spark = groups.sparkSession
-    counts = groups.groupBy(gen).agg(F.count("*").alias("n")).orderBy(gen).collect()
-    spans, have, first, tries = [], 0, None, 0
-    for r in counts:
-        first = r[gen] if first is None else first
-        have, tries = have + r["n"], tries + 1
-        if have >= batch_groups:
-            spans.append((len(spans), first, r[gen]))
-            have, first, tries = 0, None, 0
-        elif 0 < max_tries <= tries:
+    def fold(counts: pd.DataFrame) -> pd.DataFrame:
+        """The train batch of each generation batch, as far as it becomes full."""
+        counts = counts.sort_values("gen")
+        out, full, have, tries = [], 0, 0, 0
+        for n in counts["n"]:
+            out.append(full)
+            have, tries = have + n, tries + 1
+            if have >= batch_groups:
+                full, have, tries = full + 1, 0, 0
+            elif 0 < max_tries <= tries:
+                return pd.DataFrame({"gen": [-1], "batch": [-1]})
+        counts["batch"] = out
+        return counts.loc[counts["batch"] < full, ["gen", "batch"]]
+
+    counts = groups.where(F.col(gen).isNotNull()).groupBy(F.col(gen).cast("long").alias("gen")).agg(F.count("*").alias("n"))
+    table = counts.groupBy().applyInPandas(fold, "gen long, batch long").withColumnRenamed("gen", "_gen")
+    if max_tries > 0:
+        table = materialize(table)
+        if table.where("batch < 0").limit(1).count():
             raise ValueError(f"no full batch after {max_tries} generation batches")
-    table = spark.createDataFrame(spans, "batch long, _a long, _b long")
-    rows = groups.join(F.broadcast(table), (F.col(gen) >= F.col("_a")) & (F.col(gen) <= F.col("_b")))
+    rows = groups.join(table, F.col(gen) == F.col("_gen"))
     w = Window.partitionBy("batch").orderBy(arrival)  # a batch's generation batches: a few thousand groups at most
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= batch_groups).drop("_a", "_b")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= batch_groups).drop("_gen")
 
 
 def policy_loss(df: DataFrame, loss_type: str = "default", clip_low: float = 0.2, clip_high: float = 0.3, clip_dual: float = 3.0, tau_positive: float = 1.0, tau_negative: float = 1.05,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("documents", "embeddings", "conversations", "events", "lineitem", "labels", "benchmark")
@@ -69,8 +71,10 @@ _NEEDS = {"validation": ("run_log",)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sql = " ".join(VIEWS[n] for n in (*_NEEDS.get(name, ()), name))
     for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        if re.search(rf"\bFROM {t}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for n in _NEEDS.get(name, ()):
         spark.sql(VIEWS[n]).createOrReplaceTempView(n)
     return spark.sql(VIEWS[name])
