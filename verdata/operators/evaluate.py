@@ -58,6 +58,29 @@ def eval_report(df: DataFrame, by: str = "uid", index: str = "candidate_index",
     return one.agg(F.count("*").alias("problems"), *[F.avg(n).alias(n) for n in names])
 
 
+#: Issues whose rate is that of the first candidate, by the name of the rate (fixed values).
+GREEDY_RATES = {"verifier_false_negative_candidate_rate": "verifier_false_negative_candidate", "robust_extract_failure_rate": "robust_extract_failure", "hit_length_cap_rate": "hit_length_cap",
+                "unclosed_think_rate": "unclosed_think", "missing_boxed_answer_rate": "missing_boxed_answer", "prompt_contamination_rate": "prompt_contamination"}
+
+
+def full_report(df: DataFrame, by: str = "uid", index: str = "candidate_index") -> DataFrame:
+    """The count and all 17 rates of an evaluation report, averaged over problems. ``df``: diagnosed candidates; null or missing diagnostics count as 0.
+
+    Every problem is folded to one row by one aggregation (and one for the votes), so large problems cost no more than others.
+    """
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    best = F.struct(F.col("train_reward_v1"), F.col("accuracy"), -F.col("response_length"), -F.col(index))
+    greedy, chosen = (lambda c: F.min_by(value(c), F.col(index))), (lambda c: F.max_by(value(c), best))
+    hit = lambda c: F.max((value(c) > 0).cast("double"))
+    rates = {
+        "greedy_accuracy": greedy("accuracy"), "best_of_N_accuracy": chosen("accuracy"), "pass_at_k": hit("accuracy"), "format_at_k": F.avg(value("format_rate")),
+        "selected_train_reward_v1": chosen("train_reward_v1"), "selected_diagnostic_score_v2_lite": chosen("diagnostic_score_v2_lite"), "greedy_robust_accuracy": greedy("robust_accuracy"),
+        "best_of_N_robust_accuracy": chosen("robust_accuracy"), "robust_pass_at_k": hit("robust_accuracy"), **{name: greedy(c) for name, c in GREEDY_RATES.items()},
+        "mean_response_length": F.avg(value("response_length"))}
+    one = df.groupBy(by).agg(*[c.alias(name) for name, c in rates.items()]).join(maj_at_k(df, by, index).select(by, "maj_at_k"), by)
+    return one.agg(F.count("*").alias("count"), *[F.avg(name).alias(name) for name in [*rates, "maj_at_k"]])
+
+
 def rescore(df: DataFrame, max_response_length: int | None = None) -> DataFrame:
     """Flattened candidates with all diagnostics; without ``response_length`` the words are counted."""
     from verdata.functions.text import whitespace_tokens

@@ -44,13 +44,23 @@ def stability(df: DataFrame, by: str = "run", seq: str = "step") -> DataFrame:
                        (F.col("b.accuracy") - F.col("l.accuracy")).alias("accuracy_drop"), (F.col("l.format_rate") - F.col("b.format_rate")).alias("format_change"))
 
 
-def compare_runs(names: DataFrame, rows: DataFrame, by: str = "run") -> DataFrame:
-    """Comparison table as text: four decimals, ``-`` where a run has no log. ``names``: every run, the base among them."""
-    best = best_row(rows, "train_reward_v1", by).select(by, F.col("step").alias("best_step"), "accuracy", "format_rate", "train_reward_v1")
+def compare_runs(names: DataFrame, rows: DataFrame, by: str = "run", base: DataFrame | None = None) -> DataFrame:
+    """Comparison table as text: four decimals, ``-`` where a run has no log. ``names``: every run.
+
+    ``mean_response_length`` is shown if the rows have it. ``base``: the base model's row (``accuracy, format_rate, train_reward_v1, count``), which comes
+    first, in the section ``base``, with its count; the others' section is ``runs``.
+    """
+    more = [c for c in ("mean_response_length",) if c in rows.columns]
+    best = best_row(rows, "train_reward_v1", by).select(by, F.col("step").alias("best_step"), "accuracy", "format_rate", "train_reward_v1", *more)
     out = names.join(best, by, "left").join(stability(rows, by).select(by, "last_step", "accuracy_drop"), by, "left")
     text = lambda c, kind: F.coalesce(F.format_string("%.4f", c) if kind == "d" else F.col(c).cast("string"), F.lit("-"))
     shown = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(text(c, "d" if isinstance(out.schema[c].dataType, T.DoubleType) else "i"))
-    return out.select(by, *[shown(c).alias(c) for c in ("best_step", "accuracy", "format_rate", "train_reward_v1", "last_step", "accuracy_drop")])
+    table = out.select(by, *[shown(c).alias(c) for c in ("best_step", "accuracy", "format_rate", "train_reward_v1", *more, "last_step", "accuracy_drop")])
+    if base is None:
+        return table
+    figure = lambda c: F.coalesce(F.format_string("%.4f", F.col(c).cast("double")), F.lit("-")) if c != "count" else F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    first = base.select(F.lit("base").alias("section"), F.lit("base").alias(by), *[figure(c).alias(c) for c in ("accuracy", "format_rate", "train_reward_v1", "count")])
+    return first.unionByName(table.withColumn("section", F.lit("runs")), allowMissingColumns=True).fillna("-")
 
 
 def obsolete_checkpoints(catalog: DataFrame, save_limit: int, by: str = "run", step: str = "step", current: str = "current_step", best: str = "best_step") -> DataFrame:
@@ -82,6 +92,39 @@ def report_metrics(reports: DataFrame, id_cols: list[str], array_field: str | No
     return flatten_metrics(reports, id_cols)
 
 
+def _named(df: DataFrame, prefix: Column, keys: dict[str, str]) -> DataFrame:
+    """``metric`` (prefix and name) and ``value`` of the columns that ``df`` has; what is null isn't reported."""
+    each = F.array(*[F.struct(F.concat(prefix, F.lit(f"/{name}")).alias("metric"), F.col(c).cast("double").alias("value")) for name, c in keys.items() if c in df.columns])
+    return df.select(F.explode(each).alias("m")).select("m.*").where("value is not null")
+
+
+def checkpoint_metrics(base: DataFrame, rows: DataFrame, by: str = "run") -> DataFrame:
+    """A stability report's numbers: ``base/...`` of the base model's row, and ``checkpoint/<run>/...`` of each run's best row with what it lost since."""
+    own = _named(base, F.lit("base"), {c: c for c in ("accuracy", "format_rate", "train_reward_v1")})
+    best = best_row(rows.where(F.col(by).isNotNull() & (F.col(by) != "")), "train_reward_v1", by).withColumnRenamed("step", "best_step")
+    best = best.join(stability(rows, by).select(by, "accuracy_drop"), by, "left")
+    keys = {"best_step": "best_step", **{c: c for c in ("accuracy", "format_rate", "train_reward_v1", "mean_response_length")}, "accuracy_drop_from_best": "accuracy_drop"}
+    return own.unionByName(_named(best, F.concat(F.lit("checkpoint/"), F.col(by)), keys))
+
+
+#: Numbers that evaluation and collected reports show (fixed values).
+COLLECTED_KEYS = ("greedy_accuracy", "best_of_N_accuracy", "pass_at_k", "maj_at_k", "format_at_k", "mean_response_length", "count")
+EVAL_KEYS = ("greedy_accuracy", "best_of_N_accuracy", "pass_at_k", "maj_at_k", "format_at_k", "selected_train_reward_v1", "selected_diagnostic_score_v2_lite", "mean_response_length", "count")
+
+
+def eval_metrics(reports: DataFrame, prefix: str) -> DataFrame:
+    """``<prefix>/<name>`` of an evaluation report's numbers."""
+    return _named(reports, F.lit(prefix), {c: c for c in EVAL_KEYS})
+
+
+def collected_metrics(reports: DataFrame, prefix: str) -> DataFrame:
+    """``<prefix>/<run>/n<n>/<name>`` of collected reports; a run without ``run_name`` is named by the stem of its ``output_file``, a missing ``n`` is ``na``."""
+    col = lambda c: F.col(c).cast("string") if c in reports.columns else F.lit(None).cast("string")
+    stem = F.regexp_extract(F.coalesce(col("output_file"), F.lit("")), r"([^/]*?)(?:\.[^./]*)?$", 1)
+    name = F.coalesce(F.when(col("run_name") != "", col("run_name")), stem)
+    return _named(reports, F.concat(F.lit(f"{prefix}/"), name, F.lit("/n"), F.coalesce(col("n"), F.lit("na"))), {c: c for c in COLLECTED_KEYS})
+
+
 def episode_summary(episodes: DataFrame, by: str = "device_id") -> DataFrame:
     """Episodes, successes (10 completed rounds) and rounds by device, and in total (device null)."""
     return episodes.rollup(by).agg(F.count("*").alias("episodes"), F.count_if(F.col("completed_rounds") >= 10).alias("successful"), F.sum("completed_rounds").cast("long").alias("rounds"))

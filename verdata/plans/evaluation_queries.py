@@ -207,6 +207,25 @@ def f6(spark, sf_dir):
     return out.select("problems", *[F.round(c, 6).alias(c) for c in out.columns if c != "problems"])
 
 
+_MORE = {
+    "robust_accuracy": "CAST(accuracy > 0 OR (uid + candidate_index) % 4 = 0 AS DOUBLE)", "missing_boxed_answer": "CAST(boxed_answer = '' AS DOUBLE)",
+    "verifier_false_negative_candidate": "CAST(accuracy <= 0 AND (uid + candidate_index) % 4 = 0 AS DOUBLE)", "robust_extract_failure": "CAST(boxed_answer = '' AND uid % 2 = 0 AS DOUBLE)",
+    "hit_length_cap": "CAST(response_length >= 40 AS DOUBLE)", "unclosed_think": "CAST((uid + candidate_index) % 3 = 1 AS DOUBLE)", "prompt_contamination": "CAST(uid % 11 = 0 AS DOUBLE)",
+    "diagnostic_score_v2_lite": "CAST(0.85 AS DOUBLE) * accuracy + CAST(0.1 AS DOUBLE) * format_rate + CAST(0.05 AS DOUBLE) * CAST(boxed_answer <> '' AS DOUBLE)"}
+_RATES = {"verifier_false_negative_candidate_rate": "verifier_false_negative_candidate", "robust_extract_failure_rate": "robust_extract_failure", "hit_length_cap_rate": "hit_length_cap", "unclosed_think_rate": "unclosed_think",
+          "missing_boxed_answer_rate": "missing_boxed_answer", "prompt_contamination_rate": "prompt_contamination", "greedy_accuracy": "accuracy", "greedy_robust_accuracy": "robust_accuracy"}
+_CHOSEN = {"best_of_N_accuracy": "accuracy", "selected_train_reward_v1": "train_reward_v1", "selected_diagnostic_score_v2_lite": "diagnostic_score_v2_lite", "best_of_N_robust_accuracy": "robust_accuracy"}
+
+
+@query("f6_full_report", f"""SELECT count(*) AS count, round(avg(maj_at_k), 6) AS maj_at_k, {", ".join(f"round(avg({c}), 6) AS {c}" for c in ("pass_at_k", "robust_pass_at_k", "format_at_k", "mean_response_length", *_RATES, *_CHOSEN))}
+FROM (SELECT uid, CAST(bool_or(accuracy > 0) AS DOUBLE) AS pass_at_k, CAST(bool_or(robust_accuracy > 0) AS DOUBLE) AS robust_pass_at_k, avg(format_rate) AS format_at_k, avg(response_length) AS mean_response_length,
+ {", ".join(f"arg_min({c}, candidate_index) AS {name}" for name, c in _RATES.items())}, {", ".join(f"max({c}) FILTER (p = 1) AS {name}" for name, c in _CHOSEN.items())}
+ FROM (SELECT *, {_BEST} AS p FROM (SELECT *, {", ".join(f"{e} AS {name}" for name, e in _MORE.items())} FROM candidates)) GROUP BY uid) a JOIN ({_MAJ}) m ON a.uid = m.uid""", "candidates")
+def f6f(spark, sf_dir):
+    out = E.full_report(view(spark, sf_dir, "candidates").selectExpr("*", *[f"{e} AS {name}" for name, e in _MORE.items()]))
+    return out.select("count", *[F.round(c, 6).alias(c) for c in out.columns if c != "count"])
+
+
 @query("f7_rescore")
 def f7(spark, sf_dir):
     r = _responses(spark, sf_dir).select("conv_id", "gold", F.struct(F.col("turn").alias("candidate_index"), "response").alias("c"))

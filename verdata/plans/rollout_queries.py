@@ -428,6 +428,45 @@ def i4(spark, sf_dir):
     return I.compare_runs(names, _val(spark, sf_dir))
 
 
+_LONG = "CAST(step % 97 AS DOUBLE) + CAST(0.5 AS DOUBLE)"
+_BASE = "SELECT avg(overall_reward) AS accuracy, avg(format_reward) AS format_rate, max(overall_reward) AS train_reward_v1, count(*) AS count FROM run_log"
+_SHOWN = {"best_step": "CAST(s.best_step AS VARCHAR)", "accuracy": "printf('%.4f', round(b.accuracy, 4))", "format_rate": "printf('%.4f', round(b.format_rate, 4))", "train_reward_v1": "printf('%.4f', round(b.train_reward_v1, 4))",
+          "mean_response_length": "printf('%.4f', b.step % 97 + 0.5)", "last_step": "CAST(s.last_step AS VARCHAR)", "accuracy_drop": "printf('%.4f', round(s.accuracy_drop, 4))"}
+
+
+@query("i4_comparison", f"""SELECT 'runs' AS section, n.run, {", ".join(f"coalesce({e}, '-') AS {c}" for c, e in _SHOWN.items())}, '-' AS count
+ FROM (SELECT DISTINCT run FROM run_log) n LEFT JOIN (SELECT * FROM {_BEST} x WHERE b = 1) b ON n.run = b.run LEFT JOIN ({_STAB}) s ON n.run = s.run
+ UNION ALL SELECT 'base', 'base', '-', printf('%.4f', round(accuracy, 4)), printf('%.4f', round(format_rate, 4)), printf('%.4f', round(train_reward_v1, 4)), '-', '-', '-', CAST(count AS VARCHAR) FROM ({_BASE}) z""", "validation")
+def i4b(spark, sf_dir):
+    log = view(spark, sf_dir, "run_log")
+    base = log.agg(F.avg("overall_reward").alias("accuracy"), F.avg("format_reward").alias("format_rate"), F.max("overall_reward").alias("train_reward_v1"), F.count("*").alias("count"))
+    return I.compare_runs(log.select("run").distinct(), _val(spark, sf_dir).withColumn("mean_response_length", F.expr(_LONG)), base=base)
+
+
+_METRICS = {"best_step": "b.step", "accuracy": "b.accuracy", "format_rate": "b.format_rate", "train_reward_v1": "b.train_reward_v1", "mean_response_length": "b.step % 97 + 0.5", "accuracy_drop_from_best": "s.accuracy_drop"}
+
+
+@query("i7_checkpoint_metrics", " UNION ALL ".join([f"SELECT 'base/{c}' AS metric, round(CAST({c} AS DOUBLE), 6) AS value FROM ({_BASE}) z" for c in ("accuracy", "format_rate", "train_reward_v1")]
+       + [f"SELECT 'checkpoint/' || b.run || '/{c}', round(CAST({e} AS DOUBLE), 6) FROM (SELECT * FROM {_BEST} x WHERE b = 1) b JOIN ({_STAB}) s ON b.run = s.run WHERE {e} IS NOT NULL" for c, e in _METRICS.items()]), "validation")
+def i7c(spark, sf_dir):
+    base = view(spark, sf_dir, "run_log").agg(F.avg("overall_reward").alias("accuracy"), F.avg("format_reward").alias("format_rate"), F.max("overall_reward").alias("train_reward_v1"))
+    return I.checkpoint_metrics(base, _val(spark, sf_dir).withColumn("mean_response_length", F.expr(_LONG))).withColumn("value", F.round("value", 6))
+
+
+@query("i7_eval_metrics", "SELECT 'eval/all/' || metric AS metric, value FROM (SELECT 'greedy_accuracy' AS metric, round(avg(accuracy) FILTER (candidate_index = 0), 6) AS value FROM candidates UNION ALL SELECT 'count', CAST(count(DISTINCT uid) AS DOUBLE) FROM candidates) m", "candidates")
+def i7e(spark, sf_dir):
+    report = _cand(spark, sf_dir).agg(F.avg(F.when(F.col("candidate_index") == 0, F.col("accuracy"))).alias("greedy_accuracy"), F.count_distinct("uid").alias("count"), F.lit("x").alias("model_path"))
+    return I.eval_metrics(report, "eval/all").withColumn("value", F.round("value", 6))
+
+
+@query("i7_collected_metrics", """SELECT 'reports/r' || CAST(u AS VARCHAR) || '/n' || CASE WHEN u = 1 THEN 'na' ELSE CAST(u AS VARCHAR) END || '/' || metric AS metric, value
+ FROM (SELECT uid % 3 AS u, 'format_at_k' AS metric, round(avg(format_rate), 6) AS value FROM candidates GROUP BY uid % 3 UNION ALL SELECT uid % 3, 'count', CAST(count(*) AS DOUBLE) FROM candidates GROUP BY uid % 3) m""", "candidates")
+def i7r(spark, sf_dir):
+    per = _cand(spark, sf_dir).groupBy(F.expr("uid % 3").alias("u")).agg(F.avg("format_rate").alias("format_at_k"), F.count("*").alias("count"))
+    per = per.selectExpr("*", "IF(u = 0, 'r0', '') AS run_name", "concat('out/r', u, '.jsonl') AS output_file", "IF(u = 1, NULL, u) AS n")
+    return I.collected_metrics(per, "reports").withColumn("value", F.round("value", 6))
+
+
 @query("i5_obsolete_checkpoints", with_views("", "run_log").rstrip() + ", ck0 AS (SELECT run, step, overall_reward FROM run_log), ck AS (SELECT c.run, c.step, m.cur, m.best FROM ck0 c JOIN (SELECT run, max(step) AS cur, arg_max(step, ROW(overall_reward, -step)) AS best FROM ck0 GROUP BY run) m ON c.run = m.run), o AS (SELECT run, step, best, sum(CASE WHEN step = best THEN 1 ELSE 0 END) OVER (PARTITION BY run) AS hb FROM ck WHERE step < cur) SELECT run, step FROM (SELECT run, step, hb, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r FROM o WHERE step <> best) WHERE r > greatest(0, 2 - hb)")
 def i5(spark, sf_dir):
     c = view(spark, sf_dir, "run_log").select("run", "step", "overall_reward")

@@ -38,18 +38,21 @@ def _last(spark: SparkSession, path: str) -> DataFrame:
 @query("l1_stream_best", f"SELECT run, step, round(train_reward_v1, 6) AS train_reward_v1 FROM {_BEST} x WHERE b = 1", "validation")
 def l1(spark, sf_dir):
     at, rows = _folder(spark), view(spark, sf_dir, "validation").select("run", "step", "train_reward_v1")
-    rows.repartition(4, "run").write.json(f"{at}/in")
-    L.stream_best(spark, f"{at}/in", rows.schema, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    for k in range(3):  # each part of the log comes while the stream is stopped; it goes on from its checkpoint
+        rows.where(F.pmod("step", F.lit(3)) == k).write.mode("append").json(f"{at}/in")
+        L.stream_best(spark, f"{at}/in", rows.schema, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return _last(spark, f"{at}/out").select("run", "step", F.round("train_reward_v1", 6).alias("train_reward_v1"))
 
 
 @query("l2_stream_progress", "SELECT 'audit' AS artifact, count(*) AS n, count(*) >= 100 AS done FROM audit UNION ALL SELECT 'errors', count(*) FILTER (human_audit_label LIKE 'wrong%'), count(*) FILTER (human_audit_label LIKE 'wrong%') >= 50 FROM audit", "audit")
 def l2(spark, sf_dir):
     at, rows = _folder(spark), view(spark, sf_dir, "audit")
-    rows.write.json(f"{at}/in/audit")
-    rows.where("human_audit_label LIKE 'wrong%'").write.json(f"{at}/in/errors")
-    for q in L.stream_progress(spark, {n: f"{at}/in/{n}" for n in ("audit", "errors")}, rows.schema, {"audit": 100, "errors": 50}, f"{at}/out", f"{at}/checkpoint"):
-        q.awaitTermination()
+    for k in range(3):
+        part = rows.where(F.pmod("case_id", F.lit(3)) == k)
+        part.write.mode("append").json(f"{at}/in/audit")
+        part.where("human_audit_label LIKE 'wrong%'").write.mode("append").json(f"{at}/in/errors")
+        for q in L.stream_progress(spark, {n: f"{at}/in/{n}" for n in ("audit", "errors")}, rows.schema, {"audit": 100, "errors": 50}, f"{at}/out", f"{at}/checkpoint"):
+            q.awaitTermination()
     return _last(spark, f"{at}/out/audit").unionByName(_last(spark, f"{at}/out/errors"))
 
 
@@ -58,6 +61,8 @@ def l2(spark, sf_dir):
 def l3(spark, sf_dir):
     at = _folder(spark)
     rows = view(spark, sf_dir, "candidates").selectExpr("uid", "candidate_index", "accuracy", "uid AS arrival")
-    rows.coalesce(1).write.json(f"{at}/in")
-    L.stream_fill_batches(spark, f"{at}/in", rows.schema, 16, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    cut = rows.agg(F.percentile_approx("uid", [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0, 0]
+    for part in (F.col("uid") <= cut[0], (F.col("uid") > cut[0]) & (F.col("uid") <= cut[1]), F.col("uid") > cut[1]):  # a group comes whole in one part
+        rows.where(part).write.mode("append").json(f"{at}/in")
+        L.stream_fill_batches(spark, f"{at}/in", rows.schema, 16, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out/full").select("train_batch", "uid").distinct()

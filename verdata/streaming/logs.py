@@ -44,7 +44,7 @@ def _read(spark: SparkSession, path: str):
 def stream_fill_batches(spark: SparkSession, path: str, schema, batch_groups: int, out: str, checkpoint: str, key: str = "accuracy", low: float = 0.01, high: float = 0.99, by: str = "uid", order: str = "arrival"):
     """Keep mixed groups of each micro-batch, and emit train batches of ``batch_groups`` groups; what doesn't fill one waits.
 
-    The remainder (less than one batch) and the output are written under the micro-batch's id and read from its predecessor's, so a replayed micro-batch
+    Train batches are numbered on over all micro-batches. The remainder (less than one batch), the next number and the output are written under the micro-batch's id and read from its predecessor's, so a replayed micro-batch
     gives the same rows in the same place. A group must arrive whole within one micro-batch.
     """
     rows = spark.readStream.schema(schema).json(path)
@@ -52,6 +52,8 @@ def stream_fill_batches(spark: SparkSession, path: str, schema, batch_groups: in
     def step(batch: DataFrame, batch_id: int) -> None:
         new = filter_groups(batch, key, low, high, by)
         old = _read(spark, f"{out}/rest/batch={batch_id - 1:09d}") if batch_id else None
+        before = _read(spark, f"{out}/next/batch={batch_id - 1:09d}") if batch_id else None
+        number = before.first()["next"] if before is not None else 0
         both = new if old is None else old.unionByName(new)
         groups = both.groupBy(by).agg(F.min(order).alias("_o"))
         n = groups.count()
@@ -60,6 +62,7 @@ def stream_fill_batches(spark: SparkSession, path: str, schema, batch_groups: in
         from verdata.operators.numbering import number_rows
         placed = number_rows(groups, [], [F.col("_o"), F.col(by)], "_i").drop("_o")
         both = both.join(placed, by)
-        both.where(F.col("_i") < full).withColumn("train_batch", F.floor(F.col("_i") / batch_groups)).drop("_i").write.mode("overwrite").parquet(f"{out}/full/batch={batch_id:09d}")
+        both.where(F.col("_i") < full).withColumn("train_batch", F.floor(F.col("_i") / batch_groups) + number).drop("_i").write.mode("overwrite").parquet(f"{out}/full/batch={batch_id:09d}")
         both.where(F.col("_i") >= full).drop("_i").write.mode("overwrite").parquet(f"{out}/rest/batch={batch_id:09d}")
+        spark.range(1).select(F.lit(number + n // batch_groups).cast("long").alias("next")).write.mode("overwrite").parquet(f"{out}/next/batch={batch_id:09d}")
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
