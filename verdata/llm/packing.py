@@ -72,7 +72,7 @@ class Encoder:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letter = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(own))}
         ranks = {bytes(letter[c] for c in w): i for w, i in vocabulary.items() if i < 256 + len(merges)}
-        return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -88,10 +88,10 @@ class Encoder:
             m = self.merge and _PLAIN.fullmatch(x)
             if m:
                 word, *rest = m.groups()
-                ids = self.merge((before + word).encode())
+                ids = self.merge(before + word)
                 for part in rest:
                     if part:
-                        ids += self.merge(part.encode())
+                        ids += self.merge(part)
                 known[x] = array("I", ids).tobytes()
             else:
                 other.append(x)
