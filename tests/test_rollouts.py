@@ -114,6 +114,88 @@ def test_balance(spark):
         B.balance_partitions(df, 7, True).collect()
 
 
+def plain_differencing(lengths, k, equal_size):
+    """Parts as lists of (id, length); the two states of widest spread are merged until one is left."""
+    order = sorted((n, i) for i, n in enumerate(lengths))
+    step, weight = k if equal_size else 1, lambda p: (sum(n for _, n in p), len(p), p)
+    states = []
+    for at in range(0, len(order), step):
+        own = [[(i, n)] for n, i in order[at:at + step]]
+        states.append(sorted(own + [[]] * (k - len(own)), key=weight, reverse=True))
+    spread = lambda s: (weight(s[0])[0] - weight(s[-1])[0], weight(s[0]))
+    while len(states) > 1:
+        states.sort(key=spread, reverse=True)
+        a, b = states.pop(0), states.pop(0)
+        states.append(sorted([x + y for x, y in zip(a, reversed(b))], key=weight, reverse=True))
+    return [sorted(i for i, _ in p) for p in states[0]]
+
+
+def plain_greedy(lengths, k, equal_size):
+    parts = [[] for _ in range(k)]
+    for i in range(len(lengths)):
+        key = lambda p: (len(parts[p]) if equal_size else 0, sum(lengths[j] for j in parts[p]), p)
+        parts[min(range(k), key=key)].append(i)
+    return parts
+
+
+def test_balance_against_plain_versions(spark):
+    rng = np.random.default_rng(8)
+    batches = {b: [int(x) for x in rng.integers(0, (3, 500)[b % 2], 32)] for b in range(12)}
+    df = spark.createDataFrame([(b, i, n) for b, ns in batches.items() for i, n in enumerate(ns)], "batch long, row long, tokens long")
+
+    def parts(out, name="part"):
+        got = {b: [None] * 32 for b in batches}
+        for r in out.collect():
+            got[r["batch"]][r["row"]] = r[name]
+        return got
+
+    def labels(groups):
+        return [next(p for p, g in enumerate(groups) if i in g) for i in range(32)]
+    for equal in (True, False):
+        assert parts(B.balance_partitions(df, 8, equal)) == {b: labels(plain_differencing(n, 8, equal)) for b, n in batches.items()}
+        assert parts(B.greedy_partitions(df, 8, equal)) == {b: labels(plain_greedy(n, 8, equal)) for b, n in batches.items()}
+    want = {}
+    for b, n in batches.items():
+        groups = plain_differencing(n, min(32, max(1, -(-sum(n) // 700))), False)
+        want[b] = labels(sorted(groups, key=lambda g: (sum(n[i] ** 2 for i in g), min(g, default=0)), reverse=True))
+    assert parts(B.micro_batches(df, 700), "micro") == want
+
+
+def test_fill_batches_against_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    for batch_groups in (3, 5):
+        gens = sorted(int(g) for g in rng.integers(0, 20, 60))
+        df = spark.createDataFrame([(g, i) for i, g in enumerate(gens)], "gen long, uid long").withColumn("arrival", F.col("uid"))
+        want, have, batch = [], [], 0
+        for g in sorted(set(gens)):
+            have += [i for i, x in enumerate(gens) if x == g]
+            if len(have) >= batch_groups:
+                want += [(batch, p + 1, u) for p, u in enumerate(have[:batch_groups])]
+                batch, have = batch + 1, []
+        assert sorted((r["batch"], r["place"], r["uid"]) for r in G.fill_batches(df, batch_groups).collect()) == want
+
+
+def test_rescore(spark):
+    rows = [(1, "5", [(0, "<think>a b</think> \\boxed{5}"), (1, "it is 5, the answer")]), (2, "x", [(0, "<think>" + "go on " * 20)])]
+    df = spark.createDataFrame(rows, "uid long, gold string, candidates array<struct<candidate_index:long,response:string>>")
+    got = {(r["uid"], r["candidate_index"]): r for r in E.rescore(df, 20).collect()}
+    a, b, c = got[1, 0], got[1, 1], got[2, 0]
+    assert (a["response_length"], a["accuracy"], a["format_rate"], a["robust_accuracy"], a["extract_failure"]) == (3, 1.0, 1.0, 1.0, 0.0)
+    assert a["train_reward_v1"] == pytest.approx(1.0) and a["diagnostic_score_v2_lite"] == pytest.approx(1.0)
+    assert (b["accuracy"], b["robust_accuracy"], b["verifier_false_negative_candidate"], b["missing_boxed_answer"], b["robust_answer"]) == (0.0, 1.0, 1.0, 1.0, "5")
+    assert (c["response_length"], c["unclosed_think"], c["hit_length_cap"], c["truncation"], c["repetition"], c["invalid_output_penalty"]) == (40, 1.0, 1.0, 1.0, 1.0, 1.0)
+    assert c["diagnostic_score_v2_lite"] == pytest.approx(-0.1)
+
+
+def test_take_rows_from_the_end(spark):
+    df = spark.range(11).withColumnRenamed("id", "row")
+    take = lambda i, n=None: sorted(r["row"] for r in K.take_rows(df, i, "row", n).collect())
+    for s in (slice(-3, None), slice(None, -2), slice(-5, -1, 2), slice(None, None, -3), slice(8, 2, -2), slice(-100, -50), slice(2, 9, 3), slice(3, None)):
+        assert take(s) == sorted(range(11)[s])
+    assert take(spark.createDataFrame([(0, -1), (1, 2), (2, -1)], "pos long, take long"), 11) == [2, 10, 10]
+    assert K.take_rows(df.limit(0), slice(-3, None), "row").count() == 0
+
+
 def test_flatten_and_majority(spark):
     df = spark.createDataFrame([(1, "r", [(0, 0.5)]), (2, "r", []), (3, "r", None)], "uid long, run string, candidates array<struct<i:long,score:double>>")
     assert sorted((r["uid"], r["score"]) for r in E.flatten_candidates(df).collect()) == [(1, 0.5), (3, None)]

@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from verdata.functions import answers as A
 from verdata.functions import text as T
+from verdata.functions import vectorized as V
 
 
 def column(spark, values, f):
@@ -67,7 +70,29 @@ def test_final_answer(spark):
     assert got == ["5", "\\frac{1}{2}", "1234", "7", "12", "\\sqrt{2}"]
 
 
-def test_repetition():
-    assert A.repeats_badly("a b c d " * 6) and not A.repeats_badly("a b c d " * 2)
-    assert A.repeats_badly("this is a long line\n" * 3 + " ".join(map(str, range(60))))
-    assert not A.repeats_badly(" ".join(map(str, range(40))))
+def repeats_badly(text, n=4, threshold=0.34):
+    words = text.split()
+    if len(words) < 3 * n:
+        return False
+    grams = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
+    lines = [x.strip() for x in text.splitlines() if len(x.strip()) >= 12]
+    return 1 - len(set(grams)) / len(grams) >= threshold or any(lines.count(x) >= 3 for x in lines)
+
+
+def test_repetition(spark):
+    assert repeats_badly("a b c d " * 6) and not repeats_badly("a b c d " * 2)
+    assert repeats_badly("this is a long line\n" * 3 + " ".join(map(str, range(60))))
+    assert not repeats_badly(" ".join(map(str, range(40))))
+    rng = random.Random(4)
+    texts = ["", "a", "a b c d " * 6, "a b c d " * 2, "this is a long line\n" * 3 + " ".join(map(str, range(60))), " ".join(map(str, range(40))), "\u2003wide\x1cline of words\x85wide\x1cline of words\r\n" * 3 + "x " * 3]
+    texts += ["".join(rng.choice("ab cd é\n\t\r\x0b\x1d\u2028\u00a0") for _ in range(rng.randrange(120))) for _ in range(200)]
+    texts += ["\r".join(rng.choice(["a line of some words", " a line of some words ", "short", "another line " + str(rng.random())]) for _ in range(rng.randrange(12))) + " 1 2 3 4 5 6 7 8 9 10 11 12" for _ in range(60)]
+    assert column(spark, texts, A.severe_repetition) == [repeats_badly(t) for t in texts]
+    assert len({repeats_badly(t) for t in texts}) == 2 and column(spark, [None], A.severe_repetition) == [False]
+
+
+def test_both_answers_are_those_of_the_single_functions(spark):
+    rows = [("\\boxed{5} then 6", "6"), ("so it is 3/4 or \\frac{3}{4} in all", "\\frac{3}{4}"), ("", ""), ("the answer is 7", "7"), ("nothing", "6")]
+    df = spark.createDataFrame(rows, "t string, g string").select("t", "g", A.both_answers(F.col("t"), F.col("g")).alias("b"))
+    got = {(r["t"], r["g"]): tuple(r["b"]) for r in df.collect()}
+    assert got == {(t, g): (V.boxed(t), A.robust(t, g)) for t, g in rows}

@@ -7,10 +7,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from verdata.functions import vectorized as V
-from verdata.functions.text import normalize_text, text_of, trim_ws
+from verdata.functions.text import WHITE, normalize_text, text_of, trim_ws
 
 #: A chat turn's head, at a line's start or after a closing bracket (fixed value).
 TURN = r"(?i)(?:^|\n|(?<=[\]\)\}]))(?U:\s*)(?:Human|Assistant|User|System)(?U:\s*):"
@@ -129,6 +129,13 @@ def robust_answer(texts: pd.Series, golds: pd.Series) -> pd.Series:
     return pd.Series([robust(t, g) for t, g in zip(texts, golds)], dtype="object")
 
 
+@F.pandas_udf(StructType([StructField("boxed", StringType()), StructField("robust", StringType())]))
+def both_answers(texts: pd.Series, golds: pd.Series) -> pd.DataFrame:
+    """The boxed and the robust answer from one pass over the responses."""
+    boxes = texts.map(V.boxed)
+    return pd.DataFrame({"boxed": boxes, "robust": [b or robust(t, g) for b, t, g in zip(boxes, texts, golds)]}, dtype="object")
+
+
 #: Ordered substitutions and removals of the final-answer form (fixed values).
 SUBSTITUTIONS = (("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"))
 REMOVED = (
@@ -165,23 +172,18 @@ def issue_flags(response: Column, boxed: Column, length: Column, max_length: int
             "prompt_contamination": one(has_turn_marker(response)), "truncation": one(cap | unclosed)}
 
 
-def repeats_badly(text: str | None, n: int = 4, threshold: float = 0.34) -> bool:
-    words = (text or "").split()
-    if len(words) < 3 * n:
-        return False
-    grams = list(zip(*(words[i:] for i in range(n))))
-    if 1 - len(set(grams)) / len(grams) >= threshold:
-        return True
-    seen: dict[str, int] = {}
-    for line in map(str.strip, (text or "").splitlines()):
-        if len(line) >= 12:
-            seen[line] = seen.get(line, 0) + 1
-            if seen[line] >= 3:
-                return True
-    return False
+def severe_repetition(c: Column, n: int = 4, threshold: float = 0.34, long_line: int = 12) -> Column:
+    """Whether a text of at least 3n words has a share of ``threshold`` n-grams that repeat others, or a long line three times; null is no text."""
+    white = rf"[\x1C-\x1F{WHITE}]"
+    t = text_of(c)
+    words = F.filter(F.split(t, white + "+", -1), lambda w: w != "")
+    lines = F.filter(F.transform(F.split(t, r"[\n-\r\x1C-\x1E\x85\u2028\u2029]", -1), lambda x: F.regexp_replace(x, rf"\A{white}+|{white}+\z", "")), lambda x: F.length(x) >= long_line)
 
+    def grams_repeat(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return 1 - F.size(F.array_distinct(grams)) / (F.size(w) - n + 1) >= threshold
 
-@F.pandas_udf(BooleanType())
-def severe_repetition(texts: pd.Series) -> pd.Series:
-    """Whether a third of the 4-grams repeat others, or a long line stands three times."""
-    return texts.map(repeats_badly).astype(bool)
+    def thrice(s: Column) -> Column:
+        return F.when(F.size(s) < 3, False).otherwise(F.exists(F.sequence(F.lit(3), F.greatest(F.size(s), F.lit(3))), lambda i: F.element_at(s, i) == F.element_at(s, i - 2)))
+    # An array of one is a name for its element, which is computed once then.
+    return F.transform(F.array(words), lambda w: F.when(F.size(w) < 3 * n, False).otherwise(grams_repeat(w) | F.transform(F.array(F.sort_array(lines)), thrice)[0]))[0]

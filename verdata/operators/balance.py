@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +18,42 @@ def _differencing(lengths: list[int], k: int, equal_size: bool) -> list[list[int
         raise ValueError(f"{len(lengths)} rows don't make {k} parts of equal size")
     if len(lengths) < k:
         raise ValueError(f"{len(lengths)} rows for {k} parts")
-    # A part is (sum, count, its (id, length) in order of joining); parts compare by just that, and a state keeps them descending.
+    # A part is (sum, count, first id, members); parts are disjoint, so the first three tell any two parts with rows apart. A state keeps them descending.
+    # Members are linked pairs until the end: a merge costs k steps, however many rows its parts hold.
     queue = []
     for at in range(0, len(order), step):
-        own = [(n, 1, [(i, n)]) for n, i in order[at:at + step]]
-        own += [(0, 0, []) for _ in range(k - len(own))]
-        parts = sorted(own, reverse=True)
-        queue.append(_State(parts))
+        own = [(n, 1, i, i) for n, i in order[at:at + step]]
+        queue.append(_State(sorted(own, reverse=True) + [_EMPTY] * (k - len(own))))
     heapq.heapify(queue)
     while len(queue) > 1:
         a, b = heapq.heappop(queue).parts, heapq.heappop(queue).parts
-        both = [(x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in zip(a, reversed(b))]
-        heapq.heappush(queue, _State(sorted(both, reverse=True)))
-    return [sorted(i for i, _ in p[2]) for p in queue[0].parts]
+        both = [_join(x, y) for x, y in zip(a, reversed(b))]
+        heapq.heappush(queue, _State(sorted(both, key=_by_weight, reverse=True)))
+    return [_members(p) for p in queue[0].parts]
+
+
+_EMPTY = (0, 0, -1, None)
+
+
+def _by_weight(part: tuple) -> tuple:
+    return part[:3]
+
+
+def _join(x: tuple, y: tuple) -> tuple:
+    if not x[1] or not y[1]:
+        return x if x[1] else y
+    return (x[0] + y[0], x[1] + y[1], x[2], (x[3], y[3]))
+
+
+def _members(part: tuple) -> list[int]:
+    out, todo = [], [part[3]] if part[1] else []
+    while todo:
+        at = todo.pop()
+        if isinstance(at, tuple):
+            todo.extend(at)
+        else:
+            out.append(at)
+    return sorted(out)
 
 
 class _State:
@@ -40,7 +64,7 @@ class _State:
 
     def __lt__(self, other):
         mine, theirs = (s.parts[0][0] - s.parts[-1][0] for s in (self, other))
-        return mine > theirs if mine != theirs else self.parts[0] > other.parts[0]
+        return mine > theirs if mine != theirs else _by_weight(self.parts[0]) > _by_weight(other.parts[0])
 
 
 def _greedy(lengths: list[int], k: int, equal_size: bool) -> list[list[int]]:
@@ -59,10 +83,10 @@ def _greedy(lengths: list[int], k: int, equal_size: bool) -> list[list[int]]:
 def _by_batch(df: DataFrame, by: str, id_col: str, length: str, solve) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(id_col, ignore_index=True)
-        frame["part"] = -1
-        for p, rows in enumerate(solve([int(n) for n in frame[length]])):
-            frame.loc[rows, "part"] = p
-        return frame[[by, id_col, length, "part"]]
+        part = np.full(len(frame), -1)
+        for p, rows in enumerate(solve(frame[length].astype(int).tolist())):
+            part[rows] = p
+        return frame.assign(part=part)[[by, id_col, length, "part"]]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = f"{by} {kinds[by]}, {id_col} {kinds[id_col]}, {length} {kinds[length]}, part long"
     return df.select(by, id_col, length).groupBy(by).applyInPandas(run, schema)

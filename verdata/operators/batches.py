@@ -22,15 +22,29 @@ def rename_cols(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
     return df.withColumnsRenamed(dict(zip(old, new)))
 
 
-def take_rows(df: DataFrame, index, id_col: str) -> DataFrame:
-    """Rows by position (numbered by ``id_col``): a slice, a boolean column, or a table of positions (``pos``, ``take``), which may repeat."""
+def take_rows(df: DataFrame, index, id_col: str, n: int | None = None) -> DataFrame:
+    """Rows by position (numbered by ``id_col`` from 0): a slice, a boolean column, or a table of positions (``pos``, ``take``), which may repeat.
+
+    Negative positions and steps count from the end, as in Python. For a slice the number of rows is taken from the table if ``n`` isn't given; a table of positions needs ``n`` for them.
+    """
+    at = F.col(id_col)
     if isinstance(index, slice):
-        out, step = df.where(F.col(id_col) >= (index.start or 0)), index.step or 1
+        if min(index.start or 0, index.stop or 0, index.step or 1) < 0:
+            if n is None:
+                n = (df.agg(F.max(at)).first()[0] or 0) + 1
+            rows = range(*index.indices(n))
+            if not rows:
+                return df.limit(0)
+            first, last = sorted((rows[0], rows[-1]))
+            return df.where(at.between(first, last) & ((at - first) % abs(rows.step) == 0))
+        out, step = df.where(at >= (index.start or 0)), index.step or 1
         if index.stop is not None:
-            out = out.where(F.col(id_col) < index.stop)
-        return out.where((F.col(id_col) - (index.start or 0)) % step == 0) if step != 1 else out
+            out = out.where(at < index.stop)
+        return out.where((at - (index.start or 0)) % step == 0) if step != 1 else out
     if isinstance(index, Column):
         return df.where(index)
+    if n is not None:
+        index = index.withColumn("take", F.when(F.col("take") < 0, F.col("take") + n).otherwise(F.col("take")))
     return df.join(index, df[id_col] == index["take"]).drop("take")
 
 

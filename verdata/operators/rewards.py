@@ -24,7 +24,10 @@ def _score(df: DataFrame, accuracy: Column, fmt: Column, weight: float) -> DataF
 
 def score_math(df: DataFrame, format_weight: float = 0.1) -> DataFrame:
     """Boxed answer against ``gold``, and the format; weight 0 counts answers only, 1 the format only."""
-    df = df.withColumn("boxed_answer", A.extract_boxed(F.col("response")))
+    return _score_boxed(df.withColumn("boxed_answer", A.extract_boxed(F.col("response"))), format_weight)
+
+
+def _score_boxed(df: DataFrame, format_weight: float = 0.1) -> DataFrame:
     return _score(df, A.answer_equal(F.col("boxed_answer"), F.col("gold")), A.format_reward(F.col("response")), format_weight)
 
 
@@ -71,11 +74,14 @@ def apply_reward(df: DataFrame, fn: Callable, kind: str, metrics: tuple[str, ...
 
 def diagnose(df: DataFrame, max_response_length: int | None = None) -> DataFrame:
     """All diagnostics of each response; ``accuracy``, ``format_rate`` and ``train_reward_v1`` are reused where all three columns are there."""
-    if not {"accuracy", "format_rate", "train_reward_v1"} <= set(df.columns):
-        df = score_math(df).withColumnsRenamed({"format": "format_rate", "overall": "train_reward_v1"})
+    reused = {"accuracy", "format_rate", "train_reward_v1"}
+    text = text_of(F.col("response"))
+    df = df.withColumn("_both", A.both_answers(text, text_of(F.col("gold")))).withColumns({"boxed_answer": F.col("_both.boxed"), "robust_answer": F.col("_both.robust")}).drop("_both")
+    if reused <= set(df.columns):
+        df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in reused})
     else:
-        df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("accuracy", "format_rate", "train_reward_v1")}).withColumn("boxed_answer", A.extract_boxed(F.col("response")))
-    df = df.withColumn("robust_answer", A.robust_answer(text_of(F.col("response")), text_of(F.col("gold")))).withColumn("repetition", A.severe_repetition(text_of(F.col("response"))).cast("double"))
+        df = _score_boxed(df).withColumnsRenamed({"format": "format_rate", "overall": "train_reward_v1"})
+    df = df.withColumn("repetition", A.severe_repetition(text).cast("double"))
     df = df.withColumns(A.issue_flags(F.col("response"), F.col("boxed_answer"), F.col("response_length"), max_response_length))
     one = lambda c: c.cast("double")
     found = F.col("robust_answer") != ""

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from verdata.plans.storage import materialize
 
@@ -42,22 +42,21 @@ def rloo_advantage(df: DataFrame, by: str = "uid", score: str = "score", mask: s
 
 
 def _scan(df: DataFrame, inputs: list[str], outputs: list[str], step) -> DataFrame:
-    """Backward recurrences: rows of an Arrow batch are padded to one matrix, and ``step`` walks over time with all rows at once."""
-    schema = StructType(list(df.schema.fields))
-    for o in outputs:
-        schema = schema.add(o, ArrayType(DoubleType()))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            n = frame[inputs[0]].map(len).to_numpy(int) if len(frame) else np.zeros(0, int)
-            grids = []
-            for c in inputs:
-                g = np.zeros((len(frame), int(n.max(initial=0))))
-                for i, row in enumerate(frame[c]):
-                    g[i, : n[i]] = row
-                grids.append(g)
-            yield frame.assign(**{o: [r[:k] for r, k in zip(g, n)] for o, g in zip(outputs, step(*grids))})
-    return df.mapInPandas(run, schema)
+    """Backward recurrences: rows of an Arrow batch are padded to one matrix, and ``step`` walks over time with all rows at once.
+
+    Only the inputs go to Python; the other columns stay where they are.
+    """
+    @F.pandas_udf(StructType([StructField(o, ArrayType(DoubleType())) for o in outputs]))
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        n = frame[inputs[0]].map(len).to_numpy(int) if len(frame) else np.zeros(0, int)
+        grids = []
+        for c in inputs:
+            g = np.zeros((len(frame), int(n.max(initial=0))))
+            for i, row in enumerate(frame[c]):
+                g[i, : n[i]] = row
+            grids.append(g)
+        return pd.DataFrame({o: [r[:k] for r, k in zip(g, n)] for o, g in zip(outputs, step(*grids))})
+    return df.withColumn("_scanned", run(F.struct(*inputs))).select(*df.columns, *[F.col(f"_scanned.{o}").alias(o) for o in outputs])
 
 
 def discounted_returns(df: DataFrame, rewards: str, mask: str, gamma: float, name: str = "returns") -> DataFrame:
@@ -72,8 +71,8 @@ def discounted_returns(df: DataFrame, rewards: str, mask: str, gamma: float, nam
 
 
 def reinforce_pp(df: DataFrame, rewards: str, mask: str, gamma: float = 1.0) -> DataFrame:
-    """``returns``, and ``advantages``: the returns whitened over all valid tokens."""
-    return masked_whiten(discounted_returns(df, rewards, mask, gamma), "returns", mask, "advantages")
+    """``returns``, and ``advantages``: the returns whitened over all valid tokens. The recurrence runs once, into a written table that whitening reads."""
+    return masked_whiten(materialize(discounted_returns(df, rewards, mask, gamma)), "returns", mask, "advantages")
 
 
 def remax_advantage(df: DataFrame, baselines: DataFrame, rewards: str, mask: str, by: str = "uid", baseline: str = "baseline") -> DataFrame:
@@ -95,7 +94,7 @@ def gae(df: DataFrame, rewards: str, values: str, mask: str, gamma: float = 1.0,
             after = np.where(m[:, t] > 0, v[:, t], after)
             raw[:, t] = last
         return raw, raw + v
-    return masked_whiten(_scan(df, [rewards, values, mask], ["raw_advantages", "returns"], step), "raw_advantages", mask, "advantages").drop("raw_advantages")
+    return masked_whiten(materialize(_scan(df, [rewards, values, mask], ["raw_advantages", "returns"], step)), "raw_advantages", mask, "advantages").drop("raw_advantages")
 
 
 def _sum(c: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from verdata.functions import text as T
 from verdata.operators import curate as C
 from verdata.operators import prepare as P
 from verdata.plans.fixtures import sequences, view, with_views
+from verdata.plans.storage import shared_dir
 from verdata.sources import files as S
 
 QUERIES: dict = {}
@@ -87,6 +90,51 @@ def a1(spark, sf_dir):
     return S.load_examples(spark, f"{sf_dir}/documents.parquet@train").select("doc_id", "lang", "n_chars", "split")
 
 
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/sources/{uuid.uuid4().hex}"
+
+
+_KEPT = "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents"
+
+
+@query("a2_read_jsonl", _KEPT)
+def a2(spark, sf_dir):
+    """All documents as JSON lines, among blank and malformed lines."""
+    at, docs = _folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    line = F.to_json(F.struct(*docs.columns))
+    broken = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(""), F.substring(line, 1, 12), line)).otherwise(F.array(line))
+    docs.select(F.explode(broken).alias("value")).write.text(at)
+    return S.read_jsonl(spark, at, docs.schema, strict=False).select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+@query("a3_write_jsonl", "SELECT doc_id, md5(text) AS text_md5, CAST(3 AS BIGINT) AS n_keys FROM documents")
+def a3(spark, sf_dir):
+    """Each line read as plain text again: it holds all keys, nulls too."""
+    at = _folder(spark)
+    S.write_jsonl(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"), at)
+    line = F.col("value")
+    return spark.read.text(at).select(F.get_json_object(line, "$.doc_id").cast("long").alias("doc_id"), F.md5(F.get_json_object(line, "$.text")).alias("text_md5"), F.size(F.json_object_keys(line)).cast("long").alias("n_keys"))
+
+
+@query("a4_named_runs", "SELECT 'even' AS run, count(*) FILTER (doc_id % 2 = 0) AS n FROM documents UNION ALL SELECT 'odd', count(*) FILTER (doc_id % 2 = 1) FROM documents UNION ALL SELECT 'missing', 0")
+def a4(spark, sf_dir):
+    at, docs = _folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    for k, name in enumerate(("even", "odd")):
+        S.write_jsonl(docs.where(F.col("doc_id") % 2 == k), f"{at}/{name}")
+    return S.read_runs(spark, {n: f"{at}/{n}" for n in ("even", "odd", "missing")}, docs.schema)[1].select("run", "n")
+
+
+@query("a5_report_files", "SELECT coalesce(lang, 'none') AS run, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY coalesce(lang, 'none')")
+def a5(spark, sf_dir):
+    """A report of each language in a folder of its own, among unreadable ones, found by a pattern."""
+    at = _folder(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"))
+    docs.write.partitionBy("lang").json(at)
+    docs.select("lang", F.lit("{\"n\": ").alias("value")).write.mode("append").partitionBy("lang").option("compression", "none").text(f"{at}/broken")
+    reports = S.read_reports(spark, [f"{at}/lang=*/*", f"{at}/broken/lang=*/*"], "n long, mean_chars double")
+    return reports.select(F.regexp_extract("source_file", "lang=([^/]+)/", 1).alias("run"), "n", F.round("mean_chars", 6).alias("mean_chars"))
+
+
 @query("a6_row_id", "SELECT doc_id, printf('train-%06d', row_number() OVER (ORDER BY doc_id) - 1) AS row_id FROM documents")
 def a6(spark, sf_dir):
     return S.with_row_id(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), ["doc_id"], "train").select("doc_id", "row_id")
@@ -104,6 +152,15 @@ def b2(spark, sf_dir):
     return rows.select("conv_id", "turn", F.col("part").cast("long").alias("part"), "c.type", "c.text")
 
 
+@query("b2_mixed_media", """SELECT conv_id, turn, CAST(p AS BIGINT) AS part, type, CASE WHEN type <> 'text' THEN NULL WHEN conv_id % 3 = 0 AND p = 0 THEN 'see ' WHEN conv_id % 3 = 0 THEN ' and ' || text ELSE text END AS text
+FROM (SELECT *, unnest(CASE conv_id % 3 WHEN 0 THEN ['text', 'image', 'text', 'video'] WHEN 1 THEN ['video', 'image', 'text'] ELSE ['text'] END) AS type, unnest(CASE conv_id % 3 WHEN 0 THEN [0, 1, 2, 3] WHEN 1 THEN [0, 1, 2] ELSE [0] END) AS p FROM conversations)
+WHERE text IS NOT NULL AND (type <> 'text' OR text <> '' OR conv_id % 3 = 0)""")
+def b2m(spark, sf_dir):
+    prompt = F.expr("CASE conv_id % 3 WHEN 0 THEN concat('see <image> and ', text, '<video>') WHEN 1 THEN concat('<video><image>', text) ELSE text END")
+    rows = P.build_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", prompt.alias("prompt")), "prompt").select("conv_id", "turn", F.posexplode("content").alias("part", "c"))
+    return rows.select("conv_id", "turn", F.col("part").cast("long").alias("part"), "c.type", "c.text")
+
+
 @query("b3_filter_overlong", "SELECT idx, CAST(len(list_filter(regexp_split_to_array(problem, '\\s+'), lambda x: x <> '')) AS BIGINT) AS prompt_tokens FROM examples WHERE len(list_filter(regexp_split_to_array(problem, '\\s+'), lambda x: x <> '')) <= 200", "examples")
 def b3(spark, sf_dir):
     return P.filter_overlong(view(spark, sf_dir, "examples"), "problem", 200).select("idx", "prompt_tokens")

@@ -85,7 +85,17 @@ def c12(spark, sf_dir):
     return _responses(spark, sf_dir).select("case_id", A.robust_answer(F.col("response"), F.col("gold")).alias("robust"))
 
 
-@query("c13_normalize_final_answer")
+def _final_sql() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    out = "list_last(string_split('x = ' || answer, '='))"
+    for before, after in (*A.SUBSTITUTIONS, *((r, "") for r in A.REMOVED)):
+        out = f"replace({out}, {text(before)}, {text(after)})"
+    for pattern, by in (("(.*?)\\$(.*?)\\$(.*)", "$\\2$"), ("\\\\text\\{(.*?)\\}", "\\1"), ("\\\\textbf\\{(.*?)\\}", "\\1"), ("\\\\overline\\{(.*?)\\}", "\\1"), ("\\\\boxed\\{(.*)\\}", "\\1"), ("(frac)([^{])(.)", "frac{\\2}{\\3}"), ("(sqrt)([^{])", "sqrt{\\2}")):
+        out = f"regexp_replace({out}, {text(pattern)}, {text(by)}, 'g')"
+    return f"SELECT idx, trim(CASE WHEN regexp_full_match(replace(f, ',', ''), '[0-9]+') THEN replace(f, ',', '') ELSE f END) AS final FROM (SELECT idx, replace({out}, '$', '') AS f FROM examples) e"
+
+
+@query("c13_normalize_final_answer", _final_sql(), "examples")
 def c13(spark, sf_dir):
     return view(spark, sf_dir, "examples").select("idx", A.normalize_final_answer(F.concat(F.lit("x = "), "answer")).alias("final"))
 

@@ -147,7 +147,12 @@ def g11(spark, sf_dir):
     return G.filter_groups(_cand(spark, sf_dir)).select("uid", "candidate_index")
 
 
-@query("g12_fill_batches")
+# The batch of each generation batch by a fold in SQL; the last batch counts only if it becomes full.
+@query("g12_fill_batches", """, kept AS (SELECT uid, CAST(uid // 64 AS BIGINT) AS gen FROM (SELECT uid FROM candidates GROUP BY uid HAVING avg(accuracy) > 0.01 AND avg(accuracy) < 0.99)),
+ counts AS (SELECT gen, n, row_number() OVER (ORDER BY gen) AS i FROM (SELECT gen, count(*) AS n FROM kept GROUP BY gen)),
+ fold AS (WITH RECURSIVE f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS gen, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS have
+  UNION ALL SELECT c.i, c.gen, CASE WHEN f.have >= 16 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.have >= 16 THEN c.n ELSE f.have + c.n END FROM f JOIN counts c ON c.i = f.i + 1) SELECT * FROM f WHERE i > 0)
+SELECT batch, CAST(place AS INTEGER) AS place, uid FROM (SELECT batch, uid, row_number() OVER (PARTITION BY batch ORDER BY uid) AS place, max(have) OVER (PARTITION BY batch) AS have FROM kept JOIN fold ON kept.gen = fold.gen) x WHERE place <= 16 AND have >= 16""", "candidates")
 def g12(spark, sf_dir):
     kept = G.filter_groups(_cand(spark, sf_dir)).select("uid").distinct()
     return G.fill_batches(kept.selectExpr("uid", "uid AS arrival", "bigint(uid div 64) AS gen"), 16).select("batch", "place", "uid")
@@ -224,6 +229,14 @@ def k2(spark, sf_dir):
     return K.concat_rows([df.select(F.lit(n).alias("kind"), "row", "uid") for n, df in parts])
 
 
+@query("k2_take_from_end", _r("SELECT 'tail' AS kind, row, uid FROM r WHERE row >= n - 40 UNION ALL SELECT 'head', row, uid FROM r WHERE row < n - 7 UNION ALL SELECT 'back', row, uid FROM r WHERE row % 4 = (n - 1) % 4 UNION ALL SELECT 'list', row, uid FROM r WHERE row IN (2, n - 1)"))
+def k2n(spark, sf_dir):
+    r = _numbered(spark, sf_dir)
+    index = spark.createDataFrame([(0, -1), (1, 2)], "pos long, take long")
+    parts = (("tail", K.take_rows(r, slice(-40, None), "row")), ("head", K.take_rows(r, slice(None, -7), "row")), ("back", K.take_rows(r, slice(None, None, -4), "row")), ("list", K.take_rows(r, index, "row", n=r.count())))
+    return K.concat_rows([df.select(F.lit(n).alias("kind"), "row", "uid") for n, df in parts])
+
+
 @query("k3_union_columns", _r("SELECT row, uid, accuracy, response_length FROM r"))
 def k3(spark, sf_dir):
     r = _numbered(spark, sf_dir)
