@@ -96,3 +96,9 @@ def test_both_answers_are_those_of_the_single_functions(spark):
     df = spark.createDataFrame(rows, "t string, g string").select("t", "g", A.both_answers(F.col("t"), F.col("g")).alias("b"))
     got = {(r["t"], r["g"]): tuple(r["b"]) for r in df.collect()}
     assert got == {(t, g): (V.boxed(t), A.robust(t, g)) for t, g in rows}
+
+
+def test_normalize_any_white_space(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aB é  \n\t\r\x0b\x85\xa0   　") for _ in range(rng.randrange(40))) for _ in range(300)]
+    assert column(spark, texts, T.normalize_text) == [" ".join(t.split()).lower() for t in texts]

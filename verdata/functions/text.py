@@ -39,8 +39,8 @@ def text_of(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """White space collapsed to single spaces, stripped, lower case."""
-    # Single spaces between words, which is nearly all of them, aren't touched.
-    return F.lower(F.trim(F.regexp_replace(text_of(c), rf"(?:[{WHITE}&&[^ ]]|[{WHITE}](?=[{WHITE}]))[{WHITE}]*+", " ")))
+    # A whole run at a time, but for a single space between words, which nearly all runs are. One character class and no branch, which is cheaper at every character.
+    return F.lower(F.trim(F.regexp_replace(text_of(c), rf"[{WHITE}]++(?<!(?<![{WHITE}]) )", " ")))
 
 
 def stable_hash(c: Column) -> Column:
