@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdata.llm import licenses, lines, nearduplicates, neighbours, packing, private, quality, repeats, segment, sharding
+from verdata.llm import licenses, lines, nearduplicates, neighbours, packing, private, quality, repair, repeats, segment, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sample_segmentations(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, seed=1, digest=True)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damage(_table(spark, sf_dir, "conversations")), lost="lost")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op4_neighbours, op5_sharding, op6_minhash, op7_quality, op8_pii, op9_lines, op10_segmentations, pipeline)}
+    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op4_neighbours, op5_sharding, op6_minhash, op7_quality, op8_pii, op9_lines, op10_segmentations, op11_conversations, pipeline)}
 
 
 #: Lines whose template (tokens with a digit as <*>), or a merged template of the tree, is in 4 texts or more go, but from the first document.
@@ -113,5 +117,44 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
 
+#: crc: 32-bit check sum of ``conv_id:turn`` bit by bit. s0 to s3: the cheapest cost (six digits) and audit that reach each state of s?(ua)+ after k rows, row by row
+#: from the left instead of by spans. o: how many turns stand before an edit, n: how many there are, r: its row.
+OP11 = """
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS hit FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+      CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE hit <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS k FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault, lead(role) OVER (PARTITION BY conv_id ORDER BY k) AS next FROM p),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+      count(*) FILTER (k + 1 < n AND concat(left(role, 1), left(next, 1)) NOT IN ('su', 'ua', 'au')) AS illegal,
+      list(left(role, 1) ORDER BY k) AS roles, list(fault ORDER BY k) AS faults FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM f) x GROUP BY conv_id),
+w AS (SELECT conv_id, 0 AS k, roles, faults, '000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '000002I' AS s2, '000004II' AS s3 FROM m
+ UNION ALL SELECT conv_id, k + 1, roles, faults, s0,
+  s1, least(s2, CASE WHEN s0 IS NOT NULL THEN printf('%06d%s', CAST(left(s0, 6) AS BIGINT) + 2, s0[7:] || 'I') END, CASE WHEN s1 IS NOT NULL THEN printf('%06d%s', CAST(left(s1, 6) AS BIGINT) + 2, s1[7:] || 'I') END, printf('%06d%s', CAST(left(s3, 6) AS BIGINT) + 2, s3[7:] || 'I')),
+  least(s3, printf('%06d%s', CAST(left(t2, 6) AS BIGINT) + 2, t2[7:] || 'I')) FROM (
+   SELECT *, least(s2, CASE WHEN s0 IS NOT NULL THEN printf('%06d%s', CAST(left(s0, 6) AS BIGINT) + 2, s0[7:] || 'I') END, CASE WHEN s1 IS NOT NULL THEN printf('%06d%s', CAST(left(s1, 6) AS BIGINT) + 2, s1[7:] || 'I') END) AS t2 FROM (
+    SELECT conv_id, k, roles, faults, del0 AS s0, least(del1, keep01) AS s1, least(del2, in2) AS s2, least(del3, in3) AS s3 FROM (
+     SELECT w.*, f, printf('%06d%sD', CAST(left(s0, 6) AS BIGINT) + 3, s0[7:]) AS del0, CASE WHEN s1 IS NOT NULL THEN printf('%06d%sD', CAST(left(s1, 6) AS BIGINT) + 3, s1[7:]) END AS del1,
+      printf('%06d%sD', CAST(left(s2, 6) AS BIGINT) + 3, s2[7:]) AS del2, printf('%06d%sD', CAST(left(s3, 6) AS BIGINT) + 3, s3[7:]) AS del3,
+      CASE WHEN f IN (0, 3) AND r = 's' THEN printf('%06d%sK', CAST(left(s0, 6) AS BIGINT) + f // 3, s0[7:]) END AS keep01,
+      CASE WHEN f IN (0, 3) THEN least(printf('%06d%s%s', CAST(left(s0, 6) AS BIGINT) + f // 3 + CASE WHEN r = 'u' THEN 0 ELSE 2 END, s0[7:], CASE WHEN r = 'u' THEN 'K' ELSE 'R' END),
+       CASE WHEN s1 IS NOT NULL THEN printf('%06d%s%s', CAST(left(s1, 6) AS BIGINT) + f // 3 + CASE WHEN r = 'u' THEN 0 ELSE 2 END, s1[7:], CASE WHEN r = 'u' THEN 'K' ELSE 'R' END) END,
+       printf('%06d%s%s', CAST(left(s3, 6) AS BIGINT) + f // 3 + CASE WHEN r = 'u' THEN 0 ELSE 2 END, s3[7:], CASE WHEN r = 'u' THEN 'K' ELSE 'R' END)) END AS in2,
+      CASE WHEN f IN (0, 3) THEN printf('%06d%s%s', CAST(left(s2, 6) AS BIGINT) + f // 3 + CASE WHEN r = 'a' THEN 0 ELSE 2 END, s2[7:], CASE WHEN r = 'a' THEN 'K' ELSE 'R' END) END AS in3
+     FROM (SELECT *, roles[k + 1] AS r, faults[k + 1] AS f FROM w WHERE k < len(roles)) w) x) y) z),
+b AS (SELECT conv_id, CAST(left(best, 6) AS BIGINT) AS cost, best[7:] AS audit FROM (SELECT conv_id, least(s0, s3) AS best FROM w WHERE k = len(roles)) x),
+e AS (SELECT conv_id, j, edit, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY j) - 1 AS o, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) AS n,
+      count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY j) - 1 AS r FROM (SELECT conv_id, unnest(range(1, len(audit) + 1)) AS j, audit[unnest(range(1, len(audit) + 1))] AS edit FROM b) x),
+t AS (SELECT e.conv_id, string_agg(concat(CASE WHEN edit = 'K' THEN role WHEN (o + n) % 2 = 0 THEN 'user' ELSE 'assistant' END, ':', CASE WHEN edit = 'I' THEN '' ELSE text END), chr(10) ORDER BY j) AS lines
+      FROM e LEFT JOIN p ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.r = p.k WHERE edit <> 'D' GROUP BY e.conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN m ON i.conv_id IS NOT DISTINCT FROM m.conv_id LEFT JOIN b ON i.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN t ON i.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op9_lines": OP9}
+    return {"op9_lines": OP9, "op11_conversations": OP11}
