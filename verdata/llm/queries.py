@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdata.llm import licenses, lines, nearduplicates, neighbours, packing, private, quality, repair, repeats, segment, sharding
+from verdata.llm import archives, licenses, lines, nearduplicates, neighbours, packing, private, quality, repair, repeats, segment, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(repair.damage(_table(spark, sf_dir, "conversations")), lost="lost")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op4_neighbours, op5_sharding, op6_minhash, op7_quality, op8_pii, op9_lines, op10_segmentations, op11_conversations, pipeline)}
+    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op4_neighbours, op5_sharding, op6_minhash, op7_quality, op8_pii, op9_lines, op10_segmentations, op11_conversations, op12_warc, pipeline)}
 
 
 #: Lines whose template (tokens with a digit as <*>), or a merged template of the tree, is in 4 texts or more go, but from the first document.
@@ -156,5 +160,13 @@ FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN m ON i.conv_id IS
 """
 
 
+OP12 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d),
+r AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op9_lines": OP9, "op11_conversations": OP11}
+    return {"op9_lines": OP9, "op11_conversations": OP11, "op12_warc": OP12}
