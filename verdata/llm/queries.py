@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdata.llm import archives, licenses, lines, nearduplicates, neighbours, packing, private, quality, repair, repeats, segment, sharding
+from verdata.llm import archives, licenses, lines, nearduplicates, negatives, neighbours, packing, private, quality, repair, repeats, segment, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(vectors, F.col("id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op4_neighbours, op5_sharding, op6_minhash, op7_quality, op8_pii, op9_lines, op10_segmentations, op11_conversations, op12_warc, pipeline)}
+    return {f.__name__: f for f in (op1_substring, op2_packing, op3_licenses, op4_neighbours, op5_sharding, op6_minhash, op7_quality, op8_pii, op9_lines, op10_segmentations, op11_conversations, op12_warc, op13_negatives, pipeline)}
 
 
 #: Lines whose template (tokens with a digit as <*>), or a merged template of the tree, is in 4 texts or more go, but from the first document.
@@ -168,5 +174,17 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 """
 
 
+#: All anchors against all rows.
+OP13 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) x WHERE k <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op9_lines": OP9, "op11_conversations": OP11, "op12_warc": OP12}
+    return {"op9_lines": OP9, "op11_conversations": OP11, "op12_warc": OP12, "op13_negatives": OP13}
