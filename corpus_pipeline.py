@@ -16,7 +16,7 @@ def _shaped(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with ``n_chars`` (where there is one) following the text."""
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def test_private(spark, cases, small):
             got.append((r["doc_id"], *[sum(k == x for k, _, _ in base) for x in ("email", "ip", "card", "phone")], hashlib.sha256(text.encode()).hexdigest()))
         assert sorted(got, key=str) == sorted(((d, *B.private(t)) for d, t in raw), key=str)
     masked = {r["doc_id"]: r["text"] for r in private.mask_private(cases).collect()}
-    assert masked[9].startswith("mail <email>_e@f.gh and <email>. ip <ip> 1.2.3.400 card <card> tel <phone>") or masked[9].startswith("mail <email>")
+    assert masked[9] == "mail <email><email> and <email>. ip <ip> 1.2.3.400 card <card> tel <phone>"
     assert private.mask_private(cases).columns == cases.columns and masked[0] is None and masked[1] == ""
     assert private.find_private(cases.limit(0)).count() == 0
 
@@ -225,6 +225,53 @@ def test_private_contexts(spark):
     assert got[100] == [("id", 25)] and got[101] == [] and got[3] == [("phone", 33)]
 
 
+def plain_patterns(tokens, rounds=3, prior=1.0, decay=0.9):
+    """Scores by dictionaries: (kind_no or None, string, l1, l2, r1) -> pattern -> (score, seeds)."""
+    edges = {}
+    for kind, m, l1, l2, r1 in tokens:
+        for p in [f"l1 {l1}"] * (l1 != "") + [f"l2 {l2} {l1}"] * (l1 != "" and l2 != "") + [f"lr {l1} {r1}"] * (l1 != "" and r1 != ""):
+            known = edges.setdefault((p, m.lower()), [])
+            known += [kind] if kind is not None else []
+    own = {}
+    for (_, i), kinds in edges.items():
+        own[i] = max(own.get(i, 0.0), float(bool(kinds)))
+    score, by = dict(own), {}
+    for (p, i), kinds in edges.items():
+        by.setdefault(p, []).append((i, min(kinds) if kinds else None))
+    for k in range(rounds):
+        rated = {p: sum(score[i] for i, _ in own_) / (len(own_) + prior) for p, own_ in by.items()}
+        if k < rounds - 1:
+            best = {}
+            for (p, i) in edges:
+                best[i] = max(best.get(i, 0.0), rated[p])
+            score = {i: max(own[i], decay * best[i]) for i in own}
+    return {p: (round(rated[p], 9), sum(k is not None for _, k in own_), max((sum(k == n for _, k in own_), -n) for n in range(4))[1] * -1) for p, own_ in by.items()}
+
+
+def test_private_scores_and_discovery(spark):
+    """Scores, and the spans that good patterns find, against plain versions; planted identifiers are found and nothing else; any number of patterns gives the same."""
+    names = ["alpha", "beta", "gamma"]
+    raw = [(i, f"note {i % 7} says reach {names[i % 3]} line {'+1 (262) 555-%04d' % i} today or mail box user{i}@site.org soon") for i in range(60)]
+    planted = [(100 + i, f"note says reach {names[i % 3]} line AB{i}9-77-QQ{i} today and mail box AcmeUser{chr(65 + i)} soon") for i in range(9)]
+    clean = [(200 + i, f"the part label ZX81-77-QQ{i} is old and the newTitle stays in version 12.{i} of it") for i in range(9)]
+    df = spark.createDataFrame(raw + planted + clean, "doc_id long, text string").repartition(3)
+    scanned = df.select(private._scan(F.col("text")).alias("s")).select("s.*")
+    tokens = scanned.select(F.explode("base").alias("x"), F.lit(True).alias("seed")).union(scanned.select(F.explode("other").alias("x"), F.lit(False).alias("seed")))
+    plain = plain_patterns([(r["x"]["kind_no"] if r["seed"] else None, *(r["x"][k] for k in ("m", "l1", "l2", "r1"))) for r in tokens.collect()])
+    got = {r["pattern"]: (round(r["score"], 9), r["n_seeds"], r["like"]) for r in private.learn_patterns(tokens).collect()}
+    assert got == plain and any(n >= 3 and s >= 0.6 for s, n, _ in got.values())
+    found = {r["doc_id"]: r["spans"] for r in private.find_private(df).collect()}
+    ids = {d: [s for s in spans if s["kind"] == "id"] for d, spans in found.items()}
+    text = dict(raw + planted + clean)
+    hit = {(d, text[d][s["start"]:s["end"]]) for d, spans in ids.items() for s in spans}
+    want = {(100 + i, x) for i in range(9) for x in (f"AB{i}9-77-QQ{i}", f"AcmeUser{chr(65 + i)}")}
+    assert hit == want
+    few = {r["doc_id"]: r["spans"] for r in private.find_private(df, max_patterns=3).collect()}
+    assert few == found
+    masked = {r["doc_id"]: r["text"] for r in private.mask_private(df, max_patterns=3).collect()}
+    assert masked == {r["doc_id"]: r["text"] for r in private.mask_private(df).collect()} and masked[100].count("<id>") == 2 and masked[200] == text[200]
+
+
 def test_lines(spark, cases):
     raw = [(i, f"Page {i} of the report\nbody {i} text unlike others {chr(97 + i) * 5}\nshort") for i in range(6)] + [(6, None), (7, ""), (8, "Page 9 of the report")]
     df = spark.createDataFrame(raw, "doc_id long, text string").withColumn("n_lines", F.lit("old"))
@@ -468,7 +515,7 @@ def test_pipeline_stages_against_plain_versions(spark):
 
     import corpus_pipeline
 
-    extra = {"_row": 1, "_d": 2, "_r": 3, "doc": 4, "rest": 5, "row": 6, "kept": 7, "gone": 8, "base": 9, "n_lines": 10, "_spans": 11}
+    extra = {"a.b": 0, "_row": 1, "_d": 2, "_r": 3, "doc": 4, "rest": 5, "row": 6, "kept": 7, "gone": 8, "base": 9, "n_lines": 10, "_spans": 11}
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(d + 10_000 if d is not None else None, t) for d, t in CASES], "doc_id long, text string"))
     docs = docs.select("*", F.length("text").cast("long").alias("n_chars"), *[F.lit(v).alias(k) for k, v in extra.items()]).repartition(3)
@@ -500,12 +547,14 @@ def test_pipeline_stages_against_plain_versions(spark):
             least[d] = least.get(d, 0) + 1
     assert {d for d, _ in single} == set(least) and len(single) == len({(d, t) for d, t in before if d in least})
     _, masked = run("pii", docs)
-    was = dict(before)
+    was, addresses = dict(before), []
     for d, t in masked:
         if d is None or t is None:
             continue
         if B.private(was[d])[:4] == (0, 0, 0, 0) and "<id>" not in t:
             assert t == was[d]
-        assert not any(x in t for x in re.findall(r"[\\w.]+@[\\w-]+\\.com", was[d]))
+        addresses += (inside := [m.group() for m in B.EMAIL.finditer(was[d])])
+        assert not any(x in t for x in inside)
+    assert len(addresses) > 5
     packed = corpus_pipeline.STAGES[-1][1](spark, good, SF).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {r["doc_id"] for r in packed} == {d for d, _ in kept} and all(r["n"] % r["m"] == 0 for r in packed)

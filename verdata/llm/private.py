@@ -10,8 +10,8 @@ Base kinds are found by patterns with checks (see :data:`KINDS`), leftmost and w
    identifiers (at least ``min_length`` characters with two digits; without digits, at least ``min_plain`` characters). Their kind is ``id``, and ``like`` is the
    kind of most seeds of the best pattern that found them.
 
-Everything but the graph is done row by row where the texts are: what the graph's joins move are patterns and short strings. The good patterns are
-broadcast in blocks, one row for each ``max_patterns`` (a hash of 8 bytes, a score and a kind each).
+Everything but the graph is done row by row where the texts are: what the graph's joins move are patterns and short strings. Up to ``max_patterns``
+good patterns are broadcast as one row (a hash of 8 bytes, a score and a kind each); more of them are joined on their hashes.
 
 Null texts count as empty and have no spans. Repeated rows have the same spans, and count once in the graph. Positions are code points.
 An empty table gives an empty result. Extra columns of any name are kept by :func:`mask_private` and ignored by :func:`find_private`.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdata.llm.text import let, running
-from verdata.plans.storage import drop, materialize
+from verdata.plans.storage import broadcast_if_small, drop, materialize
 
 #: Kinds in order, with their patterns: greedy parts that can't give back are possessive, and a match starts where an
 #: earlier start of the same run would have matched, so that matching takes linear time; the matches are those of the plain patterns.
@@ -181,33 +181,51 @@ def _as_row(good: DataFrame) -> DataFrame:
     return F.broadcast(row)
 
 
-def _discovered(other: Column, goods: list[Column], min_length: int, min_plain: int) -> Column:
+def _like(x: Column, like: Column) -> Column:
+    return F.struct(x["kind_no"].alias("kind_no"), x["start"].alias("start"), x["end"].alias("end"), like.alias("like"))
+
+
+def _discovered(other: Column, good: Column, min_length: int, min_plain: int) -> Column:
     """Of candidates, those that a good pattern finds: spans with ``like``, the seed kind of the best pattern."""
     def best(x: Column) -> Column:
         keys = F.transform(_patterns(x), lambda p: F.xxhash64(p))
-        own = lambda k, good: F.filter(F.get(good, F.pmod(k, F.lit(_BUCKETS)).cast("int")), lambda g: g["key"] == k)
-        hits = F.flatten(F.transform(keys, lambda k: F.concat(*[own(k, good) for good in goods])))
-        return F.array_max(F.transform(hits, lambda g: F.struct(g["score"].alias("score"), (-g["like"]).alias("like"))))
+        own = lambda k: F.filter(F.get(good, F.pmod(k, F.lit(_BUCKETS)).cast("int")), lambda g: g["key"] == k)
+        return F.array_max(F.transform(F.flatten(F.transform(keys, own)), lambda g: F.struct(g["score"].alias("score"), (-g["like"]).alias("like"))))
+
+    return F.filter(F.transform(F.filter(other, lambda x: _looks(x["m"], min_length, min_plain)), lambda x: _like(x, -best(x)["like"])), lambda s: s["like"].isNotNull())
+
 
-    like = lambda x: F.struct(x["kind_no"].alias("kind_no"), x["start"].alias("start"), x["end"].alias("end"), (-best(x)["like"]).alias("like"))
-    return F.filter(F.transform(F.filter(other, lambda x: _looks(x["m"], min_length, min_plain)), like), lambda s: s["like"].isNotNull())
+def _same_other(other: str = "other") -> list[Column]:
+    """Rows of equal candidates have equal spans, so these two hashes name them."""
+    return [F.xxhash64(other).alias("_k1"), F.xxhash64(other, F.lit(1)).alias("_k2")]
+
+
+def _joined(found: DataFrame, good: DataFrame, min_length: int, min_plain: int) -> DataFrame:
+    """The same for any number of good patterns, by a join on their hashes: ``_k1, _k2`` and ``new``, the spans discovered in rows of these candidates."""
+    each = found.where(F.size("other") > 0).select(*_same_other(), "other").dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", F.explode("other").alias("x"))
+    each = each.where(_looks(F.col("x.m"), min_length, min_plain))
+    uses = each.select("_k1", "_k2", _like(F.col("x"), F.lit(None).cast("int")).alias("s"), F.explode(F.transform(_patterns(F.col("x")), lambda p: F.xxhash64(p))).alias("key"))
+    best = uses.join(good, "key").groupBy("_k1", "_k2", "s").agg(F.max(F.struct("score", (-F.col("like")).alias("like"))).alias("best"))
+    return best.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(_like(F.col("s"), -F.col("best.like")))).alias("new"))
 
 
 def _spans(rows: DataFrame, min_score: float = 0.6, min_seeds: int = 3, min_length: int = 8, min_plain: int = 5, max_patterns: int = 500_000, **learning) -> Callable[[DataFrame], DataFrame]:
-    """Learn the good patterns from ``base`` and ``other`` of all rows (written without texts); gives a function that adds the final ``spans`` to such rows."""
+    """Learn the good patterns from ``base`` and ``other`` of all rows (written without texts); gives a function that adds the final ``spans`` to such rows.
+
+    Up to ``max_patterns`` good patterns are broadcast as one row. More are joined on their hashes, and what they find is joined to the rows.
+    """
     found = materialize(rows.select("base", "other"))
     good = _good(found, min_score, min_seeds, **learning)
+    base = F.transform("base", lambda s: _like(s, F.lit(None).cast("int")))
+    spans = lambda new: F.sort_array(F.array_distinct(F.concat(base, new)))
+    few = good.count() <= max_patterns
+    new = None if few else materialize(_joined(found, good, min_length, min_plain))
     drop(found)
-    base = F.transform("base", lambda s: F.struct(s["kind_no"].alias("kind_no"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("int").alias("like")))
-    blocks = max(1, -(-good.count() // max_patterns))
 
     def add(df: DataFrame) -> DataFrame:
-        # One row for each block of about ``max_patterns`` patterns.
-        for k in range(blocks):
-            part = good if blocks == 1 else good.where(F.pmod(F.hash("key"), F.lit(blocks)) == k)
-            df = df.crossJoin(_as_row(part).withColumnRenamed("good", f"good_{k}"))
-        new = _discovered(F.col("other"), [F.col(f"good_{k}") for k in range(blocks)], min_length, min_plain)
-        return df.withColumn("spans", F.sort_array(F.array_distinct(F.concat(base, new))))
+        if few:
+            return df.crossJoin(_as_row(good)).withColumn("spans", spans(_discovered(F.col("other"), F.col("good"), min_length, min_plain)))
+        return df.withColumns(dict(zip(("_k1", "_k2"), _same_other()))).join(broadcast_if_small(new), ["_k1", "_k2"], "left").withColumn("spans", spans(F.coalesce("new", F.array().cast(new.schema["new"].dataType))))
 
     return add
 
