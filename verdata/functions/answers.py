@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from verdata.functions import vectorized as V
-from verdata.functions.text import WHITE, normalize_text, text_of, trim_ws
+from verdata.functions import braces as B
+from verdata.functions.text import WHITE, normalize_text, once, text_of, trim_ws
 
 #: A chat turn's head, at a line's start or after a closing bracket (fixed value).
 TURN = r"(?i)(?:^|\n|(?<=[\]\)\}]))(?U:\s*)(?:Human|Assistant|User|System)(?U:\s*):"
@@ -19,7 +15,7 @@ _NUMBER = r"\A[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
 
 
 def extract_boxed(c: Column) -> Column:
-    return V.extract_boxed(text_of(c))
+    return once(text_of(c), B.extract_boxed)
 
 
 def postprocess_generation(c: Column, cut_turn_markers: bool = False, stop_after_boxed: bool = False) -> Column:
@@ -28,7 +24,7 @@ def postprocess_generation(c: Column, cut_turn_markers: bool = False, stop_after
     if cut_turn_markers:
         head = F.split(out, TURN, 2)
         out = F.when(F.size(head) > 1, F.regexp_replace(head[0], r"(?U)\s+\z", "")).otherwise(out)
-    return V.stop_after_boxed(out) if stop_after_boxed else out
+    return once(out, B.stop_after_boxed) if stop_after_boxed else out
 
 
 def format_reward(c: Column, style: str = "boxed") -> Column:
@@ -63,77 +59,64 @@ RELAXED = (
 
 def relaxed_normalize(c: Column) -> Column:
     """An answer without LaTeX decoration, units, thousands commas and white space, in lower case."""
-    out = trim_ws(text_of(c))
+    out = B.strip(text_of(c))
     for pattern, by in RELAXED:
-        out = F.regexp_replace(out, "(?U)" + pattern, by)
-    return F.regexp_replace(F.lower(out), r"(?U)\s+", "")
-
-
-def relaxed_answer_equal(pred: Column, gold: Column) -> Column:
-    a, b = relaxed_normalize(pred), relaxed_normalize(gold)
-    return answer_equal(pred, gold) | ((a != "") & (a == b)) | _close(a, b)
+        out = F.regexp_replace(out, "(?U)" + pattern.replace(r"\s", B.SPACE), by)
+    return F.regexp_replace(F.lower(out), B.SPACE + "++", "")
 
 
-# The same comparison for the candidate search, which runs over many spans of one response.
-_PLAIN = tuple((re.compile(p.replace(r"\z", r"\Z")), by.replace("$1", r"\1")) for p, by in RELAXED)
+def _forms(c: Column) -> Column:
+    """The strict and the relaxed form of an answer."""
+    return F.struct(normalize_text(c).alias("strict"), relaxed_normalize(c).alias("loose"))
 
 
-def _relaxed(text: str) -> str:
-    out = (text or "").strip()
-    for p, by in _PLAIN:
-        out = p.sub(by, out)
-    return re.sub(r"\s+", "", out.lower())
+def _equal_forms(a: Column, b: Column) -> Column:
+    return (a["strict"] == b["strict"]) | _close(a["strict"], b["strict"]) | ((a["loose"] != "") & (a["loose"] == b["loose"])) | _close(a["loose"], b["loose"])
 
 
-def _equal(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    if re.match(_NUMBER.replace(r"\z", r"\Z"), a) and re.match(_NUMBER.replace(r"\z", r"\Z"), b):
-        x, y = float(a), float(b)
-        return abs(x - y) <= max(1e-9 * max(abs(x), abs(y)), 1e-9)
-    return False
-
-
-def relaxed_equal_text(pred: str, gold: str) -> bool:
-    strict = [re.sub(r"\s+", " ", (t or "").strip()).lower() for t in (pred, gold)]
-    loose = [_relaxed(pred), _relaxed(gold)]
-    return _equal(*strict) or (loose[0] != "" and _equal(*loose))
+def relaxed_answer_equal(pred: Column, gold: Column) -> Column:
+    return _equal_forms(_forms(pred), _forms(gold))
 
 
 #: Kinds of answers looked for in a response's tail, and cues near an answer (fixed values).
 TAIL, NEAR_END, AROUND = 1800, 220, 260
-SPANS = tuple(re.compile(p, re.DOTALL) for p in (
+SPANS = tuple("(?sU)" + p for p in (
     r"\\begin\{pmatrix\}.*?\\end\{pmatrix\}", r"-?\\(?:dfrac|tfrac|frac)\{[^{}\n]{1,80}\}\{[^{}\n]{1,80}\}", r"-?\\sqrt\{[^{}\n]{1,80}\}",
-    r"\([^()\n]{1,80}\)", r"-?\d+(?:\.\d+)?_\{?\d+\}?", r"-?\d+(?:\.\d+)?(?:\s*(?:\\%|%|\\circ|°|degrees?))?"))
+    r"\([^()\n]{1,80}\)", r"-?\d+(?:\.\d+)?_\{?\d+\}?", rf"-?\d+(?:\.\d+)?(?:{B.SPACE}*(?:\\%|%|\\circ|°|degrees?))?"))
 CUES = ("answer", "final", "therefore", "thus", "hence", "so", "equals", "is", "=", "\\boxed")
 
 
-def robust(text: str | None, gold: str | None) -> str:
-    """The boxed answer, else the last span (kinds from last to first) that equals gold and stands near the end or a cue."""
-    text = text or ""
-    box = V.boxed(text)
-    if box:
-        return box
-    base = max(0, len(text) - TAIL)
-    for kind in reversed(SPANS):
-        for m in reversed(list(kind.finditer(text[base:]))):
-            start, end = base + m.start(), base + m.end()
-            around = text[max(0, start - AROUND):end + AROUND].lower()
-            if (end >= len(text) - NEAR_END or any(c in around for c in CUES)) and relaxed_equal_text(m.group().strip(), gold or ""):
-                return m.group().strip()
-    return ""
-
-
-@F.pandas_udf(StringType())
-def robust_answer(texts: pd.Series, golds: pd.Series) -> pd.Series:
-    return pd.Series([robust(t, g) for t, g in zip(texts, golds)], dtype="object")
-
-
-@F.pandas_udf(StructType([StructField("boxed", StringType()), StructField("robust", StringType())]))
-def both_answers(texts: pd.Series, golds: pd.Series) -> pd.DataFrame:
-    """The boxed and the robust answer from one pass over the responses."""
-    boxes = texts.map(V.boxed)
-    return pd.DataFrame({"boxed": boxes, "robust": [b or robust(t, g) for b, t, g in zip(boxes, texts, golds)]}, dtype="object")
+def _last_span(text: Column, size: Column, tail: Column, base: Column, pattern: str, equal) -> Column:
+    """The last match of a kind that equals gold and stands near the end or a cue; null if there is none."""
+    near = lambda a, b: F.exists(F.array(*map(F.lit, CUES)), lambda cue: F.contains(F.lower(F.substring(text, F.greatest(a - AROUND, F.lit(0)) + 1, b + AROUND - F.greatest(a - AROUND, F.lit(0)))), cue))
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["gap"])
+        end = start + F.length(x["match"])
+        value = B.strip(x["match"])
+        fits = equal(value) & ((end >= size - NEAR_END) | near(start, end))
+        return F.struct(end.alias("at"), F.when(fits, value).otherwise(s["best"]).alias("best"))
+    # What a split leaves between the matches tells where they stand.
+    matches, gaps = F.regexp_extract_all(tail, F.lit(pattern), F.lit(0)), F.split(tail, pattern, -1)
+    both = once(matches, lambda m: F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda a, b: F.struct(a.alias("match"), b.alias("gap"))))
+    return F.aggregate(both, F.struct(base.alias("at"), F.lit(None).cast("string").alias("best")), step, lambda s: s["best"])
+
+
+def robust_answer(response: Column, gold: Column, boxed: Column | None = None) -> Column:
+    """The boxed answer; if that is empty, the last span of the tail (kinds from last to first) that equals gold and stands near the end or a cue, else the last
+    boxed content that equals gold. ``boxed``: the boxed answer, if it is known."""
+    def search(t: Column) -> Column:
+        def by_gold(g: Column) -> Column:
+            equal = lambda v: once(_forms(v), lambda f: _equal_forms(f, g))
+            size = F.length(t)
+            base = F.greatest(size - TAIL, F.lit(0))
+            last = lambda p: once(F.substring(t, base + 1, F.lit(TAIL)), lambda tail: _last_span(t, size, tail, base, p, equal))
+            return F.coalesce(*map(last, reversed(SPANS)), B.fold_groups(t, keep=equal)["best"], F.lit(""))
+        return once(_forms(gold), by_gold)
+
+    def answer(t: Column) -> Column:
+        return once(extract_boxed(t) if boxed is None else text_of(boxed), lambda box: F.when(box != "", box).otherwise(search(t)))
+    return once(text_of(response), answer)
 
 
 #: Ordered substitutions and removals of the final-answer form (fixed values).

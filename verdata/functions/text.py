@@ -32,6 +32,11 @@ def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once for each row: an array of one is a name for its element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def text_of(c: Column) -> Column:
     """Null counts as the empty string."""
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -76,7 +76,7 @@ def diagnose(df: DataFrame, max_response_length: int | None = None) -> DataFrame
     """All diagnostics of each response; ``accuracy``, ``format_rate`` and ``train_reward_v1`` are reused where all three columns are there."""
     reused = {"accuracy", "format_rate", "train_reward_v1"}
     text = text_of(F.col("response"))
-    df = df.withColumn("_both", A.both_answers(text, text_of(F.col("gold")))).withColumns({"boxed_answer": F.col("_both.boxed"), "robust_answer": F.col("_both.robust")}).drop("_both")
+    df = df.withColumn("boxed_answer", A.extract_boxed(text)).withColumn("robust_answer", A.robust_answer(text, F.col("gold"), F.col("boxed_answer")))
     if reused <= set(df.columns):
         df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in reused})
     else:
