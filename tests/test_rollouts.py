@@ -1,4 +1,8 @@
+import math
+import random
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +228,62 @@ def test_numbering_is_the_same_on_any_partitioning(spark):
             assert r["k"] == len(own) and r["b"] == sum(own)
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert number_rows(df.limit(0), [], [F.col("i")], "k").count() == 0
+
+
+def test_kl_coefficient_of_any_sign(spark):
+    """Multipliers above, at and below 0 against a plain loop, over many partitions and rows of one run."""
+    rng = random.Random(8)
+    raw = [("a", i, rng.choice([0.1, 0.3, 0.5, None]), rng.choice([100.0, 50_000.0, 60_000.0])) for i in range(200)] + [("b", i, 0.1, 50_000.0 if i == 7 else 60_000.0) for i in range(20)]
+    raw += [("c", i, rng.uniform(0.2, 0.4), 512.0) for i in range(3000)] + [("d", 5, 0.3, 1.0)] + [("e", i, 0.1, 60_000.0) for i in range(9)]
+    want = {}
+    for run in "abcde":
+        coef = 0.01
+        for _, i, kl, n in sorted(r for r in raw if r[0] == run):
+            want[run, i] = coef
+            if kl is not None:
+                coef *= 1 + max(-0.2, min(kl / 0.3 - 1, 0.2)) * n / 10_000
+    df = spark.createDataFrame(raw, "run string, step long, kl double, n_steps double").repartition(5)
+    got = {(r["run"], r["step"]): r["kl_coef"] for r in G.kl_coef_by_step(df, 0.01, 0.3, 10_000).collect()}
+    assert got.keys() == want.keys()
+    assert [(k, got[k], v) for k, v in want.items() if not math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-300)] == []
+    assert want["b", 19] == 0 and min(want.values()) < 0 < max(want.values())
+    assert {r["kl_coef"] for r in G.kl_coef_by_step(df, 0.5).collect()} == {0.5}
+
+
+def test_checkpoint_tracker(spark):
+    rng = random.Random(9)
+    raw = [(run, i * 5, rng.choice([None, -1.0, 0.2, round(rng.random(), 2)])) for run in ("x", "y", None) for i in range(300)] + [("z", 1, -2.0)]
+    df = spark.createDataFrame(raw, "run string, step long, score double").repartition(4)
+    want = []
+    for run in ("x", "y", None, "z"):
+        best, at = -1.0, None
+        for _, step, score in (r for r in raw if r[0] == run):
+            if score is not None and score > best:
+                best, at = score, step
+            want.append((run, step, best, at, step))
+    got = I.checkpoint_tracker(df).select("run", "step", "best_score", "best_step", "last_step").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def plain_batches(counts, size):
+    """(gen, batch) of full batches, by a loop."""
+    out, batch, have, own = [], 0, 0, []
+    for g, n in sorted(counts.items()):
+        own.append(g)
+        have += n
+        if have >= size:
+            out += [(x, batch) for x in own]
+            batch, have, own = batch + 1, 0, []
+    return out
+
+
+def test_batch_starts_of_many_generations(spark):
+    """20,000 generation batches of any numbering: pointers double, nothing is folded in one task."""
+    rng = random.Random(10)
+    counts = {3 * g - 50: rng.choice([1, 1, 1, 2, 40]) for g in range(20_000)}
+    df = spark.createDataFrame(pd.DataFrame({"gen": list(counts), "n": list(counts.values())}))
+    groups = df.select("gen", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k")).select("gen", (F.col("gen") * 100 + F.col("k")).alias("uid")).withColumn("arrival", F.col("uid"))
+    got = G.fill_batches(groups, 32)
+    assert sorted({(r["gen"], r["batch"]) for r in got.select("gen", "batch").distinct().collect()}) == sorted(plain_batches(counts, 32))
+    assert got.groupBy("batch").count().where("count <> 32").count() == 0
+    assert G.fill_batches(groups.where("gen < 0"), 10_000).count() == 0 and G.fill_batches(groups.limit(0), 4).count() == 0

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from verdata.plans.storage import materialize
+from verdata.operators.numbering import number_rows, prefix_scan
+from verdata.plans.storage import drop, materialize
 
 _EPS = 1e-6
 
@@ -162,12 +163,18 @@ def apply_kl_penalty(df: DataFrame, scores: str, log_probs: str, ref_log_probs:
 
 
 def kl_coef_by_step(steps: DataFrame, init: float, target: float | None = None, horizon: float | None = None, by: str = "run", step: str = "step", current: str = "kl", n: str = "n_steps") -> DataFrame:
-    """``kl_coef`` in force before each step; without a target it stays. The product of the multipliers is the exponential of a running sum."""
+    """``kl_coef`` in force before each step; without a target it stays.
+
+    The product of the multipliers before a step comes of three running values: how many are 0, how many are negative, and the logarithms' sum. These are associative,
+    so range partitions of the steps are scanned on their own and no task holds a run. Steps without a current value change nothing.
+    """
     if target is None:
         return steps.withColumn("kl_coef", F.lit(init))
-    multiplier = 1 + _clamp(F.col(current) / target - 1, -0.2, 0.2) * F.col(n) / horizon
-    w = Window.partitionBy(by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    return steps.withColumn("kl_coef", init * F.exp(F.coalesce(F.sum(F.ln(multiplier)).over(w), F.lit(0.0))))
+    m = F.when(F.col(current).isNotNull(), 1 + _clamp(F.col(current) / target - 1, -0.2, 0.2) * F.col(n) / horizon)
+    scans = {"_zero": (F.sum, (m == 0).cast("long")), "_less": (F.sum, (m < 0).cast("long")), "_log": (F.sum, F.when(m != 0, F.ln(F.abs(m))))}
+    out = prefix_scan(steps, [by], [F.col(step)], scans, inclusive=False, few_keys=False)
+    sign = F.when(F.coalesce("_zero", F.lit(0)) > 0, 0.0).when(F.coalesce("_less", F.lit(0)) % 2 == 1, -1.0).otherwise(1.0)
+    return out.withColumn("kl_coef", init * sign * F.exp(F.coalesce("_log", F.lit(0.0)))).drop(*scans)
 
 
 def filter_groups(df: DataFrame, key: str = "accuracy", low: float = 0.01, high: float = 0.99, by: str = "uid") -> DataFrame:
@@ -176,33 +183,50 @@ def filter_groups(df: DataFrame, key: str = "accuracy", low: float = 0.01, high:
     return df.withColumn("_mean", F.avg(key).over(w)).where((F.col("_mean") > low) & (F.col("_mean") < high)).drop("_mean")
 
 
+def _batch_starts(counts: DataFrame, batch_groups: int) -> DataFrame:
+    """``i, last, batch``: the generation batches that begin a train batch, with the one that fills it (null: none does), numbered. ``counts``: ``i`` (0, 1, ...), ``n`` and ``before`` (the sum of earlier n).
+
+    A train batch that begins with i ends with the first j whose running sum reaches ``before(i) + batch_groups``; the next begins with j + 1. Sums and what is to be reached are sorted
+    together, and a running minimum from the top finds j. The beginnings are then the nodes on the path from 0 along these pointers: in each round pointers get twice as long, and every
+    known beginning finds another one that much further on, so there are as many rounds as the logarithm of the number of batches, each written.
+    """
+    sums = counts.select((F.col("before") + F.col("n")).alias("v"), F.lit(0).alias("kind"), "i", F.col("i").alias("there"))
+    asked = counts.select((F.col("before") + batch_groups).alias("v"), F.lit(1).alias("kind"), "i", F.lit(None).cast("long").alias("there"))
+    ends = prefix_scan(sums.union(asked), [], [F.desc("v"), F.col("kind"), F.desc("i")], {"last": (F.min, F.col("there"))}).where("kind = 1").select("i", "last")
+    ends = materialize(ends)
+    jumps = materialize(ends.where("last is not null").select(F.col("i").alias("a"), (F.col("last") + 1).alias("b")))
+    known, step = materialize(ends.where("i = 0").select("i", F.lit(0).cast("long").alias("batch"))), 1
+    while True:
+        more = known.join(jumps, F.col("i") == F.col("a")).select(F.col("b").alias("i"), (F.col("batch") + step).alias("batch"))
+        new = materialize(known.union(more))
+        if new.count() == known.count():
+            drop(new)
+            return known.join(ends, "i").select("i", "last", "batch")
+        longer = materialize(jumps.join(jumps.select(F.col("a").alias("c"), F.col("b").alias("d")), F.col("b") == F.col("c")).select("a", F.col("d").alias("b")))
+        drop(known, jumps)
+        known, jumps, step = new, longer, 2 * step
+
+
 def fill_batches(groups: DataFrame, batch_groups: int, max_tries: int = 0, gen: str = "gen", arrival: str = "arrival", by: str = "uid") -> DataFrame:
     """Train batches from kept groups in order of arrival. ``groups``: one row for each kept group with its generation batch.
 
     Each batch takes ``batch_groups`` groups and drops the surplus of the generation batch that completes it. So a batch starts with the
     generation batch after its predecessor's last one. With ``max_tries`` > 0, more generation batches than that for one train batch are an error.
-    Only counts for each generation batch decide: they are folded in order in one task, two numbers for each, and a join by generation batch deals out the groups.
+    Only counts for each generation batch decide; where batches begin is found by doubling pointers (see :func:`_batch_starts`), and a running maximum deals out the others.
     """
-    def fold(counts: pd.DataFrame) -> pd.DataFrame:
-        """The train batch of each generation batch, as far as it becomes full."""
-        counts = counts.sort_values("gen")
-        out, full, have, tries = [], 0, 0, 0
-        for n in counts["n"]:
-            out.append(full)
-            have, tries = have + n, tries + 1
-            if have >= batch_groups:
-                full, have, tries = full + 1, 0, 0
-            elif 0 < max_tries <= tries:
-                return pd.DataFrame({"gen": [-1], "batch": [-1]})
-        counts["batch"] = out
-        return counts.loc[counts["batch"] < full, ["gen", "batch"]]
-
     counts = groups.where(F.col(gen).isNotNull()).groupBy(F.col(gen).cast("long").alias("gen")).agg(F.count("*").alias("n"))
-    table = counts.groupBy().applyInPandas(fold, "gen long, batch long").withColumnRenamed("gen", "_gen")
+    counts = materialize(number_rows(counts, [], [F.col("gen")], "i", "n", "before"))
+    starts = materialize(_batch_starts(counts, batch_groups))
     if max_tries > 0:
-        table = materialize(table)
-        if table.where("batch < 0").limit(1).count():
+        many = counts.count()
+        # The batch that isn't full yet has tried all that is left.
+        tries = F.when(F.col("last").isNull(), F.lit(many) - F.col("i") + 1).otherwise(F.col("last") - F.col("i") + 1)
+        if starts.where(tries > max_tries).limit(1).count():
             raise ValueError(f"no full batch after {max_tries} generation batches")
+    begun = counts.join(starts.select(F.col("i").alias("_i"), "batch"), F.col("i") == F.col("_i"), "left")
+    table = prefix_scan(begun, [], [F.col("i")], {"_batch": (F.max, F.col("batch"))})
+    full = starts.where("last is not null").select(F.col("batch").alias("_full"))
+    table = table.join(full, F.col("_batch") == F.col("_full")).select(F.col("gen").alias("_gen"), F.col("_batch").alias("batch"))
     rows = groups.join(table, F.col(gen) == F.col("_gen"))
     w = Window.partitionBy("batch").orderBy(arrival)  # a batch's generation batches: a few thousand groups at most
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= batch_groups).drop("_gen")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdata.operators.numbering import prefix_scan
+
 #: Schema of an experiment log's lines, as far as the summaries read them (fixed names).
 LOG_SCHEMA = ("step long, val struct<reward_score:double,accuracy_reward:double,format_reward:double,overall_reward:double>, "
               "val_response_length struct<mean:double,clip_ratio:double>, "
@@ -75,11 +77,10 @@ def obsolete_checkpoints(catalog: DataFrame, save_limit: int, by: str = "run", s
 
 
 def checkpoint_tracker(evals: DataFrame, by: str = "run", step: str = "step", score: str = "score") -> DataFrame:
-    """After each evaluation: the best score so far (from -1, strictly improved) and its step, and the last step."""
-    w = Window.partitionBy(by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    """After each evaluation: the best score so far (from -1, strictly improved) and its step, and the last step. Range partitions of the steps are scanned on their own, so no task holds a run."""
     ranked = F.when(F.col(score) > -1, F.struct(F.col(score).alias("s"), (-F.col(step)).alias("t")))
-    top = F.max(ranked).over(w)
-    return evals.withColumn("best_score", F.coalesce(top["s"], F.lit(-1.0))).withColumn("best_step", -top["t"]).withColumn("last_step", F.max(step).over(w))
+    out = prefix_scan(evals, [by], [F.col(step)], {"_top": (F.max, ranked), "last_step": (F.max, F.col(step))}, few_keys=False)
+    return out.withColumn("best_score", F.coalesce("_top.s", F.lit(-1.0))).withColumn("best_step", -F.col("_top.t")).select(*evals.columns, "best_score", "best_step", "last_step")
 
 
 def report_metrics(reports: DataFrame, id_cols: list[str], array_field: str | None = None) -> DataFrame:
