@@ -184,6 +184,48 @@ def test_license_blocks_are_all_windows():
         assert got == want
 
 
+def test_licenses_in_order(spark):
+    """Words that only share a window give no label; short wordings and identifiers do; wrapped and slightly changed passages still do."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."
+    text = {
+        1: ("The code was released under the BSD license. It was written at MIT in 1990.", "bsd"), 2: (lgpl + " See the main program for help.", "lgpl"), 3: ("This work is licensed under the GNU General Public License version 2 (chapter 3 tells how)", "gpl-2"),
+        4: ("the film 2 was licensed by apache under the version 0 of the license", ""), 5: ("Our album is released under the label of MIT press with license to copy", ""), 6: ("released under the isc license", "isc"), 7: ("This file is MIT licensed", "mit"),
+        8: ("// SPDX-License-Identifier: MIT", "mit"), 9: ("SPDX-License-Identifier: Apache-2.0", "apache-2"), 10: ("words before " + bsd + " words behind", "bsd"), 11: (bsd.replace("or without", "or with no"), "bsd"), 12: (" ".join(reversed(bsd.split())), ""),
+        13: ("released under the mit license", "mit"), 14: ("Licensed under Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"), 15: (lgpl.replace("library", "program").replace("Lesser ", ""), "gpl"), 16: (None, ""), 17: ("released under the\nBSD license " * 3, "bsd"),
+        18: ("permission to use copy " * 3000, ""),
+    }
+    df = spark.createDataFrame([(d, t) for d, (t, _) in text.items()], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(df, licenses.TEMPLATES + licenses.SHORT, required=licenses.REQUIRED + licenses.SHORT_REQUIRED, ordered=0.8).collect()}
+    assert {d: r["labels"] for d, r in found.items()} == {d: want for d, (_, want) in text.items()}
+    assert found[11]["score"] == 13 / 14 and [tuple(b)[:3] for b in found[10]["blocks"]] == [("bsd", 0, 2)] and [b["line"] for b in found[17]["blocks"]] == [0, 1, 2]
+
+
+def test_license_order_against_plain_subsequences():
+    """Verified windows by bits against the textbook's table of common subsequences."""
+    rng = np.random.default_rng(11)
+    some = [(label, t) for label, t in licenses.TEMPLATES if len(t.split()) > licenses.WHOLE]
+    index = licenses.Index(some, {w: 1 for _, t in some for w in t.encode().split()}, 0.8)
+
+    def lcs(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+    hits = 0
+    for _ in range(60):
+        k = int(rng.integers(len(some)))
+        own = index.tokens[k]
+        words = [b"y"] * 5 + [w for w in own if rng.random() < 0.9 for w in ([w, b"x"] if rng.random() < 0.08 else [w])] + [b"z"] * 9
+        length, m = len(own) + max(2, len(own) // 8), len(own)
+        best = max(lcs(own, words[i:i + length]) for i in range(len(words)))
+        got = [part for *_, part in index.ordered(k, words, 0, len(words) - 1, 0.8)]
+        assert bool(got) == (best >= 0.8 * m - 1e-9)
+        hits += bool(got)
+    assert 5 < hits < 60
+
+
 def test_quality(spark, cases, small):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     for df, raw in both(spark, cases, small):

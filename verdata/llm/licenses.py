@@ -7,7 +7,7 @@ the block. Reported are each line's own blocks (windows of a step of half their
 or between these steps the best, where it holds more than its lines' own: by the line of its first word. The join is exact: words are ordered by their frequency over all documents, rarest first;
 a block can only reach the threshold if it holds a word of the template's prefix (prefix filter), has
 enough template words at all (length filter) and has enough left after its first match (positional filter). Wordings that differ in a word have
-words that a block must hold besides (:data:`REQUIRED`), and a label of wider terms gives way where its blocks overlap ones of narrower terms (:data:`NARROWER`).
+words that a block must hold besides (:data:`REQUIRED`). A scan may verify the join's blocks by the order of their words, so that words which only share a window give no label (``ordered``). A label of wider terms gives way where its blocks overlap ones of narrower terms (:data:`NARROWER`).
 
 Null and empty texts have no words and no labels. Repeated rows each get their own result; ties in
 frequency go by the word. An empty table gives an empty result; extra columns are ignored.
@@ -59,6 +59,14 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 )
 
+#: Short wordings and identifiers, which only make sense word by word: for a scan that verifies the order.
+SHORT = (
+    ("isc", "released under the isc license"), ("mit", "is mit licensed"), ("bsd", "is bsd licensed"), ("mit", "spdx license identifier mit"), ("isc", "spdx license identifier isc"), ("apache-2", "spdx license identifier apache 2 0"),
+    ("bsd", "spdx license identifier bsd 2 clause"), ("bsd", "spdx license identifier bsd 3 clause"), ("gpl-2", "spdx license identifier gpl 2 0"), ("gpl-3", "spdx license identifier gpl 3 0"),
+    ("lgpl", "spdx license identifier lgpl 2 1"), ("mpl-2", "spdx license identifier mpl 2 0"), ("cc-by", "spdx license identifier cc by 4 0"), ("unlicense", "spdx license identifier unlicense"),
+    ("gpl-2", "gnu general public license version 2"), ("gpl-3", "gnu general public license version 3"), ("lgpl", "gnu lesser general public license"),
+)
+
 #: Words that tell a wording from others that share most of its words: a block without all of them doesn't hold it. By label and the wording's first words.
 REQUIRED = (
     ("mit", "released under", "mit"), ("bsd", "released under", "bsd"), ("gpl", "released under", "gpl"), ("apache-2", "licensed under", "apache 2"),
@@ -67,9 +75,18 @@ REQUIRED = (
     ("mpl-2", "subject to", "mozilla"), ("mpl-2", "this source", "mozilla"),
 )
 
+#: The same for the short wordings.
+SHORT_REQUIRED = (
+    ("isc", "released under", "isc"), ("mit", "is mit", "mit"), ("bsd", "is bsd", "bsd"), ("gpl-2", "gnu general", "2"), ("gpl-3", "gnu general", "3"), ("lgpl", "gnu lesser", "lesser"), ("mit", "spdx", "mit"), ("isc", "spdx", "isc"),
+    ("apache-2", "spdx", "apache 2"), ("bsd", "spdx", "bsd clause"), ("gpl-2", "spdx", "gpl 2"), ("gpl-3", "spdx", "gpl 3"), ("lgpl", "spdx", "lgpl"), ("mpl-2", "spdx", "mpl 2"), ("cc-by", "spdx", "cc by"), ("unlicense", "spdx", "unlicense"),
+)
+
 #: Labels that stand for a part of others' terms: one isn't reported where all its blocks overlap blocks of these.
 NARROWER = {"cc-by": ("cc-by-nc", "cc-by-sa")}
 
+#: Words of a template up to which a verified block holds all of it.
+WHOLE = 8
+
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _KEEP_LINES = _KEEP[:10] + b"\n" + _KEEP[11:]
 
@@ -103,8 +120,11 @@ class Index:
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float, required=()):
         self.rank = {w: i for i, (_, w) in enumerate(sorted((n, w) for w, n in frequency.items()))}
         self.labels = [label for label, _ in templates]
+        self.tokens = [t.encode().split() for _, t in templates]
         self.sets = [sorted({self.rank[w] for w in t.encode().split()}) for _, t in templates]
         self.must = [frozenset(self.rank[w] for l, begin, words in required if l == label and t.startswith(begin) for w in words.encode().split()) for label, t in templates]
+        # A required word counts where it stands beside a word that is its neighbour in the wording.
+        self.beside = [{w: {(a, b) for a, b in zip(own, own[1:]) if w in (a, b)} for w in own if self.rank[w] in must} for own, must in zip(self.tokens, self.must)]
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.lists: dict[int, list[tuple[int, int]]] = {}
         for k, (s, need) in enumerate(zip(self.sets, self.need)):
@@ -162,6 +182,38 @@ class Index:
                 yield run
 
 
+    def ordered(self, k: int, words: list[bytes], start: int, last: int, share: float) -> Iterator[tuple[int, int, float]]:
+        """Where template k stands in order between two words: first and last word of a window and the part of the template in it.
+
+        A window is an eighth longer than the template (two words at least) and holds a common subsequence of ``share`` of it; all of it for up to ``WHOLE`` words. Required words stand beside a
+        neighbour of theirs. The subsequence's length is counted by bits, a word of the text at a time.
+        """
+        own = self.tokens[k]
+        m = len(own)
+        need = m if m <= WHOLE else math.ceil(share * m - 1e-9)
+        length = m + max(2, m // 8)
+        begins = frozenset(own[:m - need + 1])
+        bits: dict[bytes, int] = {}
+        for j, w in enumerate(own):
+            bits[w] = bits.get(w, 0) | 1 << j
+        every = (1 << m) - 1
+        i = start
+        while i <= last:
+            if words[i] in begins:
+                v, best, end = every, 0, i
+                for j in range(i, min(i + length, len(words))):
+                    u = v & bits.get(words[j], 0)
+                    if u:
+                        v = (v + u | v - u) & every
+                        if (n := m - v.bit_count()) > best:
+                            best, end = n, j
+                pairs = set(zip(words[i:end], words[i + 1:end + 1]))
+                if best >= need and all(pairs & near for near in self.beside[k].values()):
+                    yield i, end, best / m
+                    i = end
+            i += 1
+
+
 def _places(joined: bytes, phrases) -> dict[str, list[int]]:
     """Word numbers at which phrases start; ``joined``: words with one space before and after each."""
     out: dict[str, list[int]] = {}
@@ -174,7 +226,7 @@ def _places(joined: bytes, phrases) -> dict[str, list[int]]:
     return out
 
 
-def _scan(index: Index, phrases, window: int):
+def _scan(index: Index, phrases, window: int, share: float | None):
     phrases = [(p.encode(), label) for p, label in phrases]
     step = window // 2
     wider = {label for label in index.labels if label in NARROWER}
@@ -187,20 +239,23 @@ def _scan(index: Index, phrases, window: int):
         reach: list[tuple[int, int, int]] = []
         if words and not index.prefix.isdisjoint(words):
             lines = [line.split() for line in t.translate(_KEEP_LINES).split(b"\n")]
-            for no, own in enumerate(lines):
+            for no, own in enumerate(lines if share is None else ()):
                 if index.prefix.isdisjoint(own):
                     continue
                 for at in range(0, max(1, len(own) - step), step):
-                    for k, share in index.block(own[at:at + window]).items():
+                    for k, part in index.block(own[at:at + window]).items():
                         key = (k, no)
-                        if key not in best or share > best[key][3]:
-                            best[key] = (index.labels[k], no, at, share)
+                        if key not in best or part > best[key][3]:
+                            best[key] = (index.labels[k], no, at, part)
             ends = None
-            for k, share, start, last in index.runs(words, window):
+            found = index.runs(words, window)
+            if share is not None:
+                found = ((k, part, a, b) for k, _, start, last in found for a, b, part in index.ordered(k, words, start, last, share))
+            for k, part, start, last in found:
                 ends = ends or list(accumulate(map(len, lines)))
                 no = bisect_right(ends, start)
-                if all((k, x) not in best or best[k, x][3] < share for x in range(no, bisect_right(ends, last) + 1)):
-                    best[k, no] = (index.labels[k], no, start - ends[no] + len(lines[no]), share)
+                if all((k, x) not in best or best[k, x][3] < part for x in range(no, bisect_right(ends, last) + 1)):
+                    best[k, no] = (index.labels[k], no, start - ends[no] + len(lines[no]), part)
                 reach.append((k, start, last))
         for k in {k for k, _ in best if index.labels[k] in wider}:
             narrow = [(a, b) for x, a, b in reach if index.labels[x] in NARROWER[index.labels[k]]]
@@ -224,14 +279,15 @@ def _scan(index: Index, phrases, window: int):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, window: int = 64, required=REQUIRED) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, window: int = 64, required=REQUIRED, ordered: float | None = None) -> DataFrame:
     """Licenses in each document: ``blocks`` has the matching templates with their lines and containments.
 
     One result row for each row of ``docs`` (``doc_id``, ``text``). ``window`` must be at least as long as the longest template (an error if not).
-    ``score``: the largest containment found, 1 where a phrase stands literally, else 0.
+    ``ordered``: of the join's blocks, only what holds this part of the template's words in their order in a window hardly longer than the template (see :meth:`Index.ordered`)
+    is reported, with that part as its containment. Without it, words of a block count in any order. ``score``: the largest containment found, 1 where a phrase stands literally, else 0.
     """
     longest = max((len(t.split()) for _, t in templates), default=0)
     if longest > window:
         raise ValueError(f"a window of {window} words can't hold a template of {longest}")
     index = Index(templates, word_frequencies(docs, templates), threshold, required)
-    return docs.select("doc_id", "text").mapInArrow(_scan(index, phrases, window), RESULT)
+    return docs.select("doc_id", "text").mapInArrow(_scan(index, phrases, window, ordered), RESULT)

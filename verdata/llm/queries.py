@@ -23,7 +23,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("blocks")
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.TEMPLATES + licenses.SHORT, required=licenses.REQUIRED + licenses.SHORT_REQUIRED, ordered=0.8).drop("blocks")
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
