@@ -55,16 +55,33 @@ def test_repeats(spark, cases, small):
 
 
 def test_repeats_come_from_the_automata(spark, monkeypatch):
-    """Small shards find the same; without the automata's hits nothing is removed from texts that differ."""
+    """Small shards find the same; positions come from the automata alone, so without their hits nothing is removed from texts that differ."""
     raw = [(i, f"a{i} b{i} " + PASSAGE + " " + " ".join(f"z{i}x{j}" for j in range(30)) + (" " + PASSAGE if i == 2 else "")) for i in range(4)]
     df = spark.createDataFrame(raw, "doc_id long, text string")
+    assert rows(repeats.remove_repeats(df, digest=True), "doc_id", "n_words", "n_removed", "kept") == B.repeats(raw)
     monkeypatch.setattr(repeats, "_SHARD_WORDS", 60)
     starts = np.array([0, 70, 140])
     x = np.arange(200, dtype=np.uint64)
     x[100:120] = x[:20]
-    assert repeats._locate(x, np.array([0, 90, 200]), np.arange(181, dtype=np.uint64), starts, 20).tolist() == [0, 70, 100, 140]
-    monkeypatch.undo()
-    assert rows(repeats.remove_repeats(df, digest=True), "doc_id", "n_words", "n_removed", "kept") == B.repeats(raw)
+    phrases = x[starts[:, None] + np.arange(20)]
+    assert repeats._locate(x, np.array([0, 90, 200]), phrases).tolist() == [0, 70, 100, 140]
+    assert repeats._locate(x, np.array([0, 110, 200]), phrases).tolist() == [0, 70, 140]  # not over the end of a document
+    # One block as a task gets it: the document's words, and the phrases that the dictionary has for it.
+    words, ends = repeats.word_hashes([t.encode().split() for _, t in raw])
+    anchors = list(repeats._emit_anchors(50, 20)(iter([block(raw)])))[0]
+    own = [words[ends[r] + s:ends[r] + s + 20].tobytes() for r, s in zip(anchors.column("doc_id").to_pylist(), anchors.column("start").to_pylist()) if r == 0]
+    assert own
+    found = lambda: [s for b in repeats._stream(50, 20, False)(iter([block(raw, own)])) for s in b.column("starts").to_pylist()]
+    assert all(found())
+    monkeypatch.setattr(repeats, "_locate", lambda *_: np.empty(0, np.int64))
+    assert found() == [None] * 4
+
+
+def block(raw, wanted=None):
+    import pyarrow as pa
+
+    batch = {"doc_id": pa.array([d for d, _ in raw]), "row": pa.array([d for d, _ in raw]), "text": pa.array([t for _, t in raw]), "twin": pa.array([False] * len(raw)), "wanted": pa.array([wanted] * len(raw), pa.list_(pa.binary()))}
+    return pa.RecordBatch.from_pydict(batch)
 
 
 def test_near_duplicates(spark, cases, small):

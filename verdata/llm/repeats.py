@@ -4,11 +4,11 @@ A window is ``window`` consecutive words of one document. A word goes if a windo
 also starts in a document of smaller doc_id.
 
 1. Confirm: of each window, the phrase (``phrase`` words) of smallest hash is its anchor, so equal windows have equal anchors.
-   A phrase that is an anchor in two different texts is a recurring one; counting takes one narrow aggregation, and gives each document the places of its own
-   recurring phrases.
-2. Compile and stream: documents are dealt out in blocks (Arrow batches). Each block's shard of the automata is compiled of the words at these places, and all
-   the block's documents are streamed through it over words as symbols, which locates every occurrence. A window is a candidate only where the
-   automaton has located its anchor. A shard has 800,000 words of phrases at most (a block with more, from one very long text, is streamed through several).
+   A phrase that is an anchor in two different texts is a recurring one; counting takes one narrow aggregation. What is known then is a set of phrases: a dictionary of their words, read from
+   one document each, and for each document which of them it holds, but not where.
+2. Compile and stream: documents are dealt out in blocks (Arrow batches), the shards. Each block's automaton is compiled of the words that the dictionary has for its documents' phrases, and all
+   the block's documents are streamed through it over words as symbols, which locates every occurrence. Nothing else gives positions: a window is a candidate only where the
+   automaton has located its anchor. An automaton has 800,000 words of phrases at most (a block with more, from one very long text, is streamed through several).
 3. Exact check: candidate windows are looked up by two 64-bit hashes (of anchor and window, both over 64-bit hashes of the words) among those of all
    documents; the smallest doc_id of each decides.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from verdata.llm.hashing import run_hashes, sliding_min, word_hashes
 from verdata.llm.text import slices, texts, words_of
-from verdata.plans.storage import SMALL_ROWS, drop, materialize
+from verdata.plans.storage import SMALL_ROWS, broadcast_if_small, drop, materialize
 
 #: Code points from here on stand for words; below are the surrogates, which a string can't hold.
 _FIRST = 0xE000
@@ -67,35 +67,40 @@ def _emit_anchors(window: int, phrase: int):
     return run
 
 
-def _compile(symbols: np.ndarray, starts: np.ndarray, phrase: int):
-    """Automaton of the phrases that start at ``starts``, over one code point for each word."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for at in starts:
-        automaton.add_word(symbols[at:at + phrase].tobytes().decode("utf-32-le"), 1)
-    automaton.make_automaton()
-    return automaton
+def _phrase_words(phrase: int):
+    """The words of the phrases at the given places of a document, as 64-bit hashes in a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            x, ends = word_hashes([words_of(t) for t in texts(batch, "text")])
+            names, words = [], []
+            for own, begin in zip(batch.column("own").to_pylist(), ends):
+                for p in own:
+                    names.append(p["phrase"]), words.append(x[begin + p["start"]:begin + p["start"] + phrase].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(words, pa.binary())], ["phrase", "words"])
+    return run
 
 
-def _locate(x: np.ndarray, ends: np.ndarray, grams: np.ndarray, confirmed: np.ndarray, phrase: int) -> np.ndarray:
-    """Positions of all occurrences, in a block of documents, of the phrases at the confirmed places."""
-    _, one = np.unique(grams[confirmed], return_index=True)
-    one = confirmed[one]
-    found = [_stream_shard(x, ends, one[i:i + _SHARD_WORDS // phrase], phrase) for i in range(0, len(one), _SHARD_WORDS // phrase)]
-    return np.unique(np.concatenate(found))
+def _locate(x: np.ndarray, ends: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+    """Positions of all occurrences, in a block of documents, of phrases given by their words (a row each)."""
+    step = _SHARD_WORDS // phrases.shape[1]
+    return np.unique(np.concatenate([_stream_shard(x, ends, phrases[i:i + step]) for i in range(0, len(phrases), step)]))
 
 
-def _stream_shard(x: np.ndarray, ends: np.ndarray, starts: np.ndarray, phrase: int) -> np.ndarray:
-    """Positions of all occurrences of the phrases that start at ``starts``: one automaton, through which all documents of the block go."""
-    vocabulary = np.unique(x[(starts[:, None] + np.arange(phrase)).ravel()])
+def _stream_shard(x: np.ndarray, ends: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+    """Positions of all occurrences of the phrases: one automaton over one code point for each word, through which all documents of the block go."""
+    vocabulary = np.unique(phrases)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for row in (np.searchsorted(vocabulary, phrases) + _FIRST + 2).astype("<u4"):
+        automaton.add_word(row.tobytes().decode("utf-32-le"), 1)
+    automaton.make_automaton()
     at = np.searchsorted(vocabulary, x)
     at[at == len(vocabulary)] = 0
-    symbols = np.where(vocabulary[at] == x, at + _FIRST + 2, _FIRST).astype("<u4")
-    automaton = _compile(symbols, starts, phrase)
+    symbols = np.where(vocabulary[at] == x, at + _FIRST + 2, _FIRST)
     # A symbol of its own between documents: no phrase runs over it.
-    stream = np.insert(symbols, ends[1:-1], np.uint32(_FIRST + 1)).astype("<u4").tobytes().decode("utf-32-le")
+    stream = np.insert(symbols, ends[1:-1], _FIRST + 1).astype("<u4").tobytes().decode("utf-32-le")
     found = np.fromiter((e for e, _ in automaton.iter(stream)), np.int64)
     breaks = ends[1:-1] + np.arange(len(ends) - 2)
-    return found - np.searchsorted(breaks, found) - phrase + 1
+    return found - np.searchsorted(breaks, found) - phrases.shape[1] + 1
 
 
 _BLOCK = ("doc_id long, row long, n_words long, n_removed long, kept string, text string, "
@@ -116,13 +121,13 @@ def _stream(window: int, phrase: int, digest: bool):
             raw = texts(batch, "text")
             words = [words_of(t) for t in raw]
             twin = batch.column("twin").to_pylist()
-            places = batch.column("places").to_pylist()
+            wanted = sorted({w for own in batch.column("wanted").to_pylist() for w in own or ()})
             out: dict[str, list] = {k: [] for k in ("n_removed", "kept", "text", "phrases", "hashes", "starts")}
-            some_ = any(places)
+            some_ = bool(wanted)
             if some_:
                 x, ends = word_hashes(words)
                 grams, least, inside = _anchors(x, ends, window, phrase)
-                located = _locate(x, ends, grams, np.concatenate([np.array(p, np.int64) + e for p, e in zip(places, ends) if p]), phrase)
+                located = _locate(x, ends, np.frombuffer(b"".join(wanted), np.uint64).reshape(-1, phrase))
                 there = np.full(len(grams), _NEVER)
                 there[located] = grams[located]
                 hit = np.flatnonzero(inside & (sliding_min(there, span + 1) == least))
@@ -171,16 +176,22 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 20, digest:
     first = same.groupBy("_text").agg(F.min("doc_id").alias("_first"))
     twins = same.join(first, "_text").where(F.col("doc_id") > F.col("_first")).select(*key, F.lit(True).alias("twin"))
     anchors = materialize(docs.where("doc_id is not null").mapInArrow(_emit_anchors(window, phrase), "doc_id long, row long, phrase long, start int"))
-    recurring = anchors.groupBy("phrase").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("phrase")
-    held = anchors.join(recurring, "phrase").groupBy(*key).agg(F.collect_set("start").alias("places"))
-    plan = materialize(held.join(twins, key, "full").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "places", "twin"))
-    drop(same, anchors)
+    one = F.min(F.struct("doc_id", "row", "start"))
+    recurring = anchors.groupBy("phrase").agg(F.min("row").alias("a"), F.max("row").alias("b"), one.alias("one")).where("a < b")
+    sources = materialize(recurring.groupBy(F.col("one.doc_id").alias("d"), F.col("one.row").alias("r")).agg(F.collect_list(F.struct("phrase", F.col("one.start").alias("start"))).alias("own")))
     here = docs.doc_id.eqNullSafe(F.col("d")) & (docs.row == F.col("r"))
-    columns = ["doc_id", "row", "text", "places", F.coalesce("twin", F.lit(False)).alias("twin")]
+    named = docs.join(broadcast_if_small(sources.select("d", "r")), here, "left_semi").join(sources.hint("merge"), here) if sources.count() <= SMALL_ROWS else docs.join(sources, here)
+    # Written first, so that the join with it has a plain exchange on both sides, whose hot keys can be split. A text that comes twice gives its phrases twice.
+    dictionary = materialize(named.select("text", "own").mapInArrow(_phrase_words(phrase), "phrase long, words binary").dropDuplicates(["phrase"]))
+    mine = anchors.select(*key, "phrase").join(twins.select(*key), key, "left_anti")
+    held = mine.join(dictionary, "phrase").groupBy(*key).agg(F.collect_set("words").alias("wanted"))
+    plan = materialize(held.join(twins, key, "full").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "wanted", "twin"))
+    drop(same, anchors, sources, dictionary)
+    columns = ["doc_id", "row", "text", "wanted", F.coalesce("twin", F.lit(False)).alias("twin")]
     keys = plan.select("d", "r")
     if plan.count() <= SMALL_ROWS:
         planned = docs.join(F.broadcast(keys), here, "left_semi").join(plan.hint("merge"), here)
-        plain = docs.join(F.broadcast(keys), here, "left_anti").select("*", F.lit(None).cast("array<int>").alias("places"), F.lit(False).alias("twin"))
+        plain = docs.join(F.broadcast(keys), here, "left_anti").select("*", F.lit(None).cast("array<binary>").alias("wanted"), F.lit(False).alias("twin"))
         blocks = planned.select(*columns).union(plain)
     else:
         blocks = docs.join(plan, here, "left").select(*columns)
