@@ -37,3 +37,27 @@ def test_split_column_filters(spark, tmp_path):
     spark.createDataFrame([("train", 1), ("test", 2)], "split string, v int").write.parquet(p)
     assert [r["v"] for r in S.load_examples(spark, f"{p}@test").collect()] == [2]
     assert [r["v"] for r in S.load_examples(spark, p, limit=5).select(F.col("v")).collect()] == [1]
+
+
+def test_row_ids_in_file_order(spark, tmp_path):
+    """JSON lines of several files get the numbers of a plain reader, however they are split."""
+    want, n = {}, 0
+    for name in ("b.json", "a.json", "c.json", "empty.json"):
+        lines = [{"k": f"{name}-{i}", "pad": "x" * (i * 7 % 50)} for i in range({"b.json": 700, "a.json": 3, "c.json": 150, "empty.json": 0}[name])]
+        (tmp_path / name).write_text("".join(json.dumps(x) + "\n" for x in lines))
+    for f in sorted(tmp_path.iterdir()):
+        for line in f.read_text().splitlines():
+            want[json.loads(line)["k"]] = (n, f"val-{n:06d}")
+            n += 1
+    conf, old = spark.conf, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1500", "20000", old):
+            conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = spark.read.schema("k string, pad string").json(f"file://{tmp_path}")
+            out = S.with_file_row_id(df, "val")
+            assert {r["k"]: (r["row_index"], r["row_id"]) for r in out.collect()} == want
+            kept = {r["k"]: r["row_index"] for r in S.with_file_row_id(df.where("length(pad) > 20"), "val").collect()}
+            assert [k for k, _ in sorted(kept.items(), key=lambda x: x[1])] == [k for k, (i, _) in sorted(want.items(), key=lambda x: x[1]) if k in kept] and sorted(kept.values()) == list(range(len(kept)))
+    finally:
+        conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert S.with_file_row_id(spark.read.schema("k string").json(f"file://{tmp_path}/empty.json"), "val").count() == 0

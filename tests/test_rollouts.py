@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from verdata.operators import balance as B
 from verdata.operators import batches as K
+from verdata.operators import curate as C
 from verdata.operators import evaluate as E
 from verdata.operators import prepare as P
 from verdata.operators import rewards as R
@@ -287,3 +288,53 @@ def test_batch_starts_of_many_generations(spark):
     assert sorted({(r["gen"], r["batch"]) for r in got.select("gen", "batch").distinct().collect()}) == sorted(plain_batches(counts, 32))
     assert got.groupBy("batch").count().where("count <> 32").count() == 0
     assert G.fill_batches(groups.where("gen < 0"), 10_000).count() == 0 and G.fill_batches(groups.limit(0), 4).count() == 0
+
+
+def test_moments_far_from_zero(spark):
+    """Equal to two passes at a mean of 10^8."""
+    rng = np.random.default_rng(12)
+    raw = [(i, (1e8 + rng.standard_normal(9)).tolist(), (rng.random(9) < 0.7).astype(float).tolist()) for i in range(300)] + [(300, [], []), (301, [5.0], [0.0])]
+    df = spark.createDataFrame(raw, "i int, x array<double>, mask array<double>").repartition(4)
+    x = np.concatenate([np.array(v)[np.array(m) > 0] for _, v, m in raw if v])
+    r = G.masked_moments(df, "x", "mask").first()
+    assert r["n"] == len(x) and math.isclose(r["mean"], x.mean(), rel_tol=1e-14) and math.isclose(r["var"], x.var(ddof=1), rel_tol=1e-6)
+    white = np.concatenate([np.array(r["w"])[np.array(r["mask"]) > 0] for r in G.masked_whiten(df, "x", "mask", "w").collect() if r["w"]])
+    assert abs(white.mean()) < 1e-6 and abs(white.var(ddof=1) - 1) < 1e-6
+    alone = G.masked_moments(df.where("i = 301"), "x", "mask").first()
+    assert alone["n"] == 0 and alone["mean"] is None
+
+
+def test_exact_quantiles(spark):
+    """Against numpy: distinct, repeated, skewed and few values; a sketch too coarse for its ranks; no map of values."""
+    rng = np.random.default_rng(13)
+    groups = {"normal": rng.standard_normal(60_000), "ties": rng.integers(0, 5, 20_000).astype(float), "heavy": rng.pareto(0.3, 20_000), "one": np.array([2.5]), "two": np.array([1.0, 4.0]), "same": np.full(500, 7.0), "wide": np.concatenate([np.full(9_000, -1e300), np.full(1_000, 1e300)])}
+    pdf = pd.DataFrame({"g": np.repeat(list(groups), [len(v) for v in groups.values()]), "x": np.concatenate(list(groups.values()))})
+    df = spark.createDataFrame(pdf).repartition(5).unionByName(spark.createDataFrame([("none", None), ("one", None), (None, 3.0)], "g string, x double"))
+    points = (0.0, 0.5, 0.9, 0.95, 0.99, 1.0)
+    for accuracy in (10_000, 20):
+        got = {r["g"]: r["p"] for r in C.exact_quantiles(df, "x", "g", points, accuracy).collect()}
+        assert set(got) == {*groups, None} and got[None] == [3.0] * 6
+        for g, v in groups.items():
+            assert np.allclose(got[g], np.quantile(v, points), rtol=1e-12), (g, accuracy)
+    stats = {r["g"]: r for r in C.length_stats(df, "x", "g").collect()}
+    assert stats["two"]["p50"] == 2.5 and stats["two"]["n"] == 2 and "none" not in stats
+
+
+def test_reports_by_run(spark):
+    """Each run's report is that of its rows alone; candidates are dealt out by problem once."""
+    rng = random.Random(14)
+    raw = [(f"run{u % 3}", u // 3, k, rng.choice(["1", "2", " 2", "", None]), str(u % 2 + 1), rng.choice([0.0, 1.0, None]), rng.choice([0.0, 1.0]), rng.choice([None, 0.5, 0.9]), rng.randrange(90)) for u in range(90) for k in range(rng.randrange(1, 7))]
+    df = spark.createDataFrame(raw, "run string, uid long, candidate_index long, boxed_answer string, gold string, accuracy double, format_rate double, train_reward_v1 double, response_length long").repartition(3)
+    for report in (E.full_report, E.eval_report):
+        every = {r["run"]: r for r in report(df, run="run").collect()}
+        assert len(every) == 3
+        for run, r in every.items():
+            alone = report(df.where(F.col("run") == run)).first().asDict()
+            assert {k: round(v, 12) for k, v in alone.items()} == {k: round(r[k], 12) for k in alone}
+    best = {(r["run"], r["uid"]): r["candidate_index"] for r in E.select_best(df, ("run", "uid")).collect()}
+    assert len(best) == 90 and {(r["run"], r["uid"]): r["maj_at_k"] for r in E.maj_at_k(df, ("run", "uid")).collect()}.keys() == best.keys() == {(r["run"], r["uid"]) for r in E.pass_at_k(df, ("run", "uid")).collect()}
+    out = E.full_report(df, run="run")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert len([x for x in final.splitlines() if "Exchange hashpartitioning(run" in x and "uid" in x]) == 1 and "Join" not in final

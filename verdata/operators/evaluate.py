@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,64 +23,83 @@ def flatten_candidates(df: DataFrame, field: str = "candidates") -> DataFrame:
     return each.unionByName(alone, allowMissingColumns=True)
 
 
-def select_best(df: DataFrame, by: str = "uid", index: str = "candidate_index") -> DataFrame:
-    """Each problem's best candidate: by reward, accuracy, then the shorter response, then the lower index."""
+def _keys(by: str | Sequence[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def select_best(df: DataFrame, by: str | Sequence[str] = "uid", index: str = "candidate_index") -> DataFrame:
+    """Each problem's best candidate: by reward, accuracy, then the shorter response, then the lower index. ``by``: a problem's column, or several (run and problem)."""
+    keys = _keys(by)
     order = F.struct(F.col("train_reward_v1"), F.col("accuracy"), -F.col("response_length"), -F.col(index))
-    return df.groupBy(by).agg(F.max_by(F.struct(*[c for c in df.columns if c != by]), order).alias("_b")).select(by, "_b.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), order).alias("_b")).select(*keys, "_b.*")
 
 
-def pass_at_k(df: DataFrame, by: str = "uid", accuracy: str = "accuracy") -> DataFrame:
+def pass_at_k(df: DataFrame, by: str | Sequence[str] = "uid", accuracy: str = "accuracy") -> DataFrame:
     """1 if any candidate is right."""
-    return df.groupBy(by).agg(F.max((F.coalesce(accuracy, F.lit(0.0)) > 0).cast("double")).alias("pass_at_k"))
+    return df.groupBy(*_keys(by)).agg(F.max((F.coalesce(accuracy, F.lit(0.0)) > 0).cast("double")).alias("pass_at_k"))
 
 
-def maj_at_k(df: DataFrame, by: str = "uid", index: str = "candidate_index") -> DataFrame:
-    """The commonest non-empty answer (the first seen of equals), graded by its first form; 0 without answers."""
-    votes = df.withColumn("_norm", normalize_text(F.col("boxed_answer")))
-    votes = votes.groupBy(by, "_norm").agg(F.count("*").alias("_n"), F.min(index).alias("_i"), F.min_by("boxed_answer", index).alias("_raw"), F.first("gold").alias("_gold"))
+def _majority(votes: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """The commonest non-empty answer of each problem, graded; ``votes``: a row for each normalized answer."""
     real = F.when(F.col("_norm") != "", F.struct("_n", -F.col("_i")))
-    won = votes.groupBy(by).agg(F.max_by("_raw", real).alias("majority_answer"), F.first("_gold").alias("_gold"))
-    hit = F.coalesce(F.when(F.col("majority_answer").isNotNull(), answer_equal(F.col("majority_answer"), F.col("_gold")).cast("double")), F.lit(0.0))
-    return won.select(by, "majority_answer", hit.alias("maj_at_k"))
+    won = votes.groupBy(*keys).agg(F.max_by("_raw", real).alias("majority_answer"), F.first("_gold").alias("_gold"), *more)
+    hit = F.when(F.col("majority_answer").isNotNull(), answer_equal(F.col("majority_answer"), F.col("_gold")).cast("double"))
+    return won.withColumn("maj_at_k", F.coalesce(hit, F.lit(0.0))).drop("_gold")
 
 
-def group_means(df: DataFrame, by: str = "uid") -> DataFrame:
-    return df.groupBy(by).agg(F.avg("format_rate").alias("format_at_k"), F.avg("response_length").alias("mean_response_length"))
+def _votes(index: str) -> list[Column]:
+    return [F.count("*").alias("_n"), F.min(index).alias("_i"), F.min_by("boxed_answer", index).alias("_raw"), F.first("gold").alias("_gold")]
 
 
-def eval_report(df: DataFrame, by: str = "uid", index: str = "candidate_index", rates: tuple[str, ...] = ("accuracy", "format_rate", "train_reward_v1")) -> DataFrame:
-    """Rates averaged over problems: of the first candidate (greedy), of the selected one, and over all of a problem's candidates."""
-    best = F.struct(F.col("train_reward_v1"), F.col("accuracy"), -F.col("response_length"), -F.col(index))
-    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    one = df.groupBy(by).agg(
-        F.count("*").alias("_k"), F.max((value("accuracy") > 0).cast("double")).alias("pass_at_k"), F.avg(value("format_rate")).alias("format_at_k"), F.avg(value("response_length")).alias("mean_length"),
-        *[F.min_by(value(c), F.col(index)).alias(f"greedy_{c}") for c in rates], *[F.max_by(value(c), best).alias(f"selected_{c}") for c in rates])
-    one = one.join(maj_at_k(df, by, index).select(by, "maj_at_k"), by)
-    names = ["pass_at_k", "maj_at_k", "format_at_k", "mean_length", *[f"greedy_{c}" for c in rates], *[f"selected_{c}" for c in rates]]
-    return one.agg(F.count("*").alias("problems"), *[F.avg(n).alias(n) for n in names])
+def maj_at_k(df: DataFrame, by: str | Sequence[str] = "uid", index: str = "candidate_index") -> DataFrame:
+    """The commonest non-empty answer (the first seen of equals), graded by its first form; 0 without answers."""
+    votes = df.withColumn("_norm", normalize_text(F.col("boxed_answer"))).groupBy(*_keys(by), "_norm").agg(*_votes(index))
+    return _majority(votes, _keys(by))
 
 
-#: Issues whose rate is that of the first candidate, by the name of the rate (fixed values).
-GREEDY_RATES = {"verifier_false_negative_candidate_rate": "verifier_false_negative_candidate", "robust_extract_failure_rate": "robust_extract_failure", "hit_length_cap_rate": "hit_length_cap",
-                "unclosed_think_rate": "unclosed_think", "missing_boxed_answer_rate": "missing_boxed_answer", "prompt_contamination_rate": "prompt_contamination"}
+def group_means(df: DataFrame, by: str | Sequence[str] = "uid") -> DataFrame:
+    return df.groupBy(*_keys(by)).agg(F.avg("format_rate").alias("format_at_k"), F.avg("response_length").alias("mean_response_length"))
 
 
-def full_report(df: DataFrame, by: str = "uid", index: str = "candidate_index") -> DataFrame:
-    """The count and all 17 rates of an evaluation report, averaged over problems. ``df``: diagnosed candidates; null or missing diagnostics count as 0.
+def _folded(df: DataFrame, keys: list[str], index: str, greedy: dict[str, str], chosen: dict[str, str], hits: dict[str, str], means: dict[str, str]) -> DataFrame:
+    """One row for each problem: columns of its first candidate, of its best one, whether any is above 0, and means; with ``maj_at_k``. Null or missing columns count as 0.
 
-    Every problem is folded to one row by one aggregation (and one for the votes), so large problems cost no more than others.
+    Rows are dealt out by problem once. Answers are folded first and problems of answers then, both where the rows are, so there is no other exchange on the problem and no join.
     """
     value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
-    best = F.struct(F.col("train_reward_v1"), F.col("accuracy"), -F.col("response_length"), -F.col(index))
-    greedy, chosen = (lambda c: F.min_by(value(c), F.col(index))), (lambda c: F.max_by(value(c), best))
-    hit = lambda c: F.max((value(c) > 0).cast("double"))
-    rates = {
-        "greedy_accuracy": greedy("accuracy"), "best_of_N_accuracy": chosen("accuracy"), "pass_at_k": hit("accuracy"), "format_at_k": F.avg(value("format_rate")),
-        "selected_train_reward_v1": chosen("train_reward_v1"), "selected_diagnostic_score_v2_lite": chosen("diagnostic_score_v2_lite"), "greedy_robust_accuracy": greedy("robust_accuracy"),
-        "best_of_N_robust_accuracy": chosen("robust_accuracy"), "robust_pass_at_k": hit("robust_accuracy"), **{name: greedy(c) for name, c in GREEDY_RATES.items()},
-        "mean_response_length": F.avg(value("response_length"))}
-    one = df.groupBy(by).agg(*[c.alias(name) for name, c in rates.items()]).join(maj_at_k(df, by, index).select(by, "maj_at_k"), by)
-    return one.agg(F.count("*").alias("count"), *[F.avg(name).alias(name) for name in [*rates, "maj_at_k"]])
+    best = [F.col("train_reward_v1"), F.col("accuracy"), -F.col("response_length"), -F.col(index)]
+    first = F.struct(F.col(index).alias("_at"), *[value(c).alias(n) for n, c in greedy.items()])
+    top = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(best)], *[value(c).alias(n) for n, c in chosen.items()])
+    rows = df.select(*keys, index, "boxed_answer", "gold", normalize_text(F.col("boxed_answer")).alias("_norm"), first.alias("_first"), top.alias("_top"), *[(value(c) > 0).cast("double").alias(n) for n, c in hits.items()], *[value(c).alias(n) for n, c in means.items()])
+    votes = rows.repartition(*keys).groupBy(*keys, "_norm").agg(*_votes(index), F.min("_first").alias("_first"), F.max("_top").alias("_top"), *[F.max(n).alias(n) for n in hits], *[F.sum(n).alias(n) for n in means])
+    one = _majority(votes, keys, F.min("_first").alias("_first"), F.max("_top").alias("_top"), *[F.max(n).alias(n) for n in hits], *[(F.sum(n) / F.sum("_n")).alias(n) for n in means])
+    return one.select(*keys, "maj_at_k", *hits, *means, *[F.col(f"_first.{n}").alias(n) for n in greedy], *[F.col(f"_top.{n}").alias(n) for n in chosen])
+
+
+def _report(one: DataFrame, run: str | None, count: str, names: list[str]) -> DataFrame:
+    """Averages over problems, of each run or of all."""
+    return one.groupBy(*([run] if run else [])).agg(F.count("*").alias(count), *[F.avg(n).alias(n) for n in names])
+
+
+def eval_report(df: DataFrame, by: str = "uid", index: str = "candidate_index", rates: tuple[str, ...] = ("accuracy", "format_rate", "train_reward_v1"), run: str | None = None) -> DataFrame:
+    """Rates averaged over problems: of the first candidate (greedy), of the selected one, and over all of a problem's candidates. With ``run``, a report for each run."""
+    greedy, chosen = {f"greedy_{c}": c for c in rates}, {f"selected_{c}": c for c in rates}
+    one = _folded(df, [*([run] if run else []), by], index, greedy, chosen, {"pass_at_k": "accuracy"}, {"format_at_k": "format_rate", "mean_length": "response_length"})
+    return _report(one, run, "problems", ["pass_at_k", "maj_at_k", "format_at_k", "mean_length", *greedy, *chosen])
+
+
+#: Issues whose rate is that of the first candidate, by the name of the rate (fixed values).
+GREEDY_RATES = {"verifier_false_negative_candidate_rate": "verifier_false_negative_candidate", "robust_extract_failure_rate": "robust_extract_failure", "hit_length_cap_rate": "hit_length_cap",
+                "unclosed_think_rate": "unclosed_think", "missing_boxed_answer_rate": "missing_boxed_answer", "prompt_contamination_rate": "prompt_contamination"}
+
+
+def full_report(df: DataFrame, by: str = "uid", index: str = "candidate_index", run: str | None = None) -> DataFrame:
+    """The count and all 17 rates of an evaluation report, averaged over problems; with ``run``, a report for each run. ``df``: diagnosed candidates; null or missing diagnostics count as 0."""
+    greedy = {"greedy_accuracy": "accuracy", "greedy_robust_accuracy": "robust_accuracy", **GREEDY_RATES}
+    chosen = {"best_of_N_accuracy": "accuracy", "selected_train_reward_v1": "train_reward_v1", "selected_diagnostic_score_v2_lite": "diagnostic_score_v2_lite", "best_of_N_robust_accuracy": "robust_accuracy"}
+    hits, means = {"pass_at_k": "accuracy", "robust_pass_at_k": "robust_accuracy"}, {"format_at_k": "format_rate", "mean_response_length": "response_length"}
+    one = _folded(df, [*([run] if run else []), by], index, greedy, chosen, hits, means)
+    return _report(one, run, "count", [*greedy, *chosen, *hits, *means, "maj_at_k"])
 
 
 def rescore(df: DataFrame, max_response_length: int | None = None) -> DataFrame:

@@ -107,16 +107,16 @@ def _masked(values, mask) -> Column:
 
 
 def masked_moments(df: DataFrame, values: str, mask: str) -> DataFrame:
-    """One row: ``n``, ``mean`` and ``var`` (Bessel's correction) over all valid tokens. Two passes: squares are summed around the mean."""
-    n = F.sum(_sum(F.transform(mask, lambda m: m.cast("double"))))
-    first = df.agg(n.alias("_n"), (F.sum(_masked(values, mask)) / n).alias("_mean"))
-    with_mean = df.crossJoin(F.broadcast(first))
-    square = F.sum(_sum(F.zip_with(values, mask, lambda x, m: m * (x - F.col("_mean")) * (x - F.col("_mean")))))
-    return with_mean.agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), (square / (F.first("_n") - 1)).alias("var"))
+    """One row: ``n``, ``mean`` and ``var`` (Bessel's correction) over all valid tokens (mask above 0); null where there are too few.
+
+    One pass: count, mean and squared deviations of parts are merged pairwise, which loses nothing where the mean is large against the deviation.
+    """
+    valid = df.select(F.explode(F.arrays_zip(F.col(values).alias("x"), F.col(mask).alias("m"))).alias("t")).where(F.col("t.m") > 0).select("t.x")
+    return valid.agg(F.count("x").cast("double").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"))
 
 
 def masked_whiten(df: DataFrame, values: str, mask: str, name: str, eps: float = 1e-8) -> DataFrame:
-    """(x - mean) / sqrt(var + eps) over all valid tokens; the moments are one broadcast row."""
+    """(x - mean) / sqrt(var + eps) over all valid tokens; the moments are one broadcast row from one scan."""
     m = masked_moments(df, values, mask).select(F.col("mean").alias("_mean"), F.col("var").alias("_var"))
     return df.crossJoin(F.broadcast(m)).withColumn(name, F.transform(values, lambda x: (x - F.col("_mean")) / F.sqrt(F.col("_var") + eps))).drop("_mean", "_var")
 

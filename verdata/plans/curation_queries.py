@@ -140,6 +140,14 @@ def a6(spark, sf_dir):
     return S.with_row_id(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), ["doc_id"], "train").select("doc_id", "row_id")
 
 
+# Files of consecutive ids: file order is the order of the ids.
+@query("a6_file_row_id", "SELECT doc_id, printf('train-%06d', row_number() OVER (ORDER BY doc_id) - 1) AS row_id FROM documents")
+def a6f(spark, sf_dir):
+    at = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.json(at)
+    return S.with_file_row_id(spark.read.schema("doc_id long, text string").json(at), "train").select("doc_id", "row_id")
+
+
 @query("b1_render_prompt", "SELECT idx, md5('Solve: ' || trim(problem, ' ' || chr(10)) || ' End') AS prompt_md5 FROM examples", "examples")
 def b1(spark, sf_dir):
     return view(spark, sf_dir, "examples").select("idx", F.md5(T.render_prompt(F.col("problem"), "Solve: {{ content | trim }} End")).alias("prompt_md5"))
@@ -258,6 +266,16 @@ def e4(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("p50", "p90", "p95", "p99", "mean")})
 
 
+_E = "round(quantile_cont(l_extendedprice * (1 - l_discount), {}), 6)"
+
+
+@query("e4_exact_quantiles", f"SELECT mode, count(*) AS n, {_E.format(0.5)} AS p50, {_E.format(0.9)} AS p90, {_E.format(0.95)} AS p95, {_E.format(0.99)} AS p99 FROM (SELECT l_linestatus AS mode, l_extendedprice, l_discount FROM lineitem) x GROUP BY mode")
+def e4q(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linestatus").alias("mode"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double").alias("x"))
+    out = C.length_stats(rows, "x", "mode")
+    return out.select("mode", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p95", "p99")])
+
+
 @query("e5_field_checks", f"SELECT split, count(*) AS n, count(*) FILTER (problem IS NULL) AS missing_prompt, count(*) FILTER (answer IS NULL) AS missing_answer, count(*) FILTER ({_NP} = '') AS empty_prompt, count(*) FILTER ({_NA} = '') AS empty_answer FROM examples GROUP BY split", "examples")
 def e5(spark, sf_dir):
     return C.field_checks(view(spark, sf_dir, "examples"))

@@ -236,6 +236,21 @@ def f6f(spark, sf_dir):
     return out.select("count", *[F.round(c, 6).alias(c) for c in out.columns if c != "count"])
 
 
+@query("f6_report_by_run", f""", r AS (SELECT *, concat('run', CAST((uid + candidate_index) % 3 AS VARCHAR)) AS run FROM candidates),
+best AS (SELECT *, row_number() OVER (PARTITION BY run, uid ORDER BY train_reward_v1 DESC, accuracy DESC, response_length, candidate_index) AS p FROM r),
+votes AS (SELECT run, uid, boxed_answer AS answer, row_number() OVER (PARTITION BY run, uid ORDER BY count(*) DESC, min(candidate_index)) AS p FROM r WHERE boxed_answer <> '' GROUP BY run, uid, boxed_answer),
+one AS (SELECT run, uid, min(gold) AS gold, max(CASE WHEN accuracy > 0 THEN 1.0 ELSE 0.0 END) AS pass_at_k, avg(format_rate) AS format_at_k, avg(response_length) AS mean_response_length, arg_min(accuracy, candidate_index) AS greedy_accuracy,
+ max(accuracy) FILTER (p = 1) AS best_of_N_accuracy, max(train_reward_v1) FILTER (p = 1) AS selected_train_reward_v1 FROM best GROUP BY run, uid)
+SELECT one.run, count(*) AS count, round(avg(pass_at_k), 6) AS pass_at_k, round(avg(format_at_k), 6) AS format_at_k, round(avg(mean_response_length), 6) AS mean_response_length, round(avg(greedy_accuracy), 6) AS greedy_accuracy,
+ round(avg(best_of_N_accuracy), 6) AS best_of_N_accuracy, round(avg(selected_train_reward_v1), 6) AS selected_train_reward_v1, round(avg(CAST(coalesce(answer = gold, false) AS DOUBLE)), 6) AS maj_at_k
+FROM one LEFT JOIN (SELECT * FROM votes WHERE p = 1) v ON one.run = v.run AND one.uid = v.uid GROUP BY one.run""", "candidates")
+def f6r(spark, sf_dir):
+    rows = view(spark, sf_dir, "candidates").withColumn("run", F.concat(F.lit("run"), ((F.col("uid") + F.col("candidate_index")) % 3).cast("string")))
+    out = E.full_report(rows, run="run")
+    shown = ("pass_at_k", "format_at_k", "mean_response_length", "greedy_accuracy", "best_of_N_accuracy", "selected_train_reward_v1", "maj_at_k")
+    return out.select("run", "count", *[F.round(c, 6).alias(c) for c in shown])
+
+
 @query("f7_rescore")
 def f7(spark, sf_dir):
     r = _responses(spark, sf_dir).select("conv_id", "gold", F.struct(F.col("turn").alias("candidate_index"), "response").alias("c"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdata.operators.numbering import number_rows
+from verdata.operators.numbering import number_rows, prefix_scan
+from verdata.plans.storage import broadcast_if_small, materialize
 
 
 def load_examples(spark: SparkSession, path_spec: str, limit: int | None = None, schema: T.StructType | str | None = None) -> DataFrame:
@@ -68,3 +69,19 @@ def with_row_id(df: DataFrame, order_cols: list[str], split: str) -> DataFrame:
     """``row_id``: ``<split>-<number, six digits>`` in the given order, which should be unique."""
     out = number_rows(df, [], [F.col(c) for c in order_cols], "row_index")
     return out.withColumn("row_id", F.format_string(f"{split}-%06d", "row_index"))
+
+
+def with_file_row_id(df: DataFrame, split: str) -> DataFrame:
+    """``row_index`` and ``row_id`` (``<split>-<number, six digits>``) of a table read from files, in the order of the files' paths and of the rows in them.
+
+    ``df`` is a reader's table (or one with rows filtered out): a row's place is its file, the block of the file that its task has read, and its turn there. Blocks are counted, and running sums of
+    the counts give what lies before each, so rows aren't sorted and neither file nor table goes through one task. The partitioning makes no difference.
+    """
+    names = df.columns
+    rows = materialize(df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_turn")))
+    blocks = rows.groupBy("_path", "_block").agg(F.min("_turn").alias("_from"), F.count("*").alias("_rows"))
+    before = prefix_scan(blocks, [], [F.col("_path"), F.col("_block")], {"_before": (F.sum, F.col("_rows"))}, inclusive=False)
+    before = broadcast_if_small(materialize(before.select(F.col("_path").alias("_p"), F.col("_block").alias("_b"), "_from", F.coalesce("_before", F.lit(0)).alias("_before"))))
+    out = rows.join(before, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    out = out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names], (F.col("_turn") - F.col("_from") + F.col("_before")).alias("row_index"))
+    return out.withColumn("row_id", F.format_string(f"{split}-%06d", "row_index"))
