@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from verdata.functions import answers as A
 from verdata.functions.text import extract_choice, text_of, trim_ws
@@ -57,19 +57,19 @@ def score_dapo(df: DataFrame, max_length: int, buffer: int, penalty: float) -> D
 
 
 def apply_reward(df: DataFrame, fn: Callable, kind: str, metrics: tuple[str, ...] = ("overall",), **kwargs) -> DataFrame:
-    """A user's reward over (response, response_length, ground_truth) dictionaries: ``batch`` gets and returns lists, ``sequential`` single ones."""
-    schema = StructType(list(df.schema.fields))
-    for m in metrics:
-        schema = schema.add(m, "double")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"response": r, "response_length": n, "ground_truth": g} for r, n, g in zip(frame["response"], frame["response_length"], frame["gold"])]
-            scores = fn(rows, **kwargs) if kind == "batch" else [fn(x, **kwargs) for x in rows]
-            yield frame.assign(**{m: [float(s.get(m, 0.0) or 0.0) for s in scores] for m in metrics})
+    """A user's reward over (response, response_length, ground_truth) dictionaries: ``batch`` gets and returns lists, ``sequential`` single ones. A missing or null metric is 0.
+
+    Only the three columns go to Python; the others stay where they are.
+    """
     if kind not in ("batch", "sequential"):
         raise ValueError(f"unknown kind: {kind}")
-    return df.mapInPandas(run, schema)
+
+    @F.pandas_udf(StructType([StructField(m, DoubleType()) for m in metrics]))
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [{"response": r, "response_length": None if pd.isna(n) else int(n), "ground_truth": g} for r, n, g in zip(frame["response"], frame["response_length"], frame["gold"])]
+        scores = fn(rows, **kwargs) if kind == "batch" else [fn(x, **kwargs) for x in rows]
+        return pd.DataFrame({m: [float(s.get(m, 0.0) or 0.0) for s in scores] for m in metrics}, dtype="float64")
+    return df.withColumn("_scored", run(F.struct("response", "response_length", "gold"))).select(*df.columns, *[F.col(f"_scored.{m}").alias(m) for m in metrics])
 
 
 def diagnose(df: DataFrame, max_response_length: int | None = None) -> DataFrame:

@@ -257,7 +257,11 @@ def e2(spark, sf_dir):
     return C.distributions(_manifest(spark, sf_dir))
 
 
-QUERIES["e3_risk_distribution"], ORACLE["e3_risk_distribution"] = QUERIES["entry_profile"], ORACLE["entry_profile"]
+# A shorter limit than the profile's, at which many prompts may be too long.
+@query("e3_risk_distribution", ORACLE["entry_profile"].replace("4 * 512", "4 * 64"))
+def e3(spark, sf_dir):
+    out = C.risk_distribution(C.build_manifest(view(spark, sf_dir, "examples"), max_prompt_length=64))
+    return out.withColumn("verifier_ready_rate", F.round("verifier_ready_rate", 6))
 
 
 @query("e4_length_stats", _m("SELECT split, count(*) AS n, min(prompt_chars) AS min, round(quantile_cont(prompt_chars, 0.5), 6) AS p50, round(quantile_cont(prompt_chars, 0.9), 6) AS p90, round(quantile_cont(prompt_chars, 0.95), 6) AS p95, round(quantile_cont(prompt_chars, 0.99), 6) AS p99, max(prompt_chars) AS max, round(avg(prompt_chars), 6) AS mean, count(*) FILTER (prompt_chars > 2048) AS n_over FROM m GROUP BY split"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from verdata.functions import answers as A
@@ -9,6 +11,8 @@ from verdata.functions import text as T
 from verdata.operators import evaluate as E
 from verdata.operators import rewards as R
 from verdata.plans.fixtures import view, with_views
+from verdata.plans.storage import shared_dir
+from verdata.sources import files as S
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -62,10 +66,15 @@ def c8b(spark, sf_dir):
     return _responses(spark, sf_dir).select("case_id", F.md5(A.postprocess_generation(F.col("response"), stop_after_boxed=True)).alias("cut_md5"))
 
 
-@query("c9_format_reward", f"SELECT case_id, {_FORMAT} AS boxed_format, CAST(0 AS DOUBLE) AS answer_format FROM responses", "responses")
+# The responses' own texts in the other style: whole, without an end, or as they are.
+_STYLED = """CASE WHEN case_id % 2 = 0 THEN concat('<think>', response, '</think>', chr(10), ' <answer> ', CASE WHEN case_id % 3 = 0 THEN gold ELSE response END, ' </answer>')
+ WHEN case_id % 3 = 0 THEN concat('<think>', response, '</think><answer>', gold) ELSE response END"""
+_TAGGED = "CAST(regexp_full_match(styled, '(?s)<think>.*?</think>\\s*<answer>.*?</answer>') AS DOUBLE)"
+
+
+@query("c9_format_reward", f"SELECT case_id, {_FORMAT} AS boxed_format, {_TAGGED} AS answer_format FROM (SELECT *, {_STYLED} AS styled FROM responses) x", "responses")
 def c9(spark, sf_dir):
-    r = F.col("response")
-    return _responses(spark, sf_dir).select("case_id", A.format_reward(r).alias("boxed_format"), A.format_reward(r, "answer").alias("answer_format"))
+    return _responses(spark, sf_dir).withColumn("styled", F.expr(_STYLED)).select("case_id", A.format_reward(F.col("response")).alias("boxed_format"), A.format_reward(F.col("styled"), "answer").alias("answer_format"))
 
 
 @query("c10_answer_equal", "SELECT idx, trim(answer) = '' OR regexp_full_match(trim(answer), '[-+]?\\d+(\\.\\d+)?') OR lower(trim(answer)) = 'none' AS equal FROM examples", "examples")
@@ -139,10 +148,11 @@ def d2(spark, sf_dir):
     return out.select("case_id", "accuracy", F.round("overlong", 6).alias("overlong"), F.round("overall", 6).alias("overall"))
 
 
-@query("d3_score_answer_tag", "SELECT case_id, CAST(case_id % 3 = 0 AS DOUBLE) AS accuracy, CAST(case_id % 2 = 0 AS DOUBLE) AS format, round(0.5 * CAST(case_id % 3 = 0 AS DOUBLE) + 0.5 * CAST(case_id % 2 = 0 AS DOUBLE), 6) AS overall FROM responses", "responses")
+@query("d3_score_answer_tag", f"""SELECT case_id, accuracy, format, round(0.5 * accuracy + 0.5 * format, 6) AS overall FROM (SELECT case_id, {_TAGGED} AS format,
+ CAST(lower(regexp_replace(trim(CASE WHEN regexp_matches(styled, '<answer>[^\n]*?</answer>') THEN regexp_extract(styled, '<answer>([^\n]*?)</answer>', 1) ELSE styled END, ' ' || chr(10)), '\s+', ' ', 'g')) = gold AS DOUBLE) AS accuracy
+ FROM (SELECT *, {_STYLED} AS styled FROM responses) x) y""", "responses")
 def d3(spark, sf_dir):
-    r = F.expr("concat(IF(case_id % 2 = 0, '<think>a\nb</think> ', ''), '<answer> ', IF(case_id % 3 = 0, gold, 'no'), '</answer>')")
-    return R.score_answer_tag(_responses(spark, sf_dir).withColumn("response", r)).select("case_id", "accuracy", "format", F.round("overall", 6).alias("overall"))
+    return R.score_answer_tag(_responses(spark, sf_dir).withColumn("response", F.expr(_STYLED))).select("case_id", "accuracy", "format", F.round("overall", 6).alias("overall"))
 
 
 @query("d4_score_choice", "SELECT case_id, CAST(regexp_extract(response, '[012]') = gold AS DOUBLE) AS overall FROM responses", "responses")
@@ -159,6 +169,15 @@ def d5(spark, sf_dir):
     return R.apply_reward(_responses(spark, sf_dir), _brevity, "batch", ("overall", "even"), weight=0.5).select("case_id", "overall", "even")
 
 
+def _brief(row, weight):
+    return {"overall": weight * (row["response_length"] % 7) if row["ground_truth"] != "3" else None}
+
+
+@query("d5_sequential", "SELECT case_id, CASE WHEN gold <> '3' THEN CAST(0.25 * (response_length % 7) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS overall, CAST(0 AS DOUBLE) AS missing FROM responses", "responses")
+def d5s(spark, sf_dir):
+    return R.apply_reward(_responses(spark, sf_dir), _brief, "sequential", ("overall", "missing"), weight=0.25).select("case_id", "overall", "missing")
+
+
 _D6 = ("accuracy", "format_rate", "answer_extractable", "extract_failure", "hit_length_cap", "unclosed_think", "missing_boxed_answer", "prompt_contamination", "truncation")
 
 
@@ -272,10 +291,15 @@ def f9(spark, sf_dir):
     return out.select("source_file", "n", *[F.round(c, 6).alias(c) for c in ("overall", "format", "accuracy")])
 
 
-@query("f10_collect_reports", "SELECT DISTINCT 'results/r' || CAST(uid % 7 AS VARCHAR) || '_math12k_best_of_4_report.json' AS source_file, CAST(uid % 3 AS BIGINT) AS n, 'r' || CAST(uid % 7 AS VARCHAR) AS run, CASE WHEN uid % 3 > 1 THEN 'best_of_n' ELSE 'greedy' END AS metric_family FROM candidates", "candidates")
+@query("f10_collect_reports", "SELECT CAST(1 + uid % 7 % 2 * 3 AS BIGINT) AS n, 'r' || CAST(uid % 7 AS VARCHAR) AS run, CASE WHEN uid % 7 % 2 = 1 THEN 'best_of_n' ELSE 'greedy' END AS metric_family, round(avg(accuracy), 6) AS accuracy FROM candidates GROUP BY uid % 7", "candidates")
 def f10(spark, sf_dir):
-    c = view(spark, sf_dir, "candidates").selectExpr("concat('results/r', uid % 7, '_math12k_best_of_4_report.json') AS source_file", "bigint(uid % 3) AS n").distinct()
-    return E.collect_reports(c).select("source_file", "n", "run", "metric_family")
+    """Reports written for seven runs, each in a folder of its name, and collected from there."""
+    at = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+    names = "concat('r', uid % 7, IF(uid % 7 % 2 = 1, '_math12k_best_of_4', '_gsm8k_greedy'), '_report') AS name"
+    reports = view(spark, sf_dir, "candidates").selectExpr(names, "bigint(1 + uid % 7 % 2 * 3) AS n", "accuracy").groupBy("name", "n").agg(F.avg("accuracy").alias("accuracy"))
+    reports.write.partitionBy("name").json(at)
+    found = S.read_reports(spark, f"{at}/name=*/*", "n long, accuracy double").withColumn("source_file", F.regexp_extract("source_file", "name=([^/]+)/", 1))
+    return E.collect_reports(found).select("n", "run", "metric_family", F.round("accuracy", 6).alias("accuracy"))
 
 
 _CASES = "(SELECT uid * 100 + candidate_index AS case_id, accuracy, format_rate, CASE WHEN response_length > 45 THEN CAST(1 AS DOUBLE) END AS truncation FROM candidates)"
@@ -320,6 +344,6 @@ def f14(spark, sf_dir):
     return out.withColumn("agreement_rate", F.round("agreement_rate", 6))
 
 
-@query("f15_sample_generations", "SELECT case_id FROM responses ORDER BY md5('42|' || CAST(case_id AS VARCHAR)), case_id LIMIT 10", "responses")
+@query("f15_sample_generations", "SELECT case_id FROM (SELECT min(case_id) AS case_id, response FROM responses GROUP BY response) x ORDER BY md5('42|' || response), response LIMIT 10", "responses")
 def f15(spark, sf_dir):
-    return E.sample_generations(_responses(spark, sf_dir), 10, input_col="case_id").select("case_id")
+    return E.sample_generations(_responses(spark, sf_dir).groupBy("response").agg(F.min("case_id").alias("case_id")), 10, input_col="response").select("case_id")
