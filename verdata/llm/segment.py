@@ -17,6 +17,7 @@ inclusion 1. Rows of equal key and text get equal samples. An empty table gives
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -381,15 +382,16 @@ def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int
     made = [(value, lp, (flat, counts), 0) for value, lp, flat, counts in zip(values.tolist(), *walk([(d, 0, 0) for d in docs]))]
     for d, p in zip(docs, _paths(made, [key[d] for d in docs], 1 << 41, lattice, [number[ends[d]:ends[d + 1]] for d in docs])):
         state[d] = [p]
+    # The search's queue of each text: its paths by the best node that they leave.
+    top = lambda p: -float(p.bound.max(initial=-np.inf))
+    queues = {d: [(top(paths[0]), 0)] for d, paths in state.items()}
     for j in range(1, k):
         chosen = {}
         for d in docs:
-            paths = state[d]
-            best = max((float(p.bound.max(initial=-np.inf)), -i) for i, p in enumerate(paths))
-            if best[0] > -np.inf:
-                p = paths[-best[1]]
-                t = p.first + int(p.bound.argmax())
-                chosen[d] = [p, t, best[0], None]
+            best, i = queues[d][0]
+            if best < np.inf:
+                p = state[d][i]
+                chosen[d] = [p, p.first + int(p.bound.argmax()), -best, None]
         # Another choice for the node's unit. A few draws at once find one for most first nodes; where all of them are taken, one is drawn from what is left.
         fresh = [d for d, (p, t, _, _) in chosen.items() if t not in p.taken]
         if fresh:
@@ -422,6 +424,7 @@ def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int
             todo.append((d, t + 1, j))
             g = p.upto[t] + log_rest - np.log(-np.log(_uniform(key[d], np.array([(j << 42) + t]))[0])) if log_rest > -np.inf else -np.inf
             p.bound[t - p.first] = _truncated(g, value)
+            heapq.heapreplace(queues[d], (top(p), queues[d][0][1]))
         if not todo:
             break
         made = []
@@ -431,6 +434,7 @@ def sample_texts(v: Vocabulary, keys: list[int | None], texts: list[str], k: int
             flat = np.concatenate([p.edges[0][:at], edge, tail])
             made.append((value, logp, (flat, np.concatenate([p.edges[1][:t], [len(edge)], tail_counts])), first))
         for (d, _, _), p in zip(todo, _paths(made, [key[d] for d, _, _ in todo], (1 << 41) + (j << 44), lattice, [number[ends[d] + first:ends[d + 1]] for d, first, _ in todo])):
+            heapq.heappush(queues[d], (top(p), len(state[d])))
             state[d].append(p)
     out = []
     for d in range(len(texts)):
