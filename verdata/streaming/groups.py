@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 
 class _Holder(StatefulProcessor):
@@ -19,7 +19,7 @@ class _Holder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", StructType([StructField("rows", ArrayType(self.schema))]))
+        self.held = handle.getValueState("held", StructType([StructField("rows", ArrayType(self.schema)), StructField("timer", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         came = [tuple(r) for r in rows]
@@ -29,14 +29,14 @@ class _Holder(StatefulProcessor):
         if len(every) >= max(r[self.size] or 0 for r in every):
             if known:
                 self.held.clear()
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
+                self.handle.deleteTimer(state[1])
             return self.named(every, True)
-        self.held.update((every,))
+        # Rows without a time count as of time 0.
+        times = [r[self.time].timestamp() for r in every if r[self.time] is not None]
+        timer = state[1] if known else int(1000 * min(times, default=0)) + self.wait_ms
+        self.held.update((every, timer))
         if not known:
-            # The watermark never passes rows without a time.
-            times = [r[self.time].timestamp() for r in every if r[self.time] is not None]
-            self.handle.registerTimer(int(1000 * min(times, default=0)) + self.wait_ms)
+            self.handle.registerTimer(timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
