@@ -547,7 +547,8 @@ def test_line_query_against_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations", "pages", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, SF)
         cols = sorted(df.columns)
