@@ -149,7 +149,7 @@ def d2(spark, sf_dir):
 
 
 @query("d3_score_answer_tag", f"""SELECT case_id, accuracy, format, round(0.5 * accuracy + 0.5 * format, 6) AS overall FROM (SELECT case_id, {_TAGGED} AS format,
- CAST(lower(regexp_replace(trim(CASE WHEN regexp_matches(styled, '<answer>[^\n]*?</answer>') THEN regexp_extract(styled, '<answer>([^\n]*?)</answer>', 1) ELSE styled END, ' ' || chr(10)), '\s+', ' ', 'g')) = gold AS DOUBLE) AS accuracy
+ CAST(lower(regexp_replace(trim(CASE WHEN regexp_matches(styled, '<answer>[^\n]*?</answer>') THEN regexp_extract(styled, '<answer>([^\n]*?)</answer>', 1) ELSE styled END, ' ' || chr(10)), '\\s+', ' ', 'g')) = gold AS DOUBLE) AS accuracy
  FROM (SELECT *, {_STYLED} AS styled FROM responses) x) y""", "responses")
 def d3(spark, sf_dir):
     return R.score_answer_tag(_responses(spark, sf_dir).withColumn("response", F.expr(_STYLED))).select("case_id", "accuracy", "format", F.round("overall", 6).alias("overall"))
