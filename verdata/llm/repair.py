@@ -263,7 +263,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for long conversations: reports without a digest, and the repaired turns as rows. Lost rows have gone."""
     kind = rows.schema["conv_id"].dataType.simpleString()
-    numbered = materialize(number_rows(rows.select("conv_id", "turn", "role", "text"), ["conv_id"], [F.asc_nulls_first("turn"), F.col("role"), F.col("text")], "pos", few_keys=False))
+    numbered = materialize(number_rows(rows.select("conv_id", "turn", "role", "text"), ["conv_id"], [F.asc_nulls_first("turn"), F.col("role"), F.col("text")], "pos"))
     key = F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256))
     marks = numbered.select("conv_id", "turn", "role", "pos", key.alias("key"), is_blank(F.col("text")).alias("blank"), is_truncated(F.col("text")).alias("cut"))
     first = marks.groupBy("conv_id", "key").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("_id"), F.col("key").alias("_key"), "first")
