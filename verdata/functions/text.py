@@ -104,11 +104,12 @@ def classify_difficulty(problem: Column, answer_type: Column, prompt_chars: Colu
     return F.element_at(F.transform(complexity, grade), 1)
 
 
-def verifier_risk_tags(answer: Column, prompt_chars: Column, max_prompt_length: int, prompt_tokens: Column | None = None) -> Column:
-    """What could mislead a verifier about this gold answer or prompt; ``[clean]`` if nothing."""
+def verifier_risk_tags(answer: Column, prompt_chars: Column, max_prompt_length: int, prompt_tokens: Column | None = None,
+                       answer_type: Column | None = None) -> Column:
+    """What could mislead a verifier about this gold answer or prompt; ``[clean]`` if nothing. ``answer_type``: its class, where there is one already."""
     text = trim_ws(text_of(answer))
     lower = F.lower(F.replace(text, F.lit(" "), F.lit("")))
-    kind = classify_answer(answer)
+    kind = classify_answer(answer) if answer_type is None else answer_type
     known = prompt_tokens if prompt_tokens is not None else F.lit(None).cast("long")
     rules = (
         (text == "", "empty_gold_answer"),

@@ -23,7 +23,7 @@ def build_manifest(df: DataFrame, template: str = "{{ content }}", max_prompt_le
         T.classify_topic(F.col("problem"), F.col("_text")).alias("topic"),
         T.classify_difficulty(F.col("problem"), F.col("answer_type"), F.col("prompt_chars"), known, F.col("_text")).alias("difficulty"),
         F.length(T.trim_ws(T.text_of(F.col("answer")))).cast("long").alias("answer_chars"),
-        T.verifier_risk_tags(F.col("answer"), F.col("prompt_chars"), max_prompt_length, known).alias("tags"))
+        T.verifier_risk_tags(F.col("answer"), F.col("prompt_chars"), max_prompt_length, known, F.col("answer_type")).alias("tags"))
 
 
 def distributions(manifest: DataFrame, fields: tuple[str, ...] = ("topic", "difficulty", "answer_type")) -> DataFrame:
@@ -65,7 +65,7 @@ def exact_quantiles(df: DataFrame, column: str, by: str, points: tuple[float, ..
     low = F.col("below") > F.col("k")
     fixed = materialize(fixed.select("g", "i", "k", "k2", "part", F.when(low, float("-inf")).otherwise(F.col("lo")).alias("lo"), F.when(F.col("below") + F.col("inside") <= F.col("k2"), float("nan")).otherwise(F.col("hi")).alias("hi"), F.when(low, 0).otherwise(F.col("below")).alias("below")))
     inside = rows.join(broadcast_if_small(fixed), F.col("_g").eqNullSafe(F.col("g")) & (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).select("g", "i", "k", "k2", "part", "below", "x")
-    numbered = number_rows(inside, ["g", "i"], [F.col("x")], "_no", few_keys=False).withColumn("_no", F.col("_no") + F.col("below"))
+    numbered = number_rows(inside, ["g", "i"], [F.col("x")], "_no").withColumn("_no", F.col("_no") + F.col("below"))
     ends = numbered.where((F.col("_no") == F.col("k")) | (F.col("_no") == F.col("k2"))).groupBy("g", "i").agg(F.min_by("x", "_no").alias("a"), F.max_by("x", "_no").alias("b"), F.first("part").alias("part"))
     value = F.when(F.col("part") == 0, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))
     return ends.groupBy(F.col("g").alias(by)).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))), lambda x: x["v"]).alias("p"))

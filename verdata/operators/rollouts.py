@@ -172,7 +172,7 @@ def kl_coef_by_step(steps: DataFrame, init: float, target: float | None = None,
         return steps.withColumn("kl_coef", F.lit(init))
     m = F.when(F.col(current).isNotNull(), 1 + _clamp(F.col(current) / target - 1, -0.2, 0.2) * F.col(n) / horizon)
     scans = {"_zero": (F.sum, (m == 0).cast("long")), "_less": (F.sum, (m < 0).cast("long")), "_log": (F.sum, F.when(m != 0, F.ln(F.abs(m))))}
-    out = prefix_scan(steps, [by], [F.col(step)], scans, inclusive=False, few_keys=False)
+    out = prefix_scan(steps, [by], [F.col(step)], scans, inclusive=False)
     sign = F.when(F.coalesce("_zero", F.lit(0)) > 0, 0.0).when(F.coalesce("_less", F.lit(0)) % 2 == 1, -1.0).otherwise(1.0)
     return out.withColumn("kl_coef", init * sign * F.exp(F.coalesce("_log", F.lit(0.0)))).drop(*scans)
 

@@ -79,7 +79,7 @@ def obsolete_checkpoints(catalog: DataFrame, save_limit: int, by: str = "run", s
 def checkpoint_tracker(evals: DataFrame, by: str = "run", step: str = "step", score: str = "score") -> DataFrame:
     """After each evaluation: the best score so far (from -1, strictly improved) and its step, and the last step. Range partitions of the steps are scanned on their own, so no task holds a run."""
     ranked = F.when(F.col(score) > -1, F.struct(F.col(score).alias("s"), (-F.col(step)).alias("t")))
-    out = prefix_scan(evals, [by], [F.col(step)], {"_top": (F.max, ranked), "last_step": (F.max, F.col(step))}, few_keys=False)
+    out = prefix_scan(evals, [by], [F.col(step)], {"_top": (F.max, ranked), "last_step": (F.max, F.col(step))})
     return out.withColumn("best_score", F.coalesce("_top.s", F.lit(-1.0))).withColumn("best_step", -F.col("_top.t")).select(*evals.columns, "best_score", "best_step", "last_step")
 
 

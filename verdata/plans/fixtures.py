@@ -5,9 +5,21 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdata.operators.numbering import number_rows
+from verdata.sources.files import read_spread
 
 TABLES = ("documents", "embeddings", "conversations", "events", "lineitem", "labels", "benchmark")
 
+_RUN = "concat('run', CAST(user_id % 6 AS STRING)) AS run"
+_LOG = """event_type = 'purchase' AS is_validation,
+ CASE WHEN event_type = 'purchase' THEN value / CAST(100 AS DOUBLE) END AS accuracy,
+ CASE WHEN event_type = 'purchase' AND event_id % 4 <> 0 THEN value / CAST(120 AS DOUBLE) END AS reward_score,
+ value / CAST(150 AS DOUBLE) AS overall_reward, value / CAST(200 AS DOUBLE) AS format_reward"""
+_LOGGED = ("is_validation", "accuracy", "reward_score", "overall_reward", "format_reward")
+_RUN_ROWS = f"SELECT {_RUN}, ts, event_id, {_LOG} FROM events"
+
 VIEWS = {
     "examples": """
 SELECT doc_id AS idx, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, text AS problem,
@@ -40,13 +52,8 @@ SELECT conv_id * 1000 + turn AS case_id, conv_id, turn, CAST((conv_id + turn) %
   WHEN 4 THEN concat(text, chr(10), 'Answer: ', CAST((conv_id + turn) % 5 AS STRING))
   ELSE repeat(concat('again and again it ', chr(10)), 6) END AS response
 FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations) c""",
-    "run_log": """
-SELECT concat('run', CAST(user_id % 6 AS STRING)) AS run,
- CAST(ROW_NUMBER() OVER (PARTITION BY user_id % 6 ORDER BY ts, event_id) AS BIGINT) AS step,
- event_type = 'purchase' AS is_validation,
- CASE WHEN event_type = 'purchase' THEN value / CAST(100 AS DOUBLE) END AS accuracy,
- CASE WHEN event_type = 'purchase' AND event_id % 4 <> 0 THEN value / CAST(120 AS DOUBLE) END AS reward_score,
- value / CAST(150 AS DOUBLE) AS overall_reward, value / CAST(200 AS DOUBLE) AS format_reward
+    "run_log": f"""
+SELECT {_RUN}, CAST(ROW_NUMBER() OVER (PARTITION BY user_id % 6 ORDER BY ts, event_id) AS BIGINT) AS step, {_LOG}
 FROM events""",
     "validation": """
 SELECT run, step, accuracy, format_reward AS format_rate, coalesce(nullif(reward_score, CAST(0 AS DOUBLE)), overall_reward) AS train_reward_v1
@@ -74,15 +81,23 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = " ".join(VIEWS[n] for n in (*_NEEDS.get(name, ()), name))
     for t in TABLES:
         if re.search(rf"\bFROM {t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            read_spread(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for n in _NEEDS.get(name, ()):
-        spark.sql(VIEWS[n]).createOrReplaceTempView(n)
-    return spark.sql(VIEWS[name])
+        _run(spark, n).createOrReplaceTempView(n)
+    return _run(spark, name)
+
+
+def _run(spark: SparkSession, name: str) -> DataFrame:
+    """A view over registered tables. The steps of ``run_log`` come from range partitions here: in its SQL each run is one window."""
+    if name != "run_log":
+        return spark.sql(VIEWS[name])
+    rows = spark.sql(_RUN_ROWS)
+    return number_rows(rows, ["run"], [F.col("ts"), F.col("event_id")], "step").withColumn("step", F.col("step") + 1).select("run", "step", *_LOGGED)
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token arrays by sequence, from the embeddings' components."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS seq_id", "vec_id - vec_id % 4 AS uid", "cast(embedding AS array<double>) AS x", "8 + vec_id % 57 AS n")
+    e = read_spread(spark, f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS seq_id", "vec_id - vec_id % 4 AS uid", "cast(embedding AS array<double>) AS x", "8 + vec_id % 57 AS n")
     arr = lambda body: f"transform(x, (v, i) -> {body})"
     return e.selectExpr("seq_id", "uid", "x", f"{arr('-abs(v)')} AS log_probs", f"{arr('-abs(v) * 0.9D - 0.001D * i')} AS ref_log_probs", f"{arr('-abs(v) * 1.05D')} AS old_log_probs",
                         f"{arr('v * 0.5D')} AS values", f"{arr('CASE WHEN i < n THEN 1D ELSE 0D END')} AS mask", f"{arr('CASE WHEN i = n - 1 THEN cast(seq_id % 3 AS double) ELSE 0D END')} AS scores",

@@ -27,6 +27,18 @@ def load_examples(spark: SparkSession, path_spec: str, limit: int | None = None,
     return df.limit(limit) if limit else df
 
 
+def read_spread(spark: SparkSession, path: str, least: int = 256) -> DataFrame:
+    """A Parquet table with work for all cores: where fewer scan tasks hold rows than there are cores (a small table in one row group), its rows are dealt out in one exchange.
+
+    Larger tables, and those with fewer than ``least`` rows for each core, are read as they are. Rows and columns are the table's in either case; what is counted comes from the files' footers.
+    """
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    tasks = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).agg(F.count("*").alias("tasks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    return df.repartition(cores) if tasks["tasks"] < cores and tasks["n"] >= least * cores else df
+
+
 def read_jsonl(spark: SparkSession, paths, schema, strict: bool = True) -> DataFrame:
     """JSON lines with a given schema. Blank lines are skipped; malformed ones fail (``strict``) or are skipped as well."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(paths)
