@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdata.llm import archives, licenses, lines, nearduplicates, negatives, neighbours, packing, private, quality, repair, repeats, segment, sharding
+from verdata.sources.files import read_spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +42,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    out = quality.judge(read_spread(spark, f"{sf_dir}/documents.parquet"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = private.find_private(_table(spark, sf_dir, "documents"))
+    found = private.find_private(read_spread(spark, f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] != "id")
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -55,14 +56,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=1, similarity=0.75)
+    out = lines.drop_recurring_lines(read_spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_tokens=1, similarity=0.75)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return segment.sample_segmentations(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, seed=1, digest=True)
+    return segment.sample_segmentations(read_spread(spark, f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), k=2, seed=1, digest=True)
 
 
 def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
