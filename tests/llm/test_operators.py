@@ -472,6 +472,30 @@ def test_neighbours(spark):
     assert few.count() == 20 and neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_in_rounds_and_small_batches(spark, monkeypatch):
+    """What a task holds at once doesn't grow with the queries that it is given, and neither do the visits written at once; rounds and slices find the same."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(1).normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    find = lambda: [tuple(r) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), 5, leaf_rows=50).orderBy("query_id", "rank").collect()]
+    forest = neighbours.Forest(x, float(np.sqrt((x * x).sum(1).max())), 4, 6, 11)
+    leaves, n = np.unique(forest.leaves(x) + 64 * np.arange(4), return_counts=True)
+    held = {(int(a) // 64, int(a) % 64): int(b) for a, b in zip(leaves, n)}
+    asked = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(x.tolist())], ["query_id", "v"])
+    got = list(neighbours._visits(forest, 8, held, 3900)(iter([asked])))
+    want = [(i, j, *leaf) for i, q in enumerate(x) for j, leaf in enumerate(forest.search(q, held, 3900))]
+    assert [(r["query_id"], r["turn"], r["tree"], r["leaf"]) for b in got for r in b.drop_columns("v").to_pylist()] == want
+    assert len(want) > 200_000 and max(b.num_rows for b in got) < 10_000
+    once = find()
+    tables = []
+    monkeypatch.setattr(neighbours, "ROUND_VISITS", 4000)
+    monkeypatch.setattr(neighbours, "SLICE_QUERIES", 7)
+    monkeypatch.setattr(neighbours, "drop", lambda *t: tables.append(t[0].count()))
+    assert find() == once and len(once) == 750
+    assert len(tables) >= 3 and max(tables) < 8000
+
+
 def test_segmentations(spark, cases):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = segment.sample_segmentations(cases, path, k=3)

@@ -12,6 +12,9 @@ vectors) give the nearest, and those of all leaves are merged.
 Vectors that are null, zero, hold null or non-finite components, or aren't of the commonest length (the larger of equally common ones) take no
 part; rows without id neither. Equal vectors are one entry with their ``k + 1`` smallest ids, which is all that a result of k can need. Repeated rows (equal id and vector)
 are one row. A leaf's rows and queries are dealt out in blocks of bounded size, and leaves after a query's ``first`` ones only report what may still be among its nearest. An empty table gives an empty result.
+
+A query is written once for each leaf that it visits, which may be a thousand. Queries are therefore taken in rounds of at most ``ROUND_VISITS`` visits, and a task hands visits on
+in small batches and multiplies a few queries at a time, so memory and the visits on disk don't grow with the table.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdata.plans.storage import materialize
+from verdata.plans.storage import drop, materialize
 
-#: Rows and queries of a leaf that one task takes at once.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Rows and queries of a leaf that one task takes at once, and how many of these queries it multiplies at a time.
+BLOCK_ROWS, BLOCK_QUERIES, SLICE_QUERIES = 8192, 4096, 256
+#: Visits (a query's vector each) in one Arrow batch, but for the last query's, and those of one round.
+BATCH_VISITS, ROUND_VISITS = 8192, 16_000_000
 
 
 class Forest:
@@ -107,8 +112,10 @@ def _visits(forest: Forest, dim: int, held: dict, enough: int):
             for i, q in enumerate(_matrix(batch.column("v"), dim) if batch.num_rows else ()):
                 for j, (t, n) in enumerate(forest.search(q, held, enough)):
                     at.append(i), turn.append(j), tree.append(t), leaf.append(n)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(turn, pa.int32()), batch.column("query_id").take(take), batch.column("v").take(take)], ["tree", "leaf", "turn", "query_id", "v"])
+                if len(at) >= BATCH_VISITS or i == batch.num_rows - 1:
+                    take = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(turn, pa.int32()), batch.column("query_id").take(take), batch.column("v").take(take)], ["tree", "leaf", "turn", "query_id", "v"])
+                    at, turn, tree, leaf = [], [], [], []
     return run
 
 
@@ -121,14 +128,16 @@ def _rank(dim: int, k: int):
         x, q = (_matrix(t.column("v").combine_chunks(), dim) for t in (rows, queries))
         ids = rows.column("ids").to_pylist()
         asked, floor = queries.column("query_id").to_numpy(), queries.column("floor").to_numpy()
-        s = q @ x.T
         m = min(k + 1, len(x))
         out: tuple[list, list, list] = ([], [], [])
-        # Everything as near as the last of the k + 1 nearest entries comes along, so that ties are settled by id; nothing farther than what the query has already.
-        bound = np.partition(s, len(x) - m, axis=1)[:, len(x) - m]
         for i, who in enumerate(asked):
-            limit = max(bound[i], floor[i])
-            best = np.flatnonzero(s[i] >= limit - 1e-12 * abs(limit))
+            at = i % SLICE_QUERIES
+            if not at:
+                s = q[i:i + SLICE_QUERIES] @ x.T
+                # Everything as near as the last of the k + 1 nearest entries comes along, so that ties are settled by id; nothing farther than what the query has already.
+                bound = np.partition(s, len(x) - m, axis=1)[:, len(x) - m]
+            limit = max(bound[at], floor[i])
+            best = np.flatnonzero(s[at] >= limit - 1e-12 * abs(limit))
             score = np.einsum("ij,j->i", x[best], q[i])
             near = sorted((-a, v) for a, b in zip(score.tolist(), best.tolist()) for v in ids[b] if v != who)[:k]
             out[0].extend([who] * len(near)), out[1].extend(v for _, v in near), out[2].extend(-a for a, _ in near)
@@ -169,24 +178,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     cells = indexed.select("ids", "v", F.posexplode("leaves").alias("tree", "leaf"))
     # One row for each leaf: bounded by the forest.
     held = {(r["tree"], r["leaf"]): r["n"] for r in cells.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}
-    asked = valid(queries).where(F.size("v") == dim).select(F.col("id").alias("query_id"), "v").distinct()
-    visits = materialize(asked.mapInArrow(_visits(forest, dim, held, math.ceil(visit * n)), "tree int, leaf int, turn int, query_id long, v array<double>"))
-    come = {(r["tree"], r["leaf"]): r["n"] for r in visits.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame([(t, m, -(-n // BLOCK_ROWS), -(-come.get((t, m), 1) // BLOCK_QUERIES)) for (t, m), n in held.items()], "tree int, leaf int, n_r int, n_q int")
-    cells = materialize(cells.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("r", F.pmod(F.xxhash64(F.col("ids")[0]), "n_r").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))))
-    visits = visits.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("q", F.pmod(F.xxhash64("query_id"), "n_q").cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n_r") - 1)))
-    key = ["tree", "leaf", "r", "q"]
-
-    def rank(some: DataFrame) -> DataFrame:
-        rows = cells.select(*key, "ids", "v").groupBy(*key)
-        found = rows.cogroup(some.select(*key, "query_id", "v", "floor").groupBy(*key)).applyInArrow(_rank(dim, k), "query_id long, vec_id long, score double")
-        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-
+    asked = materialize(valid(queries).where(F.size("v") == dim).select(F.col("id").alias("query_id"), "v").distinct())
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     top = lambda df: df.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
-    # The first leaves set a floor: from the others, only what is at least as near as a query's k-th so far is of use.
-    near = materialize(top(rank(visits.where(F.col("turn") < first).withColumn("floor", F.lit(float("-inf"))))))
-    floors = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    others = visits.where(F.col("turn") >= first).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    best = near.drop("rank").unionByName(rank(others)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return top(best).select("query_id", "rank", "vec_id", "score")
+    key = ["tree", "leaf", "r", "q"]
+
+    def search(some: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """The nearest of some queries, and the tables written for them."""
+        visits = written = materialize(some.mapInArrow(_visits(forest, dim, held, math.ceil(visit * n)), "tree int, leaf int, turn int, query_id long, v array<double>"))
+        come = {(r["tree"], r["leaf"]): r["n"] for r in visits.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}
+        blocks = spark.createDataFrame([(t, m, -(-n // BLOCK_ROWS), -(-come.get((t, m), 1) // BLOCK_QUERIES)) for (t, m), n in held.items()], "tree int, leaf int, n_r int, n_q int")
+        dealt = cells.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("r", F.pmod(F.xxhash64(F.col("ids")[0]), "n_r").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
+        visits = visits.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("q", F.pmod(F.xxhash64("query_id"), "n_q").cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n_r") - 1)))
+
+        def rank(some: DataFrame) -> DataFrame:
+            rows = dealt.select(*key, "ids", "v").groupBy(*key)
+            found = rows.cogroup(some.select(*key, "query_id", "v", "floor").groupBy(*key)).applyInArrow(_rank(dim, k), "query_id long, vec_id long, score double")
+            return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+        # The first leaves set a floor: from the others, only what is at least as near as a query's k-th so far is of use.
+        near = materialize(top(rank(visits.where(F.col("turn") < first).withColumn("floor", F.lit(float("-inf"))))))
+        floors = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        others = visits.where(F.col("turn") >= first).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        best = near.drop("rank").unionByName(rank(others)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return top(best).select("query_id", "rank", "vec_id", "score"), [written, near]
+
+    # A query visits about as many leaves as hold ``visit`` times the rows.
+    rounds = math.ceil(asked.count() * visit * len(held) / n_trees / ROUND_VISITS)
+    if rounds <= 1:
+        return search(asked)[0]
+    done = []
+    for i in range(rounds):
+        best, used = search(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i))
+        done.append(materialize(best)._verdata_path)
+        drop(*used)
+    return spark.read.schema(empty.schema).parquet(*done)
