@@ -85,3 +85,18 @@ def test_best_rows_over_restarts(spark, tmp_path):
     assert {r["run"] for r in spark.read.parquet(f"{at}/out/changes/batch={last:09d}").select(F.col("run")).collect()} <= {"x", "z"}
     go()
     assert read() == want
+
+
+def test_rows_that_come_late_complete_their_group(spark, tmp_path):
+    """A row older than all that came before it still counts while its group waits; what waits is kept for the last two micro-batches only."""
+    at = f"file://{tmp_path}"
+    row = lambda uid, k, minutes, n=2: {"uid": uid, "candidate_index": k, "accuracy": float(k), "arrival": uid, "n_candidates": n, "time": datetime.fromtimestamp(60 * minutes, timezone.utc).isoformat()}
+    parts = [[row(1, 0, 10), row(2, 0, 50)], [row(1, 1, 5), row(3, 0, 51, None)], [row(2, 1, 40), row(4, 0, 60)], [row(5, 0, 200)]]
+    for i, rows in enumerate(parts):
+        write(f"{tmp_path}/in", f"part{i}", rows)
+        L.stream_fill_batches(spark, f"{at}/in", SCHEMA, 1, f"{at}/out", f"{at}/checkpoint", size="n_candidates", wait_ms=3_600_000).awaitTermination()
+    # 3 has a size of null, so it is whole with one row, but its accuracies are all equal.
+    assert sorted((r["train_batch"], r["uid"], r["candidate_index"]) for r in spark.read.parquet(f"{at}/out/full").collect()) == [(0, 1, 0), (0, 1, 1), (1, 2, 0), (1, 2, 1)]
+    assert [r["uid"] for r in spark.read.parquet(f"{at}/out/partial").collect()] == [4]
+    assert sorted(os.listdir(f"{tmp_path}/out/waiting")) == ["batch=000000002", "batch=000000003"]
+    assert [r["uid"] for r in spark.read.parquet(f"{at}/out/waiting/batch=000000003").collect()] == [5]

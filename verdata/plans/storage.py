@@ -45,14 +45,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote, once nothing will read them again."""
     for df in tables:
         path = getattr(df, "_verdata_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
 
 
 def broadcast_if_small(written: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdata.plans.fixtures import view, with_views
 from verdata.plans.rollout_queries import _BEST
-from verdata.plans.storage import shared_dir
+from verdata.plans.storage import materialize, shared_dir
 from verdata.streaming import logs as L
 from verdata.streaming.upserts import latest
 
@@ -56,7 +56,7 @@ def l2(spark, sf_dir):
  QUALIFY row_number() OVER (ORDER BY part, uid) <= floor(count(*) OVER () / 16) * 16""", "candidates")
 def l3(spark, sf_dir):
     at = _folder(spark)
-    rows = view(spark, sf_dir, "candidates").selectExpr("uid", "candidate_index", "accuracy", "uid AS arrival", "count(*) OVER (PARTITION BY uid) AS n_candidates", "timestamp_seconds(candidate_index % 3 * 60 + 60) AS time")
+    rows = materialize(view(spark, sf_dir, "candidates").selectExpr("uid", "candidate_index", "accuracy", "uid AS arrival", "count(*) OVER (PARTITION BY uid) AS n_candidates", "timestamp_seconds(candidate_index % 3 * 60 + 60) AS time"))
     for k in range(3):
         rows.where(F.col("candidate_index") % 3 == k).write.mode("append").json(f"{at}/in")
         L.stream_fill_batches(spark, f"{at}/in", rows.schema, 16, f"{at}/out", f"{at}/checkpoint", size="n_candidates").awaitTermination()

@@ -1,72 +1,37 @@
-"""Groups whose rows arrive in parts: held in keyed state until they are complete."""
+"""Groups whose rows arrive in parts: held in a table until they are complete."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
+from verdata.plans.storage import delete, materialize
 
 
-class _Holder(StatefulProcessor):
-    def __init__(self, schema: StructType, size: str, time: str, wait_ms: int):
-        self.schema, self.wait_ms = schema, wait_ms
-        self.size, self.time = schema.names.index(size), schema.names.index(time)
+def gather_groups(batch: DataFrame, batch_id: int, out: str, by: str, size: str, time: str, wait_ms: int) -> tuple[DataFrame, DataFrame]:
+    """One micro-batch and the rows that wait since earlier ones: the rows of groups that are complete now, and of those given up; each group's at once.
 
-    def named(self, rows: Iterable[tuple], complete: bool) -> Iterator[Row]:
-        return (Row(**dict(zip(self.schema.names, r)), complete=complete) for r in rows)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", StructType([StructField("rows", ArrayType(self.schema)), StructField("timer", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        came = [tuple(r) for r in rows]
-        state = self.held.get()
-        known = [tuple(r) for r in state[0]] if state else []
-        every = known + came
-        if len(every) >= max(r[self.size] or 0 for r in every):
-            if known:
-                self.held.clear()
-                self.handle.deleteTimer(state[1])
-            return self.named(every, True)
-        # Rows without a time count as of time 0.
-        times = [r[self.time].timestamp() for r in every if r[self.time] is not None]
-        timer = state[1] if known else int(1000 * min(times, default=0)) + self.wait_ms
-        self.held.update((every, timer))
-        if not known:
-            self.handle.registerTimer(timer)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = self.held.get()
-        self.held.clear()
-        return self.named(map(tuple, state[0] if state else []), False)
-
-
-def complete_groups(rows: DataFrame, by: str, size: str, time: str, wait_ms: int) -> DataFrame:
-    """The rows of a stream with ``complete``, each group's at once: true when as many have come as the rows' ``size`` says, false when the watermark of ``time`` is ``wait_ms`` past
-    the first row of a group that hasn't become complete. State: the rows of incomplete groups; a group is a prompt's candidates, so it is small.
-
-    Timers follow the rows' own times, so a replayed micro-batch gives the same groups. A group that comes whole never enters the state. Rows later than the watermark are dropped by Spark;
-    rows that come after their group was given out begin another one. A null size is 0.
+    A group is complete when as many rows have come as its rows' ``size`` says (a null is 0). It is given up when the latest ``time`` so far is ``wait_ms`` past the first of the rows that
+    began it (rows without a time count as of time 0). The others are written to ``waiting`` under the micro-batch's id, with the latest time in ``clock``, and read with the next one: a replayed
+    micro-batch gives the same groups. A group is a prompt's candidates, so it is small; each micro-batch shuffles its own rows and the incomplete groups' by key, with no work for each key
+    in Python. No row is dropped for coming late; rows that come after their group was given out begin another one.
     """
-    out = StructType([*rows.schema.fields, StructField("complete", BooleanType())])
-    return rows.withWatermark(time, "0 seconds").groupBy(by).transformWithState(_Holder(rows.schema, size, time, wait_ms), out, "append", "EventTime")
-
-
-class rocks_state:
-    """Streams that start within keep their state in RocksDB, which keyed state of this kind needs; the session's setting stays as it was."""
-
-    name, value = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-    def __init__(self, spark: SparkSession):
-        self.conf = spark.conf
-
-    def __enter__(self) -> None:
-        self.before = self.conf.get(self.name)
-        self.conf.set(self.name, self.value)
-
-    def __exit__(self, *_) -> None:
-        self.conf.set(self.name, self.before)
+    spark = batch.sparkSession
+    at = lambda kind, b: f"{out}/{kind}/batch={b:09d}"
+    rows, clock = batch.withColumn("_until", F.lit(None).cast("long")), None
+    if batch_id:
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(at("waiting", batch_id - 1)))
+        clock = spark.read.parquet(at("clock", batch_id - 1)).first()["latest"]
+    w, millis = Window.partitionBy(by), F.unix_millis(F.col(time).cast("timestamp"))
+    until = F.coalesce(F.min("_until").over(w), F.coalesce(F.min(millis).over(w), F.lit(0)) + wait_ms)
+    marked = materialize(rows.withColumns({"_whole": F.count("*").over(w) >= F.max(F.coalesce(size, F.lit(0))).over(w), "_until": until}))
+    latest = max((x for x in (clock, marked.agg(F.max(millis)).first()[0]) if x is not None), default=None)
+    spark.range(1).select(F.lit(latest).cast("long").alias("latest")).write.mode("overwrite").parquet(at("clock", batch_id))
+    late = F.coalesce(F.col("_until") <= F.lit(latest).cast("long"), F.lit(False))
+    marked.where(~F.col("_whole") & ~late).select(rows.columns).write.mode("overwrite").parquet(at("waiting", batch_id))
+    if batch_id > 1:
+        # Only the last micro-batch can be replayed.
+        delete(spark, at("waiting", batch_id - 2))
+    whole, given_up = marked.where("_whole").select(batch.columns), marked.where(~F.col("_whole") & late).select(batch.columns)
+    whole._verdata_path = marked._verdata_path
+    return whole, given_up

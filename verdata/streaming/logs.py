@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from contextlib import nullcontext
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdata.operators.numbering import number_rows
 from verdata.operators.rollouts import filter_groups
 from verdata.plans.storage import drop, materialize
-from verdata.streaming.groups import complete_groups, rocks_state
+from verdata.streaming.groups import gather_groups
 from verdata.streaming.upserts import upsert
 
 
@@ -70,19 +68,16 @@ def stream_fill_batches(spark: SparkSession, path: str, schema, batch_groups: in
                         size: str | None = None, time: str = "time", wait_ms: int = 3_600_000):
     """Train batches from a stream of candidates, numbered on over all micro-batches; see :func:`fill_step`.
 
-    With ``size``, a column that says how many rows a group has, a group's rows may come in any number of micro-batches; state holds them until the last has come. Groups that aren't complete
-    when the latest ``time`` is ``wait_ms`` past their first row's go to ``partial`` instead. Without it, a group must arrive whole within one micro-batch.
+    With ``size``, a column that says how many rows a group has, a group's rows may come in any number of micro-batches; a table holds them until the last has come (see
+    :func:`~verdata.streaming.groups.gather_groups`). Groups that aren't complete when the latest ``time`` is ``wait_ms`` past their first row's go to ``partial`` instead. Without it, a group
+    must arrive whole within one micro-batch.
     """
     rows = spark.readStream.schema(schema).json(path)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         if size:
-            batch = materialize(batch)
-            batch.where("not complete").drop("complete").write.mode("overwrite").parquet(f"{out}/partial/batch={batch_id:09d}")
-            fill_step(batch.where("complete").drop("complete"), batch_id, batch_groups, out, key, low, high, by, order)
-            drop(batch)
-        else:
-            fill_step(batch, batch_id, batch_groups, out, key, low, high, by, order)
-    with rocks_state(spark) if size else nullcontext():
-        held = complete_groups(rows, by, size, time, wait_ms) if size else rows
-        return held.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+            batch, given_up = gather_groups(batch, batch_id, out, by, size, time, wait_ms)
+            given_up.write.mode("overwrite").parquet(f"{out}/partial/batch={batch_id:09d}")
+        fill_step(batch, batch_id, batch_groups, out, key, low, high, by, order)
+        drop(batch)
+    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
