@@ -338,3 +338,17 @@ def test_reports_by_run(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert len([x for x in final.splitlines() if "Exchange hashpartitioning(run" in x and "uid" in x]) == 1 and "Join" not in final
+
+
+def test_comparison_rounds_like_sql(spark):
+    """Halves, negative and large numbers as DuckDB rounds and prints them; what is missing is shown as such."""
+    import duckdb
+
+    values = [476.39 / 200, 467.07 / 120, 0.00005, 0.00015, 2.5, -476.39 / 200, -0.00003, 1 / 3, 123456.78905, 1e13 + 0.25, 0.0]
+    rows = spark.createDataFrame([(f"r{i}", 1, v, v, v) for i, v in enumerate(values)], "run string, step long, accuracy double, format_rate double, train_reward_v1 double")
+    base = spark.createDataFrame([(values[0], values[1], None, 3)], "accuracy double, format_rate double, train_reward_v1 double, count long")
+    want = {f"r{i}": duckdb.execute("SELECT printf('%.4f', round(?::DOUBLE, 4))", [v]).fetchone()[0] for i, v in enumerate(values)}
+    names = spark.createDataFrame([(r,) for r in [*want, "none"]], "run string")
+    got = {r["run"]: r for r in I.compare_runs(names, rows, base=base).collect()}
+    assert {r: got[r]["accuracy"] for r in want} == {r: got[r]["train_reward_v1"] for r in want} == want
+    assert got["none"]["accuracy"] == got["none"]["accuracy_drop"] == got["base"]["train_reward_v1"] == "-"

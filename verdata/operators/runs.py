@@ -46,6 +46,13 @@ def stability(df: DataFrame, by: str = "run", seq: str = "step") -> DataFrame:
                        (F.col("b.accuracy") - F.col("l.accuracy")).alias("accuracy_drop"), (F.col("l.format_rate") - F.col("b.format_rate")).alias("format_change"))
 
 
+def _four(x: Column) -> Column:
+    """Four decimals as text. The number is scaled, rounded half away from zero and scaled back, as SQL's ``round`` does on doubles; formatting alone decides halves by the digits of the unscaled number."""
+    size = F.abs(x)
+    near = F.when(size < 1e15, F.round(size * 10000) / 10000).otherwise(size)
+    return F.format_string("%.4f", F.when(x < 0, -near).otherwise(near))
+
+
 def compare_runs(names: DataFrame, rows: DataFrame, by: str = "run", base: DataFrame | None = None) -> DataFrame:
     """Comparison table as text: four decimals, ``-`` where a run has no log. ``names``: every run.
 
@@ -55,7 +62,7 @@ def compare_runs(names: DataFrame, rows: DataFrame, by: str = "run", base: DataF
     more = [c for c in ("mean_response_length",) if c in rows.columns]
     best = best_row(rows, "train_reward_v1", by).select(by, F.col("step").alias("best_step"), "accuracy", "format_rate", "train_reward_v1", *more)
     out = names.join(best, by, "left").join(stability(rows, by).select(by, "last_step", "accuracy_drop"), by, "left")
-    text = lambda c, kind: F.coalesce(F.format_string("%.4f", c) if kind == "d" else F.col(c).cast("string"), F.lit("-"))
+    text = lambda c, kind: F.coalesce(_four(F.col(c)) if kind == "d" else F.col(c).cast("string"), F.lit("-"))
     shown = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(text(c, "d" if isinstance(out.schema[c].dataType, T.DoubleType) else "i"))
     table = out.select(by, *[shown(c).alias(c) for c in ("best_step", "accuracy", "format_rate", "train_reward_v1", *more, "last_step", "accuracy_drop")])
     if base is None:
