@@ -352,3 +352,4 @@ def test_comparison_rounds_like_sql(spark):
     got = {r["run"]: r for r in I.compare_runs(names, rows, base=base).collect()}
     assert {r: got[r]["accuracy"] for r in want} == {r: got[r]["train_reward_v1"] for r in want} == want
     assert got["none"]["accuracy"] == got["none"]["accuracy_drop"] == got["base"]["train_reward_v1"] == "-"
+    assert (got["base"]["accuracy"], got["base"]["format_rate"], got["base"]["count"]) == ("2.3819", "3.8923", "3")

@@ -67,7 +67,7 @@ def compare_runs(names: DataFrame, rows: DataFrame, by: str = "run", base: DataF
     table = out.select(by, *[shown(c).alias(c) for c in ("best_step", "accuracy", "format_rate", "train_reward_v1", *more, "last_step", "accuracy_drop")])
     if base is None:
         return table
-    figure = lambda c: F.coalesce(F.format_string("%.4f", F.col(c).cast("double")), F.lit("-")) if c != "count" else F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    figure = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(_four(F.col(c).cast("double"))) if c != "count" else F.coalesce(F.col(c).cast("string"), F.lit("-"))
     first = base.select(F.lit("base").alias("section"), F.lit("base").alias(by), *[figure(c).alias(c) for c in ("accuracy", "format_rate", "train_reward_v1", "count")])
     return first.unionByName(table.withColumn("section", F.lit("runs")), allowMissingColumns=True).fillna("-")
 
