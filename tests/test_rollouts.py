@@ -353,3 +353,32 @@ def test_comparison_rounds_like_sql(spark):
     assert {r: got[r]["accuracy"] for r in want} == {r: got[r]["train_reward_v1"] for r in want} == want
     assert got["none"]["accuracy"] == got["none"]["accuracy_drop"] == got["base"]["train_reward_v1"] == "-"
     assert (got["base"]["accuracy"], got["base"]["format_rate"], got["base"]["count"]) == ("2.3819", "3.8923", "3")
+
+
+def test_many_batches_are_balanced_together(spark, monkeypatch):
+    """Batches of equal size are solved as one matrix, with the parts that each has alone; odd ones, a null key and groups that go over several Arrow batches come along."""
+    rng = np.random.default_rng(3)
+    for top in (1, 3, 50, 30000):
+        for n, k in ((8, 8), (24, 8), (13, 5), (9, 1)):
+            x = rng.integers(0, top, (20, n))
+            for equal in {False, n % k == 0}:
+                assert B._differencing_all(x, k, equal).tolist() == [B._labels(B._differencing(r, k, equal), n).tolist() for r in x.tolist()]
+    sizes = {**{f"b{i}": 16 + 8 * (i % 2) for i in range(60)}, "large": 1200, "odd": 40, None: 16}
+    data = [(b, i, int(v)) for b, n in sizes.items() for i, v in enumerate(rng.integers(1, 90, n))]
+    df = spark.createDataFrame(data, "batch string, row long, tokens long").repartition(7, "row")
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        for out, alone in ((B.balance_partitions(df, 8, True), lambda x: B._differencing(x, 8, True)), (B.balance_partitions(df, 4), lambda x: B._differencing(x, 4, False)), (B.greedy_partitions(df, 8, True), lambda x: B._greedy(x, 8, True))):
+            assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+            got: dict = {}
+            for r in out.collect():
+                got.setdefault(r["batch"], {})[r["row"]] = (r["tokens"], r["part"])
+            assert {b: len(g) for b, g in got.items()} == sizes
+            for g in got.values():
+                x = [g[i][0] for i in range(len(g))]
+                assert [g[i][1] for i in range(len(g))] == B._labels(alone(x), len(x)).tolist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(Exception, match="null tokens"):
+        B.greedy_partitions(df.withColumn("tokens", F.nullif("tokens", F.lit(5))), 8).collect()
