@@ -196,7 +196,7 @@ def _by_batch(df: DataFrame, by: str, id_col: str, length: str, solve: Callable[
 
 def balance_partitions(df: DataFrame, k: int, equal_size: bool = False, by: str = "batch", id_col: str = "row", length: str = "tokens") -> DataFrame:
     """``part`` of each row: k parts of nearly equal token sums within each batch."""
-    return _by_batch(df, by, id_col, length, lambda n: np.array([_labels(_differencing(x, k, equal_size), n.shape[1]) for x in n.tolist()]))
+    return _by_batch(df, by, id_col, length, lambda n: _differencing_all(n, k, equal_size))
 
 
 def greedy_partitions(df: DataFrame, k: int, equal_size: bool = False, by: str = "batch", id_col: str = "row", length: str = "tokens") -> DataFrame:
