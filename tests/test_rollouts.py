@@ -363,6 +363,7 @@ def test_many_batches_are_balanced_together(spark, monkeypatch):
             x = rng.integers(0, top, (20, n))
             for equal in {False, n % k == 0}:
                 assert B._differencing_all(x, k, equal).tolist() == [B._labels(B._differencing(r, k, equal), n).tolist() for r in x.tolist()]
+                assert B._greedy_all(x, k, equal).tolist() == [B._labels(B._greedy(r, k, equal), n).tolist() for r in x.tolist()]
     sizes = {**{f"b{i}": 16 + 8 * (i % 2) for i in range(60)}, "large": 1200, "odd": 40, None: 16}
     data = [(b, i, int(v)) for b, n in sizes.items() for i, v in enumerate(rng.integers(1, 90, n))]
     df = spark.createDataFrame(data, "batch string, row long, tokens long").repartition(7, "row")

@@ -134,6 +134,20 @@ def _differencing_all(lengths: np.ndarray, k: int, equal_size: bool) -> np.ndarr
         above = further
 
 
+def _greedy_all(lengths: np.ndarray, k: int, equal_size: bool) -> np.ndarray:
+    """Part of each row for many batches of equal size, each as :func:`_greedy` has it."""
+    count, n = lengths.shape
+    if count < 4 or (equal_size and n % k) or np.abs(lengths).sum(axis=1).max(initial=0) >= 2 ** 62 // (n + 2):
+        return np.array([_labels(_greedy(x, k, equal_size), n) for x in lengths.tolist()])
+    each, out = np.arange(count), np.empty((count, n), np.int64)
+    cost = lengths + (lengths.sum(axis=1, keepdims=True) + 1 if equal_size else 0)
+    weight = np.zeros((count, k), np.int64)
+    for i in range(n):
+        out[:, i] = p = weight.argmin(axis=1)
+        weight[each, p] += cost[:, i]
+    return out
+
+
 def _micro_all(lengths: np.ndarray, max_tokens: int) -> np.ndarray:
     """Micro-batch of each row for many batches of equal size: as many balanced parts as the tokens need, heaviest (sum of squares) first."""
     count, n = lengths.shape
@@ -201,7 +215,7 @@ def balance_partitions(df: DataFrame, k: int, equal_size: bool = False, by: str
 
 def greedy_partitions(df: DataFrame, k: int, equal_size: bool = False, by: str = "batch", id_col: str = "row", length: str = "tokens") -> DataFrame:
     """``part`` of each row: given in order of id to the lightest part."""
-    return _by_batch(df, by, id_col, length, lambda n: np.array([_labels(_greedy(x, k, equal_size), n.shape[1]) for x in n.tolist()]))
+    return _by_batch(df, by, id_col, length, lambda n: _greedy_all(n, k, equal_size))
 
 
 def serpentine_partitions(df: DataFrame, k: int, by: str = "batch", id_col: str = "row", length: str = "tokens") -> DataFrame:
