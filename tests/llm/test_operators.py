@@ -107,6 +107,58 @@ def test_crowded_lists(spark):
     assert rows(nearduplicates.near_duplicates(df, crowd=8), "doc_id", "n_shingles", "component_id", "kept") == B.components(raw)
 
 
+def family(n, seed=7):
+    """Edits around one original."""
+    rng, raw = np.random.default_rng(seed), []
+    for d in range(n):
+        w = [f"b{i}" for i in range(140)]
+        for i in rng.choice(140, int(rng.integers(0, 9)), replace=False):
+            w[i] = f"e{d}x{i}"
+        raw.append((d, " ".join(w)))
+    return raw
+
+
+def test_near_duplicates_few_shuffled_tasks(spark):
+    """Rounds over few pairs don't run as many tasks as there are shuffle partitions: starting these is the most that small rounds cost."""
+    tasks = lambda: sum(t.getStageInfo(s).numCompletedTasks for j in t.getJobIdsForGroup("near") for s in t.getJobInfo(j).stageIds if t.getStageInfo(s))
+    sc = spark.sparkContext
+    t, before = sc.statusTracker(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("near", "near duplicates")
+    try:
+        raw = family(90)
+        df = spark.createDataFrame(raw, "doc_id long, text string").repartition(3)
+        assert rows(nearduplicates.near_duplicates(df, crowd=8), "doc_id", "n_shingles", "component_id", "kept") == B.components(raw)
+        assert 0 < tasks() < 900
+    finally:
+        sc._jsc.clearJobGroup()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_near_duplicates_many_pairs(spark, monkeypatch):
+    """Beyond the rows that may be broadcast all joins are shuffled, with the same result."""
+    from verdata.llm import components
+
+    raw = family(40) + [(d + 100, t) for d, t in family(20, 8)]
+    df = spark.createDataFrame(raw, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(components, "SMALL_ROWS", 0)
+    for module in (components, nearduplicates):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda written: written)
+    assert rows(nearduplicates.near_duplicates(df, crowd=8), "doc_id", "n_shingles", "component_id", "kept") == B.components(raw)
+
+
+def test_components_flat_edges_need_no_round(spark, monkeypatch):
+    from verdata.llm import components
+
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, f=components.materialize: written.append(1) or f(df))
+    find = lambda edges: sorted(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert find([(1, 5), (7, 1), (2, 3), (3, 2)]) == [(1, 1), (2, 2), (3, 2), (5, 1), (7, 1)] and len(written) == 1
+    assert find([(1, 2), (2, 3), (9, 3), (9, 8)]) == [(1, 1), (2, 1), (3, 1), (8, 1), (9, 1)] and len(written) > 2
+
+
 def test_licenses(spark, cases, small):
     for df, raw in both(spark, cases, small):
         got = licenses.scan_licenses(df)

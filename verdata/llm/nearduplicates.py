@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from verdata.llm.components import connected_components, join_components
 from verdata.llm.hashing import mix, run_hashes, word_hashes
 from verdata.llm.text import LOWER, slices, texts
-from verdata.plans.storage import broadcast_if_small, drop, materialize
+from verdata.plans.storage import broadcast_if_small, drop, in_tasks, materialize
 
 _SIGNED = np.uint64(1 << 63)
 
@@ -176,48 +176,61 @@ def shared_values(k: int, percent: int, odds: float = 1e-8) -> int:
     return max(1, t)
 
 
+def _with_both(pairs: DataFrame, rows: DataFrame, *columns: str, each: int) -> DataFrame:
+    """Written ``pairs`` (``a, b``) with the ``columns`` of both classes, as ``<column>_a`` and ``<column>_b``.
+
+    Few pairs are broadcast to the rows of each side, and only rows that are asked for move, dealt by pair: one shuffle, in which a class
+    of many pairs isn't one task's. More meet one side after the other. Tasks get about ``each`` pairs, where there are few.
+    """
+    a, b = (rows.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
+    few = broadcast_if_small(pairs)
+    both = pairs.join(a, "a").join(b, "b") if few is pairs else a.join(few, "a").join(b.join(few, "b"), ["a", "b"])
+    return in_tasks(both, pairs.count(), each)
+
+
 class _Links:
     """Verified links between classes, and the components they make so far."""
 
     def __init__(self, listed: DataFrame, sets: DataFrame, percent: int, k: int, slack: float):
         self.listed, self.sets, self.percent, self.k, self.slack = listed, sets, percent, k, slack
         self.roots: DataFrame | None = None
+        self.known: DataFrame | None = None
 
     def component(self, members: DataFrame) -> DataFrame:
         """``members`` with ``comp``."""
         if self.roots is None:
             return members.withColumn("comp", F.col("cls"))
-        return members.join(self.roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
+        return members.join(self.known, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
 
-    def test(self, pairs: DataFrame) -> None:
-        """Estimate and verify pairs ``a, b`` and join the linked ones."""
+    def test(self, pairs: DataFrame, most: int | None = None) -> None:
+        """Estimate and verify pairs ``a, b`` (``most`` at most) and join the linked ones. What is left of them is written after each step; no rows, no further step."""
         percent = self.percent
-        hub_n = self.listed.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a"))
-        other = self.listed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"))
-        pairs = pairs.groupBy("a", "b").agg(F.lit(1).alias("_")).join(hub_n, "a").join(other, "b")
-        pairs = pairs.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-        near = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(self.k, percent, self.slack), "a long, b long")
-        near = near.join(self.sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a").join(self.sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
-        found = materialize(near.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
-        if self.roots is None:
-            self.roots = materialize(connected_components(found))
-        elif found.limit(1).count():
-            old, self.roots = self.roots, materialize(join_components(self.roots, found))
+        pairs = materialize(pairs.distinct() if most is None else in_tasks(pairs.distinct(), most))
+        near = found = None
+        if pairs.count():
+            both = _with_both(pairs, self.listed, "n", "sketch", each=2_000).where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+            near = materialize(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(self.k, percent, self.slack), "a long, b long"))
+        if near is not None and near.count():
+            both = _with_both(near, self.sets.withColumnRenamed("shingles", "set"), "set", each=500)
+            found = materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
+        if found is not None and (n := found.count()):
+            old, self.roots = self.roots, materialize(connected_components(found, most=n) if self.roots is None else join_components(self.roots, found))
+            self.known = broadcast_if_small(self.roots)
             drop(old)
-        drop(found)
+        drop(pairs, near, found)
 
 
 def _chief_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Each list's first member with the others."""
-    chief = members.groupBy("value").agg(F.min(F.struct("rank", "n", "pos", "side")).alias("h")).withColumnRenamed("value", "v")
+    """Each list's first member with the others, of written ``members``."""
+    chief = in_tasks(members.groupBy("value").agg(F.min(F.struct("rank", "n", "pos", "side")).alias("h")).withColumnRenamed("value", "v"), members.count())
     pairs = members.join(chief, (F.col("value") == F.col("v")) & (F.col("rank") != F.col("h.rank")) & _may_pair("h", percent))
     return pairs.select(F.col("h.rank.c").alias("a"), F.col("cls").alias("b"))
 
 
-def _open(members: DataFrame, more: str = "true") -> DataFrame:
-    """Lists that hold more than one component, on both sides where they have sides."""
+def _open(members: DataFrame, rows: int, more: str = "true") -> DataFrame:
+    """Lists that hold more than one component, on both sides where they have sides; ``rows``: of members."""
     held = members.where(more).groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.min("side").alias("a"), F.max("side").alias("z"))
-    return held.where("x < y and (a is null or a < z)").select("value", "m")
+    return in_tasks(held, rows).where("x < y and (a is null or a < z)").select("value", "m")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = 40, share: float | None = None, slack: float = 0.35, crowd: int = 4) -> DataFrame:
@@ -242,49 +255,53 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int =
         "cls", "n", "sketch", "one", F.aggregate("common", F.lit(0.0), lambda s, x: s + F.log(x["df"])).alias("weight"),
         F.slice("common", F.lit(1), F.greatest(F.lit(0), F.size("common") - t + 1)).alias("prefix"))
     listed = materialize(listed)
-    asked = materialize(listed.select("cls", F.col("one.doc_id").alias("_d"), F.col("one.row").alias("_r")))
-    sets = docs.join(broadcast_if_small(asked), docs.doc_id.eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).select("cls", "text")
+    asked = broadcast_if_small(listed).select("cls", F.col("one.doc_id").alias("_d"), F.col("one.row").alias("_r"))
+    sets = docs.join(asked, docs.doc_id.eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).select("cls", "text")
     sets = materialize(sets.mapInArrow(_whole(size), "cls long, shingles binary").dropDuplicates(["cls"]))
-    drop(asked)
     links = _Links(listed, sets, percent, k, slack)
     # Order within a list: most common values first; the class settles ties.
-    rank = listed.select("cls", F.struct((-F.col("weight")).alias("w"), F.col("cls").alias("c")).alias("rank"))
     none = [F.lit(None).cast("long").alias("pos"), F.lit(None).cast("int").alias("side")]
     first = listed.select("cls", "n", F.explode("prefix.value").alias("value"), F.struct((-F.col("weight")).alias("w"), F.col("cls").alias("c")).alias("rank"), *none)
     many = first.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
     first = materialize(first.join(many, "value", "left_semi"))
-    links.test(_chief_pairs(first, percent))
+    n = first.count()
+    links.test(_chief_pairs(first, percent), n)
     members = links.component(first)
-    few = members.join(_open(members).where((F.col("m") > 2) & (F.col("m") <= crowd)).select("value"), "value", "left_semi")
+    few = members.join(_open(members, n).where((F.col("m") > 2) & (F.col("m") <= crowd)).select("value"), "value", "left_semi")
     top = few.select(F.col("value").alias("v"), F.col("cls").alias("a"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
     links.test(few.join(top, (F.col("value") == F.col("v")) & (F.col("rank") > F.col("ra")) & (F.col("comp") != F.col("ca"))).select("a", F.col("cls").alias("b")))
-    unsettled = _open(links.component(first)).where(F.col("m") > max(2, crowd)).select("value")
-    crowded = materialize(first.join(unsettled, "value", "left_semi").select("cls").distinct())
+    unsettled = _open(links.component(first), n).where(F.col("m") > max(2, crowd)).select("value")
+    crowded = materialize(in_tasks(first.join(unsettled, "value", "left_semi").select("cls", "rank").distinct(), n))
     drop(first)
-    anew = materialize(_exact_lists(sets.join(crowded, "cls", "left_semi"), percent))
-    lists = materialize(_alive(anew, percent).join(rank, "cls"))
+    asked = broadcast_if_small(crowded)
+    anew = materialize(_exact_lists(sets.join(asked, "cls", "left_semi"), percent))
+    lists = materialize(_alive(anew, percent).join(asked, "cls"))
     drop(anew, crowded)
     tried, hubs, active = 0, 1, lists
     while True:
-        members = links.component(active)
-        members = materialize(members.join(_open(members, f"place > {tried}" if tried else "true").select("value"), "value", "left_semi"))
-        if members.limit(1).count() == 0:
+        members, n = links.component(active), active.count()
+        members = materialize(in_tasks(members.join(_open(members, n, f"place > {tried}" if tried else "true").select("value"), "value", "left_semi"), n))
+        if members.count() == 0:
             break
         if tried == 0:
-            links.test(_chief_pairs(members, percent))
+            links.test(_chief_pairs(members, percent), n)
             # From the second round on a member's place in its list counts; lists of one component by now and those of two members need none.
             comp = links.component(lists)
-            left = lists.join(_open(comp).where("m > 2").select("value"), "value", "left_semi")
-            active = materialize(left.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy("rank"))))
+            left = lists.join(_open(comp, n).where("m > 2").select("value"), "value", "left_semi")
+            active = materialize(in_tasks(left.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy("rank"))), n))
         else:
             top = members.where((F.col("place") > tried) & (F.col("place") <= tried + hubs)).select(F.col("value").alias("v"), F.col("cls").alias("a"), F.struct("rank", "n", "pos", "side").alias("h"), F.col("comp").alias("ca"))
             pairs = members.join(top, (F.col("value") == F.col("v")) & (F.col("rank") > F.col("h.rank")) & (F.col("comp") != F.col("ca")) & _may_pair("h", percent)).select("a", F.col("cls").alias("b"))
             links.test(pairs)
             active = members.drop("comp")
         tried, hubs = tried + hubs, hubs * 32
-    node = classes.select("cls", "signature", "doc_id").join(links.roots, F.col("cls") == F.col("node"), "left").select("signature", "doc_id", F.coalesce("root", "cls").alias("root"))
-    least = node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = node.join(least, "root").select(F.col("signature").alias("cls"), "component_id")
+    # Most classes are linked with none and name themselves.
+    node = links.component(classes.select("cls", "signature", "doc_id"))
+    if links.roots is not None:
+        least = classes.select("cls", "doc_id").join(links.known, F.col("cls") == F.col("node")).groupBy("root").agg(F.min("doc_id").alias("least"))
+        least = broadcast_if_small(materialize(least))
+        node = node.join(least, F.col("comp") == F.col("root"), "left").withColumn("doc_id", F.coalesce("least", "doc_id"))
+    named = node.select(F.col("signature").alias("cls"), F.col("doc_id").alias("component_id"))
     out = rows.drop("sketch").join(named, "cls", "left")
     drop(listed, sets, lists)
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -64,3 +64,11 @@ def broadcast_if_small(written: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     The count reads Parquet footers only.
     """
     return F.broadcast(written) if written.count() <= rows else written
+
+
+def in_tasks(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
+    """``df``, made of ``rows`` rows at most, in no more tasks than these need at ``each`` a task, but one for each core.
+
+    A shuffle of few rows has as many partitions as one of many, and starting them is what it costs; nothing moves, neighbouring ones share a task.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
